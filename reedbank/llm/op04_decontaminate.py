@@ -128,6 +128,43 @@ def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def items_of(benchmark: DataFrame, item: str, item_text: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
+
+
+def chunks_of(items: DataFrame) -> int:
+    return int(items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0] // CHUNK_ITEMS_BYTES) + 1
+
+
+def index_of_chunk(items: DataFrame, chunk: int, n_chunks: int, span: int, gram: int) -> dict:
+    part = items if n_chunks == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(n_chunks)) == chunk)
+    return build_index([(r.id, r.t) for r in part.toLocalIterator()], span, gram)
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """The rows of documents, with their own columns, that no item's window occurs in."""
+    items = items_of(benchmark, item, item_text)
+    n_chunks, names, out = chunks_of(items), documents.columns, documents
+    for chunk in range(n_chunks):
+        shared = documents.sparkSession.sparkContext.broadcast(index_of_chunk(items, chunk, n_chunks, span, gram))
+
+        def run(batches, shared=shared):
+            import pyarrow as pa
+
+            at = names.index(text)
+            for batch in batches:
+                data, offsets = X.column_bytes(batch.column(at))
+                clean = np.ones(batch.num_rows, bool)
+                for row, _, block, own in X.blocks(data, offsets):
+                    words = X.Words(block, own, X.ALNUM)
+                    for _, first, _ in find_spans(words, shared.value):
+                        clean[row + np.searchsorted(words.first, first, side="right") - 1] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, documents.schema)
+    return out
+
+
 RESULT = "n_words bigint, hits array<struct<start:bigint,end:bigint>>, items array<string>"
 
 
@@ -135,14 +172,12 @@ def contaminated_spans(documents: DataFrame, benchmark: DataFrame, key: str = "d
     """(key, n_words, hits, items) for each document: hit spans of word numbers [start, end), and the items' ids, sorted as strings."""
     spark = documents.sparkSession
     key_type = documents.schema[key].dataType.simpleString()
-    one = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
-    total = one.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n_chunks = int(total // CHUNK_ITEMS_BYTES) + 1
+    one = items_of(benchmark, item, item_text)
+    n_chunks = chunks_of(one)
     source = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def pass_over(chunk: int) -> DataFrame:
-        part = one if n_chunks == 1 else one.where(F.pmod(F.xxhash64("t"), F.lit(n_chunks)) == chunk)
-        shared = spark.sparkContext.broadcast(build_index([(r.id, r.t) for r in part.toLocalIterator()], span, gram))
+        shared = spark.sparkContext.broadcast(index_of_chunk(one, chunk, n_chunks, span, gram))
 
         def run(batches):
             import pyarrow as pa
