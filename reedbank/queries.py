@@ -1,4 +1,4 @@
 """All engine queries over the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from reedbank.plans import q_assign, q_otu  # noqa: F401  modules register their queries
+from reedbank.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
