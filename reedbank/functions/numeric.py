@@ -23,10 +23,14 @@ def log_sum_exp(x: Column, window) -> Column:
     return top + F.ln(F.sum(F.exp(x - top)).over(window))
 
 
+def let(value: Column, body) -> Column:
+    """body(x) with x bound to value, which is computed once a row, however often a lambda in body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    shifted = let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    return let(shifted, lambda e: let(total(e), lambda s: F.transform(e, lambda v: v / s)))
 
 
 def total(x: Column) -> Column:
@@ -47,8 +51,7 @@ def weighted_total(x: Column, w: Column) -> Column:
 
 
 def scaled_to_one(x: Column) -> Column:
-    s = total(x)
-    return F.transform(x, lambda v: F.try_divide(v.cast("double"), s))
+    return let(total(x), lambda s: F.transform(x, lambda v: F.try_divide(v.cast("double"), s)))
 
 
 def euclidean(a: Column, b: Column) -> Column:
