@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reedbank.llm import textops as X
-from reedbank.llm.shared import parts_for, read_table, written
+from reedbank.llm.shared import parts_for, read_table, small_batches, written
 from reedbank.llm.suffix_sort import repeats_at_least, suffix_array
 
 LENGTH, GRAM = 100, 32
 UNIT_BYTES = 12 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 LEAST = np.iinfo(np.int64).min
 
 
@@ -144,40 +144,37 @@ def _shard_repeats(pieces: DataFrame, length: int) -> DataFrame:
         sizes = np.diff(offsets)
         # a separator behind each piece; bytes move up by one, texts use none above 0xF4
         text = np.zeros(len(data) + len(sizes), np.uint8)
-        at = np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)
-        text[at] = data + 1
-        order = suffix_array(text, 256)
-        owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+        text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data + 1
         begin = offsets[:-1] + np.arange(len(sizes))
-        place = np.arange(len(text)) - begin[owner]
-        whole = place + length <= sizes[owner]
+        order = suffix_array(text, 256, length)
         joined = repeats_at_least(text, order, length)
-        # suffixes that are too short lie in no run; whole ones of a run are neighbours
-        kept = order[whole[order]]
-        group = np.cumsum(~joined[whole[order]]) - 1
-        o = owner[kept]
-        where = (doc[o], mark[o], start[o].astype(np.int64) + place[kept])
-        by = np.lexsort((where[2], where[1], where[0]))
-        d, m, s = (x[by] for x in where)
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.cumsum(np.r_[False, (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (s[1:] != s[:-1])]) if len(by) else 0
-        least = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, rank)
-        hit = rank > least[group] if len(group) else np.zeros(0, bool)
+        # strings that run over the end of their piece hold a separator, so their groups hold no others; they are left out
+        follows = np.r_[joined[1:], False]
+        kept = order[joined | follows]
+        group = np.cumsum(~joined[joined | follows]) - 1
+        owner = np.searchsorted(begin, kept, side="right") - 1
+        place = kept - begin[owner]
+        whole = place + length <= sizes[owner]
+        kept, group, owner, place = kept[whole], group[whole], owner[whole], place[whole]
+        # one number for a document and a place in it
+        documents, number = np.unique(np.rec.fromarrays([doc, mark], names="d,m"), return_inverse=True)
+        key = (number[owner].astype(np.int64) << 40) | (start[owner].astype(np.int64) + place)
+        least = np.full(int(group.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, group, key)
         # unite neighbouring starts
-        d, m, s = (x[hit] for x in where)
-        by = np.lexsort((s, m, d))
-        d, m, s = d[by], m[by], s[by]
-        new = np.r_[True, (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (s[1:] > s[:-1] + 1)] if len(s) else np.zeros(0, bool)
-        a = np.flatnonzero(new)
-        z = np.r_[a[1:], len(s)] - 1 if len(a) else a
-        return pa.table({"doc": pa.array(d[a]), "mark": pa.array(m[a]), "start": pa.array(s[a]), "end": pa.array(s[z] + length if len(a) else s[z])})
+        key = np.unique(key[key > least[group]])
+        a = np.flatnonzero(np.r_[True, key[1:] != key[:-1] + 1]) if len(key) else np.zeros(0, np.int64)
+        z = np.r_[a[1:], len(key)] - 1 if len(a) else a
+        low = (1 << 40) - 1
+        which = documents[key[a] >> 40]
+        return pa.table({"doc": pa.array(np.asarray(which.d)), "mark": pa.array(np.asarray(which.m)), "start": pa.array(key[a] & low), "end": pa.array((key[z] & low) + length)})
 
     return pieces.groupBy("shard").applyInArrow(run, "doc bigint, mark bigint, start bigint, end bigint")
 
 
 def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(key, n_bytes, spans, kept): spans are the removed stretches [start, end) in bytes, kept the rest."""
+    small_batches(documents.sparkSession)
     source = documents.select(
         F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )

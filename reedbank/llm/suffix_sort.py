@@ -91,21 +91,21 @@ class _Buckets:
             self._deal(out, before, place, step)
 
 
-def _order_by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of names."""
+def _order_by_doubling(names: np.ndarray, depth: int) -> np.ndarray:
+    """Order of all suffixes of names by their first depth names at least."""
     rank, n, reach = names.astype(np.int64), len(names), 1
     while True:
         after = np.zeros(n, np.int64)
         if reach < n:
             after[:-reach] = rank[reach:] + 1
         _, rank = np.unique(rank * (n + 1) + after, return_inverse=True)
-        if int(rank.max()) == n - 1 or reach >= n:
-            return np.argsort(rank, kind="stable")
         reach *= 2
+        if int(rank.max()) == n - 1 or reach >= min(n, depth):
+            return np.argsort(rank, kind="stable")
 
 
-def suffix_array(text: np.ndarray, symbols: int | None = None) -> np.ndarray:
-    """Places of text's suffixes in order; text: non-negative whole numbers."""
+def suffix_array(text: np.ndarray, symbols: int | None = None, depth: int | None = None) -> np.ndarray:
+    """Places of text's suffixes in order; text: non-negative whole numbers.  With depth, suffixes with depth equal characters may stand in any order."""
     text = np.asarray(text)
     n = len(text)
     if n < 2:
@@ -136,7 +136,9 @@ def suffix_array(text: np.ndarray, symbols: int | None = None) -> np.ndarray:
     names = name_of[lms]
     n_names = int(names.max()) + 1
     if n_names < len(lms):
-        order = suffix_array(names, n_names) if n_names <= SMALL_ALPHABET else _order_by_doubling(names)
+        # an LMS substring has two characters of its own at least
+        deep = len(lms) if depth is None else depth // 2 + 2
+        order = suffix_array(names, n_names, None if depth is None else deep) if n_names <= SMALL_ALPHABET else _order_by_doubling(names, deep)
         sorted_lms = lms[order]
     return buckets.induce(sorted_lms)
 
@@ -171,10 +173,11 @@ def repeats_at_least(text: np.ndarray, order: np.ndarray, length: int) -> np.nda
     """By place in order: whether the suffix and the one before have a common prefix of length bytes at least."""
     n = len(text)
     out = np.zeros(n, bool)
-    a, b = order[:-1], order[1:]
-    fits = np.flatnonzero((a + length <= n) & (b + length <= n))
-    hashes = X.ByteHashes(np.ascontiguousarray(text))
-    # in text order the reads of one side are consecutive
-    fits = fits[np.argsort(b[fits], kind="stable")]
-    out[fits + 1] = hashes.ranges(b[fits], b[fits] + length) == hashes.ranges(a[fits], a[fits] + length)
+    if n < length:
+        return out
+    at = np.arange(n - length + 1)
+    windows = X.ByteHashes(np.ascontiguousarray(text)).ranges(at, at + length)
+    fits = order <= n - length
+    values = windows[np.minimum(order, n - length)]
+    out[1:] = (values[1:] == values[:-1]) & fits[1:] & fits[:-1]
     return out
