@@ -59,7 +59,11 @@ def gamma_p_inverse(a: float, p: float) -> float:
     high = max(1.0, a)
     while gamma_p(a, high) < p:
         high *= 2
-    return bisect(lambda x: gamma_p(a, x) - p, 0.0, high, 1e-14)
+    # in logs, as quantiles of small shapes lie close to 0
+    low = math.log(high) - 1.0
+    while gamma_p(a, math.exp(low)) > p:
+        low -= max(1.0, 1 / a)
+    return math.exp(bisect(lambda y: gamma_p(a, math.exp(y)) - p, low, math.log(high), 1e-13))
 
 
 def bisect(f, low: float, high: float, eps: float = 1e-10, most: int = 400) -> float:

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reedbank.session import plain_unions
+
 OTU, SAMPLE, N = "otu", "sample", "n"
 
 
@@ -31,7 +33,7 @@ def pivot(counts: DataFrame, samples: Sequence, name=lambda s: f"s{s}") -> DataF
 def unpivot(wide: DataFrame, ids: Sequence[str] = (OTU,), keep_zeros: bool = False) -> DataFrame:
     """Long form of a wide table: every column that is not in ids is a sample."""
     samples = [c for c in wide.columns if c not in ids]
-    long = wide.unpivot(list(ids), samples, SAMPLE, N)
+    long = wide.unpivot(list(ids), [F.col(f"`{c}`") for c in samples], SAMPLE, N)
     return long if keep_zeros else long.where(F.col(N) != 0)
 
 
@@ -82,6 +84,7 @@ def prune_otus(counts: DataFrame, least: float = 0) -> DataFrame:
 
 def merge(*tables: DataFrame, taxonomy: str | None = None) -> DataFrame:
     """Sum of tables; a taxonomy comes from the first table that has the OTU."""
+    plain_unions(tables[0].sparkSession)
     named = [t.withColumn("__table", F.lit(i)) for i, t in enumerate(tables)]
     both = named[0]
     for t in named[1:]:
@@ -110,6 +113,7 @@ def subset_uniform(counts: DataFrame, depth: int, seed: int = 0) -> DataFrame:
     """depth reads of each sample without replacement: the ones with the smallest hashes.  Samples with no more reads stay as they are.
 
     The rank is cut at depth before the shuffle (a window group limit), so a large sample sends depth rows a task."""
+    plain_unions(counts.sparkSession)
     sums = sample_totals(counts)
     large = counts.join(sums.where(F.col("total") > depth).select(SAMPLE), SAMPLE, "left_semi")
     small = counts.join(sums.where(F.col("total") <= depth).select(SAMPLE), SAMPLE, "left_semi")
@@ -123,6 +127,7 @@ def subset_multinomial(counts: DataFrame, depth: int, seed: int = 0) -> DataFram
     """depth draws of each sample with replacement; samples with no more reads stay as they are.
 
     Draw k of a sample takes the read whose number is a hash of (seed, sample, k) modulo the total; cells are found by their running totals."""
+    plain_unions(counts.sparkSession)
     upto = Window.partitionBy(SAMPLE).orderBy(OTU).rowsBetween(Window.unboundedPreceding, 0)
     cells = counts.withColumn("upto", F.sum(N).over(upto)).withColumn("total", F.sum(N).over(Window.partitionBy(SAMPLE)))
     large, small = cells.where(F.col("total") > depth), cells.where(F.col("total") <= depth)

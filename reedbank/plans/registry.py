@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from reedbank.session import plain_unions
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        def run(spark, sf_dir):
+            plain_unions(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f

@@ -15,11 +15,18 @@ SETTINGS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Spark 4.1 may zip the sides of a union that have one partitioning, and fails where adaptive execution has coalesced one of them.
+PLAIN_UNION = "spark.sql.unionOutputPartitioning"
+
+
+def plain_unions(spark: SparkSession) -> None:
+    spark.conf.set(PLAIN_UNION, "false")
+
 
 def session(name: str = "reedbank", master: str | None = None, **more: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    for key, value in (SETTINGS | more).items():
+    for key, value in (SETTINGS | {PLAIN_UNION: "false"} | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
