@@ -18,9 +18,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Spark 4.1 may zip the sides of a union that have one partitioning, and fails where adaptive execution has coalesced one of them."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
+    plain_unions(spark)
     path = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
