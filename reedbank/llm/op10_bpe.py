@@ -44,7 +44,8 @@ def load_vocabulary(path: str) -> dict:
     return {
         "vocab": vocab,
         "suffix": suffix,
-        "pairs": {vocab[a] << 32 | vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)},
+        "ranks": {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(merges)},
+        "merges": [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges],
         "strings": [strings.get(i, "") for i in range(max(strings) + 1)],
         "specials": {t["content"]: t["id"] for t in raw["added_tokens"]},
         "pattern": pattern.replace("\\s", SPACE),
@@ -58,35 +59,36 @@ def byte_letters() -> list[str]:
     return [chr(rest.get(b, b)) for b in range(256)]
 
 
-def merge_word(symbols: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
-    """Merge a word's symbols: lowest rank first, leftmost among equals."""
+def merge_word(symbols: list[int], ranks: dict[int, int], merges: list[tuple[int, int, int]]) -> list[int]:
+    """Merge a word's symbols: lowest rank first, leftmost among equals.  merges[rank]: left, right and joined symbol.
+
+    A heap entry is rank << 32 | place; it is stale if the symbols at its place are no longer the rank's."""
     n = len(symbols)
-    if n < 2:
-        return symbols
-    heap = []
-    for i in range(n - 1):
-        found = pairs.get(symbols[i] << 32 | symbols[i + 1])
-        if found:
-            heap.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
+    get = ranks.get
+    heap = [r << 32 | i for i in range(n - 1) if (r := get(symbols[i] << 32 | symbols[i + 1])) is not None]
     if not heap:
         return symbols
     heapq.heapify(heap)
-    right, left, alive = list(range(1, n)) + [-1], list(range(-1, n - 1)), [True] * n
+    pop, push = heapq.heappop, heapq.heappush
+    right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+    symbols = [*symbols, -1]  # -1 stands behind the end and in places that were joined
     while heap:
-        _, i, a, b, joined = heapq.heappop(heap)
+        entry = pop(heap)
+        i = entry & 0xFFFFFFFF
+        a, b, joined = merges[entry >> 32]
         j = right[i]
-        if not alive[i] or symbols[i] != a or j < 0 or symbols[j] != b:
-            continue  # stale
-        symbols[i], alive[j] = joined, False
+        if symbols[i] != a or symbols[j] != b:
+            continue
+        symbols[i], symbols[j] = joined, -1
         right[i] = k = right[j]
-        if k >= 0:
+        if k < n:
             left[k] = i
-            if found := pairs.get(joined << 32 | symbols[k]):
-                heapq.heappush(heap, (found[0], i, joined, symbols[k], found[1]))
+            if (r := get(joined << 32 | symbols[k])) is not None:
+                push(heap, r << 32 | i)
         h = left[i]
-        if h >= 0 and (found := pairs.get(symbols[h] << 32 | joined)):
-            heapq.heappush(heap, (found[0], h, symbols[h], joined, found[1]))
-    return [s for s, here in zip(symbols, alive, strict=True) if here]
+        if h >= 0 and (r := get(symbols[h] << 32 | joined)) is not None:
+            push(heap, r << 32 | h)
+    return [s for s in symbols if s >= 0]
 
 
 class Encoder:
@@ -95,16 +97,19 @@ class Encoder:
 
         import regex
 
-        self.v, self.letters, self.cache = v, byte_letters(), {}
+        self.v, self.cache = v, {}
+        # the symbols of single bytes, inside a word and at its end
+        self.inner = [v["vocab"][c] for c in byte_letters()]
+        self.last = [v["vocab"][c + v["suffix"]] for c in byte_letters()]
         self.words = regex.compile(v["pattern"]).findall
         self.blanks = re.compile(f"[{SPACE}]+")
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(v["specials"], key=len, reverse=True))) + ")") if v["specials"] else None
 
     def _word(self, word: str) -> tuple[int, ...]:
-        vocab, suffix = self.v["vocab"], self.v["suffix"]
-        letters = [self.letters[b] for b in word.encode("utf-8")]
-        symbols = [vocab[c] for c in letters[:-1]] + [vocab[letters[-1] + suffix]]
-        return tuple(merge_word(symbols, self.v["pairs"]))
+        raw, inner = word.encode("utf-8"), self.inner
+        symbols = [inner[b] for b in raw]
+        symbols[-1] = self.last[raw[-1]]
+        return tuple(merge_word(symbols, self.v["ranks"], self.v["merges"]))
 
     def _plain(self, text: str) -> list[int]:
         if not text.isascii():
