@@ -227,26 +227,24 @@ class Aligner:
         for i in range(1, n + 1):
             start = self.n_out + (self.n_loop * (i - 1) if i > 1 else 0.0)
             x = codes[:, i - 1]
-            options = np.stack([m[:, :-1] + t[MM, :-1], ins[:, :-1] + t[IM, :-1], dele[:, :-1] + t[DM, :-1], np.broadcast_to(start + self.enter[1:], (b, k))])
-            choice = options.argmin(0)
-            new_m = np.full((b, k + 1), FAR)
-            new_m[:, 1:] = np.take_along_axis(options, choice[None], 0)[0] + self.em[1:, x.clip(0)].T
-            from_m[i, :, 1:] = choice
-            stay = np.stack([m + t[MI], ins + t[II]])
-            new_i = stay.min(0) + self.ei[:, x].T
-            new_i[:, 0] = FAR
-            from_i[i] = stay.argmin(0)
-            if low is not None:
-                outside = np.ones(k + 1, bool)
-                outside[max(0, low[i - 1]) : high[i - 1] + 1] = False
-                new_m[:, outside] = new_i[:, outside] = FAR
-            # opening at l costs MD of l; then DD of l + 1 .. j - 1
-            opened = new_m[:, :-1] + t[MD, :-1] - self.deleted[1:-1]
-            new_d = np.full((b, k + 1), FAR)
-            if k > 2:
-                running = np.minimum.accumulate(opened[:, 1:], axis=1)
-                new_d[:, 2:k] = np.minimum(running[:, : k - 2] + self.deleted[2:k], FAR)
-                from_d[i, :, 2:k] = opened[:, 1 : k - 1] > running[:, : k - 2] + 1e-12
+            lo, hi = (1, k) if low is None else (max(1, int(low[i - 1])), min(k, int(high[i - 1])))
+            new_m, new_i, new_d = (np.full((b, k + 1), FAR) for _ in range(3))
+            if lo <= hi:
+                here, back = slice(lo, hi + 1), slice(lo - 1, hi)
+                options = np.stack([m[:, back] + t[MM, back], ins[:, back] + t[IM, back], dele[:, back] + t[DM, back], np.broadcast_to(start + self.enter[here], (b, hi - lo + 1))])
+                choice = options.argmin(0)
+                new_m[:, here] = np.take_along_axis(options, choice[None], 0)[0] + self.em[here, :][:, x].T
+                from_m[i, :, here] = choice
+                stay = np.stack([m[:, here] + t[MI, here], ins[:, here] + t[II, here]])
+                new_i[:, here] = stay.min(0) + self.ei[here, :][:, x].T
+                from_i[i, :, here] = stay.argmin(0)
+                # opening at l costs MD of l; then DD of l + 1 .. j - 1
+                last_d = min(hi, k - 1)
+                if last_d > lo:
+                    opened = new_m[:, lo:last_d] + t[MD, lo:last_d] - self.deleted[lo + 1 : last_d + 1]
+                    running = np.minimum.accumulate(opened, axis=1)
+                    new_d[:, lo + 1 : last_d + 1] = np.minimum(running + self.deleted[lo + 1 : last_d + 1], FAR)
+                    from_d[i, :, lo + 1 : last_d + 1] = opened > running + 1e-12
             m, ins, dele = np.minimum(new_m, FAR), np.minimum(new_i, FAR), new_d
             out = self.c_loop * (n - i) if n > i else 0.0
             ends = m + self.leave + out

@@ -107,3 +107,15 @@ def summary(nodes: DataFrame) -> DataFrame:
     n_leaves = leaves(nodes).agg(F.count("*").alias("n_leaves"))
     own = nodes.agg(F.count("*").alias("n_nodes"), (2 * F.count("parent")).alias("n_edges"), F.count_if(F.col("parent").isNull()).alias("n_roots"))
     return own.crossJoin(n_leaves)
+
+
+def leaves_below(nodes: DataFrame) -> DataFrame:
+    """(id, first_leaf, last_leaf, n_leaves) of the leaves under each node, itself included."""
+    ways = paths_up(nodes, leaves(nodes))
+    return ways.groupBy(F.col("node").alias("id")).agg(F.min("start").alias("first_leaf"), F.max("start").alias("last_leaf"), F.count("*").alias("n_leaves"))
+
+
+def random_leaf(nodes: DataFrame, seed: int = 0) -> DataFrame:
+    """(id, leaf): a leaf under each node, the one with the smallest hash of (seed, node, leaf), so it doesn't depend on partitions."""
+    ways = paths_up(nodes, leaves(nodes))
+    return ways.groupBy(F.col("node").alias("id")).agg(F.min_by("start", F.struct(F.xxhash64(F.lit(seed), "node", "start"), "start")).alias("leaf"))

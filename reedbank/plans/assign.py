@@ -38,6 +38,8 @@ class Options:
     chimera_lod: float = 0.0
     single: bool = False
     align_only: bool = False
+    seed_length: int = 20
+    seed_region: int = 50
     batch: int = 16
 
 
@@ -47,29 +49,77 @@ def _codes(text: str) -> np.ndarray:
     return np.maximum(NUCLEOTIDE.table()[np.frombuffer(text.encode("ascii", "replace"), np.uint8).clip(0, 127)], 0)
 
 
-def align_texts(aligner: hmm.Aligner, texts: list[str], batch: int) -> list[hmm.Alignment | None]:
-    """Alignments of reads, in batches of equal length."""
+#: k-mers of an index that are broadcast at most; a larger index is left aside, and alignments are made without bands.
+MOST_KMERS = 2_000_000
+
+
+class Seeds:
+    """First and last k-mers of reads that the index has, as places on the profile."""
+
+    def __init__(self, kmers: dict[str, tuple[int, int]], profile: hmm.Profile, length: int, region: int):
+        self.kmers, self.k, self.region = kmers, length, region
+        # the profile position at, or just before, each column
+        self.position = np.searchsorted(profile.columns, np.arange(profile.width + 2), side="right") - 1
+
+    def _hit(self, text: str, places) -> tuple[int, int, int, int] | None:
+        for i in places:
+            if found := self.kmers.get(text[i : i + self.k]):
+                return i + 1, i + self.k, max(1, int(self.position[found[0]])), max(1, int(self.position[found[1]]))
+        return None
+
+    def of(self, text: str, both_ends: bool) -> list[tuple[int, int, int, int]]:
+        last = len(text) - self.k
+        first = self._hit(text, range(0, min(self.region, last + 1)))
+        out = [first] if first else []
+        if both_ends and (not first or len(text) >= 2 * self.region):
+            end = self._hit(text, range(last, max(-1, last - self.region), -1))
+            if end and (not first or (end[0] > first[1] and end[2] > first[3])):
+                out.append(end)
+        return out
+
+
+def align_texts(aligner: hmm.Aligner, texts: list[str], batch: int, seeds: Seeds | None = None) -> list[hmm.Alignment | None]:
+    """Alignments of reads, in batches of equal length; with seeds, in bands around them, and without bands where that finds nothing."""
     out: list[hmm.Alignment | None] = [None] * len(texts)
-    by_length: dict[int, list[int]] = {}
-    for i, t in enumerate(texts):
-        if t:
-            by_length.setdefault(len(t), []).append(i)
-    for members in by_length.values():
-        for at in range(0, len(members), batch):
-            part = members[at : at + batch]
-            for i, found in zip(part, aligner.align(np.stack([_codes(texts[i]) for i in part])), strict=True):
-                out[i] = aligner.to_alignment(texts[i], found)
+    n_profile = aligner.p.size
+    found = {i: seeds.of(t, aligner.p.mode == "GLOBAL") for i, t in enumerate(texts) if t} if seeds else {}
+
+    def run(members: list[int], banded: bool) -> None:
+        low = high = None
+        n = len(texts[members[0]])
+        if banded:
+            bands = [hmm.band(found[i], n, n_profile) for i in members]
+            low, high = np.min([x[0] for x in bands], axis=0), np.max([x[1] for x in bands], axis=0)
+        for i, got in zip(members, aligner.align(np.stack([_codes(texts[i]) for i in members]), low, high), strict=True):
+            out[i] = aligner.to_alignment(texts[i], got)
+
+    # reads of one length that start at near places share a narrow band
+    for banded in (True, False):
+        rest = [i for i, t in enumerate(texts) if t and out[i] is None and (bool(found.get(i)) or not banded)]
+        rest.sort(key=lambda i: (len(texts[i]), found[i][0][2] if banded else 0, i))
+        at = 0
+        while at < len(rest):
+            end = at
+            while end < len(rest) and end - at < batch and len(texts[rest[end]]) == len(texts[rest[at]]) and (not banded or found[rest[end]][0][2] - found[rest[at]][0][2] <= 50):
+                end += 1
+            run(rest[at:end], banded)
+            at = end
     return out
 
 
 class Assigner:
-    def __init__(self, profile: hmm.Profile, tree, model, rates, annos, anno_dists, heights, sequences, options: Options):
+    def __init__(self, profile: hmm.Profile, tree, model, rates, annos, anno_dists, heights, sequences, kmers, options: Options):
         self.o = options
         profile.mode = "NGCL" if options.single else "GLOBAL"
         self.aligner = hmm.Aligner(profile)
+        k = len(next(iter(kmers))) if kmers else options.seed_length
+        self.seeds = Seeds(kmers, profile, k, options.seed_region) if kmers else None
         self.annos, self.dists = annos, anno_dists
         self.placer = None if options.align_only else Placer(tree, model, rates, heights, sequences)
 
+    def align(self, texts: list[str]) -> list[hmm.Alignment | None]:
+        return align_texts(self.aligner, texts, self.o.batch, self.seeds)
+
     def place(self, a: hmm.Alignment) -> dict:
         o, codes = self.o, np.array(["ACGT".find(c) for c in a.alignment.upper()], np.int8)
         start, end = a.cs_start - 1, a.cs_end
@@ -94,15 +144,24 @@ class Assigner:
         }
 
 
+def model_of(db: Database, options: Options) -> tuple:
+    """What an Assigner is made from, to be broadcast: tree, models, and the k-mers' first places if there are not too many."""
+    from reedbank.operators.kmer import first
+
+    tree, rows = db.tree()
+    places = first(db.kmer)
+    kmers = {r.kmer: (r.start, r.end) for r in places.select("kmer", "start", "end").collect()} if places.count() <= MOST_KMERS else {}
+    return (db.profile, tree, db.model, db.rates, [r.anno for r in rows], [r.anno_dist for r in rows], np.array([r.height for r in rows]), tree.codes, kmers, options)
+
+
 def _fields(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
 def assign_sequences(sequences: DataFrame, db: Database, options: Options = Options()) -> DataFrame:
     """One row for each row of sequences (seq, and mate, which may be null): alignment, chimera test and best placement; null where there is none."""
-    tree, rows = db.tree()
     spark = sequences.sparkSession
-    model = (db.profile, tree, db.model, db.rates, [r.anno for r in rows], [r.anno_dist for r in rows], np.array([r.height for r in rows]), tree.codes, options)
+    model = model_of(db, options)
     shared = spark.sparkContext.broadcast(model)
     schema = ", ".join(["seq string, mate string", ALIGNED, *([CHIMERA] if options.chimera else []), *([] if options.align_only else [PLACED])])
     kinds = {x.split()[0]: x.split()[1] for x in schema.split(", ")}
@@ -115,8 +174,7 @@ def assign_sequences(sequences: DataFrame, db: Database, options: Options = Opti
         names = _fields(ALIGNED)
         for batch in batches:
             seqs, mates = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found = align_texts(assigner.aligner, seqs, options.batch)
-            other = align_texts(assigner.aligner, mates, options.batch)
+            found, other = assigner.align(seqs), assigner.align(mates)
             out = []
             for s, m, a, b in zip(seqs, mates, found, other, strict=True):
                 row = {"seq": s, "mate": m}

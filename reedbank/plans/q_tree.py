@@ -70,6 +70,11 @@ def node_height(spark, d):
     return tree.heights(fx_node(spark, d)).withColumn("height", F.round("height", 9))
 
 
+@query(f"{R}, {_UP.format(_LEAF)} SELECT node AS id, min(start) AS first_leaf, max(start) AS last_leaf, count(*) AS n_leaves FROM up GROUP BY node")
+def leaves_below(spark, d):
+    return tree.leaves_below(fx_node(spark, d))
+
+
 @query(f"{R}, {_UP.format('id % 97 = 0')} SELECT DISTINCT node AS id FROM up")
 def ancestor_closure(spark, d):
     nodes = fx_node(spark, d)

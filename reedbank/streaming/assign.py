@@ -35,20 +35,16 @@ def assign_stream(reads: DataFrame, db: Database, options: Options) -> DataFrame
 
 
 def _with_tag(packed: DataFrame, db: Database, options: Options) -> DataFrame:
-    import numpy as np
+    from reedbank.plans.assign import Assigner, model_of
 
-    from reedbank.plans.assign import Assigner, align_texts
-
-    tree, rows = db.tree()
-    spark = packed.sparkSession
-    shared = spark.sparkContext.broadcast((db.profile, tree, db.model, db.rates, [r.anno for r in rows], [r.anno_dist for r in rows], np.array([r.height for r in rows]), tree.codes, options))
+    shared = packed.sparkSession.sparkContext.broadcast(model_of(db, options))
 
     def run(batches):
         import pyarrow as pa
 
         assigner = Assigner(*shared.value)
         for batch in batches:
-            found = align_texts(assigner.aligner, batch.column(1).to_pylist(), options.batch)
+            found = assigner.align(batch.column(1).to_pylist())
             placed = [assigner.place(a) if a is not None else {} for a in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([p.get("taxon_id") for p in placed], pa.int64()), pa.array([p.get("Q_taxon") for p in placed], pa.float64())], names=["tag", "taxon_id", "Q_taxon"]

@@ -60,6 +60,22 @@ def test_simulated_reads_come_back(spark, world):
     assert assign.detect_strand(reads, db, 12) == 1
 
 
+def test_seeds_give_the_same_alignments(spark, world):
+    from reedbank.kernels.hmm import Aligner
+    from reedbank.operators.simulate import simulate
+
+    _, db = world
+    model = assign.model_of(db, assign.Options())
+    reads = [r.seq for r in simulate(spark, db, 16, mean=90, sd=4, seed=9).collect()]
+    for mode in ("NGCL", "GLOBAL"):
+        db.profile.mode = mode
+        aligner = Aligner(db.profile)
+        seeds = assign.Seeds(model[-2], db.profile, 15, 50)
+        assert sum(bool(seeds.of(r, mode == "GLOBAL")) for r in reads) > 8
+        one, two = assign.align_texts(aligner, reads, 4), assign.align_texts(aligner, reads, 4, seeds)
+        assert sum(a.alignment == b.alignment for a, b in zip(one, two, strict=True)) >= 15
+
+
 def test_command_line(spark, world):
     folder, db = world
     run = lambda *a: cli.main([str(x) for x in a], spark)

@@ -121,3 +121,20 @@ def test_nearest_nodes_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK_BYTES", 12 * 7)
     assert sorted(map(tuple, similarity.nearest_nodes(reads, nodes, 3, 12).select("read", "node", "dist").collect())) == one
     assert all(d == 0 for r, n, d in one if r == n)
+
+
+def test_random_leaves_are_leaves_below(spark):
+    from reedbank.operators import tree
+
+    nodes = spark.createDataFrame([(i, None if i == 1 else i // 2, 0.1, f"n{i}") for i in range(1, 16)], "id long, parent long, length double, name string")
+    got = {r.id: r.leaf for r in tree.random_leaf(nodes, 3).collect()}
+    below = lambda i, leaf: leaf == i or (leaf > i and below(i, leaf // 2))
+    assert len(got) == 15 and all(8 <= leaf <= 15 and below(i, leaf) for i, leaf in got.items())
+    assert got == {r.id: r.leaf for r in tree.random_leaf(nodes.repartition(7), 3).collect()}
+
+
+def test_pseudo_leaves():
+    from reedbank.plans.summarise import with_pseudo_leaves
+
+    rows = [(0, None, "root", None), (1, 0, "a", 1.0), (2, 0, "b", 1.0)]
+    assert with_pseudo_leaves(rows, {0, 2}) == [*rows, (3, 0, "root", 0.0)]
