@@ -6,7 +6,9 @@ alone, so equal strings have equal anchors at equal places.  An anchor's context
 1. Anchors are compared by (anchor hash, context hash).  A context that occurs earlier is a repeat as a whole.  In a unit of the input only the first of
    equal contexts is sent on, so what meets in one task grows with the number of units, not with the copies.
 2. Where one anchor has several contexts, the first occurrence of each goes to the anchor's shard.  The shard's suffix array is built by induced sorting; runs of
-   suffixes with common prefixes of LENGTH bytes are the equal strings, and all but the earliest of a run are repeats.
+   suffixes with common prefixes of LENGTH bytes are the equal strings, and all but the earliest of a run are repeats.  An anchor with more than
+   MOST_CONTEXTS contexts (the edge of a passage that very many texts share) would make one shard too large: its strings are dealt one by one, by
+   their hashes, after equal ones of a batch have been settled there.
 3. Repeats are united by document and cut out.
 
 Order: documents by key (null first), then by a hash of the text; in a document by start.  Matches lie inside documents and are judged on the
@@ -28,6 +30,7 @@ from reedbank.llm.suffix_sort import repeats_at_least, suffix_array
 LENGTH, GRAM = 100, 32
 UNIT_BYTES = 12 << 20
 SHARD_BYTES = 1 << 20
+MOST_CONTEXTS = 50_000
 LEAST = np.iinfo(np.int64).min
 
 
@@ -63,7 +66,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return row, place, grams[place], left, right, context
 
 
-KINDS = "doc bigint, mark bigint, start int, left short, right short, anchor bigint"
+KINDS = "doc bigint, mark bigint, start int, left short, right short, anchor bigint, is_hot boolean"
 
 
 def _contexts(source: DataFrame, buckets: int) -> DataFrame:
@@ -117,17 +120,18 @@ def _sources(contexts: DataFrame) -> DataFrame:
         x = {k: np.concatenate([np.frombuffer(b.as_buffer(), t) for b in table.column(k)]) for k, t in kinds.items()}
         if table.column("bucket")[0].as_py() < 0:
             keep, ask = np.arange(len(x["doc"])), np.zeros(len(x["doc"]), bool)
+            hot = ask
         else:
             order = np.lexsort((x["start"], x["mark"], x["doc"], x["context"], x["anchor"]))
             a, c = x["anchor"][order], x["context"][order]
             new_anchor = np.r_[True, a[1:] != a[:-1]]
             first = new_anchor | np.r_[True, c[1:] != c[:-1]]
             group = np.cumsum(new_anchor) - 1
-            several = np.bincount(group[first], minlength=group[-1] + 1)[group] > 1
-            use = ~first | several
-            keep, ask = order[use], first[use]
+            contexts_of = np.bincount(group[first], minlength=group[-1] + 1)[group]
+            use = ~first | (contexts_of > 1)
+            keep, ask, hot = order[use], first[use], (contexts_of > MOST_CONTEXTS)[use]
         out = {k: pa.array(x[k][keep]) for k in ("doc", "mark", "start", "left", "right")}
-        return pa.table(out | {"anchor": pa.array(x["anchor"][keep].view(np.int64), mask=~ask)})
+        return pa.table(out | {"anchor": pa.array(x["anchor"][keep].view(np.int64), mask=~ask), "is_hot": pa.array(hot)})
 
     return contexts.groupBy("bucket").applyInArrow(run, KINDS)
 
@@ -172,6 +176,41 @@ def _shard_repeats(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.groupBy("shard").applyInArrow(run, "doc bigint, mark bigint, start bigint, end bigint")
 
 
+def _string_repeats(once: DataFrame, length: int) -> DataFrame:
+    """(doc, mark, start, end) of strings of hot contexts that start earlier; once: (doc, mark, text, asked)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            doc, mark = (batch.column(i).to_numpy() for i in range(2))
+            data, offsets = X.column_bytes(batch.column(2))
+            hashes = X.ByteHashes(data)
+            flat, bounds = batch.column(3).flatten(), np.asarray(batch.column(3).offsets)
+            start, left, right = (flat.field(i).to_numpy().astype(np.int64) for i in range(3))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            n = np.maximum(left + right - length + 1, 0)
+            owner = np.repeat(row, n)
+            first = np.repeat(start - left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            h = hashes.ranges(offsets[owner] + first, offsets[owner] + first + length)
+            order = np.lexsort((first, mark[owner], doc[owner], h))
+            h, owner, first = h[order], owner[order], first[order]
+            # the same string of one document may stand in two contexts
+            same = np.r_[False, (h[1:] == h[:-1]) & (owner[1:] == owner[:-1]) & (first[1:] == first[:-1])] if len(h) else np.zeros(0, bool)
+            h, owner, first = h[~same], owner[~same], first[~same]
+            again = np.r_[False, h[1:] == h[:-1]] if len(h) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[owner]), pa.array(mark[owner]), pa.array(first), pa.array(again)], names=["h", "doc", "mark", "start", "again"])
+
+    strings = once.select("doc", "mark", "text", "asked").mapInArrow(run, "h bigint, doc bigint, mark bigint, start bigint, again boolean")
+    strings = written(strings, "op8_strings")
+    place = F.struct("doc", "mark", "start")
+    firsts = strings.where("not again")
+    least = firsts.groupBy("h").agg(F.min(place).alias("least"))
+    later = firsts.join(least, "h").where(place != F.col("least")).select("doc", "mark", "start")
+    repeats = later.unionByName(strings.where("again").select("doc", "mark", "start"))
+    return repeats.select("doc", "mark", "start", (F.col("start") + length).alias("end"))
+
+
 def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(key, n_bytes, spans, kept): spans are the removed stretches [start, end) in bytes, kept the rest."""
     small_batches(documents.sparkSession)
@@ -181,7 +220,8 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     buckets = parts_for(documents, 8 << 20, 12)
     marks = written(_sources(_contexts(source, buckets)), "op8_marks")
     wanted = marks.where("anchor is not null")
-    asked = wanted.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "left", "right", "anchor")).alias("asked"))
+    ask = F.struct("start", "left", "right", "anchor")
+    asked = wanted.groupBy("doc", "mark").agg(F.collect_list(F.when(~F.col("is_hot"), ask)).alias("asked"), F.collect_list(F.when(F.col("is_hot"), ask)).alias("hot"))
     shards = int(max(12, wanted.agg(F.coalesce(F.sum(F.col("left") + F.col("right")), F.lit(0))).first()[0] // SHARD_BYTES))
 
     def pieces(batches):
@@ -208,9 +248,12 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
             )
 
     # rows with the same key and text are one document
-    once = source.join(asked, ["doc", "mark"]).select("doc", "mark", "text", "asked").dropDuplicates(["doc", "mark"])
-    parts = once.mapInArrow(pieces, "shard int, doc bigint, mark bigint, start bigint, bytes binary")
+    once = source.join(asked, ["doc", "mark"]).select("doc", "mark", "text", "asked", "hot").dropDuplicates(["doc", "mark"])
+    parts = once.select("doc", "mark", "text", "asked").mapInArrow(pieces, "shard int, doc bigint, mark bigint, start bigint, bytes binary")
     found = written(_shard_repeats(parts, length), "op8_found")
+    if wanted.where("is_hot").take(1):
+        hot = once.where(F.size("hot") > 0).select("doc", "mark", "text", F.col("hot").alias("asked"))
+        found = found.unionByName(_string_repeats(hot, length))
     whole = marks.where("anchor is null").select("doc", "mark", (F.col("start") - F.col("left")).cast("long").alias("start"), (F.col("start") + F.col("right")).cast("long").alias("end"))
     whole = whole.where(F.col("end") - F.col("start") >= length)
     cuts = whole.unionByName(found).groupBy("doc", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))

@@ -281,9 +281,6 @@ def test_op5_round_trip(spark):
 
 
 def test_op5_sql(spark):
-    import sys
-
-    sys.path.insert(0, "tests")
     from oracle import connection, same
 
     from reedbank.llm.op05_chat import OP5_SQL, op5_chat
@@ -382,7 +379,7 @@ def repeats(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("case", ["table", "odd", "made"])
+@pytest.mark.parametrize("case", ["table", "odd", "made", "hot"])
 def test_op8(spark, docs, case, monkeypatch):
     from reedbank.llm import op08_suffix_dedup as op
 
@@ -390,9 +387,11 @@ def test_op8(spark, docs, case, monkeypatch):
     some = lambda n: "".join(rng.choices("abcdefgh ", k=n))
     passages = [some(n) for n in (90, 99, 100, 101, 130, 250, 700)]
     made = [(i, "".join(rng.choice([*passages, some(20), some(60), "x" * rng.randrange(1, 300), "é" * 80, "ab" * 150]) for _ in range(rng.randrange(9)))) for i in range(120)]
-    rows = {"table": docs, "odd": [r for r in ODD if r[0] is not None] + [(None, "q" * 120)], "made": made}[case]
-    if case == "made":
+    rows = {"table": docs, "odd": [r for r in ODD if r[0] is not None] + [(None, "q" * 120)], "made": made, "hot": made}[case]
+    if case in ("made", "hot"):
         monkeypatch.setattr(op, "UNIT_BYTES", 20_000)
+    if case == "hot":
+        monkeypatch.setattr(op, "MOST_CONTEXTS", 3)
     out = op.remove_repeats(frame(spark, rows).repartition(5)).select("doc_id", "n_bytes", F.size("spans").alias("s"), F.sha2("kept", 256).alias("h"))
     assert sorted((tuple(r) for r in out.collect()), key=str) == repeats(rows)
 
@@ -496,6 +495,16 @@ def test_op10(spark, docs):
 # ---- all
 
 
+def test_sql(spark):
+    from oracle import connection, same
+
+    from reedbank.llm.queries import ORACLE_SQL, QUERIES
+
+    con = connection(SF)
+    for name, sql in ORACLE_SQL.items():
+        assert same(QUERIES[name](spark, SF), con, sql) > 0, name
+
+
 def test_empty_tables(spark):
     from reedbank.llm import op01_ngram_join, op03_lm_trie, op04_decontaminate, op05_chat, op06_quality_rules, op07_quality_knn, op08_suffix_dedup, op09_secrets, op10_bpe
 
