@@ -46,8 +46,14 @@ def annotate(nodes: DataFrame, annotations: DataFrame) -> DataFrame:
     return nodes.join(last, "name", "left").withColumn("anno", F.coalesce("anno", "name"))
 
 
+#: Deep trees need as many rounds as they have levels.
+LIMITS = {"spark.sql.cteRecursionLevelLimit": "100000", "spark.sql.cteRecursionRowLimit": "-1"}
+
+
 def _recursive(nodes: DataFrame, sql: str) -> DataFrame:
     spark = nodes.sparkSession
+    for name, value in LIMITS.items():
+        spark.conf.set(name, value)
     nodes.createOrReplaceTempView("__nodes")
     return spark.sql(sql)
 

@@ -61,12 +61,23 @@ class _File(InputPartition):
         self.path = path
 
 
-def _open(path: str):
-    import bz2
-    import gzip
+def _store(path: str):
+    """(file system, path in it) of a local path or a URI that Arrow knows (file, hdfs, s3, gs, ...)."""
+    import os
 
-    opener = gzip.open if path.endswith(".gz") else bz2.open if path.endswith(".bz2") else open
-    return opener(path, "rt", encoding="ascii", errors="replace")
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"^\w+://", path) else (fs.LocalFileSystem(), os.path.abspath(re.sub("^file:", "", path)))
+
+
+def _lines(path: str):
+    """Lines of a file, decompressed by its ending, read as a stream."""
+    import io
+
+    store, inner = _store(path)
+    packed = "gzip" if path.endswith(".gz") else "bz2" if path.endswith(".bz2") else None
+    with store.open_input_stream(inner, compression=packed) as raw:
+        yield from io.TextIOWrapper(io.BufferedReader(raw, 1 << 20), encoding="ascii", errors="replace")
 
 
 def fastq_records(lines):
@@ -92,15 +103,22 @@ class FastqReader(DataSourceReader):
 
     def partitions(self):
         import glob
-        import os
 
-        path = re.sub("^file:(//)?", "", self.path)
-        found = sorted(glob.glob(f"{path}/*") if os.path.isdir(path) else glob.glob(path))
-        return [_File(p) for p in found]
+        from pyarrow import fs
+
+        if "*" in self.path and "://" not in self.path:
+            return [_File(p) for p in sorted(glob.glob(self.path))]
+        store, inner = _store(self.path)
+        info = store.get_file_info(inner)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        if info.type != fs.FileType.Directory:
+            return [_File(self.path)]
+        found = store.get_file_info(fs.FileSelector(inner))
+        return [_File(f"{self.path.rstrip('/')}/{f.base_name}") for f in sorted(found, key=lambda f: f.path) if f.is_file and not f.base_name.startswith(("_", "."))]
 
     def read(self, partition):
-        with _open(partition.path) as f:
-            yield from fastq_records(f)
+        yield from fastq_records(_lines(partition.path))
 
 
 class FastqSource(DataSource):

@@ -38,6 +38,12 @@ def test_fasta_and_fastq_files(spark, tmp_path):
         f.write("@q1 x y\nacgt\n+\nIIII\n@q2\nA\n+\n@\n")
     got = [tuple(r) for r in fasta.read_sequences(spark, str(tmp_path / "b.fastq.gz")).orderBy("id").collect()]
     assert got == [("q1", "x y", "ACGT", "IIII"), ("q2", "", "A", "@")]
+    with open(tmp_path / "c.fq", "w") as f:
+        f.write("@q3\nCC\n+\nII\n")
+    assert fasta.read_fastq(spark, "file://" + str(tmp_path / "c.fq")).first().id == "q3"
+    (tmp_path / "d").mkdir()
+    (tmp_path / "c.fq").rename(tmp_path / "d" / "c.fq")
+    assert fasta.read_fastq(spark, str(tmp_path / "d")).count() == 1
     assert fasta.sniff_format("x/y.FNA".lower() + ".bz2") == "fasta"
     with pytest.raises(ValueError):
         fasta.sniff_format("reads.txt")
@@ -138,3 +144,10 @@ def test_pseudo_leaves():
 
     rows = [(0, None, "root", None), (1, 0, "a", 1.0), (2, 0, "b", 1.0)]
     assert with_pseudo_leaves(rows, {0, 2}) == [*rows, (3, 0, "root", 0.0)]
+
+
+def test_deep_trees(spark):
+    from reedbank.operators import tree
+
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, 0.5, "x") for i in range(104)], "id long, parent long, length double, name string")
+    assert {r.id: r.height for r in tree.heights(nodes).collect()}[0] == 51.5
