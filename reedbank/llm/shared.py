@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,7 +15,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="reedbank_")
+        own = tempfile.mkdtemp(prefix="reedbank_")
+        atexit.register(shutil.rmtree, own, True)
+        found = "file://" + own
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
