@@ -67,6 +67,7 @@ def parser() -> argparse.ArgumentParser:
     _flag(p, "-t", "--tree")
     _flag(p, "-q", type=float, default=0)
     _flag(p, "--aln-iden", type=float, default=0)
+    _flag(p, "--hmm-iden", type=float, default=0)
     _flag(p, "-e", "--effN", type=float, default=2)
     _flag(p, "-n", type=int, default=0)
     _flag(p, "-s", type=int, default=0)
@@ -120,6 +121,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("files", nargs="+")
     _flag(p, "-o", "--output", required=True)
     _flag(p, "-q", type=float, default=0)
+    _flag(p, "--aln-iden", type=float, default=0)
+    _flag(p, "--hmm-iden", type=float, default=0)
 
     p = add("train-dm", "train Dirichlet priors")
     p.add_argument("msa")
@@ -221,7 +224,7 @@ def _sum(spark, o):
     from reedbank.sources.text_models import write_text
 
     db = load(spark, o.db)
-    rows = summarise.filtered(read_assignments(spark, o.files), o.q, o.aln_iden)
+    rows = summarise.filtered(read_assignments(spark, o.files), o.q, o.aln_iden, o.hmm_iden, db.profile.columns[1:])
     rows = rows.withColumn("file", F.regexp_extract("file", r"([^/]+?)(/part-[^/]*)?$", 1))
     rows = rename_samples(rows, read_samples(spark, o.list)) if o.list else rows.withColumnRenamed("file", "sample")
     table = summarise.otu_table(rows, db.node, o.n, o.s)
@@ -324,13 +327,14 @@ def _merge(spark, o):
 
 
 def _jplace(spark, o):
+    from reedbank.plans.summarise import filtered
     from reedbank.sources.database import load
     from reedbank.sources.jplace import document, placements, tree_text
     from reedbank.sources.tables import read_assignments
 
     db = load(spark, o.db)
     edges = db.node.where("parent is not null").select(F.col("id").alias("u"), F.col("parent").alias("v"), "length")
-    rows = placements(read_assignments(spark, o.files).where(F.col("Q_taxon") >= o.q), edges)
+    rows = placements(filtered(read_assignments(spark, o.files), o.q, o.aln_iden, o.hmm_iden, db.profile.columns[1:]), edges)
     text = tree_text([(r.id, r.parent, r.name, r.length) for r in db.node.toLocalIterator()])
     with open(o.output, "w", encoding="utf-8") as f:
         for line in document(text, rows):

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reedbank.functions.sequence import alignment_identity
+from reedbank.functions.sequence import alignment_identity, profile_identity
 from reedbank.operators import otu, tree
 from reedbank.operators.assignment import filter_by_quality
 
 
-def filtered(assignments: DataFrame, min_q: float = 0, min_identity: float = 0) -> DataFrame:
-    with_identity = assignments.withColumn("aln_identity", alignment_identity(F.col("alignment"), F.col("CS_start"), F.col("CS_end"))) if min_identity else assignments
-    return filter_by_quality(with_identity, min_q, min_identity, q="Q_taxon")
+def filtered(assignments: DataFrame, min_q: float = 0, min_identity: float = 0, min_profile: float = 0, columns=None) -> DataFrame:
+    """Assignments of enough quality; columns: the profile's alignment columns, needed with min_profile.  Identities that aren't asked for aren't computed."""
+    where = (F.col("CS_start"), F.col("CS_end"))
+    if min_identity:
+        assignments = assignments.withColumn("aln_identity", alignment_identity(F.col("alignment"), *where))
+    if min_profile:
+        assignments = assignments.withColumn("hmm_identity", profile_identity(F.col("alignment"), F.lit([int(c) for c in columns]), *where))
+    return filter_by_quality(assignments, min_q, min_identity, min_profile, q="Q_taxon")
 
 
 def otu_table(assignments: DataFrame, nodes: DataFrame, min_reads: int = 0, min_samples: int = 0) -> DataFrame:

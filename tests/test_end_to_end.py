@@ -58,6 +58,10 @@ def test_simulated_reads_come_back(spark, world):
     assert table.agg(F.sum("n")).first()[0] == 24
     assert summarise.consensus(out, db.node).where(F.length("consensus") == 120).count() == table.count()
     assert assign.detect_strand(reads, db, 12) == 1
+    turned = reads.withColumn("seq", assign.reverse_complement(F.col("seq")))
+    assert assign.detect_strand(turned, db, 12) == 2
+    columns = db.profile.columns[1:]
+    assert summarise.filtered(out, 0, 0.5, 0.5, columns).count() == 24 and summarise.filtered(out, 0, 0.5, 1.01, columns).count() == 0
 
 
 def test_seeds_give_the_same_alignments(spark, world):
@@ -89,7 +93,7 @@ def test_command_line(spark, world):
 
     assert read_otu_table(spark, f"{folder}/both").agg(F.sum("n")).first()[0] == pytest.approx(112)
     assert read_otu_table(spark, f"{folder}/sub").agg(F.sum("n")).first()[0] == 5
-    assert run("jplace", d, f"{folder}/s1.tsv", "-o", f"{folder}/x.jplace") == 0
+    assert run("jplace", d, f"{folder}/s1.tsv", "-o", f"{folder}/x.jplace", "--hmm-iden", 0.2) == 0
     doc = json.loads((folder / "x.jplace").read_text())
     assert doc["version"] == 3 and len(doc["placements"]) == 12 and "{" in doc["tree"]
     assert run("inspect", d, "-t", f"{folder}/t.nwk", "-a", f"{folder}/a", "-s", f"{folder}/s") == 0
