@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reedbank.plans.assign import Options, assign_sequences
+from reedbank.plans.assign import Assigner, Options, model_of
 from reedbank.sources.database import Database
 
 READS = "id STRING, sample STRING, seq STRING"
@@ -35,8 +35,6 @@ def assign_stream(reads: DataFrame, db: Database, options: Options) -> DataFrame
 
 
 def _with_tag(packed: DataFrame, db: Database, options: Options) -> DataFrame:
-    from reedbank.plans.assign import Assigner, model_of
-
     shared = packed.sparkSession.sparkContext.broadcast(model_of(db, options))
 
     def run(batches):
@@ -51,6 +49,3 @@ def _with_tag(packed: DataFrame, db: Database, options: Options) -> DataFrame:
             )
 
     return packed.mapInArrow(run, "tag string, taxon_id bigint, Q_taxon double")
-
-
-__all__ = ["assign_sequences", "assign_stream", "otu_counts", "read_stream", "start"]

@@ -1,7 +1,6 @@
 """Readers, writers, sampling and other operators on small inputs."""
 
 import gzip
-import json
 
 import pytest
 from hypothesis import given, settings
