@@ -1,8 +1,8 @@
 """Operator 2: contiguous shards of near equal bytes, from global prefix sums.
 
 Law 'bytes': rows in the order of (doc_id, text hash, size) are cut at equal targets of the running sum of sizes.  The order is made in two levels: a row's
-part comes from bounds at quantiles of doc_id (a fixed number, at most PARTS), totals of the parts are summed up on a
-table of at most PARTS rows, and running sums within the parts are windows over one part each.  A row goes to the shard that holds
+part comes from bounds at quantiles of doc_id (at most PARTS, each cut into at most SPLITS for large tables), totals of the parts are summed up on a
+table with a row for each part, and running sums within the parts are windows over one part each.  A row goes to the shard that holds
 the middle of its bytes, so a shard's size is off its target by no more than half a row at either end.
 
 Rows: a null text has size 1 and the hash of an empty text.  A null doc_id comes first.  Repeated rows get slots of their own.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from reedbank.llm.shared import read_table, written
 
-PARTS = 256
+PARTS, SPLITS = 256, 64
 ROWS_IN_PART = 4096
 
 
@@ -32,6 +32,15 @@ def shard_by_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", shard
     part = F.lit(0)
     if bounds:
         part = _count_at_most(bounds)
+    splits = min(SPLITS, -(-n // (PARTS * ROWS_IN_PART)))
+    if bounds and splits > 1:
+        # each part is cut evenly between its bounds; the order of keys stays
+        least, most = rows.agg(F.min("key"), F.max("key")).first()
+        edges = F.array(*[F.lit(b) for b in [least, *bounds, most + 1]])
+        low, high = F.get(edges, F.col("part")), F.get(edges, F.col("part") + 1)
+        share = F.floor((F.col("key") - low) * F.lit(float(splits)) / F.greatest(high - low, F.lit(1)))
+        rows = rows.withColumn("part", part)
+        part = F.col("part") * splits + F.coalesce(F.least(share, F.lit(splits - 1)), F.lit(0))
     rows = rows.withColumn("part", part)
     totals = rows.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     up_to = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

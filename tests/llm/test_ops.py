@@ -117,11 +117,13 @@ def test_op1_parts():
 # ---- 2
 
 
+@pytest.mark.parametrize("parts", [256, 4])
 @pytest.mark.parametrize("rows", [None, ODD, []], ids=["table", "odd", "empty"])
-def test_op2(spark, docs, rows, monkeypatch):
+def test_op2(spark, docs, rows, parts, monkeypatch):
     from reedbank.llm import op02_shard as op
 
-    monkeypatch.setattr(op, "ROWS_IN_PART", 16)
+    monkeypatch.setattr(op, "ROWS_IN_PART", 16 if parts > 4 else 3)
+    monkeypatch.setattr(op, "PARTS", parts)
     rows = docs if rows is None else rows
     out = op.shard_by_bytes(frame(spark, rows)).collect()
     assert len(out) == len(rows)
