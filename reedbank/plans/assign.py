@@ -5,6 +5,7 @@ one Arrow batch, so nothing is shuffled between alignment and the assignment."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,6 +145,17 @@ class Assigner:
         }
 
 
+#: A worker process makes an assigner once and keeps the last one, as its messages cost a pass over the tree.
+_kept: dict[str, Assigner] = {}
+
+
+def assigner_of(token: str, model: tuple) -> Assigner:
+    if token not in _kept:
+        _kept.clear()
+        _kept[token] = Assigner(*model)
+    return _kept[token]
+
+
 def model_of(db: Database, options: Options) -> tuple:
     """What an Assigner is made from, to be broadcast: tree, models, and the k-mers' first places if there are not too many."""
     from reedbank.operators.kmer import first
@@ -161,8 +173,7 @@ def _fields(schema: str) -> list[str]:
 def assign_sequences(sequences: DataFrame, db: Database, options: Options = Options()) -> DataFrame:
     """One row for each row of sequences (seq, and mate, which may be null): alignment, chimera test and best placement; null where there is none."""
     spark = sequences.sparkSession
-    model = model_of(db, options)
-    shared = spark.sparkContext.broadcast(model)
+    shared, token = spark.sparkContext.broadcast(model_of(db, options)), uuid.uuid4().hex
     schema = ", ".join(["seq string, mate string", ALIGNED, *([CHIMERA] if options.chimera else []), *([] if options.align_only else [PLACED])])
     kinds = {x.split()[0]: x.split()[1] for x in schema.split(", ")}
 
@@ -170,7 +181,7 @@ def assign_sequences(sequences: DataFrame, db: Database, options: Options = Opti
         import pyarrow as pa
 
         arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
-        assigner = Assigner(*shared.value)
+        assigner = assigner_of(token, shared.value)
         names = _fields(ALIGNED)
         for batch in batches:
             seqs, mates = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -62,6 +62,32 @@ def train_substitution(kind: str, nodes: DataFrame, sequences: DataFrame, most_d
     return models.train(kind, counts + 0.5 + np.eye(4), (pi + 1) / (pi + 1).sum())
 
 
+#: Columns whose messages a task holds at a time.
+SITES = 64
+
+
+def ancestral_by_sites(spark: SparkSession, tree: Tree, model: models.Model, rates=None, sites: int = SITES) -> np.ndarray:
+    """Codes of all nodes, by tasks over stretches of columns: messages take nodes x columns x 4 numbers, which no single process needs to hold."""
+    width = tree.codes.shape[1]
+    shared = spark.sparkContext.broadcast((tree.parent, tree.length, tree.codes, model, rates))
+
+    def run(batches):
+        import pyarrow as pa
+
+        parent, length, codes, model, rates = shared.value
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                part = ancestral_sequences(Tree(parent, length, codes[:, i * sites : (i + 1) * sites]), model, rates)
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], names=["i", "codes"])
+
+    n = -(-width // sites)
+    out = np.empty_like(tree.codes)
+    for r in spark.range(0, n, 1, n).mapInArrow(run, "i bigint, codes binary").toLocalIterator():
+        part = np.frombuffer(r.codes, np.int8).reshape(len(out), -1)
+        out[:, r.i * sites : r.i * sites + part.shape[1]] = part
+    return out
+
+
 def annotate(tree_rows: list[tuple], taxonomy: dict[str, str]) -> tuple[list[str], list[float]]:
     """(annotation, distance to the node that has it) of every node: its own canonical name or the nearest one's on the way up."""
     import re
@@ -102,13 +128,13 @@ def build(spark: SparkSession, alignment: DataFrame, newick: Newick, taxonomy: d
         sequences = spark.createDataFrame([(r[0], aligned[r[2]]) for r in rows if r[4]], "id LONG, aln STRING")
         model = train_substitution(model, nodes, sequences)
     profile = hmm.build(profile_counts(alignment.select("id", "aln"), match_fraction), prior or Prior.flat())
-    sequences = ancestral_sequences(tree, model)
+    sequences = ancestral_by_sites(spark, tree, model)
     rates = None
     if gamma:
         inner = [u for u in tree.preorder if tree.parent[u] >= 0]
         changed = np.array([sequences[u] != sequences[tree.parent[u]] for u in inner]) & np.array([(sequences[u] >= 0) & (sequences[tree.parent[u]] >= 0) for u in inner])
         rates = models.gamma_rates(gamma, models.gamma_shape(changed.sum(0)))
-        sequences = ancestral_sequences(tree, model, rates)
+        sequences = ancestral_by_sites(spark, tree, model, rates)
     annos, dists = annotate(rows, taxonomy or {})
     node = node_table(spark, tree, [r[2] for r in rows], annos, dists, sequences)
     return Database(alignment, node, kmer.index(alignment.select("id", "aln"), seed_length), profile, model, rates)

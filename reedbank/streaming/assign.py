@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reedbank.plans.assign import Assigner, Options, model_of
+from reedbank.plans.assign import Options, assigner_of, model_of
 from reedbank.sources.database import Database
 
 READS = "id STRING, sample STRING, seq STRING"
@@ -35,12 +37,12 @@ def assign_stream(reads: DataFrame, db: Database, options: Options) -> DataFrame
 
 
 def _with_tag(packed: DataFrame, db: Database, options: Options) -> DataFrame:
-    shared = packed.sparkSession.sparkContext.broadcast(model_of(db, options))
+    shared, token = packed.sparkSession.sparkContext.broadcast(model_of(db, options)), uuid.uuid4().hex
 
     def run(batches):
         import pyarrow as pa
 
-        assigner = Assigner(*shared.value)
+        assigner = assigner_of(token, shared.value)
         for batch in batches:
             found = assigner.align(batch.column(1).to_pylist())
             placed = [assigner.place(a) if a is not None else {} for a in found]

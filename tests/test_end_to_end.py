@@ -45,6 +45,17 @@ def test_counts_from_spark_equal_counts_in_memory(spark):
     assert np.allclose(a.em, b.em) and np.allclose(a.ei, b.ei) and np.allclose(a.t, b.t) and list(a.columns) == list(b.columns)
 
 
+def test_ancestors_by_sites(spark, world):
+    from reedbank.kernels.likelihood import Tree, ancestral_sequences
+    from reedbank.plans.build import ancestral_by_sites
+
+    _, db = world
+    tree, rows = db.tree()
+    leaves = Tree(tree.parent, tree.length, np.where(np.array([r.is_leaf for r in rows])[:, None], tree.codes, -1).astype(np.int8))
+    want = ancestral_sequences(leaves, db.model)
+    assert (ancestral_by_sites(spark, leaves, db.model, sites=50) == want).all() and (want == tree.codes).all()
+
+
 def test_simulated_reads_come_back(spark, world):
     from reedbank.operators.simulate import simulate
 
