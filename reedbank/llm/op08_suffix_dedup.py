@@ -69,6 +69,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 KINDS = "doc bigint, mark bigint, start int, left short, right short, anchor bigint, is_hot boolean"
 
 
+def _places(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Order by anchor, context and place, each place once: a repeated row names its places again, which makes them no repeats."""
+    order = np.lexsort((start, mark, doc, context, anchor))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in (start, mark, doc, context, anchor):
+        new[1:] |= x[order[1:]] != x[order[:-1]]
+    return order[new]
+
+
 def _contexts(source: DataFrame, buckets: int) -> DataFrame:
     """Anchors by bucket of their hash, one for each (anchor, context) of a unit; bucket -1 - b has the other ones, which are repeats."""
 
@@ -80,13 +90,13 @@ def _contexts(source: DataFrame, buckets: int) -> DataFrame:
 
         def unit():
             doc, mark, start, left, right, anchor, context = (np.concatenate([x[i] for x in waiting]) for i in range(7))
+            order = _places(doc, mark, start, anchor, context)
+            doc, mark, start, left, right, anchor, context = (x[order] for x in (doc, mark, start, left, right, anchor, context))
             bucket = (anchor % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((start, mark, doc, context, anchor))
-            a, c = anchor[order], context[order]
-            first = np.ones(len(a), bool)
-            first[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+            first = np.ones(len(anchor), bool)
+            first[1:] = (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
             # repeats of a unit only need a task of their own
-            bucket[order[~first]] = -1 - (mark[order[~first]] % buckets)
+            bucket[~first] = -1 - (mark[~first] % buckets)
             order = np.lexsort((start, mark, doc, bucket))
             cut = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else np.zeros(0, np.int64)
             columns = [doc, mark, start.astype(np.int32), left.astype(np.int16), right.astype(np.int16), anchor, context]
@@ -122,7 +132,7 @@ def _sources(contexts: DataFrame) -> DataFrame:
             keep, ask = np.arange(len(x["doc"])), np.zeros(len(x["doc"]), bool)
             hot = ask
         else:
-            order = np.lexsort((x["start"], x["mark"], x["doc"], x["context"], x["anchor"]))
+            order = _places(x["doc"], x["mark"], x["start"], x["anchor"], x["context"])
             a, c = x["anchor"][order], x["context"][order]
             new_anchor = np.r_[True, a[1:] != a[:-1]]
             first = new_anchor | np.r_[True, c[1:] != c[:-1]]

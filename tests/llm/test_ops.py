@@ -398,6 +398,22 @@ def test_op8(spark, docs, case, monkeypatch):
     assert sorted((tuple(r) for r in out.collect()), key=str) == repeats(rows)
 
 
+@pytest.mark.parametrize("unit", [100, 12 << 20])
+def test_op8_repeated_rows(spark, unit, monkeypatch):
+    """Rows with the same key and text are one document, which keeps its text, in one unit of the input or in several."""
+    from reedbank.llm import op08_suffix_dedup as op
+
+    monkeypatch.setattr(op, "UNIT_BYTES", unit)
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    a, b, c = some(400), some(150), some(150)
+    rows = [(1, a), (1, a), (2, b + a[50:300] + c), (2, b + a[50:300] + c), (2, c), (3, b + b), (3, b + b), (None, some(200))]
+    rows.append(rows[-1])
+    for parts in (1, 5):
+        out = op.remove_repeats(frame(spark, rows).repartition(parts)).select("doc_id", "n_bytes", F.size("spans").alias("s"), F.sha2("kept", 256).alias("h"))
+        assert sorted((tuple(r) for r in out.collect()), key=str) == repeats(rows)
+
+
 def test_suffix_arrays():
     from reedbank.llm import suffix_sort as s
 
