@@ -1,14 +1,15 @@
 """Operator 3: language-model scores from an n-gram trie in Elias-Fano levels.
 
-Model: a bigram model with Dirichlet smoothing, p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU), over words and one end per text; p(w) is the word's share for the
-TOP most frequent words, and all others, unknown ones too, share the rest evenly.
+Model: a bigram model with Dirichlet smoothing, p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU), over words and one end per text; p(w) is the word's share of the
+training tokens, whatever the number of distinct words; an unknown word counts as seen once.
 
 The trie is cut into shards by context.  A shard's levels are monotone sequences in Elias-Fano code: its contexts; the pointers to their
 successors; the successors as context number times vocabulary size plus word number, so that a successor is searched relative to its context; and one byte
 each for log probabilities and back-off weights, in steps of 1/32.  Levels are flat bytes and can be mapped from files (save_levels, open_levels).
 
-Data flow: a first pass counts words.  A second one sends, for units of about UNIT tokens, each distinct (context, word) pair once to its shard, with its
-number in training texts.  The shard adds these up, builds its trie, asks it for every pair, and sends the answers back to the unit, where
+Data flow: a first pass counts words and ends.  A second one sends, for units of about UNIT tokens, each distinct (context, word) pair once to its shard, with its
+number in training texts.  The shard asks for the counts of its distinct words, which meet the table of counted words in buckets of words; the answer is the
+level of words below its pairs.  The shard adds its pairs up, builds its trie, asks it for every pair, and sends the answers back to the unit, where
 they are summed by text; so what is moved follows the pairs, whatever the number of shards.  A context with more than its share of tokens is spread over all shards by word: its total is known from the first pass.
 
 Rows: a null text is empty and scored as its end alone.  Keys are cast to long; a null key is kept and crc32 of a null counts as training (remainder none).  Repeated rows
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from reedbank.llm import textops as X
 from reedbank.llm.shared import parts_for, read_table, small_batches, written
 
-MU, TOP, UNIT, STEP = 50.0, 1 << 16, 3 << 18, 1 / 32
+MU, UNIT, STEP = 50.0, 3 << 18, 1 / 32
 #: Bytes of input for each shard.
 SHARD_INPUT = 4 << 20
 _BITS = np.uint64((1 << 48) - 1)
@@ -163,24 +164,18 @@ def block_pairs(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class Unigrams:
-    """What a worker needs to know of single words; its size has the bound TOP."""
+    """What every worker needs to know: the sums over all words, and the words that may be spread contexts (four a shard at most)."""
 
-    def __init__(self, top: list[tuple[int, int]], tokens: int, distinct: int, texts: int):
-        pairs = sorted([*top, (FINISH, texts)])
-        self.words = np.array([p[0] for p in pairs], np.uint64)
-        counts = np.array([p[1] for p in pairs], np.float64)
-        self.counts, self.tokens, self.distinct, self.texts = counts, tokens, distinct, texts
-        rest = max(0.0, tokens - counts.sum())
-        self.log_rest = float(np.log10((rest + 1) / (tokens + 1) / (max(0, distinct - len(pairs)) + 1)))
-        self.logs = np.log10(np.maximum(counts, 0.5) / (tokens + 1))
+    def __init__(self, heavy: list[tuple[int, int]], tokens: int, distinct: int, texts: int):
+        self.heavy, self.tokens, self.distinct, self.texts = heavy, tokens, distinct, texts
 
-    def log_word(self, w: np.ndarray) -> np.ndarray:
-        at, hit = Trie._find(self.words, w)
-        return np.where(hit, self.logs[at], self.log_rest)
+    def log_share(self, counts: np.ndarray) -> np.ndarray:
+        """log10 p of words with these counts."""
+        return np.log10(np.maximum(counts, 1) / (self.tokens + 1))
 
     def spread(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """Contexts with more than a quarter of a shard's share of tokens, and their totals."""
-        pairs = sorted([(BEGIN, self.texts), *((int(w), int(c)) for w, c in zip(self.words, self.counts, strict=True) if w != FINISH)])
+        pairs = sorted([(BEGIN, self.texts), *((int(w), int(c)) for w, c in self.heavy if w != FINISH)])
         heavy = [p for p in pairs if p[1] * 4 * shards >= self.tokens]
         return np.array([p[0] for p in heavy], np.uint64), np.array([p[1] for p in heavy], np.float64)
 
@@ -218,16 +213,113 @@ def count_words(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word bigint, times bigint").groupBy("word").agg(F.sum("times").alias("times"))
 
 
+def six_bytes(words: np.ndarray) -> np.ndarray:
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def from_six(data) -> np.ndarray:
+    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(six), 8), np.uint8)
+    wide[:, :6] = six
+    return wide.view("<u8").ravel()
+
+
+def in_buckets(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of distinct sorted words by (bucket, word), and the bounds of the buckets in it."""
+    bucket = (X.mix64(words) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def shard_words(table) -> np.ndarray:
+    """The distinct words of a shard's pairs, sorted."""
+    found = [np.unique(from_six(b.as_buffer())) for b in table.column("words")]
+    return np.unique(np.concatenate(found))
+
+
+REQUEST = "bucket int, shard int, own bigint, words binary, times binary"
+
+
+def _requests(units: DataFrame, buckets: int) -> DataFrame:
+    """A row for each bucket with the distinct words that a shard asks for."""
+
+    def run(key, table):
+        import pyarrow as pa
+
+        words, cut = np.zeros(0, np.uint64), np.zeros(buckets + 1, np.int64)
+        if key[0].as_py() >= 0:
+            words = shard_words(table)
+            order, cut = in_buckets(words, buckets)
+            words = words[order]
+        some = np.flatnonzero(np.diff(cut))
+        blobs = [six_bytes(words[cut[b] : cut[b + 1]]).tobytes() for b in some]
+        n = len(some)
+        return pa.table({"bucket": pa.array(some, pa.int32()), "shard": pa.array([key[0].as_py()] * n, pa.int32()), "own": pa.array([-1] * n, pa.int64()), "words": pa.array(blobs, pa.binary()), "times": pa.array([b""] * n, pa.binary())})
+
+    return units.groupBy("shard", "own").applyInArrow(run, REQUEST)
+
+
+def _counted(words: DataFrame, buckets: int) -> DataFrame:
+    """The table of counted words, as rows of shard -1 for the buckets."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        waiting, held = [], 0
+
+        def dealt():
+            word, times = (np.concatenate([x[i] for x in waiting]) for i in range(2))
+            order, cut = in_buckets(word, buckets)
+            word, times = word[order], times[order]
+            some = np.flatnonzero(np.diff(cut))
+            blobs = [[f(x[cut[b] : cut[b + 1]]) for b in some] for x, f in ((word, lambda x: six_bytes(x).tobytes()), (times, packed))]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([-1] * len(some), pa.int32()), pa.array([-1] * len(some), pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], names=["bucket", "shard", "own", "words", "times"])
+
+        for batch in batches:
+            waiting.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            held += batch.num_rows
+            if held >= UNIT:
+                yield dealt()
+                waiting, held = [], 0
+        if waiting:
+            yield dealt()
+
+    return words.select("word", "times").mapInArrow(run, REQUEST)
+
+
+def _replies(requests: DataFrame) -> DataFrame:
+    """For each request the counts of its words, 0 for words that training texts do not have."""
+
+    def run(table):
+        import pyarrow as pa
+
+        shard = table.column("shard").to_numpy()
+        blob = lambda k, i: table.column(k)[i].as_buffer()
+        known = np.flatnonzero(shard < 0)
+        word = np.concatenate([np.zeros(0, np.uint64), *[from_six(blob("words", i)) for i in known]])
+        times = np.concatenate([np.zeros(0, np.int64), *[unpacked(blob("times", i).to_pybytes(), np.int64) for i in known]])
+        order = np.argsort(word)
+        word, times = word[order], times[order]
+        asked = np.flatnonzero(shard >= 0)
+        out = []
+        for i in asked:
+            at, hit = Trie._find(word, from_six(blob("words", i)))
+            out.append(packed(np.where(hit, times[at] if len(times) else 0, 0).astype(np.int64)))
+        return pa.table({k: table.column(k).take(asked) for k in ("shard", "own", "bucket")} | {"times": pa.array(out, pa.binary())})
+
+    return requests.groupBy("bucket").applyInArrow(run, "shard int, own bigint, bucket int, times binary")
+
+
 def _units(source: DataFrame, unigrams, shards: int) -> DataFrame:
-    """Rows for shards 0.. with a unit's pairs, and a row for shard -1 with the unit's texts and where each pair stands in them; pairs are
-    in the order of (shard, context, word)."""
+    """Rows for shards 0.. with a unit's pairs (own is -1), and a row for shard -1 with the unit's texts and where each pair stands in them (own is the
+    unit); pairs are in the order of (shard, context, word)."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         spread, part = unigrams.value.spread(shards)[0], TaskContext.get().partitionId()
-        names = ["shard", "unit", "contexts", "widths", "words", "trained", "keys", "owners"]
+        names = ["shard", "own", "unit", "contexts", "widths", "words", "trained", "keys", "owners"]
         waiting: list = []
         made = 0
 
@@ -244,13 +336,13 @@ def _units(source: DataFrame, unigrams, shards: int) -> DataFrame:
             times = np.diff(np.r_[pair, len(row)]).astype(np.uint32)
             widths = np.diff(np.r_[context, len(pair)]).astype(np.uint32)
             trained = np.add.reduceat(train[row].astype(np.uint32), pair, dtype=np.uint32)
-            words6 = w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            words6 = six_bytes(w)
             cut = np.searchsorted(place >> np.uint64(48), np.arange(shards + 1, dtype=np.uint64))
             first = np.searchsorted(context, cut)
             # the unit's number must be the same if the task runs again
             number = (part << 24) | made
             made_rows = [
-                (int(s), number, (place[context[first[s] : first[s + 1]]] & _BITS).tobytes(), widths[first[s] : first[s + 1]].tobytes(), words6[cut[s] : cut[s + 1]].tobytes(), trained[cut[s] : cut[s + 1]].tobytes(), b"", b"")
+                (int(s), -1, number, (place[context[first[s] : first[s + 1]]] & _BITS).tobytes(), widths[first[s] : first[s + 1]].tobytes(), words6[cut[s] : cut[s + 1]].tobytes(), trained[cut[s] : cut[s + 1]].tobytes(), b"", b"")
                 for s in np.flatnonzero(np.diff(cut))
             ]
             sink = pa.BufferOutputStream()
@@ -258,8 +350,8 @@ def _units(source: DataFrame, unigrams, shards: int) -> DataFrame:
             with pa.ipc.new_stream(sink, keys.schema) as f:
                 f.write_batch(keys)
             row = row.astype(np.uint16 if len(train) <= 1 << 16 else np.uint32)
-            made_rows.append((-1, number, b"", widths.tobytes(), b"", packed(times), sink.getvalue().to_pybytes(), packed(row)))
-            kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 6
+            made_rows.append((-1, number, number, b"", widths.tobytes(), b"", packed(times), sink.getvalue().to_pybytes(), packed(row)))
+            kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 6
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in made_rows], t) for i, t in enumerate(kinds)], names=names)
 
         held = rows = 0
@@ -278,16 +370,16 @@ def _units(source: DataFrame, unigrams, shards: int) -> DataFrame:
         if waiting:
             yield unit()
 
-    return source.mapInArrow(run, "shard int, unit bigint, contexts binary, widths binary, words binary, trained binary, keys binary, owners binary")
+    return source.mapInArrow(run, "shard int, own bigint, unit bigint, contexts binary, widths binary, words binary, trained binary, keys binary, owners binary")
 
 
 ANSWER = "shard int, unit bigint, totals binary, scores binary, widths binary, times binary, keys binary, owners binary"
 
 
-def _answers(units: DataFrame, unigrams, shards: int) -> DataFrame:
+def _answers(units: DataFrame, replies: DataFrame, unigrams, shards: int, buckets: int) -> DataFrame:
     """A shard's answers to each unit: totals of its contexts (-1 for the beginning of texts) and log10 p of its pairs; rows of shard -1 pass."""
 
-    def run(key, table):
+    def run(key, table, counts):
         import pyarrow as pa
 
         known = unigrams.value
@@ -299,11 +391,15 @@ def _answers(units: DataFrame, unigrams, shards: int) -> DataFrame:
             return pa.table({"shard": col("shard"), "unit": col("unit"), "totals": empty, "scores": empty, "widths": col("widths"), "times": col("trained"), "keys": col("keys"), "owners": col("owners")})
         get = lambda k, i, t: np.frombuffer(table.column(k)[i].as_buffer(), t)
 
-        def words(i):
-            six = get("words", i, np.uint8).reshape(-1, 6)
-            wide = np.zeros((len(six), 8), np.uint8)
-            wide[:, :6] = six
-            return wide.view("<u8").ravel()
+        words = lambda i: from_six(table.column("words")[i].as_buffer())
+        # the level of words: what this shard asked for, in the same order
+        level = shard_words(table)
+        place, cut = in_buckets(level, buckets)
+        times = np.zeros(len(level), np.int64)
+        for bucket, blob in zip(counts.column("bucket").to_pylist(), counts.column("times"), strict=True):
+            times[place[cut[bucket] : cut[bucket + 1]]] = unpacked(blob.as_buffer().to_pybytes(), np.int64)
+        logs = known.log_share(times)
+        log_word = lambda w: logs[np.searchsorted(level, w)]
 
         contexts = lambda i: np.repeat(get("contexts", i, np.uint64), get("widths", i, np.uint32))
         seen = [(contexts(i)[use], words(i)[use], count[use]) for i in range(n) if (use := (count := get("trained", i, np.uint32)) > 0).any()]
@@ -324,18 +420,18 @@ def _answers(units: DataFrame, unigrams, shards: int) -> DataFrame:
             out = np.where(hit, totals[at] if len(totals) else 0.0, 0.0)
             return np.where(wide_hit, spread_total[wide_at] if len(spread_total) else 0.0, out)
 
-        trie = Trie.build(pv, pw, pc, total(pv), known.log_word)
+        trie = Trie.build(pv, pw, pc, total(pv), log_word)
         answers, scores = [], []
         for i in range(n):
             v = get("contexts", i, np.uint64)
             got = total(v)
             backoff = np.repeat(np.log10(MU / (got + MU)), get("widths", i, np.uint32))
-            scores.append(packed(trie.log10(contexts(i), words(i), known.log_word, backoff).astype(np.float32)))
+            scores.append(packed(trie.log10(contexts(i), words(i), log_word, backoff).astype(np.float32)))
             answers.append(np.where(v == BEGIN, -1, got).astype(np.int64).tobytes())
         col = table.column
         return pa.table({"shard": col("shard"), "unit": col("unit"), "totals": pa.array(answers, pa.binary()), "scores": pa.array(scores, pa.binary()), "widths": empty, "times": empty, "keys": empty, "owners": empty})
 
-    return units.groupBy("shard", F.when(F.col("shard") < 0, F.col("unit"))).applyInArrow(run, ANSWER)
+    return units.groupBy("shard", "own").cogroup(replies.groupBy("shard", "own")).applyInArrow(run, ANSWER)
 
 
 def _by_row(answers: DataFrame, unigrams) -> DataFrame:
@@ -375,10 +471,15 @@ def train_and_score(documents: DataFrame, train, key: str = "doc_id", text: str
     source = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(train, F.lit(True)).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = written(count_words(source.where("train")), "op3_words")
     sums = words.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == FINISH, F.col("times"))), F.lit(0))).first()
-    top = [(r.word, r.times) for r in words.where(F.col("word") != FINISH).orderBy(F.desc("times"), "word").limit(TOP).collect()]
-    unigrams = documents.sparkSession.sparkContext.broadcast(Unigrams(top, *map(int, sums)))
     shards = parts_for(documents, SHARD_INPUT, 12, 1 << 15)
-    out = _by_row(_answers(_units(source, unigrams, shards), unigrams, shards), unigrams)
+    buckets = max(12, shards // 8)
+    # 4 * shards of them at most, as their counts add up to no more than all tokens
+    heavy = [(r.word, r.times) for r in words.where((F.col("word") != FINISH) & (F.col("times") * (4 * shards) >= int(sums[0]))).collect()]
+    unigrams = documents.sparkSession.sparkContext.broadcast(Unigrams(heavy, *map(int, sums)))
+    # both readers of units take them from one exchange
+    units = _units(source, unigrams, shards)
+    replies = _replies(_requests(units, buckets).unionByName(_counted(words, buckets)))
+    out = _by_row(_answers(units, replies, unigrams, shards, buckets), unigrams)
     return out.withColumn("train_tokens", F.lit(int(sums[0])).cast("long")).withColumnRenamed("key", key)
 
 

@@ -209,6 +209,29 @@ def test_op3_spread_contexts(spark):
         assert abs(got[k] - want) <= op.STEP * len(s)
 
 
+def test_op3_every_word_counts(spark):
+    """Behind 65,536 more frequent words, words seen once and words seen eight times are told apart."""
+    from reedbank.llm import op03_lm_trie as op
+
+    rows = [(i, " ".join([f"v{i}x{j}" for j in range(660)] * 8 + [f"r{i}x{j}" for j in range(20)])) for i in range(100)]
+    # pairs that training texts do not have, so that p(w) alone tells the words apart
+    asked = [(1000 + i, " ".join(f"{c}{(j * 7) % 100}x{j % n}" for j in range(200))) for i, (c, n) in enumerate([("r", 20), ("v", 660)])] + [(2000, "never seen words here")]
+    train = F.col("doc_id") < 1000
+    got = {r.doc_id: r.score for r in op.train_and_score(frame(spark, rows + asked), train).collect()}
+    pairs, contexts, count = collections.Counter(), collections.Counter(), collections.Counter()
+    for _, t in rows:
+        s = ["\0b", *t.split(), "\0e"]
+        pairs.update(zip(s, s[1:], strict=False))
+        contexts.update(s[:-1])
+        count.update(s[1:])
+    n = sum(count.values())
+    assert len(count) > 1 << 16
+    for k, t in asked:
+        s = ["\0b", *t.split(), "\0e"]
+        want = sum(math.log10((pairs[a, b] + op.MU * max(1, count[b]) / (n + 1)) / (contexts[a] + op.MU)) for a, b in zip(s, s[1:], strict=False))
+        assert abs(got[k] - want) <= op.STEP * len(s)
+
+
 # ---- 4
 
 
