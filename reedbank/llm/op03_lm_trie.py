@@ -4,8 +4,8 @@ Model: a bigram model with Dirichlet smoothing, p(w | v) = (c(v, w) + MU p(w)) /
 training tokens, whatever the number of distinct words; an unknown word counts as seen once.
 
 The trie is cut into shards by context.  A shard's levels are monotone sequences in Elias-Fano code: its contexts; the pointers to their
-successors; the successors as context number times vocabulary size plus word number, so that a successor is searched relative to its context; and one byte
-each for log probabilities and back-off weights, in steps of 1/32.  Levels are flat bytes and can be mapped from files (save_levels, open_levels).
+successors; the successors as context number times vocabulary size plus word number, so that a successor is searched relative to its context; and two
+bytes each for log probabilities and back-off weights, in steps of 1/32.  Levels are flat bytes and can be mapped from files (save_levels, open_levels).
 
 Data flow: a first pass counts words and ends.  A second one sends, for units of about UNIT tokens, each distinct (context, word) pair once to its shard, with its
 number in training texts.  The shard asks for the counts of its distinct words, which meet the table of counted words in buckets of words; the answer is the
@@ -63,7 +63,8 @@ def ef_decode(data) -> np.ndarray:
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 / STEP), 0, 255).astype(np.uint8)
+    """Steps in 16 bits, which reach further down than any probability of doubles."""
+    return np.clip(np.rint(-log10 / STEP), 0, 65535).astype(np.uint16)
 
 
 class Trie:
@@ -72,7 +73,7 @@ class Trie:
     def __init__(self, levels: dict):
         self.levels = levels
         self.contexts, self.pointers, self.words, self.successors = (ef_decode(levels[k]) for k in self.LEVELS[:4])
-        self.probabilities, self.backoffs = (np.frombuffer(levels[k], np.uint8) for k in self.LEVELS[4:])
+        self.probabilities, self.backoffs = (np.frombuffer(levels[k], np.uint16) for k in self.LEVELS[4:])
 
     @classmethod
     def build(cls, v: np.ndarray, w: np.ndarray, count: np.ndarray, total_of: np.ndarray, log_word, mu: float = MU) -> Trie:

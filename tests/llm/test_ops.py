@@ -188,6 +188,17 @@ def test_op3_levels(tmp_path):
         assert np.allclose(got, want, atol=op.STEP)
 
 
+def test_op3_small_probabilities():
+    """A pair seen once after a context seen 10**9 or 10**11 times is as rare as its counts say."""
+    from reedbank.llm import op03_lm_trie as op
+
+    v, w, flat = np.array([3, 4], np.uint64), np.array([7, 7], np.uint64), lambda x: np.full(len(x), -9.0)
+    totals = np.array([1e9, 1e11])
+    trie = op.Trie.build(v, w, np.array([1, 1]), totals, flat)
+    assert np.allclose(trie.log10(v, w, flat, np.zeros(2)), [-9, -11], atol=op.STEP)
+    assert np.allclose(trie.log10(v, w + np.uint64(1), flat, np.zeros(2)), np.log10(50 / totals) - 9, atol=op.STEP)
+
+
 def test_op3_spread_contexts(spark):
     """A context with a third of all tokens is spread over shards without changing any score."""
     from reedbank.llm import op03_lm_trie as op
