@@ -1,16 +1,20 @@
 """Operator 3: language-model scores from an n-gram trie in Elias-Fano levels.
 
-Model: a bigram model with Dirichlet smoothing, p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU), over words and one end per text; p(w) is the word's share of the
-training tokens, whatever the number of distinct words; an unknown word counts as seen once.
-
-The trie is cut into shards by context.  A shard's levels are monotone sequences in Elias-Fano code: its contexts; the pointers to their
-successors; the successors as context number times vocabulary size plus word number, so that a successor is searched relative to its context; and two
-bytes each for log probabilities and back-off weights, in steps of 1/32.  Levels are flat bytes and can be mapped from files (save_levels, open_levels).
-
-Data flow: a first pass counts words and ends.  A second one sends, for units of about UNIT tokens, each distinct (context, word) pair once to its shard, with its
-number in training texts.  The shard asks for the counts of its distinct words, which meet the table of counted words in buckets of words; the answer is the
-level of words below its pairs.  The shard adds its pairs up, builds its trie, asks it for every pair, and sends the answers back to the unit, where
-they are summed by text; so what is moved follows the pairs, whatever the number of shards.  A context with more than its share of tokens is spread over all shards by word: its total is known from the first pass.
+Model: trigrams with Dirichlet smoothing over words and one end per text, p(w | u v) = (c(u v w) + MU3 p(w | v)) / (c(u v) + MU3) and p(w | v) = (c(v w) + MU2 p(w)) /
+(c(v) + MU2); p(w) is the word's share of the training tokens; an unknown word counts as seen once.  Texts begin with two marks.
+
+The trie is cut into shards by v, the word before the last.  A shard's levels are Elias-Fano sequences, in one flat run of words that can be mapped from a file
+(Trie.save, Trie.open) and is mapped anonymously in a task: its words and their counts; its contexts v, their totals and pointers to the words that follow; the
+contexts u v below each v, their totals and pointers; and the words that follow u v, each as its number among the words that follow v.  They
+are searched as they are coded: a successor is looked for in its context's range only, by selects on the unary parts and a binary search among low
+bits.  Probabilities of seen bigrams and trigrams are two bytes each, in steps of 1/64 of a log10, which reach down to 1e-1024; weights of unseen ones
+follow from the totals, which are exact.  So a token's log10 probability is off by half a step at most.
+
+Data flow: a first pass counts words and ends.  A second one sends, for units of about UNIT tokens, each distinct trigram once to its shard, with its number in
+training texts.  The shard asks for the counts of its words, which meet the table of counted words in buckets of words.  A context v with more than half of a
+shard's share of tokens is spread over all shards by u; its total is known from the first pass, and the counts of its bigrams are asked for in the same
+way as those of words.  The shard builds its trie, asks it for every distinct trigram, and sends the answers back to the units, where they are summed
+by text; so what is moved follows the trigrams.  Frequent words (FREQUENT of them) are moved as two bytes, others as six, which changes sizes and no result.
 
 Rows: a null text is empty and scored as its end alone.  Keys are cast to long; a null key is kept and crc32 of a null counts as training (remainder none).  Repeated rows
 are each scored, and each counts in training.  Other columns are ignored.  Whole texts are used; nothing is left out of the counts.
@@ -18,173 +22,236 @@ are each scored, and each counts in training.  Other columns are ignored.  Whole
 
 from __future__ import annotations
 
+import mmap
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reedbank.llm import textops as X
+from reedbank.llm.elias_fano import Monotone, Successors
 from reedbank.llm.shared import parts_for, read_table, small_batches, written
 
-MU, UNIT, STEP = 50.0, 3 << 18, 1 / 32
+MU2, MU3, UNIT, STEP = 500.0, 10.0, 3 << 18, 1 / 64
+#: What answers are rounded to on their way back.
+ANSWER_STEP = 1 / 1024
 #: Bytes of input for each shard.
-SHARD_INPUT = 4 << 20
+SHARD_INPUT = 6 << 20
 _BITS = np.uint64((1 << 48) - 1)
 BEGIN, FINISH = 1, 2  # reserved word numbers
+FREQUENT, RARE = (1 << 16) - 3, np.uint64(1 << 16)
 
 
-# ---- Elias-Fano levels
-
+def runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
-def ef_encode(values: np.ndarray) -> bytes:
-    """A non-decreasing sequence of uint64: whole low bytes, and the rest in unary."""
-    n = len(values)
-    if not n:
-        return np.zeros(3, np.int64).tobytes()
-    low_bytes = 0
-    while low_bytes < 7 and (int(values[-1]) >> (8 * low_bytes)) > 2 * n:
-        low_bytes += 1
-    high = (values >> np.uint64(8 * low_bytes)).astype(np.int64)
-    bits = np.zeros(n + int(high[-1]) + 1, np.uint8)
-    bits[high + np.arange(n)] = 1
-    unary = np.packbits(bits)
-    low = values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :low_bytes]
-    return np.array([n, low_bytes, len(unary)], np.int64).tobytes() + unary.tobytes() + low.tobytes()
 
-
-def ef_decode(data) -> np.ndarray:
-    data = np.frombuffer(data, np.uint8)
-    n, low_bytes, size = data[:24].view(np.int64)
-    if not n:
-        return np.zeros(0, np.uint64)
-    high = np.flatnonzero(np.unpackbits(data[24 : 24 + size])) - np.arange(n)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :low_bytes] = data[24 + size : 24 + size + n * low_bytes].reshape(n, low_bytes)
-    return out.view("<u8").ravel() | (high.astype(np.uint64) << np.uint64(8 * low_bytes))
+# ---- the trie
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
-    """Steps in 16 bits, which reach further down than any probability of doubles."""
     return np.clip(np.rint(-log10 / STEP), 0, 65535).astype(np.uint16)
 
 
 class Trie:
-    LEVELS = ("contexts", "pointers", "words", "successors", "probabilities", "backoffs")
-
-    def __init__(self, levels: dict):
-        self.levels = levels
-        self.contexts, self.pointers, self.words, self.successors = (ef_decode(levels[k]) for k in self.LEVELS[:4])
-        self.probabilities, self.backoffs = (np.frombuffer(levels[k], np.uint16) for k in self.LEVELS[4:])
+    """Levels in one run of uint64 words, searched as they are coded."""
+
+    SEQUENCES = ("words", "word_sums", "contexts", "context_sums", "pair_starts", "pairs", "inner_starts", "inner", "inner_sums", "triple_starts", "triples")
+    SCORES = ("pair_scores", "triple_scores")
+
+    def __init__(self, flat: np.ndarray, tokens: int, mu2: float = MU2, mu3: float = MU3):
+        self.flat, self.tokens, self.mu2, self.mu3 = flat, tokens, mu2, mu3
+        level, at = {}, 0
+        for name in self.SEQUENCES:
+            level[name] = Monotone(flat[at:])
+            at += level[name].size
+        for name, of in zip(self.SCORES, ("pairs", "triples"), strict=True):
+            n = level[of].n
+            level[name] = flat[at:].view(np.uint16)[:n]
+            at += (n + 3) // 4
+        self.level = level
+        self.pairs = Successors(level["pair_starts"], level["pairs"])
+        self.inner = Successors(level["inner_starts"], level["inner"])
+        self.triples = Successors(level["triple_starts"], level["triples"])
 
     @classmethod
-    def build(cls, v: np.ndarray, w: np.ndarray, count: np.ndarray, total_of: np.ndarray, log_word, mu: float = MU) -> Trie:
-        """v, w: distinct pairs sorted by (v, w), with their counts; total_of: the context's total for each pair; log_word: log10 p of words."""
-        start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
-        words, number = np.unique(w, return_inverse=True)
-        context = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(v)]))
-        p = (count + mu * 10 ** log_word(w)) / (total_of + mu)
-        return cls(
-            {
-                "contexts": ef_encode(v[start]),
-                "pointers": ef_encode(np.r_[start, len(v)].astype(np.uint64)),
-                "words": ef_encode(words),
-                "successors": ef_encode(context.astype(np.uint64) * np.uint64(max(1, len(words))) + number.astype(np.uint64)),
-                "probabilities": quantise(np.log10(p)).tobytes(),
-                "backoffs": quantise(np.log10(mu / (total_of[start] + mu))).tobytes(),
-            }
-        )
+    def build(cls, words, word_times, contexts, totals, pairs, triples, tokens: int, mu2: float = MU2, mu3: float = MU3) -> Trie:
+        """words: sorted ids, and their counts.  contexts: sorted word numbers v, and c(v).  pairs: (place of v in contexts, w, count), sorted and distinct.  triples:
+        (place of v in contexts, u, w, count), sorted and distinct, where v w is one of the pairs."""
+        pc, pw, pn = pairs
+        tc, tu, tw, tn = triples
+        share = np.maximum(word_times, 1) / (tokens + 1)
+        n_words = max(1, len(words))
+        p2 = (pn + mu2 * share[pw]) / (totals[pc] + mu2)
+        pair_starts = np.searchsorted(pc, np.arange(len(contexts) + 1))
+        pair_of = np.searchsorted(pc * n_words + pw, tc * n_words + tw)
+        inner = runs(tc * n_words + tu)
+        sizes = np.diff(np.r_[inner, len(tc)])
+        inner_totals = np.add.reduceat(tn, inner) if len(inner) else np.zeros(0, np.int64)
+        p3 = (tn + mu3 * p2[pair_of]) / (np.repeat(inner_totals, sizes) + mu3)
+        sums = lambda x: Monotone.encode(np.r_[0, np.cumsum(x)])
+        made = [Monotone.encode(words), sums(word_times), Monotone.encode(contexts), sums(totals)]
+        made += Successors.encode(pair_starts, pw)
+        made += [*Successors.encode(np.searchsorted(tc[inner], np.arange(len(contexts) + 1)), tu[inner]), sums(inner_totals)]
+        made += Successors.encode(np.r_[inner, len(tc)], pair_of - pair_starts[tc])
+        for p in (p2, p3):
+            codes = np.zeros(-(-len(p) // 4) * 4, np.uint16)
+            codes[: len(p)] = quantise(np.log10(p))
+            made.append(codes.view(np.uint64))
+        size = sum(len(x) for x in made)
+        flat = np.frombuffer(mmap.mmap(-1, max(1, size) * 8), np.uint64)
+        at = 0
+        for x in made:
+            flat[at : at + len(x)] = x
+            at += len(x)
+        return cls(flat, tokens, mu2, mu3)
+
+    def save(self, path: str) -> None:
+        self.flat.tofile(path)
 
-    @staticmethod
-    def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-        return at, table[at] == x
-
-    def log10(self, v: np.ndarray, w: np.ndarray, log_word, unseen_backoff: np.ndarray) -> np.ndarray:
-        """log10 p(w | v); unseen_backoff: for contexts that this shard has no successor of."""
-        context, known = self._find(self.contexts, v)
-        number, word = self._find(self.words, w)
-        target = context.astype(np.uint64) * np.uint64(max(1, len(self.words))) + number.astype(np.uint64)
-        # the successor is searched in its context's stretch of the monotone level
-        at, hit = self._find(self.successors, target)
-        hit &= known & word
-        out = np.where(known, -STEP * (self.backoffs[context] if len(self.backoffs) else 0.0), unseen_backoff) + log_word(w)
-        out[hit] = -STEP * self.probabilities[at[hit]]
+    @classmethod
+    def open(cls, path: str, tokens: int, mu2: float = MU2, mu3: float = MU3) -> Trie:
+        return cls(np.memmap(path, np.uint64, "r"), tokens, mu2, mu3)
+
+    def _whole(self, name: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        level = self.level[name]
+        return level.find(x, np.zeros(len(x), np.int64), np.full(len(x), level.n))
+
+    def _between(self, name: str, at: np.ndarray) -> np.ndarray:
+        return self.level[name].get(at + 1) - self.level[name].get(at)
+
+    def numbers(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number or -1, log10 p, c as a context) of words."""
+        at, hit = self._whole("words", ids)
+        number = np.where(hit, at, -1)
+        times = np.zeros(len(ids), np.int64)
+        times[hit] = self._between("word_sums", at[hit])
+        place, known = self._whole("contexts", number)
+        known &= hit
+        total = np.zeros(len(ids), np.int64)
+        total[known] = self._between("context_sums", place[known])
+        return number, np.log10(np.maximum(times, 1) / (self.tokens + 1)), total
+
+    def log10(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, log_word: np.ndarray) -> np.ndarray:
+        """log10 p(w | u v) of word numbers (-1: not in the trie), in the order of (v, u); log_word: log10 p(w)."""
+        n = len(v)
+        head = np.flatnonzero(np.r_[True, (v[1:] != v[:-1])]) if n else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(head)), np.diff(np.r_[head, n]))
+        place, known = self._whole("contexts", v[head])
+        known &= v[head] >= 0
+        place[~known] = 0
+        some = np.flatnonzero(known)
+
+        def at_known(values, size, where):
+            out = np.zeros(size, values.dtype)
+            out[where] = values
+            return out
+
+        # bigrams
+        ranges = [at_known(x, len(head), some)[of] for x in self.pairs.ranges(place[some])]
+        rank, hit2 = self.pairs.find(ranges, w)
+        hit2 &= w >= 0
+        total = at_known(self._between("context_sums", place[some]), len(head), some)
+        out = np.log10(self.mu2 / (total + self.mu2))[of] + log_word
+        out[hit2] = -STEP * self.level["pair_scores"][rank[hit2]]
+        rank = rank - ranges[0]
+        # contexts u v
+        new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])]) if n else head
+        of3 = np.repeat(np.arange(len(new)), np.diff(np.r_[new, n]))
+        ranges = [at_known(x, len(head), some)[of[new]] for x in self.inner.ranges(place[some])]
+        inner, known3 = self.inner.find(ranges, u[new])
+        known3 &= u[new] >= 0
+        some3 = np.flatnonzero(known3)
+        total3 = at_known(self._between("inner_sums", inner[some3]), len(new), some3)
+        ranges = [at_known(x, len(new), some3)[of3] for x in self.triples.ranges(inner[some3])]
+        # trigrams, by the word's number among those that follow v
+        at, hit3 = self.triples.find(ranges, rank)
+        hit3 &= hit2
+        out += np.log10(self.mu3 / (total3 + self.mu3))[of3]
+        out[hit3] = -STEP * self.level["triple_scores"][at[hit3]]
         return out
 
 
-def save_levels(trie: Trie, folder: str) -> None:
-    import os
-
-    os.makedirs(folder, exist_ok=True)
-    for name, data in trie.levels.items():
-        with open(f"{folder}/{name}.bin", "wb") as f:
-            f.write(data)
-
-
-def open_levels(folder: str) -> Trie:
-    """A trie whose levels are mapped from files."""
-    import os
-
-    path = lambda k: f"{folder}/{k}.bin"
-    return Trie({k: np.memmap(path(k), np.uint8, "r") if os.path.getsize(path(k)) else b"" for k in Trie.LEVELS})
+# ---- what is moved
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Bytes for the shuffle; entropy coding suits small numbers and quantised scores better than the shuffle's own codec."""
+    """Bytes for the shuffle: planes of bytes, entropy-coded, which suits small numbers better than the shuffle's own codec."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpacked(data, kind) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
-# ---- tokens
+def six_bytes(words: np.ndarray) -> np.ndarray:
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
 
 
-def block_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit words of a block and the bounds of its rows."""
-    words = X.Words(data, offsets, X.NON_SPACE)
-    return np.maximum(words.hash & _BITS, np.uint64(3)), words.first
+def from_six(data) -> np.ndarray:
+    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(six), 8), np.uint8)
+    wide[:, :6] = six
+    return wide.view("<u8").ravel()
 
 
-def block_pairs(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, word, row) of all tokens and ends of a block's rows."""
-    n, rows = len(tokens), len(first) - 1
-    shift = np.arange(rows)
-    v, w = np.empty(n + rows, np.uint64), np.empty(n + rows, np.uint64)
-    at = np.arange(n) + np.repeat(shift, np.diff(first))
-    w[at], v[at + 1] = tokens, tokens
-    v[first[:-1] + shift] = BEGIN
-    w[first[1:] + shift] = FINISH
-    return v, w, np.repeat(shift, np.diff(first) + 1)
+def ids_out(ids: np.ndarray) -> tuple[bytes, bytes]:
+    """Ids as two bytes each, 0 for rare words, and the rare ones."""
+    rare = ids >= RARE
+    return packed(np.where(rare, 0, ids).astype(np.uint16)), six_bytes(ids[rare]).tobytes()
 
 
-class Unigrams:
-    """What every worker needs to know: the sums over all words, and the words that may be spread contexts (four a shard at most)."""
+def ids_in(codes, rare) -> np.ndarray:
+    out = unpacked(codes, np.uint16).astype(np.uint64)
+    out[out == 0] = from_six(rare)
+    return out
 
-    def __init__(self, heavy: list[tuple[int, int]], tokens: int, distinct: int, texts: int):
-        self.heavy, self.tokens, self.distinct, self.texts = heavy, tokens, distinct, texts
 
-    def log_share(self, counts: np.ndarray) -> np.ndarray:
-        """log10 p of words with these counts."""
-        return np.log10(np.maximum(counts, 1) / (self.tokens + 1))
+# ---- tokens
 
-    def spread(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts with more than a quarter of a shard's share of tokens, and their totals."""
-        pairs = sorted([(BEGIN, self.texts), *((int(w), int(c)) for w, c in self.heavy if w != FINISH)])
-        heavy = [p for p in pairs if p[1] * 4 * shards >= self.tokens]
-        return np.array([p[0] for p in heavy], np.uint64), np.array([p[1] for p in heavy], np.float64)
 
+def block_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit hashes of a block's words and the bounds of its rows."""
+    words = X.Words(data, offsets, X.NON_SPACE)
+    tokens = words.hash & _BITS
+    return np.where(tokens < RARE, tokens + RARE, tokens), words.first
 
-def shard_of(v: np.ndarray, w: np.ndarray, spread: np.ndarray, shards: int) -> np.ndarray:
-    wide = Trie._find(spread, v)[1]
+
+class Unigrams:
+    """What every worker knows, bounded in size: the sums over all words, the FREQUENT most frequent words, and the words that may be spread contexts
+    (two a shard at most)."""
+
+    def __init__(self, frequent: np.ndarray, heavy: list[tuple[int, int]], tokens: int, distinct: int, texts: int, shards: int):
+        self.tokens, self.distinct, self.texts = tokens, distinct, texts
+        self.order = np.argsort(frequent)
+        self.frequent = frequent[self.order]
+        spread = sorted((int(self.ids(np.array([w], np.uint64))[0]), c) for w, c in heavy)
+        spread = ([(BEGIN, texts)] if texts * 2 * shards >= tokens else []) + spread
+        self.spread = np.array([s[0] for s in spread], np.uint64)
+        self.spread_total = np.array([s[1] for s in spread], np.int64)
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of word hashes: 3 and on for frequent words, the hash for others."""
+        if not len(self.frequent):
+            return hashes
+        at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
+        return np.where(self.frequent[at] == hashes, self.order[at].astype(np.uint64) + np.uint64(3), hashes)
+
+    def is_spread(self, ids: np.ndarray) -> np.ndarray:
+        return np.isin(ids, self.spread)
+
+
+def bigram_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (X.mix64(np.where(wide, v * X._GOLD + w, v)) % np.uint64(shards)).astype(np.int64)
+        return X.mix64(X.mix64(v) * X._GOLD + w) & _BITS
 
 
 def count_words(training: DataFrame) -> DataFrame:
@@ -214,82 +281,216 @@ def count_words(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word bigint, times bigint").groupBy("word").agg(F.sum("times").alias("times"))
 
 
-def six_bytes(words: np.ndarray) -> np.ndarray:
-    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+UNITS = "shard int, own bigint, unit bigint, n_contexts int, n_inner int, codes binary, rare binary, sizes binary, keys binary"
 
 
-def from_six(data) -> np.ndarray:
-    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(six), 8), np.uint8)
-    wide[:, :6] = six
-    return wide.view("<u8").ravel()
+def _units(source: DataFrame, unigrams, shards: int, buckets: int) -> DataFrame:
+    """A unit's rows: for each shard its trigrams in the order of (v, u, w) (own is -1); for each bucket of bigrams of spread contexts their counts (shard is -2 and
+    less); and one of shard -1 with the unit's texts and where each trigram stands in them (own is the unit)."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        known, part = unigrams.value, TaskContext.get().partitionId()
+        waiting: list = []
+        made = 0
+
+        def unit():
+            tokens, sizes = np.concatenate([x[0] for x in waiting]), np.concatenate([x[1] for x in waiting])
+            train = np.concatenate([x[3] for x in waiting])
+            # numbers of the unit's words, in the order of ids
+            hashes, own = np.unique(tokens, return_inverse=True)
+            ids = known.ids(hashes)
+            order = np.argsort(ids)
+            ids = np.r_[np.array([BEGIN, FINISH], np.uint64), ids[order]]
+            number = np.empty(len(hashes), np.int64)
+            number[order] = np.arange(2, len(ids))
+            n_words, n, texts = len(ids), len(tokens) + len(sizes), len(sizes)
+            ends = np.cumsum(sizes + 1) - 1
+            w = np.ones(n, np.int64)
+            inside = np.ones(n, bool)
+            inside[ends] = False
+            w[inside] = number[own]
+            starts = ends - sizes
+            v, u = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            v[1:] = w[:-1]
+            v[starts] = 0
+            u[1:] = v[:-1]
+            u[starts] = 0
+            row = np.repeat(np.arange(texts), sizes + 1)
+            # distinct contexts in the order of (shard, v, u), then trigrams
+            contexts, context_of = np.unique(v * n_words + u, return_inverse=True)
+            cv, cu = contexts // n_words, contexts % n_words
+            with np.errstate(over="ignore"):
+                deal = np.where(known.is_spread(ids)[cv], ids[cv] * X._GOLD + ids[cu], ids[cv])
+            shard = (X.mix64(deal) % np.uint64(shards)).astype(np.int32 if shards > 1 << 15 else np.int16)
+            order = np.argsort(shard, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            cv, cu, shard = cv[order], cu[order], shard[order]
+            place = rank[context_of] * n_words + w
+            order = np.argsort(place, kind="stable")
+            place, row = place[order], row[order]
+            pair = runs(place)
+            times = np.diff(np.r_[pair, n]).astype(np.uint32)
+            trained = np.add.reduceat(train[row].astype(np.uint32), pair, dtype=np.uint32)
+            pair_context, pair_word = place[pair] // n_words, place[pair] % n_words
+            per_context = np.bincount(pair_context, minlength=len(cv)).astype(np.uint32)
+            head = np.flatnonzero(np.r_[True, (cv[1:] != cv[:-1]) | (shard[1:] != shard[:-1])])
+            per_head = np.diff(np.r_[head, len(cv)]).astype(np.uint32)
+            cut_c = np.searchsorted(shard, np.arange(shards + 1))
+            cut_h, cut_p = np.searchsorted(head, cut_c), np.searchsorted(pair_context, cut_c)
+            # the unit's number must be the same if the task runs again
+            unit_number = (part << 24) | made
+            rows = []
+            for s in np.flatnonzero(np.diff(cut_c)):
+                h, c, p = (slice(x[s], x[s + 1]) for x in (cut_h, cut_c, cut_p))
+                codes, rare = ids_out(ids[np.concatenate([cv[head[h]], cu[c], pair_word[p]])])
+                rows.append((int(s), -1, unit_number, h.stop - h.start, c.stop - c.start, codes, rare, packed(np.concatenate([per_head[h], per_context[c], trained[p]])), b""))
+            # bigrams of spread contexts
+            wide = np.flatnonzero(known.is_spread(ids)[cv[pair_context]] & (trained > 0))
+            if len(wide):
+                which, back = np.unique(cv[pair_context[wide]] * n_words + pair_word[wide], return_inverse=True)
+                counts = np.bincount(back, weights=trained[wide]).astype(np.uint32)
+                key = bigram_key(ids[which // n_words], ids[which % n_words])
+                bucket = (X.mix64(key) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((key, bucket))
+                key, counts = key[order], counts[order]
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(cut)):
+                    x = slice(cut[b], cut[b + 1])
+                    rows.append((int(-2 - b), -1, unit_number, 0, 0, b"", six_bytes(key[x]).tobytes(), packed(counts[x]), b""))
+            sink = pa.BufferOutputStream()
+            keys = pa.record_batch([pa.concat_arrays([x[2] for x in waiting]), pa.array(~train), pa.array(sizes + 1)], names=["key", "held", "n"])
+            with pa.ipc.new_stream(sink, keys.schema) as f:
+                f.write_batch(keys)
+            owners = row.astype(np.uint16 if texts <= 1 << 16 else np.uint32)
+            pairs_of_head = np.add.reduceat(per_context, head, dtype=np.uint32)
+            rows.append((-1, unit_number, unit_number, 0, 0, packed(times), packed(owners), packed(pairs_of_head), sink.getvalue().to_pybytes()))
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 4
+            names = ["shard", "own", "unit", "n_contexts", "n_inner", "codes", "rare", "sizes", "keys"]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+        held = 0
+        for batch in batches:
+            data, offsets = X.column_bytes(batch.column(2))
+            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for row, end, block, own in X.blocks(data, offsets):
+                tokens, first = block_tokens(block, own)
+                waiting.append((tokens, np.diff(first), batch.column(0).slice(row, end - row), flags[row:end]))
+                held += len(tokens) + end - row
+                if held >= UNIT:
+                    yield unit()
+                    waiting, held, made = [], 0, made + 1
+        if waiting:
+            yield unit()
+
+    return source.mapInArrow(run, UNITS)
+
 
+class ShardRows:
+    """All units' trigrams of a shard, as numbers of its words."""
 
-def in_buckets(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of distinct sorted words by (bucket, word), and the bounds of the buckets in it."""
-    bucket = (X.mix64(words) % np.uint64(buckets)).astype(np.int64)
+    def __init__(self, table):
+        blob = lambda k, i: table.column(k)[i].as_buffer()
+        n = table.num_rows
+        ids, back = np.unique(np.concatenate([ids_in(blob("codes", i), blob("rare", i)) for i in range(n)]), return_inverse=True)
+        self.ids, self.n_words = ids, len(ids)
+        at, self.heads, context, word, trained, self.pairs = 0, [], [], [], [], []
+        for i in range(n):
+            h, c = table.column("n_contexts")[i].as_py(), table.column("n_inner")[i].as_py()
+            sizes = unpacked(blob("sizes", i), np.uint32)
+            p = len(sizes) - h - c
+            v, u, w = np.split(back[at : at + len(sizes)], [h, h + c])
+            at += len(sizes)
+            context.append(np.repeat(np.repeat(v, sizes[:h]) * self.n_words + u, sizes[h : h + c]))
+            word.append(w)
+            trained.append(sizes[h + c :])
+            self.heads.append(v)
+            self.pairs.append(p)
+        # distinct trigrams in the order of (v, u, w), and which one each of the rows' is
+        contexts, of = np.unique(np.concatenate(context), return_inverse=True)
+        key, self.back = np.unique(of * self.n_words + np.concatenate(word), return_inverse=True)
+        self.times = np.bincount(self.back, weights=np.concatenate(trained), minlength=len(key)).astype(np.int64)
+        context = contexts[key // self.n_words]
+        self.v, self.u, self.w = context // self.n_words, context % self.n_words, key % self.n_words
+
+    def wanted(self, unigrams: Unigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of the words that are asked for, bigrams that are asked for as v and w)."""
+        is_next = np.zeros(self.n_words, bool)
+        is_next[self.w] = True
+        wide = np.flatnonzero(unigrams.is_spread(self.ids)[self.v])
+        bigrams = np.unique(self.v[wide] * self.n_words + self.w[wide])
+        return np.flatnonzero(is_next), bigrams // self.n_words, bigrams % self.n_words
+
+
+def in_buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys by bucket, and the bounds of the buckets in it."""
+    bucket = (X.mix64(keys) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def shard_words(table) -> np.ndarray:
-    """The distinct words of a shard's pairs, sorted."""
-    found = [np.unique(from_six(b.as_buffer())) for b in table.column("words")]
-    return np.unique(np.concatenate(found))
+REQUEST = "bucket int, shard int, own bigint, words binary, times binary"
 
 
-REQUEST = "bucket int, shard int, own bigint, words binary, times binary"
+def _request_table(rows: list[tuple]):
+    import pyarrow as pa
 
+    kinds = {"bucket": pa.int32(), "shard": pa.int32(), "own": pa.int64(), "words": pa.binary(), "times": pa.binary()}
+    return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds.items())})
 
-def _requests(units: DataFrame, buckets: int) -> DataFrame:
-    """A row for each bucket with the distinct words that a shard asks for."""
 
-    def run(key, table):
-        import pyarrow as pa
+def _requests(units: DataFrame, unigrams, buckets: int) -> DataFrame:
+    """What a shard asks for: a row for each bucket of words, and for each one of bigrams (buckets and on); and the counts of bigrams, as rows of shard -1."""
 
-        words, cut = np.zeros(0, np.uint64), np.zeros(buckets + 1, np.int64)
-        if key[0].as_py() >= 0:
-            words = shard_words(table)
-            order, cut = in_buckets(words, buckets)
-            words = words[order]
-        some = np.flatnonzero(np.diff(cut))
-        blobs = [six_bytes(words[cut[b] : cut[b + 1]]).tobytes() for b in some]
-        n = len(some)
-        return pa.table({"bucket": pa.array(some, pa.int32()), "shard": pa.array([key[0].as_py()] * n, pa.int32()), "own": pa.array([-1] * n, pa.int64()), "words": pa.array(blobs, pa.binary()), "times": pa.array([b""] * n, pa.binary())})
+    def run(key, table):
+        s = key[0].as_py()
+        if s == -1:
+            return _request_table([])
+        if s < -1:
+            return _request_table([(buckets - 2 - s, -1, -1, table.column("rare")[i].as_py(), packed(unpacked(table.column("sizes")[i].as_buffer(), np.uint32).astype(np.int64))) for i in range(table.num_rows)])
+        rows = ShardRows(table)
+        words, v, w = rows.wanted(unigrams.value)
+        out = []
+        for base, keys in ((0, rows.ids[words]), (buckets, bigram_key(rows.ids[v], rows.ids[w]))):
+            order, cut = in_buckets(keys, buckets)
+            keys = keys[order]
+            out += [(int(base + b), s, -1, six_bytes(keys[cut[b] : cut[b + 1]]).tobytes(), b"") for b in np.flatnonzero(np.diff(cut))]
+        return _request_table(out)
 
     return units.groupBy("shard", "own").applyInArrow(run, REQUEST)
 
 
-def _counted(words: DataFrame, buckets: int) -> DataFrame:
+def _counted(words: DataFrame, unigrams, buckets: int) -> DataFrame:
     """The table of counted words, as rows of shard -1 for the buckets."""
 
     def run(batches):
-        import pyarrow as pa
-
         waiting, held = [], 0
 
         def dealt():
             word, times = (np.concatenate([x[i] for x in waiting]) for i in range(2))
+            word = unigrams.value.ids(word)
             order, cut = in_buckets(word, buckets)
             word, times = word[order], times[order]
-            some = np.flatnonzero(np.diff(cut))
-            blobs = [[f(x[cut[b] : cut[b + 1]]) for b in some] for x, f in ((word, lambda x: six_bytes(x).tobytes()), (times, packed))]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([-1] * len(some), pa.int32()), pa.array([-1] * len(some), pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], names=["bucket", "shard", "own", "words", "times"])
+            rows = [(int(b), -1, -1, six_bytes(word[cut[b] : cut[b + 1]]).tobytes(), packed(times[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut))]
+            return _request_table(rows).to_batches()
 
         for batch in batches:
             waiting.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
             held += batch.num_rows
             if held >= UNIT:
-                yield dealt()
+                yield from dealt()
                 waiting, held = [], 0
         if waiting:
-            yield dealt()
+            yield from dealt()
 
     return words.select("word", "times").mapInArrow(run, REQUEST)
 
 
 def _replies(requests: DataFrame) -> DataFrame:
-    """For each request the counts of its words, 0 for words that training texts do not have."""
+    """For each request the counts of its words or bigrams, 0 for those that training texts do not have."""
 
     def run(table):
         import pyarrow as pa
@@ -298,143 +499,102 @@ def _replies(requests: DataFrame) -> DataFrame:
         blob = lambda k, i: table.column(k)[i].as_buffer()
         known = np.flatnonzero(shard < 0)
         word = np.concatenate([np.zeros(0, np.uint64), *[from_six(blob("words", i)) for i in known]])
-        times = np.concatenate([np.zeros(0, np.int64), *[unpacked(blob("times", i).to_pybytes(), np.int64) for i in known]])
-        order = np.argsort(word)
-        word, times = word[order], times[order]
+        times = np.concatenate([np.zeros(0, np.int64), *[unpacked(blob("times", i), np.int64) for i in known]])
+        word, back = np.unique(word, return_inverse=True)
+        times = np.bincount(back, weights=times, minlength=len(word)).astype(np.int64)
         asked = np.flatnonzero(shard >= 0)
         out = []
         for i in asked:
-            at, hit = Trie._find(word, from_six(blob("words", i)))
-            out.append(packed(np.where(hit, times[at] if len(times) else 0, 0).astype(np.int64)))
+            ask = from_six(blob("words", i))
+            got = np.zeros(len(ask), np.int64)
+            if len(word):
+                at = np.minimum(np.searchsorted(word, ask), len(word) - 1)
+                got = np.where(word[at] == ask, times[at], 0)
+            out.append(packed(got))
         return pa.table({k: table.column(k).take(asked) for k in ("shard", "own", "bucket")} | {"times": pa.array(out, pa.binary())})
 
     return requests.groupBy("bucket").applyInArrow(run, "shard int, own bigint, bucket int, times binary")
 
 
-def _units(source: DataFrame, unigrams, shards: int) -> DataFrame:
-    """Rows for shards 0.. with a unit's pairs (own is -1), and a row for shard -1 with the unit's texts and where each pair stands in them (own is the
-    unit); pairs are in the order of (shard, context, word)."""
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        spread, part = unigrams.value.spread(shards)[0], TaskContext.get().partitionId()
-        names = ["shard", "own", "unit", "contexts", "widths", "words", "trained", "keys", "owners"]
-        waiting: list = []
-        made = 0
-
-        def unit():
-            v, w, row = (np.concatenate([x[i] for x in waiting]) for i in range(3))
-            train = np.concatenate([x[4] for x in waiting])
-            place = (shard_of(v, w, spread, shards).astype(np.uint64) << np.uint64(48)) | v
-            order = np.lexsort((w, place))
-            place, w, row = place[order], w[order], row[order]
-            new_place = np.r_[True, place[1:] != place[:-1]]
-            pair = np.flatnonzero(new_place | np.r_[True, w[1:] != w[:-1]])
-            context = np.flatnonzero(new_place[pair])
-            place, w = place[pair], w[pair]
-            times = np.diff(np.r_[pair, len(row)]).astype(np.uint32)
-            widths = np.diff(np.r_[context, len(pair)]).astype(np.uint32)
-            trained = np.add.reduceat(train[row].astype(np.uint32), pair, dtype=np.uint32)
-            words6 = six_bytes(w)
-            cut = np.searchsorted(place >> np.uint64(48), np.arange(shards + 1, dtype=np.uint64))
-            first = np.searchsorted(context, cut)
-            # the unit's number must be the same if the task runs again
-            number = (part << 24) | made
-            made_rows = [
-                (int(s), -1, number, (place[context[first[s] : first[s + 1]]] & _BITS).tobytes(), widths[first[s] : first[s + 1]].tobytes(), words6[cut[s] : cut[s + 1]].tobytes(), trained[cut[s] : cut[s + 1]].tobytes(), b"", b"")
-                for s in np.flatnonzero(np.diff(cut))
-            ]
-            sink = pa.BufferOutputStream()
-            keys = pa.record_batch([pa.concat_arrays([x[3] for x in waiting]), pa.array(~train), pa.array(np.concatenate([x[5] for x in waiting]))], names=["key", "held", "n"])
-            with pa.ipc.new_stream(sink, keys.schema) as f:
-                f.write_batch(keys)
-            row = row.astype(np.uint16 if len(train) <= 1 << 16 else np.uint32)
-            made_rows.append((-1, number, number, b"", widths.tobytes(), b"", packed(times), sink.getvalue().to_pybytes(), packed(row)))
-            kinds = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 6
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in made_rows], t) for i, t in enumerate(kinds)], names=names)
-
-        held = rows = 0
-        for batch in batches:
-            data, offsets = X.column_bytes(batch.column(2))
-            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for row, end, block, own in X.blocks(data, offsets):
-                tokens, first = block_tokens(block, own)
-                v, w, r = block_pairs(tokens, first)
-                waiting.append((v, w, r + rows, batch.column(0).slice(row, end - row), flags[row:end], np.diff(first) + 1))
-                held += len(v)
-                rows += end - row
-                if held >= UNIT:
-                    yield unit()
-                    waiting, held, rows, made = [], 0, 0, made + 1
-        if waiting:
-            yield unit()
-
-    return source.mapInArrow(run, "shard int, own bigint, unit bigint, contexts binary, widths binary, words binary, trained binary, keys binary, owners binary")
-
-
-ANSWER = "shard int, unit bigint, totals binary, scores binary, widths binary, times binary, keys binary, owners binary"
+ANSWER = "shard int, unit bigint, totals binary, scores binary, sizes binary, times binary, owners binary, keys binary"
 
 
 def _answers(units: DataFrame, replies: DataFrame, unigrams, shards: int, buckets: int) -> DataFrame:
-    """A shard's answers to each unit: totals of its contexts (-1 for the beginning of texts) and log10 p of its pairs; rows of shard -1 pass."""
+    """A shard's answers to each unit: totals of its contexts (-1 for the beginning of texts) and log10 p of its trigrams; rows of shard -1 pass."""
 
     def run(key, table, counts):
         import pyarrow as pa
 
         known = unigrams.value
-        spread, spread_total = known.spread(shards)
         n = table.num_rows
         empty = pa.array([b""] * n, pa.binary())
-        if key[0].as_py() < 0:
-            col = table.column
-            return pa.table({"shard": col("shard"), "unit": col("unit"), "totals": empty, "scores": empty, "widths": col("widths"), "times": col("trained"), "keys": col("keys"), "owners": col("owners")})
-        get = lambda k, i, t: np.frombuffer(table.column(k)[i].as_buffer(), t)
-
-        words = lambda i: from_six(table.column("words")[i].as_buffer())
-        # the level of words: what this shard asked for, in the same order
-        level = shard_words(table)
-        place, cut = in_buckets(level, buckets)
-        times = np.zeros(len(level), np.int64)
-        for bucket, blob in zip(counts.column("bucket").to_pylist(), counts.column("times"), strict=True):
-            times[place[cut[bucket] : cut[bucket + 1]]] = unpacked(blob.as_buffer().to_pybytes(), np.int64)
-        logs = known.log_share(times)
-        log_word = lambda w: logs[np.searchsorted(level, w)]
-
-        contexts = lambda i: np.repeat(get("contexts", i, np.uint64), get("widths", i, np.uint32))
-        seen = [(contexts(i)[use], words(i)[use], count[use]) for i in range(n) if (use := (count := get("trained", i, np.uint32)) > 0).any()]
-        vs, ws, ts = (np.concatenate([x[i] for x in seen]) if seen else np.zeros(0, np.uint64) for i in range(3))
-        del seen
-        order = np.lexsort((ws, vs))
-        vs, ws, ts = vs[order], ws[order], ts[order].astype(np.int64)
-        start = np.flatnonzero(np.r_[True, (vs[1:] != vs[:-1]) | (ws[1:] != ws[:-1])]) if len(vs) else np.zeros(0, np.int64)
-        pv, pw, pc = vs[start], ws[start], (np.add.reduceat(ts, start) if len(start) else np.zeros(0, np.int64))
-        del vs, ws, ts, order
-        # totals of contexts: all of a context's pairs are here, or the context is spread and known
-        first = np.flatnonzero(np.r_[True, pv[1:] != pv[:-1]]) if len(pv) else np.zeros(0, np.int64)
-        own, totals = pv[first], (np.add.reduceat(pc, first) if len(first) else np.zeros(0)).astype(np.float64)
-
-        def total(x):
-            at, hit = Trie._find(own, x)
-            wide_at, wide_hit = Trie._find(spread, x)
-            out = np.where(hit, totals[at] if len(totals) else 0.0, 0.0)
-            return np.where(wide_hit, spread_total[wide_at] if len(spread_total) else 0.0, out)
-
-        trie = Trie.build(pv, pw, pc, total(pv), log_word)
-        answers, scores = [], []
-        for i in range(n):
-            v = get("contexts", i, np.uint64)
-            got = total(v)
-            backoff = np.repeat(np.log10(MU / (got + MU)), get("widths", i, np.uint32))
-            scores.append(packed(trie.log10(contexts(i), words(i), log_word, backoff).astype(np.float32)))
-            answers.append(np.where(v == BEGIN, -1, got).astype(np.int64).tobytes())
         col = table.column
-        return pa.table({"shard": col("shard"), "unit": col("unit"), "totals": pa.array(answers, pa.binary()), "scores": pa.array(scores, pa.binary()), "widths": empty, "times": empty, "keys": empty, "owners": empty})
+        if key[0].as_py() == -1:
+            return pa.table({"shard": col("shard"), "unit": col("unit"), "totals": empty, "scores": empty, "sizes": col("sizes"), "times": col("codes"), "owners": col("rare"), "keys": col("keys")})
+        if key[0].as_py() < -1:
+            return pa.Table.from_batches([], pa.schema([("shard", pa.int32()), ("unit", pa.int64()), *[(k, pa.binary()) for k in ("totals", "scores", "sizes", "times", "owners", "keys")]]))
+        rows = ShardRows(table)
+        words, bv, bw = rows.wanted(known)
+        # counts of words and of spread contexts' bigrams, in the order of asking
+        got = [np.zeros(len(words), np.int64), np.zeros(len(bv), np.int64)]
+        slots = [in_buckets(rows.ids[words], buckets), in_buckets(bigram_key(rows.ids[bv], rows.ids[bw]), buckets)]
+        for bucket, blob in zip(counts.column("bucket").to_pylist(), counts.column("times"), strict=True):
+            (order, cut), b = slots[bucket // buckets], bucket % buckets
+            got[bucket // buckets][order[cut[b] : cut[b + 1]]] = unpacked(blob.as_buffer(), np.int64)
+        word_times = np.zeros(rows.n_words, np.int64)
+        word_times[words] = got[0]
+        word_times[rows.ids == FINISH] = known.texts
+        # trained trigrams; totals of contexts: all of a context's are here, or the context is spread and known
+        seen = np.flatnonzero(rows.times)
+        v, u, w, times = rows.v[seen], rows.u[seen], rows.w[seen], rows.times[seen]
+        wide = known.is_spread(rows.ids)
+        total = np.bincount(v, weights=times, minlength=rows.n_words).astype(np.int64)
+        at = np.flatnonzero(wide)
+        total[at] = known.spread_total[np.searchsorted(known.spread, rows.ids[at])]
+        # bigrams: from the trigrams, or asked for
+        thin = np.flatnonzero(~wide[v])
+        pair, back = np.unique(v[thin] * rows.n_words + w[thin], return_inverse=True)
+        pair_times = np.bincount(back, weights=times[thin], minlength=len(pair)).astype(np.int64)
+        some = got[1] > 0
+        pair, pair_times = np.r_[pair, (bv * rows.n_words + bw)[some]], np.r_[pair_times, got[1][some]]
+        order = np.argsort(pair)
+        pair, pair_times = pair[order], pair_times[order]
+        # the trie has the words that training texts have
+        used = (word_times > 0) | (total > 0)
+        used[u] = used[v] = used[w] = True
+        number = np.cumsum(used) - 1
+        contexts = np.flatnonzero(total)
+        place = np.searchsorted(contexts, np.arange(rows.n_words))
+        trie = Trie.build(
+            rows.ids[used], word_times[used], number[contexts], total[contexts], (place[pair // rows.n_words], number[pair % rows.n_words], pair_times), (place[v], number[u], number[w], times), known.tokens
+        )
+        del v, u, w, times, pair, pair_times, back, seen, thin
+        number, log_word, total = trie.numbers(rows.ids)
+        scores = np.concatenate([np.zeros(0)] + [trie.log10(number[rows.u[a:z]], number[rows.v[a:z]], number[rows.w[a:z]], log_word[rows.w[a:z]]) for a, z in pieces(len(rows.v))])
+        scores = np.rint(-scores / ANSWER_STEP).astype(np.uint32)[rows.back]
+        total[rows.ids == BEGIN] = -1
+        answers = [packed(total[v]) for v in rows.heads]
+        bounds = np.cumsum([0, *rows.pairs])
+        return pa.table(
+            {
+                "shard": col("shard"),
+                "unit": col("unit"),
+                "totals": pa.array(answers, pa.binary()),
+                "scores": pa.array([packed(scores[a:z]) for a, z in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+                "sizes": empty,
+                "times": empty,
+                "owners": empty,
+                "keys": empty,
+            }
+        )
 
     return units.groupBy("shard", "own").cogroup(replies.groupBy("shard", "own")).applyInArrow(run, ANSWER)
 
 
+def pieces(n: int, size: int = 1 << 18):
+    return [(a, min(n, a + size)) for a in range(0, n, size)]
+
+
 def _by_row(answers: DataFrame, unigrams) -> DataFrame:
     """A unit's answers, summed up by text."""
 
@@ -443,18 +603,17 @@ def _by_row(answers: DataFrame, unigrams) -> DataFrame:
 
         known = unigrams.value
         at = {s: i for i, s in enumerate(table.column("shard").to_pylist())}
-        get = lambda k, s, t: np.frombuffer(table.column(k)[at[s]].as_buffer(), t)
+        read = lambda k, s, t: unpacked(table.column(k)[at[s]].as_buffer(), t)
         order = sorted(s for s in at if s >= 0)
-        totals = np.concatenate([get("totals", s, np.int64) for s in order])
-        read = lambda k, s, t: unpacked(table.column(k)[at[s]].as_buffer().to_pybytes(), t)
-        scores = np.concatenate([read("scores", s, np.float32) for s in order]).astype(np.float64)
+        totals = np.concatenate([read("totals", s, np.int64) for s in order])
+        scores = -ANSWER_STEP * np.concatenate([read("scores", s, np.uint32) for s in order])
         keys = pa.ipc.open_stream(table.column("keys")[at[-1]].as_buffer()).read_all()
         n = keys.num_rows
         times = read("times", -1, np.uint32)
         owners = read("owners", -1, np.uint16 if n <= 1 << 16 else np.uint32)
         base = np.where(totals < 0, 0.0, np.log10((np.maximum(totals, 0) + 1) / (known.tokens + known.distinct + 1)))
         pair_of = np.repeat(np.arange(len(scores)), times)
-        context_of = np.repeat(np.arange(len(totals)), get("widths", -1, np.uint32))[pair_of]
+        context_of = np.repeat(np.arange(len(totals)), read("sizes", -1, np.uint32))[pair_of]
         add = lambda x: np.bincount(owners, weights=x, minlength=n)
         # the end of each text is a token as well
         ends = np.log10((known.texts + 1) / (known.tokens + known.distinct + 1))
@@ -472,16 +631,19 @@ def train_and_score(documents: DataFrame, train, key: str = "doc_id", text: str
     source = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(train, F.lit(True)).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = written(count_words(source.where("train")), "op3_words")
     sums = words.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == FINISH, F.col("times"))), F.lit(0))).first()
-    shards = parts_for(documents, SHARD_INPUT, 12, 1 << 15)
+    tokens, distinct, texts = map(int, sums)
+    shards = parts_for(documents, SHARD_INPUT, 12)
     buckets = max(12, shards // 8)
-    # 4 * shards of them at most, as their counts add up to no more than all tokens
-    heavy = [(r.word, r.times) for r in words.where((F.col("word") != FINISH) & (F.col("times") * (4 * shards) >= int(sums[0]))).collect()]
-    unigrams = documents.sparkSession.sparkContext.broadcast(Unigrams(heavy, *map(int, sums)))
+    plain = words.where(F.col("word") != FINISH)
+    frequent = np.array([r.word for r in plain.orderBy(F.desc("times"), "word").limit(FREQUENT).select("word").collect()], np.int64).view(np.uint64)
+    # 2 * shards of them at most, as their counts add up to no more than all tokens
+    heavy = [(r.word, r.times) for r in plain.where(F.col("times") * (2 * shards) >= tokens).collect()]
+    unigrams = documents.sparkSession.sparkContext.broadcast(Unigrams(frequent, heavy, tokens, distinct, texts, shards))
     # both readers of units take them from one exchange
-    units = _units(source, unigrams, shards)
-    replies = _replies(_requests(units, buckets).unionByName(_counted(words, buckets)))
+    units = _units(source, unigrams, shards, buckets)
+    replies = _replies(_requests(units, unigrams, buckets).unionByName(_counted(plain, unigrams, buckets)))
     out = _by_row(_answers(units, replies, unigrams, shards, buckets), unigrams)
-    return out.withColumn("train_tokens", F.lit(int(sums[0])).cast("long")).withColumnRenamed("key", key)
+    return out.withColumn("train_tokens", F.lit(tokens).cast("long")).withColumnRenamed("key", key)
 
 
 def op3_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

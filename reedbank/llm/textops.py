@@ -1,9 +1,9 @@
 """Vectorised text kernels over Arrow string columns, shared by the free-style operators.
 
 A column of texts is seen as one UTF-8 byte array with row offsets.  Words, word hashes and hashes of
-word runs come from a few NumPy passes over these bytes, with no Python loop over words.  Hashes are 64-bit
-polynomials over a table of random byte values, so that the hash of any byte range is a
-difference of two prefix sums.
+word runs come from a few NumPy passes over these bytes, with no Python loop over words.  Hashes of words and of
+other byte ranges mix eight bytes at a time in a chain, where each step depends on all before (mixed_ranges).  Where only a place is to be chosen and
+equality is not decided, ByteHashes are cheaper: 64-bit polynomials over random byte values, so that any range is a difference of two prefix sums.
 """
 
 from __future__ import annotations
@@ -95,8 +95,35 @@ def blocks(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK_BYTES):
         row = end
 
 
+#: Ranges up to this many bytes are mixed side by side, longer ones one by one.
+SIDE_BY_SIDE = 256
+
+
+def mixed_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end), of their bytes and lengths alone."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    with np.errstate(over="ignore"):
+        out = mix64(size.astype(np.uint64) * _GOLD + _M1)
+    active = np.flatnonzero((size > 0) & (size <= SIDE_BY_SIDE))
+    at, left = start[active], size[active]
+    while len(active):
+        cut = ((8 - np.minimum(left, 8)) * 8).astype(np.uint64)
+        x = (eights[at] << cut) >> cut
+        with np.errstate(over="ignore"):
+            out[active] = mix64((out[active] ^ x) * _GOLD + _M2)
+        more = left > 8
+        active, at, left = active[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > SIDE_BY_SIDE):
+        import xxhash
+
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
 class ByteHashes:
-    """Hashes of arbitrary byte ranges of one block."""
+    """Hashes of arbitrary byte ranges of one block, for choices only: texts can be made that agree in them."""
 
     def __init__(self, data: np.ndarray):
         with np.errstate(over="ignore"):
@@ -129,7 +156,7 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.data = data
         if hashed:
-            self.hash = ByteHashes(data).ranges(self.start, self.end)
+            self.hash = mixed_ranges(data, self.start, self.end)
 
     @property
     def counts(self) -> np.ndarray:

@@ -140,109 +140,6 @@ def test_op2(spark, docs, rows, parts, monkeypatch):
         assert order == sorted(order, key=lambda k: (k is not None, k))
 
 
-# ---- 3
-
-
-def test_op3(spark, docs):
-    from reedbank.llm import op03_lm_trie as op
-
-    rows = docs[:120] + ODD
-    train = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2, F.lit(True))
-    got = op.train_and_score(frame(spark, rows), train).collect()
-    held = [k is not None and zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows]
-    tokens = [WORD.findall(lower(t or "")) + ["\0end"] for _, t in rows]
-    count, pairs, contexts = collections.Counter(), collections.Counter(), collections.Counter()
-    for t, h in zip(tokens, held, strict=True):
-        if not h:
-            count.update(t)
-            pairs.update(zip(["\0begin", *t], t, strict=False))
-            contexts.update(["\0begin", *t[:-1]])
-    n, v = sum(count.values()), len(count)
-    word = lambda w: (count[w] or 1) / (n + 1)
-    want = []
-    for (k, _), t, h in zip(rows, tokens, held, strict=True):
-        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t)
-        score = sum(math.log10((pairs[a, b] + op.MU * word(b)) / (contexts[a] + op.MU)) for a, b in zip(["\0begin", *t], t, strict=False))
-        want.append((k, h, len(t), sum(count[w] > 0 for w in t), n, base, score))
-    order = lambda r: (str(r[0]), r[2], r[5])
-    for g, w in zip(sorted(map(lambda r: (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score), got), key=order), sorted(want, key=order), strict=True):
-        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9)
-        assert abs(g[6] - w[6]) <= op.STEP * w[2]  # one step of quantisation a token
-
-
-def test_op3_levels(tmp_path):
-    from reedbank.llm import op03_lm_trie as op
-
-    rng = np.random.default_rng(0)
-    for top in (1, 50, 1 << 48):
-        x = np.sort(rng.integers(0, top, 500, dtype=np.uint64))
-        assert (op.ef_decode(op.ef_encode(x)) == x).all()
-    assert len(op.ef_decode(op.ef_encode(np.zeros(0, np.uint64)))) == 0
-    v, w = np.array([3, 3, 9], np.uint64), np.array([4, 7, 4], np.uint64)
-    flat = lambda x: np.full(len(x), -2.0)
-    trie = op.Trie.build(v, w, np.array([5, 1, 2]), np.array([6.0, 6.0, 2.0]), flat)
-    op.save_levels(trie, str(tmp_path / "t"))
-    for t in (trie, op.open_levels(str(tmp_path / "t"))):
-        got = t.log10(np.array([3, 9, 9, 5], np.uint64), np.array([4, 4, 7, 4], np.uint64), flat, np.zeros(4))
-        want = [np.log10((5 + 0.5) / 56), np.log10((2 + 0.5) / 52), np.log10(50 / 52) - 2, -2]
-        assert np.allclose(got, want, atol=op.STEP)
-
-
-def test_op3_small_probabilities():
-    """A pair seen once after a context seen 10**9 or 10**11 times is as rare as its counts say."""
-    from reedbank.llm import op03_lm_trie as op
-
-    v, w, flat = np.array([3, 4], np.uint64), np.array([7, 7], np.uint64), lambda x: np.full(len(x), -9.0)
-    totals = np.array([1e9, 1e11])
-    trie = op.Trie.build(v, w, np.array([1, 1]), totals, flat)
-    assert np.allclose(trie.log10(v, w, flat, np.zeros(2)), [-9, -11], atol=op.STEP)
-    assert np.allclose(trie.log10(v, w + np.uint64(1), flat, np.zeros(2)), np.log10(50 / totals) - 9, atol=op.STEP)
-
-
-def test_op3_spread_contexts(spark):
-    """A context with a third of all tokens is spread over shards without changing any score."""
-    from reedbank.llm import op03_lm_trie as op
-
-    rows = [(i, " ".join(f"the w{(i * 7 + j) % 50}" for j in range(20))) for i in range(60)]
-    u = op.Unigrams([(5, 1200)] + [(10 + i, 24) for i in range(50)], 2460, 52, 60)
-    assert 5 in u.spread(12)[0]
-    got = {r.doc_id: r.score for r in op.train_and_score(frame(spark, rows), F.lit(True)).collect()}
-    pairs, contexts, count = collections.Counter(), collections.Counter(), collections.Counter()
-    for _, t in rows:
-        s = ["\0b", *t.split(), "\0e"]
-        pairs.update(zip(s, s[1:], strict=False))
-        contexts.update(s[:-1])
-        count.update(s[1:])
-    n = sum(count.values())
-    for k, t in rows:
-        s = ["\0b", *t.split(), "\0e"]
-        want = sum(math.log10((pairs[a, b] + op.MU * count[b] / (n + 1)) / (contexts[a] + op.MU)) for a, b in zip(s, s[1:], strict=False))
-        assert abs(got[k] - want) <= op.STEP * len(s)
-
-
-def test_op3_every_word_counts(spark):
-    """Behind 65,536 more frequent words, words seen once and words seen eight times are told apart."""
-    from reedbank.llm import op03_lm_trie as op
-
-    rows = [(i, " ".join([f"v{i}x{j}" for j in range(660)] * 8 + [f"r{i}x{j}" for j in range(20)])) for i in range(100)]
-    # pairs that training texts do not have, so that p(w) alone tells the words apart
-    asked = [(1000 + i, " ".join(f"{c}{(j * 7) % 100}x{j % n}" for j in range(200))) for i, (c, n) in enumerate([("r", 20), ("v", 660)])] + [(2000, "never seen words here")]
-    train = F.col("doc_id") < 1000
-    got = {r.doc_id: r.score for r in op.train_and_score(frame(spark, rows + asked), train).collect()}
-    pairs, contexts, count = collections.Counter(), collections.Counter(), collections.Counter()
-    for _, t in rows:
-        s = ["\0b", *t.split(), "\0e"]
-        pairs.update(zip(s, s[1:], strict=False))
-        contexts.update(s[:-1])
-        count.update(s[1:])
-    n = sum(count.values())
-    assert len(count) > 1 << 16
-    for k, t in asked:
-        s = ["\0b", *t.split(), "\0e"]
-        want = sum(math.log10((pairs[a, b] + op.MU * max(1, count[b]) / (n + 1)) / (contexts[a] + op.MU)) for a, b in zip(s, s[1:], strict=False))
-        assert abs(got[k] - want) <= op.STEP * len(s)
-
-
 # ---- 4
 
 
