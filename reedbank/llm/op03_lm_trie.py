@@ -36,7 +36,7 @@ MU2, MU3, UNIT, STEP = 500.0, 10.0, 3 << 18, 1 / 64
 #: What answers are rounded to on their way back.
 ANSWER_STEP = 1 / 1024
 #: Bytes of input for each shard.
-SHARD_INPUT = 6 << 20
+SHARD_INPUT = 3 << 20
 _BITS = np.uint64((1 << 48) - 1)
 BEGIN, FINISH = 1, 2  # reserved word numbers
 FREQUENT, RARE = (1 << 16) - 3, np.uint64(1 << 16)
@@ -632,7 +632,7 @@ def train_and_score(documents: DataFrame, train, key: str = "doc_id", text: str
     words = written(count_words(source.where("train")), "op3_words")
     sums = words.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == FINISH, F.col("times"))), F.lit(0))).first()
     tokens, distinct, texts = map(int, sums)
-    shards = parts_for(documents, SHARD_INPUT, 12)
+    shards = parts_for(documents, text, SHARD_INPUT, 12)
     buckets = max(12, shards // 8)
     plain = words.where(F.col("word") != FINISH)
     frequent = np.array([r.word for r in plain.orderBy(F.desc("times"), "word").limit(FREQUENT).select("word").collect()], np.int64).view(np.uint64)
