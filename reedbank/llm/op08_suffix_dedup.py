@@ -227,7 +227,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     source = documents.select(
         F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    buckets = parts_for(documents, 8 << 20, 12)
+    buckets = parts_for(documents, text, 8 << 20, 12)
     marks = written(_sources(_contexts(source, buckets)), "op8_marks")
     wanted = marks.where("anchor is not null")
     ask = F.struct("start", "left", "right", "anchor")

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all runs in one process (tests) a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="reedbank_")
         atexit.register(shutil.rmtree, own, True)
         found = "file://" + own
@@ -52,17 +54,34 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the files behind df, as the optimizer knows it; for numbers of parts, never for results."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001  an estimate only
-        return 0
+def input_bytes(df: DataFrame, text: str) -> int:
+    """Size of the input behind df, for numbers of parts and never for results: of its files, as the optimizer knows it, where df is a table with
+    filters and columns; else the bytes of its texts are counted."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(node.stats().sizeInBytes()))
+    while node.children().size() == 1:
+        node = node.children().apply(0)
+    if node.children().size() == 0 and size < UNKNOWN:
+        return size
+    return int(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0])
 
 
-def parts_for(df: DataFrame, bytes_each: int, least: int = 8, most: int = 200_000) -> int:
-    """How many parts give each about bytes_each of df's input; an unknown size counts as one part each 64 MB of nothing."""
-    n = input_bytes(df)
-    if n >= 1 << 60:  # a default for unknown sizes
-        n = 0
-    return int(min(most, max(least, n // max(1, bytes_each))))
+#: Sizes from here on are the optimizer's default for what it doesn't know.
+UNKNOWN = 1 << 60
+
+
+def parts_for(df: DataFrame, text: str, bytes_each: int, least: int = 8) -> int:
+    """How many parts give each about bytes_each of df's input."""
+    return max(least, input_bytes(df, text) // bytes_each)
+
+
+#: Keys with more than this share of a table's rows are hot; so there are no more than its inverse of them.
+HOT_SHARE = 1 / 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n_rows: int, times: str = "times", how: str = "inner") -> DataFrame:
+    """rows joined with table (a row for each key, times: how often rows have it).  Rows of hot keys meet their few table rows by broadcast,
+    so no key's rows are gathered in one task; all others are shuffled.  rows are read twice."""
+    hot = table.where(F.col(times) > max(1000, n_rows * HOT_SHARE)).drop(times)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.drop(times), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

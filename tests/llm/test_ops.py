@@ -96,6 +96,20 @@ def test_op1(spark, docs, case, monkeypatch):
     assert sorted(got, key=str) == jaccard(rows)
 
 
+def thue_morse(n=1024):
+    """Two words that hashes by powers modulo 2**64 cannot tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_op1_tells_long_words_apart(spark):
+    from reedbank.llm import op01_ngram_join as op
+
+    a, b = thue_morse()
+    rows = [(1, a), (2, b), (3, a[:64]), (4, b[:64]), (5, a + " x")]
+    assert {r.doc_id: r.component_id for r in op.jaccard_components(frame(spark, rows)).collect()} == {k: k for k in range(1, 6)}
+
+
 def test_op1_parts():
     from reedbank.llm import op01_ngram_join as op
 
@@ -117,27 +131,41 @@ def test_op1_parts():
 # ---- 2
 
 
-@pytest.mark.parametrize("parts", [256, 4])
-@pytest.mark.parametrize("rows", [None, ODD, []], ids=["table", "odd", "empty"])
-def test_op2(spark, docs, rows, parts, monkeypatch):
+def sharded(rows, shards=16):
+    """(key, size, crc, shard, slot) by one sorted pass over all rows."""
+    own = sorted(((k is not None, k or 0), zlib.crc32(b), len(b) + 1) for k, t in rows for b in [(t or "").encode()])
+    total, upto, slots, out = sum(r[2] for r in own), 0, collections.Counter(), []
+    for (real, k), crc, size in own:
+        upto += size
+        shard = min(shards - 1, (2 * upto - size) * shards // (2 * total))
+        out.append((k if real else None, size, crc, shard, slots[shard]))
+        slots[shard] += 1
+    return sorted(out, key=str)
+
+
+HOT = [(7, f"text {i % 3}") for i in range(60)] + [(None, "null key")] * 20 + [(i, "x" * i) for i in range(40)] + [(5, "one text")] * 50
+
+
+@pytest.mark.parametrize("part", [1 << 14, 16, 1])
+@pytest.mark.parametrize("rows", [None, ODD, [], HOT], ids=["table", "odd", "empty", "hot"])
+def test_op2(spark, docs, rows, part, monkeypatch):
     from reedbank.llm import op02_shard as op
 
-    monkeypatch.setattr(op, "ROWS_IN_PART", 16 if parts > 4 else 3)
-    monkeypatch.setattr(op, "PARTS", parts)
+    monkeypatch.setattr(op, "ROWS_IN_PART", part)
     rows = docs if rows is None else rows
-    out = op.shard_by_bytes(frame(spark, rows)).collect()
-    assert len(out) == len(rows)
-    text = lambda r: [(t or "").encode() for k, t in rows if k == r.doc_id]
-    assert all(any(r.size == len(b) + 1 and r.text_crc32 == zlib.crc32(b) for b in text(r)) for r in out)
-    slots = collections.defaultdict(list)
-    for r in out:
-        slots[r.shard].append(r)
-    assert all(sorted(x.slot for x in v) == list(range(len(v))) for v in slots.values())
-    if rows:
-        sizes, target = [sum(x.size for x in slots[s]) for s in range(16)], sum(r.size for r in out) / 16
-        assert all(abs(s - target) <= max(r.size for r in out) for s in sizes)
-        order = [r.doc_id for s in range(16) for r in sorted(slots[s], key=lambda x: x.slot)]
-        assert order == sorted(order, key=lambda k: (k is not None, k))
+    if part == 1:
+        rows = rows[:40]
+    out = op.shard_by_bytes(frame(spark, rows))
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in out.collect()), key=str) == sharded(rows)
+
+
+def test_op2_string_keys(spark, monkeypatch):
+    from reedbank.llm import op02_shard as op
+
+    monkeypatch.setattr(op, "ROWS_IN_PART", 8)
+    df = spark.createDataFrame([(f"k{i:03}", "x" * (i % 9)) for i in range(100)], "name string, body string")
+    out = sorted(op.shard_by_bytes(df, "name", "body").collect(), key=lambda r: (r.shard, r.slot))
+    assert [r.name for r in out] == [f"k{i:03}" for i in range(100)] and len({r.shard for r in out}) == 16
 
 
 # ---- 4
