@@ -3,17 +3,20 @@
 Every string of LENGTH bytes holds an anchor: the place of its smallest hash of GRAM bytes (leftmost of equal ones), which depends on the string
 alone, so equal strings have equal anchors at equal places.  An anchor's context is the bytes of all strings that may hold it.
 
-1. Anchors are compared by (anchor hash, context hash).  A context that occurs earlier is a repeat as a whole.  In a unit of the input only the first of
-   equal contexts is sent on, so what meets in one task grows with the number of units, not with the copies.
-2. Where one anchor has several contexts, the first occurrence of each goes to the anchor's shard.  The shard's suffix array is built by induced sorting; runs of
-   suffixes with common prefixes of LENGTH bytes are the equal strings, and all but the earliest of a run are repeats.  An anchor with more than
-   MOST_CONTEXTS contexts (the edge of a passage that very many texts share) would make one shard too large: its strings are dealt one by one, by
-   their hashes, after equal ones of a batch have been settled there.
+1. Anchors are compared by (anchor hash, context hash), in buckets of both, so a bucket's size does not depend on any anchor's contexts.  A context that
+   occurs earlier is a repeat as a whole.  In a unit of the input only the first of equal contexts is sent on, so what meets in one task grows with
+   the number of units, not with the copies.  Each bucket then asks how many contexts its anchors have in all: its own counts go to buckets of anchors, are
+   added up there, and come back.
+2. Where one anchor has several contexts, the first occurrence of each goes to the anchor's shard.  The shard's suffix array is built by induced sorting, and
+   permuted common prefixes of LENGTH bytes and more join neighbours to runs of equal strings; all but the earliest of a run are repeats.  An
+   anchor with more than MOST_CONTEXTS contexts (the edge of a passage that very many texts share) would make one shard too large: its strings are
+   dealt one by one, by their hashes, after equal ones of a batch have been settled there.
 3. Repeats are united by document and cut out.
 
 Order: documents by key (null first), then by a hash of the text; in a document by start.  Matches lie inside documents and are judged on the
 input.  Rows with the same key and text are one document, and each gets its result.  Null and empty texts have nothing to remove.  Keys are cast to long.
-Other columns are ignored.  Whole texts are used, none is cut; memory follows the longest text.  Contexts are compared by 64-bit hashes.
+Other columns are ignored.  Whole texts are used, none is cut; memory follows the longest text.  Contexts are compared by 64-bit hashes that mix all their
+bytes, strings in shards byte by byte.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ from pyspark.sql import functions as F
 
 from reedbank.llm import textops as X
 from reedbank.llm.shared import parts_for, read_table, small_batches, written
-from reedbank.llm.suffix_sort import repeats_at_least, suffix_array
+from reedbank.llm.suffix_sort import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 100, 32
 UNIT_BYTES = 12 << 20
 SHARD_BYTES = 1 << 20
 MOST_CONTEXTS = 50_000
-LEAST = np.iinfo(np.int64).min
+#: A document's mark is a hash of 62 bits, and this bit where its key isn't null, so that null keys come first among equal ones.
+HAS_KEY = 1 << 62
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -62,7 +66,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     left = np.minimum(length - gram, place - offsets[row])
     right = np.minimum(length, offsets[row + 1] - place)
     with np.errstate(over="ignore"):
-        context = X.mix64(hashes.ranges(place - left, place + right) + left.astype(np.uint64) * X._GOLD)
+        context = X.mix64(X.mixed_ranges(data, place - left, place + right) + left.astype(np.uint64) * X._GOLD)
     return row, place, grams[place], left, right, context
 
 
@@ -80,7 +84,7 @@ def _places(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, anchor: np.nda
 
 
 def _contexts(source: DataFrame, buckets: int) -> DataFrame:
-    """Anchors by bucket of their hash, one for each (anchor, context) of a unit; bucket -1 - b has the other ones, which are repeats."""
+    """Anchors by bucket of (anchor, context), one for each of these of a unit; bucket -1 - b has the other ones, which are repeats."""
 
     def run(batches):
         import pyarrow as pa
@@ -92,7 +96,8 @@ def _contexts(source: DataFrame, buckets: int) -> DataFrame:
             doc, mark, start, left, right, anchor, context = (np.concatenate([x[i] for x in waiting]) for i in range(7))
             order = _places(doc, mark, start, anchor, context)
             doc, mark, start, left, right, anchor, context = (x[order] for x in (doc, mark, start, left, right, anchor, context))
-            bucket = (anchor % np.uint64(buckets)).astype(np.int64)
+            with np.errstate(over="ignore"):
+                bucket = (X.mix64(anchor * X._GOLD + context) % np.uint64(buckets)).astype(np.int64)
             first = np.ones(len(anchor), bool)
             first[1:] = (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
             # repeats of a unit only need a task of their own
@@ -120,30 +125,82 @@ def _contexts(source: DataFrame, buckets: int) -> DataFrame:
     return source.mapInArrow(run, "bucket int, doc binary, mark binary, start binary, left binary, right binary, anchor binary, context binary")
 
 
-def _sources(contexts: DataFrame) -> DataFrame:
-    """Repeats as a whole (anchor null), and first occurrences of contexts whose anchor has several ones."""
+FIELDS = {"doc": np.int64, "mark": np.int64, "start": np.int32, "left": np.int16, "right": np.int16, "anchor": np.uint64, "context": np.uint64}
+
+
+def _bucket(table) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's anchors in order, which of them are the first of their context, the distinct anchors and how many contexts each has here."""
+    x = {k: np.concatenate([np.frombuffer(b.as_buffer(), t) for b in table.column(k)]) for k, t in FIELDS.items()}
+    order = _places(*(x[k] for k in ("doc", "mark", "start", "anchor", "context")))
+    x = {k: v[order] for k, v in x.items()}
+    new = np.r_[True, x["anchor"][1:] != x["anchor"][:-1]]
+    first = new | np.r_[True, x["context"][1:] != x["context"][:-1]]
+    at = np.flatnonzero(new)
+    return x, first, x["anchor"][at], np.add.reduceat(first.astype(np.uint32), at, dtype=np.uint32)
+
+
+COUNTS = "place int, bucket int, anchors binary, times binary"
+
+
+def _asked(contexts: DataFrame, buckets: int) -> DataFrame:
+    """A bucket's distinct anchors and their numbers of contexts, by place: the bucket of the anchor alone."""
 
     def run(table):
         import pyarrow as pa
 
-        kinds = {"doc": np.int64, "mark": np.int64, "start": np.int32, "left": np.int16, "right": np.int16, "anchor": np.uint64, "context": np.uint64}
-        x = {k: np.concatenate([np.frombuffer(b.as_buffer(), t) for b in table.column(k)]) for k, t in kinds.items()}
-        if table.column("bucket")[0].as_py() < 0:
-            keep, ask = np.arange(len(x["doc"])), np.zeros(len(x["doc"]), bool)
+        bucket, rows = table.column("bucket")[0].as_py(), []
+        if bucket >= 0:
+            _, _, anchor, times = _bucket(table)
+            place = (anchor % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            cut = np.searchsorted(place[order], np.arange(buckets + 1))
+            rows = [(int(p), bucket, anchor[order[cut[p] : cut[p + 1]]].tobytes(), times[order[cut[p] : cut[p + 1]]].tobytes()) for p in np.flatnonzero(np.diff(cut))]
+        kinds = {"place": pa.int32(), "bucket": pa.int32(), "anchors": pa.binary(), "times": pa.binary()}
+        return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds.items())})
+
+    return contexts.groupBy("bucket").applyInArrow(run, COUNTS)
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """The anchors' numbers of contexts in all buckets, to each bucket that asked."""
+
+    def run(table):
+        import pyarrow as pa
+
+        anchors = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("anchors")]
+        every, back = np.unique(np.concatenate(anchors), return_inverse=True)
+        total = np.bincount(back, weights=np.concatenate([np.frombuffer(b.as_buffer(), np.uint32) for b in table.column("times")])).astype(np.uint32)
+        ends = np.cumsum([len(a) for a in anchors])
+        return pa.table({k: table.column(k) for k in ("bucket", "place")} | {"times": pa.array([total[back[z - len(a) : z]].tobytes() for a, z in zip(anchors, ends, strict=True)], pa.binary())})
+
+    return asked.groupBy("place").applyInArrow(run, "bucket int, place int, times binary")
+
+
+def _sources(contexts: DataFrame, buckets: int) -> DataFrame:
+    """Repeats as a whole (anchor null), and first occurrences of contexts whose anchor has several ones."""
+
+    def run(table, answers):
+        import pyarrow as pa
+
+        if table.num_rows and table.column("bucket")[0].as_py() < 0:
+            x = {k: np.concatenate([np.frombuffer(b.as_buffer(), t) for b in table.column(k)]) for k, t in FIELDS.items()}
+            use, ask = np.ones(len(x["doc"]), bool), np.zeros(len(x["doc"]), bool)
             hot = ask
         else:
-            order = _places(x["doc"], x["mark"], x["start"], x["anchor"], x["context"])
-            a, c = x["anchor"][order], x["context"][order]
-            new_anchor = np.r_[True, a[1:] != a[:-1]]
-            first = new_anchor | np.r_[True, c[1:] != c[:-1]]
-            group = np.cumsum(new_anchor) - 1
-            contexts_of = np.bincount(group[first], minlength=group[-1] + 1)[group]
-            use = ~first | (contexts_of > 1)
-            keep, ask, hot = order[use], first[use], (contexts_of > MOST_CONTEXTS)[use]
-        out = {k: pa.array(x[k][keep]) for k in ("doc", "mark", "start", "left", "right")}
-        return pa.table(out | {"anchor": pa.array(x["anchor"][keep].view(np.int64), mask=~ask), "is_hot": pa.array(hot)})
-
-    return contexts.groupBy("bucket").applyInArrow(run, KINDS)
+            x, first, anchor, own = _bucket(table)
+            place = (anchor % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            cut = np.searchsorted(place[order], np.arange(buckets + 1))
+            total = np.zeros(len(anchor), np.int64)
+            for p, times in zip(answers.column("place").to_pylist(), answers.column("times"), strict=True):
+                total[order[cut[p] : cut[p + 1]]] = np.frombuffer(times.as_buffer(), np.uint32)
+            contexts_of = np.repeat(total, np.diff(np.r_[np.flatnonzero(np.r_[True, x["anchor"][1:] != x["anchor"][:-1]]), len(first)]))
+            use, ask, hot = ~first | (contexts_of > 1), first, contexts_of > MOST_CONTEXTS
+        out = {k: pa.array(x[k][use]) for k in ("doc", "mark", "start", "left", "right")}
+        return pa.table(out | {"anchor": pa.array(x["anchor"][use].view(np.int64), mask=~ask[use]), "is_hot": pa.array(hot[use])})
+
+    answers = _answered(_asked(contexts, buckets))
+    return contexts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, KINDS)
 
 
 def _shard_repeats(pieces: DataFrame, length: int) -> DataFrame:
@@ -160,9 +217,10 @@ def _shard_repeats(pieces: DataFrame, length: int) -> DataFrame:
         text = np.zeros(len(data) + len(sizes), np.uint8)
         text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data + 1
         begin = offsets[:-1] + np.arange(len(sizes))
-        order = suffix_array(text, 256, length)
-        joined = repeats_at_least(text, order, length)
-        # strings that run over the end of their piece hold a separator, so their groups hold no others; they are left out
+        order = suffix_array(text, 256)
+        # lengths matter inside a piece only, so they are counted anew where one begins
+        joined = permuted_lcp(text, order, length + int(sizes.max(initial=0)), begin)[order] >= length
+        # strings that run over the end of their piece hold a separator; they are left out
         follows = np.r_[joined[1:], False]
         kept = order[joined | follows]
         group = np.cumsum(~joined[joined | follows]) - 1
@@ -195,14 +253,13 @@ def _string_repeats(once: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             doc, mark = (batch.column(i).to_numpy() for i in range(2))
             data, offsets = X.column_bytes(batch.column(2))
-            hashes = X.ByteHashes(data)
             flat, bounds = batch.column(3).flatten(), np.asarray(batch.column(3).offsets)
             start, left, right = (flat.field(i).to_numpy().astype(np.int64) for i in range(3))
             row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             n = np.maximum(left + right - length + 1, 0)
             owner = np.repeat(row, n)
             first = np.repeat(start - left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            h = hashes.ranges(offsets[owner] + first, offsets[owner] + first + length)
+            h = X.mixed_ranges(data, offsets[owner] + first, offsets[owner] + first + length)
             order = np.lexsort((first, mark[owner], doc[owner], h))
             h, owner, first = h[order], owner[order], first[order]
             # the same string of one document may stand in two contexts
@@ -224,11 +281,11 @@ def _string_repeats(once: DataFrame, length: int) -> DataFrame:
 def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(key, n_bytes, spans, kept): spans are the removed stretches [start, end) in bytes, kept the rest."""
     small_batches(documents.sparkSession)
-    source = documents.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    )
+    number, content = F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))
+    mark = F.xxhash64(content).bitwiseAND(F.lit(HAS_KEY - 1)) + F.when(number.isNull(), F.lit(0)).otherwise(F.lit(HAS_KEY))
+    source = documents.select(F.coalesce(number, F.lit(-(1 << 63))).alias("doc"), mark.alias("mark"), content.alias("text"))
     buckets = parts_for(documents, text, 8 << 20, 12)
-    marks = written(_sources(_contexts(source, buckets)), "op8_marks")
+    marks = written(_sources(_contexts(source, buckets), buckets), "op8_marks")
     wanted = marks.where("anchor is not null")
     ask = F.struct("start", "left", "right", "anchor")
     asked = wanted.groupBy("doc", "mark").agg(F.collect_list(F.when(~F.col("is_hot"), ask)).alias("asked"), F.collect_list(F.when(F.col("is_hot"), ask)).alias("hot"))
@@ -297,8 +354,8 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
                     [part.column(0), pa.array(np.diff(offsets)), pa.array(spans_out, span), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "spans", "kept"]
                 )
 
-    out = source.join(cuts, ["doc", "mark"], "left").select("doc", "text", "cuts").mapInArrow(cut, "doc bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
-    return out.select(F.when(F.col("doc") != LEAST, F.col("doc")).alias(key), "n_bytes", "spans", "kept")
+    out = source.join(cuts, ["doc", "mark"], "left").select(F.when(F.col("mark") >= HAS_KEY, F.col("doc")).alias("doc"), "text", "cuts").mapInArrow(cut, "doc bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return out.select(F.col("doc").alias(key), "n_bytes", "spans", "kept")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

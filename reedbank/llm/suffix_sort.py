@@ -1,20 +1,24 @@
 """Suffix arrays by induced sorting, a batch of suffixes at a time, and permuted common prefixes.
 
 Suffixes are S-type if smaller than the suffix after them, else L-type.  The leftmost S of each stretch (LMS) are sorted by their substrings
-through one induction, named, and, if names repeat, ordered by recursion (small alphabets) or by doubling of ranks (large ones).  A second induction gives the
-whole array: going up through the characters' buckets, each placed suffix places the L-type suffix before it; going down,
-the S-type one.  All suffixes of a bucket that are placed are taken in one step, so the work is linear and the number of steps depends on the
-alphabet and the longest run of one character.
+through one induction, named, and, if names repeat, ordered by recursion on the text of names.  A second induction gives the whole array: going up
+through the characters' buckets, each placed suffix places the L-type suffix before it; going down, the S-type one.  All suffixes of a bucket that are
+placed are taken in one step, so the work is linear and the number of steps depends on the alphabet and the longest run of one
+character.  To keep the alphabet small in the recursion, more than SMALL_ALPHABET names are written as two digits each, to the base of about
+the root of their number; names sort as their digits do, and as LMS places are no more than half of all, the text does not grow.
+
+Common prefixes of neighbours in the array are computed in text order.  Where the characters before a suffix and before its neighbour are equal, the length is one less
+than that of the suffix before (PLCP), so characters are compared at the other places only.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import math
 
-from reedbank.llm import textops as X
+import numpy as np
 
-#: Names up to this many are sorted by recursion.
-SMALL_ALPHABET = 1024
+#: Names up to this many are characters themselves.
+SMALL_ALPHABET = 512
 
 
 def classify(text: np.ndarray) -> np.ndarray:
@@ -52,7 +56,7 @@ class _Buckets:
 
     def induce(self, seeds: np.ndarray) -> np.ndarray:
         """The suffix array, from the LMS suffixes in the order wanted."""
-        text, small, n = self.text, self.small, len(self.text)
+        text, n = self.text, len(self.text)
         out = np.full(n, -1, np.int64)
         tail = self.ends.copy()
         if len(seeds):
@@ -91,21 +95,37 @@ class _Buckets:
             self._deal(out, before, place, step)
 
 
-def _order_by_doubling(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes of names by their first depth names at least."""
-    rank, n, reach = names.astype(np.int64), len(names), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        if reach < n:
-            after[:-reach] = rank[reach:] + 1
-        _, rank = np.unique(rank * (n + 1) + after, return_inverse=True)
-        reach *= 2
-        if int(rank.max()) == n - 1 or reach >= min(n, depth):
-            return np.argsort(rank, kind="stable")
-
-
-def suffix_array(text: np.ndarray, symbols: int | None = None, depth: int | None = None) -> np.ndarray:
-    """Places of text's suffixes in order; text: non-negative whole numbers.  With depth, suffixes with depth equal characters may stand in any order."""
+def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many characters the suffixes at a and b have in common, up to most; eight bytes at a time."""
+    wide = text.itemsize
+    raw = np.concatenate([np.ascontiguousarray(text).view(np.uint8), np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    out = np.zeros(len(a), np.int64)
+    most = most * wide
+    active = np.flatnonzero(most > 0)
+    p, q, left = a[active] * wide, b[active] * wide, most[active]
+    while len(active):
+        differ = eights[p] ^ eights[q]
+        # equal low bytes: the zeros below the lowest set bit
+        same = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3)
+        same = np.minimum(same, left)
+        out[active] += same
+        more = (same == 8) & (left > 8)
+        active, p, q, left = active[more], p[more] + 8, q[more] + 8, left[more] - 8
+    return out // wide
+
+
+def _order_of_names(names: np.ndarray, n_names: int) -> np.ndarray:
+    """Order of the suffixes of a text of names, by recursion on its digits."""
+    if n_names <= SMALL_ALPHABET:
+        return suffix_array(names, n_names)
+    base = math.isqrt(n_names - 1) + 1
+    order = suffix_array(np.column_stack([names // base, names % base]).ravel(), base)
+    return order[order % 2 == 0] // 2
+
+
+def suffix_array(text: np.ndarray, symbols: int | None = None) -> np.ndarray:
+    """Places of text's suffixes in order; text: non-negative whole numbers."""
     text = np.asarray(text)
     n = len(text)
     if n < 2:
@@ -125,59 +145,40 @@ def suffix_array(text: np.ndarray, symbols: int | None = None, depth: int | None
     upto = np.zeros(n, np.int64)
     upto[lms] = np.r_[lms[1:] + 1, n]
     a, b = sorted_lms[:-1], sorted_lms[1:]
-    hashes = X.ByteHashes(text.view(np.uint8))
-    wide = text.itemsize
-    length_a, length_b = upto[a] - a, upto[b] - b
-    same = (length_a == length_b) & (upto[a] < n) & (upto[b] < n)
+    size = upto[a] - a
+    same = (size == upto[b] - b) & (upto[a] < n) & (upto[b] < n)
     at = np.flatnonzero(same)
-    same[at] = hashes.ranges(a[at] * wide, upto[a[at]] * wide) == hashes.ranges(b[at] * wide, upto[b[at]] * wide)
+    same[at] = common_prefixes(text, a[at], b[at], size[at]) == size[at]
     name_of = np.zeros(n, np.int64)
     name_of[sorted_lms] = np.r_[0, np.cumsum(~same)]
     names = name_of[lms]
     n_names = int(names.max()) + 1
     if n_names < len(lms):
-        # an LMS substring has two characters of its own at least
-        deep = len(lms) if depth is None else depth // 2 + 2
-        order = suffix_array(names, n_names, None if depth is None else deep) if n_names <= SMALL_ALPHABET else _order_by_doubling(names, deep)
-        sorted_lms = lms[order]
+        sorted_lms = lms[_order_of_names(names, n_names)]
     return buckets.induce(sorted_lms)
 
 
-def permuted_lcp(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
-    """By place in the text: length of the prefix that the suffix has in common with the one before it in order, up to cap; the
-    places are visited in text order, all at once, by comparing hashes of halving lengths."""
+def permuted_lcp(text: np.ndarray, order: np.ndarray, cap: int, fresh: np.ndarray | None = None) -> np.ndarray:
+    """By place in the text: length of the prefix that the suffix has in common with the one before it in order.
+
+    Lengths are right up to cap, which has to be as large as any that is asked for plus the distance to the last place of fresh before (sorted; the
+    beginning of the text is always one): there characters are compared as well."""
     n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    place = np.flatnonzero(before >= 0)
-    other = before[place]
-    hashes = X.ByteHashes(np.ascontiguousarray(text))
-    room = np.minimum(np.minimum(n - place, n - other), cap)
-    out = np.zeros(n, np.int64)
-    # all of cap first, as most stretches that repeat are longer
-    whole = hashes.ranges(place, place + room) == hashes.ranges(other, other + room)
-    out[place[whole]] = room[whole]
-    place, other, room = place[~whole], other[~whole], room[~whole]
-    have = np.zeros(len(place), np.int64)
-    step = 1 << (max(1, cap) - 1).bit_length()
-    while step and len(place):
-        can = np.flatnonzero(have + step < room)
-        p, q, h = place[can], other[can], have[can]
-        have[can[hashes.ranges(p + h, p + h + step) == hashes.ranges(q + h, q + h + step)]] += step
-        step //= 2
-    out[place] = have
-    return out
-
-
-def repeats_at_least(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """By place in order: whether the suffix and the one before have a common prefix of length bytes at least."""
-    n = len(text)
-    out = np.zeros(n, bool)
-    if n < length:
-        return out
-    at = np.arange(n - length + 1)
-    windows = X.ByteHashes(np.ascontiguousarray(text)).ranges(at, at + length)
-    fits = order <= n - length
-    values = windows[np.minimum(order, n - length)]
-    out[1:] = (values[1:] == values[:-1]) & fits[1:] & fits[:-1]
-    return out
+    at = np.arange(n)
+    # a place follows from the one before it where both have the same character in front, and the one before is not the first in order
+    follows = (at > 0) & (before > 0)
+    follows[1:] &= before[:-1] >= 0
+    some = np.flatnonzero(follows)
+    follows[some] = text[some - 1] == text[before[some] - 1]
+    if fresh is not None:
+        follows[fresh] = False
+    start = np.flatnonzero(~follows)
+    own = start[before[start] >= 0]
+    value = np.zeros(n, np.int64)
+    value[own] = common_prefixes(text, own, before[own], np.minimum(n - np.maximum(own, before[own]), cap))
+    head = np.maximum.accumulate(np.where(follows, 0, at))
+    return np.maximum(value[head] - (at - head), 0)
