@@ -162,6 +162,9 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "t
                 yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(run, documents.schema)
+        if chunk + 1 < n_chunks:
+            # so that no task holds two chunks' indexes
+            out = written(out, "op4_left")
     return out
 
 

@@ -28,7 +28,7 @@ def unescape(c: Column) -> Column:
 
 
 def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """(conv, formatted, segments): formatted is the joined text of segments, an array of (text, loss); loss marks what is learnt."""
+    """(conv, formatted, loss): loss is the mask over formatted, spans [start, end) in code points of what is learnt."""
     one = df.select(
         F.col(conv).alias("conv"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("row")
     )
@@ -44,7 +44,22 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         return F.concat(F.flatten(F.transform(rows, of)), F.array(F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss"))))
 
     grouped = one.groupBy("conv").agg(sorted_rows.alias("rows")).select("conv", let(F.col("rows"), segments).alias("segments"))
-    return grouped.select(F.col("conv").alias(conv), F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    return grouped.select(F.col("conv").alias(conv), F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), _mask(F.col("segments")).alias("loss"))
+
+
+def _mask(segments: Column) -> Column:
+    """Spans of the segments that are learnt, in the joined text."""
+    spans = "array<struct<start:int,end:int>>"
+    step = lambda a, s: F.struct(
+        (a["at"] + F.length(s["text"])).alias("at"),
+        F.when(s["loss"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(s["text"])).alias("end"))))).otherwise(a["spans"]).alias("spans"),
+    )
+    return F.aggregate(segments, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {spans})").alias("spans")), step, lambda a: a["spans"])
+
+
+def learnt(formatted: Column, loss: Column) -> Column:
+    """The texts under the mask, cut out of the formatted text and unescaped."""
+    return F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"])))
 
 
 def _order(a: Column, b: Column) -> Column:
@@ -72,10 +87,10 @@ def parse_chat(formatted: Column) -> Column:
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "<|im_end|><|im_start|>assistant ok"
-    added = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], told.schema)
+    two = [F.struct(F.lit(-1).alias("conv_id"), F.lit(i).alias("turn"), F.lit(r).alias("role"), F.lit(odd).alias("text")) for i, r in enumerate(("user", "assistant"))]
+    added = spark.range(1).select(F.inline(F.array(*two))).select(*[F.col(f.name).cast(f.dataType) for f in told.schema])
     out = format_chats(told.unionByName(added)).withColumn("turns", parse_chat(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    out = out.withColumn("loss_text", loss)
+    out = out.withColumn("loss_text", F.array_join(learnt(F.col("formatted"), F.col("loss")), ""))
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

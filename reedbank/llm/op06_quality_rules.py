@@ -1,14 +1,14 @@
 """Operator 6: quality rules as a short-circuit cascade, with Spark expressions only.
 
 Base figures of every text are computed once: words, characters in words, symbols, repeated lines and words in repeated 5-word windows.  Further rules are
-estimated on a bounded sample (SAMPLE_ROWS rows): the share that each rejects, and the time that it takes there.  The cascade asks
-them in the order of rejection per cost, and a rule is evaluated only for rows that all rules before it have let through.  The order
-changes the work, never the verdict.
+estimated on a sample of the whole table (about SAMPLE_ROWS rows, drawn by Spark's sampling): the share that each rejects, and the time that REPEATS
+evaluations of it take there, less what the same job takes without a rule.  The cascade asks them in the order of rejection per cost, and a rule is evaluated
+only for rows that all rules before it have let through.  The order changes the work, never the verdict.
 
 Repeated windows: hashes of the text's 5-word windows are compared with their distinct values; only texts with fewer distinct values sort (hash,
 place) pairs, and the words under windows with an equal neighbour are counted as a union of intervals.
 
-Rows: null and empty texts have no words, and fail.  A null doc_id is kept, repeated rows are each judged.  Other columns are ignored.
+Rows: null and empty texts have no words, and fail.  A null key is kept, repeated rows are each judged.  Other columns are ignored, whatever their names.
 Whole texts are used.
 """
 
@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from reedbank.llm.shared import let, read_table
 
 SPACE = r"[\x20\x09-\x0D]+"
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS, REPEATS = 1000, 10
 
 
 def n_words_in_repeats(word_hashes: Column, w: int = WINDOW) -> Column:
@@ -49,9 +50,9 @@ def n_words_in_repeats(word_hashes: Column, w: int = WINDOW) -> Column:
     return let(word_hashes, lambda h: F.when(F.size(h) <= w, F.lit(0)).otherwise(let(windows(h), of)))
 
 
-def base_figures(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with content (the text, never null), words and the base figures."""
-    out = df.withColumn("content", F.coalesce(F.col(text), F.lit("")))
+def base_figures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, content, words, base figures): content is the text, never null."""
+    out = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("content"))
     out = out.withColumn("words", F.array_remove(F.split("content", SPACE), ""))
     lines = F.filter(F.split("content", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     figures = {
@@ -88,13 +89,23 @@ def rules() -> dict[str, Column]:
 def cascade_order(sample: DataFrame, of: dict[str, Column]) -> list[tuple[str, float, float]]:
     """(rule, share rejected, seconds on the sample) by rejection per cost; sample: bounded rows of base_figures, kept in memory."""
     n = max(1, sample.count())
-    empty = sample.select(F.count("*")).first()  # noqa: F841  warms the cache up
+    again = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+
+    def timed(rule: Column) -> tuple[int, float]:
+        best, rejected = None, 0
+        for _ in range(2):
+            began = time.perf_counter()
+            rejected = again.select(F.sum(rule.cast("long"))).first()[0] or 0
+            took = time.perf_counter() - began
+            best = took if best is None else min(best, took)
+        return rejected, best
+
+    _, idle = timed(F.length("content") < 0)
     out = []
     for name, rule in of.items():
-        began = time.perf_counter()
-        rejected = sample.select(F.sum(F.coalesce(rule, F.lit(True)).cast("long"))).first()[0] or 0
-        out.append((name, rejected / n, time.perf_counter() - began))
-    return sorted(out, key=lambda x: (-x[1] / max(x[2], 1e-9), x[0]))
+        rejected, took = timed(F.coalesce(rule, F.lit(True)))
+        out.append((name, rejected / (n * REPEATS), max(took - idle, 1e-4) / REPEATS))
+    return sorted(out, key=lambda x: (-x[1] / x[2], x[0]))
 
 
 def judge(figures: DataFrame, of: dict[str, Column], order: list[str]) -> DataFrame:
@@ -105,14 +116,16 @@ def judge(figures: DataFrame, of: dict[str, Column], order: list[str]) -> DataFr
     return figures.withColumn("failed_rule", failed).withColumn("kept", F.col("failed_rule").isNull())
 
 
-def quality_cascade(df: DataFrame, text: str = "text") -> DataFrame:
-    sample = base_figures(df.limit(SAMPLE_ROWS), text).persist()
+def quality_cascade(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rule, kept) of each row."""
+    share = min(1.0, SAMPLE_ROWS / max(1, df.count()))
+    sample = base_figures(df.sample(False, share, 7) if share < 1 else df, key, text).persist()
     order = cascade_order(sample, rules())
     sample.unpersist()
-    return judge(base_figures(df, text), rules(), [name for name, _, _ in order])
+    judged = judge(base_figures(df, key, text), rules(), [name for name, _, _ in order])
+    return judged.select(F.col("key").alias(key), *FIGURES, base_failed().alias("base_failed"), "failed_rule", "kept")
 
 
 #: The query leaves out failed_rule, which depends on the order of the rules, and so on measured times.
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_cascade(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "kept")
+    return quality_cascade(read_table(spark, sf_dir, "documents")).drop("failed_rule")

@@ -1,23 +1,31 @@
 """Operator 9: secret scans over an incremental ledger of blobs, with Spark expressions only.
 
-Every version of a text is addressed by the SHA-256 of its content.  The ledger holds the (blob, rule, rule version) triples that have been
-scanned; a scan takes each distinct blob once and applies the rules whose triple is not in the ledger.  Findings are stored by blob
-and joined back to all paths (here: keys) that hold it, so copies cost a thin join only.
+Every version of a text is addressed by the SHA-256 of its content.  The ledger is a folder of tables; a row says which rules, each with its version, a blob
+was scanned by, and what they found.  A scan asks the ledger for the blobs of its versions, on thin rows without texts; only blobs with a rule that the
+ledger doesn't have are read again and scanned, by the rules that are missing, and are added to the ledger.  Findings are joined back to all
+paths (here: keys) that hold a blob; only blobs with findings take part in that join, and those of very many paths do without a shuffle.
+
+Texts are scanned where they lie: the blobs that are new reach the rows by broadcast (BROADCAST_BLOBS of them at most, beyond that by a shuffle), and without a
+ledger all rows are scanned as they are read, so no text is moved.  Copies of a new blob may be scanned more than once in the same scan, which costs less than
+moving them to one place.
 
 Positions: a rule's matches and the pieces between them are both cut out by the same regular expression, and running
 sums of their lengths in code points are the spans.
 
-Rows: a null text is the empty blob.  A null key is kept, repeated rows each get the blob's findings.  Other columns are ignored.  Whole
-texts are scanned, however long.
+Rows: a null text is the empty blob.  A null key is kept, repeated rows each get the blob's findings.  Other columns are ignored, whatever their names.  Whole
+texts are scanned, however long.  Two scans may add to one ledger at a time; what both add counts once.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reedbank.llm.shared import let, read_table
+from reedbank.llm.shared import join_hot, let, read_table, shared_dir, written
 
+#: New blobs that are told to all rows by broadcast, about 100 bytes each.
+BROADCAST_BLOBS = 1 << 18
 SPANS = "array<struct<start:int,end:int>>"
 #: Kind, regular expression, group that is measured, its least number of characters; the first three are the base.
 RULES = (
@@ -70,56 +78,94 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def scan_unseen(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple = RULES) -> DataFrame:
-    """Scan the blobs of versions for rules that ledger (blob, rule, version) doesn't have: (blob, done, found), a row for each
-    blob with work: done lists (rule, version), found the matches (kind, place of the kind, start, end)."""
-    blobs = versions.select(blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("content")).dropDuplicates(["blob"])
-    names = {r[0]: f"{r[0]}:{rule_version(r)}" for r in rules}
-    if ledger is not None:
-        seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.expr("cast(array() as array<string>)")))
-        blobs = blobs.where(~F.forall(F.array(*[F.lit(n) for n in names.values()]), lambda n: F.array_contains(F.col("seen"), n)))
-    done, found = [], []
-    for place, (kind, pattern, group, least) in enumerate(rules):
-        new = F.lit(True) if ledger is None else ~F.array_contains("seen", names[kind])
-        entry = F.struct(F.lit(kind).alias("rule"), F.lit(names[kind].split(":")[1]).alias("version"))
-        done.append(F.when(new, F.array(entry)).otherwise(F.expr("cast(array() as array<struct<rule:string,version:string>>)")))
-        hit = F.transform(rule_spans(F.col("content"), pattern, group, least), _named(place, kind))
-        found.append(F.when(new, hit).otherwise(F.expr("cast(array() as array<struct<start:int,place:int,kind:string,end:int>>)")))
-    return blobs.select("blob", F.concat(*done).alias("done"), F.array_sort(F.concat(*found)).alias("found"))
-
-
-def _named(place: int, kind: str):
-    return lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), s["end"].alias("end"))
-
-
-def new_ledger(scanned: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """The ledger with what was scanned."""
-    added = scanned.select("blob", F.explode("done").alias("d")).select("blob", "d.rule", "d.version")
-    return added if ledger is None else ledger.select("blob", "rule", "version").unionByName(added)
-
-
-def findings_of_paths(versions: DataFrame, found: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, found) for every row of versions; found: (blob, found) with a row for each blob at most."""
-    thin = versions.select(F.col(key), blob_id(F.col(text)).alias("blob"))
-    hits = found.where(F.size("found") > 0).select("blob", "found")
-    return thin.join(hits, "blob", "left").select(key, F.coalesce("found", F.expr("cast(array() as array<struct<start:int,place:int,kind:string,end:int>>)")).alias("found"))
+#: What a ledger's tables hold: the blob, "kind:version" of the rules that it was scanned by, and their findings.
+HITS = "array<struct<start:int,rule:string,end:int>>"
+LEDGER = f"blob string, done array<string>, hits {HITS}"
+FOUND = "array<struct<start:int,place:int,kind:string,end:int>>"
+
+
+def rule_names(rules: tuple) -> list[str]:
+    return [f"{r[0]}:{rule_version(r)}" for r in rules]
+
+
+def hits_of(text: Column, rules: tuple, missing: Column | None = None) -> Column:
+    """Findings of the rules (those named in missing) in text."""
+    out = []
+    for name, (_, pattern, group, least) in zip(rule_names(rules), rules, strict=True):
+        hit = F.transform(rule_spans(text, pattern, group, least), _named(name))
+        out.append(hit if missing is None else F.when(F.array_contains(missing, name), hit).otherwise(F.expr(f"cast(array() as {HITS})")))
+    return F.concat(*out)
+
+
+def _named(name: str):
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(name).alias("rule"), s["end"].alias("end"))
+
+
+def found_of(hits: Column, rules: tuple) -> Column:
+    """Findings of the current rules, by start and then by the rules' order."""
+    names = F.array(*[F.lit(n) for n in rule_names(rules)])
+    mine = F.filter(hits, lambda h: F.array_contains(names, h["rule"]))
+    shown = F.transform(mine, lambda h: F.struct(h["start"], (F.array_position(names, h["rule"]) - 1).cast("int").alias("place"), F.substring_index(h["rule"], ":", 1).alias("kind"), h["end"]))
+    return F.array_sort(shown).cast(FOUND)
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The ledger with a row for each blob, or None where there is none yet."""
+    try:
+        rows = spark.read.schema(LEDGER).parquet(folder)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error.getCondition()):
+            raise
+        return None
+    # a blob has a row for each scan that found a rule missing
+    return rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("done"))).alias("done"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
+
+
+def add_to_ledger(rows: DataFrame, folder: str) -> None:
+    rows.select("blob", "done", F.col("hits").cast(HITS).alias("hits")).write.mode("append").parquet(folder)
+
+
+def scan(versions: DataFrame, folder: str, key: str = "doc_id", text: str = "text", rules: tuple = RULES) -> DataFrame:
+    """(key, found) for every row of versions, by the ledger in folder, which is brought up to date: found has (start, place of the kind, kind, end)."""
+    spark = versions.sparkSession
+    source = versions.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("content")).withColumn("blob", blob_id(F.col("content")))
+    ledger, names = read_ledger(spark, folder), F.array(*[F.lit(n) for n in rule_names(rules)])
+    if ledger is None:
+        scanned = written(source.select("key", "blob", hits_of(F.col("content"), rules).alias("hits")), "op9_scanned")
+        add_to_ledger(scanned.groupBy("blob").agg(F.first("hits").alias("hits")).withColumn("done", names), folder)
+        return scanned.select(F.col("key").alias(key), found_of(F.col("hits"), rules).alias("found"))
+    thin = written(source.select("key", "blob"), "op9_versions")
+    blobs = thin.groupBy("blob").agg(F.count("*").alias("times"))
+    known = written(blobs.join(ledger, "blob", "left").withColumn("missing", F.array_except(names, F.coalesce("done", F.expr("cast(array() as array<string>)")))), "op9_known")
+    unseen = known.where(F.size("missing") > 0).select("blob", "missing")
+    n_unseen = unseen.count()
+    hits = known.select("blob", "times", F.coalesce("hits", F.expr(f"cast(array() as {HITS})")).alias("hits"))
+    if n_unseen:
+        asked = F.broadcast(unseen) if n_unseen <= BROADCAST_BLOBS else unseen
+        new = source.join(asked, "blob").select("blob", "missing", hits_of(F.col("content"), rules, F.col("missing")).alias("new"))
+        new = written(new.groupBy("blob").agg(F.first("missing").alias("missing"), F.first("new").alias("new")), "op9_new")
+        add_to_ledger(new.select("blob", F.col("missing").alias("done"), F.col("new").alias("hits")), folder)
+        hits = hits.join(new.select("blob", "new"), "blob", "left").select("blob", "times", F.concat("hits", F.coalesce("new", F.expr(f"cast(array() as {HITS})"))).alias("hits"))
+    found = written(hits.select("blob", "times", found_of(F.col("hits"), rules).alias("found")).where(F.size("found") > 0), "op9_found")
+    n_rows = thin.count()
+    clean = thin.join(found.select("blob"), "blob", "left_anti").select("key", F.expr(f"cast(array() as {FOUND})").alias("found"))
+    return join_hot(thin, found, "blob", n_rows).select("key", "found").unionByName(clean).withColumnRenamed("key", key)
 
 
 def redact(df: DataFrame, text: str = "text", rules: tuple = RULES) -> DataFrame:
     """df with each found span of text replaced by [kind]; spans that touch or overlap are replaced as one, named after the first.  Rows
-    without a finding stay as they are.  Distinct blobs are scanned once, as in a ledger."""
-    found = scan_unseen(df, text, None, rules).where(F.size("found") > 0).select("blob", "found")
-    marked = df.withColumn("__blob", blob_id(F.col(text))).join(found.select(F.col("blob").alias("__blob"), F.col("found").alias("__found")), "__blob", "left")
+    without a finding stay as they are.  Rows are scanned where they lie."""
 
     def rebuild(spans: Column) -> Column:
         step = lambda acc, x: F.struct(
             F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], x["end"]).alias("at"),
         )
-        return F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
+        done = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
+        return F.when(F.size(spans) == 0, F.col(text)).otherwise(done)
 
-    return marked.withColumn(text, F.when(F.col("__found").isNull(), F.col(text)).otherwise(rebuild(F.col("__found")))).select(*df.columns)
+    new = F.when(F.col(text).isNotNull(), let(found_of(hits_of(F.col(text), rules), rules), rebuild))
+    return df.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
 
 
 def span_list(found: Column) -> Column:
@@ -127,8 +173,8 @@ def span_list(found: Column) -> Column:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = findings_of_paths(documents, scan_unseen(documents), "doc_id")
+    """The ledger lies in the shared folder, so what one run has scanned the next one takes from there."""
+    out = scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_dir(spark)}/op9_ledger")
     n = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
     return out.select("doc_id", *map(n, BASE_KINDS), F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"), span_list(F.col("found")).alias("spans"))

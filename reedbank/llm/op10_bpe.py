@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from reedbank.llm.shared import read_table
 
-CACHE_WORDS = 200_000
+#: Characters of cached words; a text's own words come on top.
+CACHE_CHARS = 4 << 20
 ROWS_OUT = 256
 #: The characters that the vocabulary's patterns call white space.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, 0x2000, 0x2D, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -54,6 +55,7 @@ def load_vocabulary(path: str) -> dict:
 
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte: itself if it is a visible Latin-1 character, else the next free one from U+0100."""
+    # fixed values: the visible characters of Latin-1
     seen = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
     rest = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(seen))}
     return [chr(rest.get(b, b)) for b in range(256)]
@@ -97,7 +99,7 @@ class Encoder:
 
         import regex
 
-        self.v, self.cache = v, {}
+        self.v, self.cache, self.held = v, {}, 0
         # the symbols of single bytes, inside a word and at its end
         self.inner = [v["vocab"][c] for c in byte_letters()]
         self.last = [v["vocab"][c + v["suffix"]] for c in byte_letters()]
@@ -118,10 +120,12 @@ class Encoder:
         # one character at a time, so that a final sigma is not special
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
         words, cache = self.words(text), self.cache
-        if len(cache) > CACHE_WORDS:
+        if self.held > CACHE_CHARS:
             cache.clear()
+            self.held = 0
         for w in set(words).difference(cache):
             cache[w] = self._word(w)
+            self.held += len(w)
         return list(itertools.chain.from_iterable(map(cache.__getitem__, words)))
 
     def encode(self, text: str | None) -> list[int]:

@@ -213,6 +213,14 @@ def test_op4(spark, docs, case, chunk, monkeypatch):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _, n, _ in contamination(rows, items) if not n)
 
 
+def test_op4_tells_long_words_apart(spark):
+    from reedbank.llm import op04_decontaminate as op
+
+    a, b = thue_morse()
+    items = spark.createDataFrame([(1, a)], "item_id bigint, text string")
+    assert {r.doc_id: len(r.hits) for r in op.contaminated_spans(frame(spark, [(1, a), (2, b)]), items).collect()} == {1: 1, 2: 0}
+
+
 def test_op4_without_items(spark):
     from reedbank.llm import op04_decontaminate as op
 
@@ -231,14 +239,14 @@ def test_op5_round_trip(spark):
     rows = [(c, t, rng.choice(["user", "assistant", "assistant", "system", "a\nb<|", None]), rng.choice(texts)) for c in range(40) for t in range(rng.randrange(1, 9))]
     rows += [(None, 1, "user", "x"), (50, None, "user", "first"), (50, 0, "assistant", "then"), (51, 1, "user", "tie b"), (51, 1, "user", "tie a"), (51, 1, "user", "tie a")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("conv", F.lit(1)).withColumn("rows", F.lit(2))
-    out = op.format_chats(df).withColumn("turns", op.parse_chat(F.col("formatted"))).collect()
+    out = op.format_chats(df).withColumn("turns", op.parse_chat(F.col("formatted"))).withColumn("learnt", op.learnt(F.col("formatted"), F.col("loss"))).collect()
     want = collections.defaultdict(list)
     for c, t, r, x in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
         want[c].append((r or "", x or ""))
     assert {r.conv_id: [tuple(t) for t in r.turns] for r in out} == want
     for r in out:
-        assert r.formatted == "".join(s.text for s in r.segments)
-        assert len([s for s in r.segments if s.loss]) == sum(role == "assistant" for role, _ in want[r.conv_id])
+        told = [t for role, t in want[r.conv_id] if role == "assistant"]
+        assert [r.formatted[s.start : s.end].replace("<\\|", "<|").replace("\\\\", "\\") for s in r.loss] == told == list(r.learnt)
 
 
 def test_op5_sql(spark):
@@ -268,7 +276,8 @@ def test_op6(spark, docs):
     from reedbank.llm import op06_quality_rules as op
 
     rows = docs + ODD + [(100, "a b c d e f a b c d e g h"), (101, "l1\nl1\n\n \nl1"), (102, "z z z z z z z")]
-    out = op.quality_cascade(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("label", F.lit(1))).collect()
+    clashing = {c: F.lit(c) for c in (*op.FIGURES, "kept", "failed_rule", "base_failed", "again")}
+    out = op.quality_cascade(frame(spark, rows).withColumns(clashing)).collect()
     got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out), key=str)
     assert got == sorted(((k, *figures(t)) for k, t in rows), key=str)
     for r in out:
@@ -281,7 +290,7 @@ def test_op6_order_changes_no_verdict(spark, docs):
 
     f = op.base_figures(spark.createDataFrame(docs, "doc_id bigint, text string"))
     names = list(op.rules())
-    one, two = ({r.doc_id: r.kept for r in op.judge(f, op.rules(), order).collect()} for order in (names, names[::-1]))
+    one, two = ({r.key: r.kept for r in op.judge(f, op.rules(), order).collect()} for order in (names, names[::-1]))
     assert one == two and len(op.cascade_order(f.limit(50).persist(), op.rules())) == len(names)
 
 
@@ -304,10 +313,51 @@ def test_op7_odd_rows(spark):
 
     labels = spark.createDataFrame([(4, 1), (4, 0), (6, None), (None, 1), (8, 1), (9, 0)], "doc_id bigint, quality int")
     model = op.train(frame(spark, ODD), labels)
-    out = op.score(frame(spark, ODD), model, keep=True).collect()
-    assert len(out) == len(ODD) and all(0 <= r["__score"] <= 1 for r in out) and next(r["__score"] for r in out if r.doc_id == 2) == 0
+    df = frame(spark, ODD).withColumn("score", F.lit(5))
+    out = op.score(df, model).collect()
+    assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out) and next(r.score for r in out if r.doc_id == 2) == 0
+    kept = op.keep_good(df, model)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in out if r.score >= op.THRESHOLD)
     nothing = op.train(frame(spark, ODD), labels.limit(0))
-    assert {r["__score"] for r in op.score(frame(spark, ODD), nothing).collect()} == {0.0}
+    assert {r.score for r in op.score(frame(spark, ODD), nothing).collect()} == {0.0}
+
+
+def test_op7_against_all_neighbours(spark, docs):
+    """Scores by sorting each text's cosines to the whole sample, one text at a time; copies with both labels, and rows in another order."""
+    from reedbank.llm import op07_quality_knn as op
+
+    rng = random.Random(4)
+    some = [t for _, t in docs[:60] if t]
+    sample = some + some[:20] + some[:10]
+    labels = [rng.randrange(2) for _ in sample]
+
+    def features(t):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        return op.block_features(raw, np.array([0, len(raw)]))
+
+    rows = [(*features(t)[1:], float(y)) for t, y in zip(sample, labels, strict=True)]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    model, shuffled = op.fit(rows), op.fit([rows[i] for i in order])
+    assert len(model["labels"]) == len(set(some)) and (model["vectors"] == shuffled["vectors"]).all() and (model["labels"] == shuffled["labels"]).all()
+    asked = [t for _, t in docs[30:120] if t]
+    raw = [t.encode() for t in asked]
+    got = op.score_block(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(b) for b in raw])], model)
+    for t, score in zip(asked, got, strict=True):
+        _, column, value = features(t)
+        value = op.weigh(np.zeros(len(column), np.int64), column, value, model["idf"], 1)
+        point = (model["directions"][column].astype(np.float64) * value[:, None]).sum(0)
+        cosine = model["vectors"].astype(np.float64) @ (point / np.linalg.norm(point))
+        near = sorted(range(len(cosine)), key=lambda i: -cosine[i])[: op.NEIGHBOURS]
+        weight = [max(cosine[i], 1e-3) ** op.SHARPNESS for i in near]
+        assert score == pytest.approx(sum(w * model["labels"][i] for w, i in zip(weight, near, strict=True)) / sum(weight), abs=1e-3)
+
+
+def test_op7_ties():
+    from reedbank.llm import op07_quality_knn as op
+
+    x = np.array([[3, 1, 2, 2, 2, 0], [1, 1, 1, 1, 1, 1], [0, 5, 4, 3, 2, 1]], np.float32)
+    assert [sorted(r) for r in op.nearest(x, 3).tolist()] == [[0, 2, 3], [0, 1, 2], [1, 2, 3]]
 
 
 def test_op7_learns_nothing_from_held_out(spark):
@@ -423,36 +473,56 @@ SECRETS = [
 ]
 
 
-def test_op9(spark, docs):
+def found_rows(out, op):
+    return sorted(((r.doc_id, [(s["start"], s["place"], s["kind"], s["end"]) for s in r.found if s["kind"] in op.BASE_KINDS]) for r in out.collect()), key=str)
+
+
+def test_op9(spark, docs, tmp_path):
     from reedbank.llm import op09_secrets as op
 
     rows = docs + ODD + SECRETS
-    df = frame(spark, rows)
-    out = op.findings_of_paths(df, op.scan_unseen(df), "doc_id").collect()
-    got = sorted(((r.doc_id, [(s["start"], s["place"], s["kind"], s["end"]) for s in r.found if s["kind"] in op.BASE_KINDS]) for r in out), key=str)
-    assert got == sorted(((k, secrets(t)) for k, t in rows), key=str)
+    want = sorted(((k, secrets(t)) for k, t in rows), key=str)
+    df, folder = frame(spark, rows), str(tmp_path / "ledger")
+    assert found_rows(op.scan(df, folder), op) == want
+    # from the ledger
+    assert found_rows(op.scan(df, folder), op) == want
 
 
-def test_op9_ledger(spark):
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_op9_ledger(spark, tmp_path, most, monkeypatch):
     from reedbank.llm import op09_secrets as op
 
-    df = frame(spark, SECRETS + SECRETS)
-    base, all_ = op.RULES[:3], op.RULES
-    one = op.scan_unseen(df, rules=base)
-    ledger = op.new_ledger(one)
-    assert one.count() == len(SECRETS) and ledger.count() == 3 * len(SECRETS)
-    assert op.scan_unseen(df, ledger=ledger, rules=base).count() == 0
-    more = op.scan_unseen(df, ledger=ledger, rules=all_)
-    assert more.count() == len(SECRETS) and {d["rule"] for r in more.collect() for d in r.done} == {r[0] for r in all_[3:]}
-    assert op.new_ledger(more, ledger).count() == len(all_) * len(SECRETS)
-    changed = (("assign", *base[0][1:3], 20), *base[1:])
-    assert {d["rule"] for r in op.scan_unseen(df, ledger=ledger, rules=changed).collect() for d in r.done} == {"assign"}
+    monkeypatch.setattr(op, "BROADCAST_BLOBS", most)
+    folder, base = str(tmp_path / "ledger"), op.RULES[:3]
+    done = lambda: sorted((r.blob, tuple(sorted(d.split(":")[0] for d in r.done))) for r in spark.read.parquet(folder).collect())
+    first = frame(spark, SECRETS[:4] + SECRETS[:2])
+    op.scan(first, folder, rules=base)
+    assert len(done()) == 4 and {d for _, d in done()} == {("access", "assign", "hex")}
+    # a second scan of the same blobs scans nothing
+    scanned = op.hits_of
+    monkeypatch.setattr(op, "hits_of", lambda *a: pytest.fail("scanned again"))
+    assert found_rows(op.scan(first, folder, rules=base), op) == sorted(((k, secrets(t)) for k, t in SECRETS[:4] + SECRETS[:2]), key=str)
+    monkeypatch.setattr(op, "hits_of", scanned)
+    # new blobs, and an added rule: what is scanned is what was missing
+    pem = ("pem", op.RULES[3][1], 0, 1)
+    rows = [*SECRETS, (70, "-----BEGIN RSA PRIVATE KEY----- token=abcdefabcdef"), (71, "-----BEGIN RSA PRIVATE KEY----- token=abcdefabcdef"), (72, None)]
+    before = len(done())
+    out = op.scan(frame(spark, rows), folder, rules=(*base, pem))
+    assert found_rows(out, op) == sorted(((k, secrets(t)) for k, t in rows), key=str)
+    assert {r.doc_id: [s["kind"] for s in r.found] for r in out.collect()}[71] == ["pem", "assign"]
+    added = collections.Counter(d for _, d in done()[:]) - collections.Counter({("access", "assign", "hex"): before})
+    assert added == {("pem",): 4, ("access", "assign", "hex", "pem"): 4}
+    # a rule's new version replaces the findings of the old one
+    changed = (("assign", *base[0][1:3], 10_000), *base[1:])
+    assert not any(s["kind"] == "assign" for r in op.scan(frame(spark, SECRETS), folder, rules=changed).collect() for s in r.found)
 
 
 def test_op9_redaction(spark):
     from reedbank.llm import op09_secrets as op
 
-    rows = {r.doc_id: r.text for r in op.redact(frame(spark, [*SECRETS, (1, None), (2, "clean")])).collect()}
+    df = frame(spark, [*SECRETS, (1, None), (2, "clean")]).withColumns({c: F.lit(c) for c in ("__blob", "__found", "a.b")})
+    assert op.redact(df).columns == df.columns
+    rows = {r.doc_id: r.text for r in op.redact(df).collect()}
     assert rows[30].startswith("[assign]' é𝄞 [assign]") and rows[1] is None and rows[2] == "clean" and not any(secrets(t) for t in rows.values())
 
 
@@ -490,7 +560,7 @@ def test_sql(spark):
         assert same(QUERIES[name](spark, SF), con, sql) > 0, name
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, tmp_path):
     from reedbank.llm import op01_ngram_join, op03_lm_trie, op04_decontaminate, op05_chat, op06_quality_rules, op07_quality_knn, op08_suffix_dedup, op09_secrets, op10_bpe
 
     none = frame(spark, [])
@@ -500,6 +570,6 @@ def test_empty_tables(spark):
     results = (
         op01_ngram_join.jaccard_components(none), op03_lm_trie.train_and_score(none, F.lit(True)), op04_decontaminate.contaminated_spans(none, bench), op05_chat.format_chats(chats),
         op06_quality_rules.quality_cascade(none.select("doc_id", "text")), op07_quality_knn.score(none, op07_quality_knn.train(none, labels)), op08_suffix_dedup.remove_repeats(none),
-        op09_secrets.findings_of_paths(none, op09_secrets.scan_unseen(none), "doc_id"), op10_bpe.bpe_round_trip(none),
+        op09_secrets.scan(none, str(tmp_path / "ledger")), op10_bpe.bpe_round_trip(none),
     )
     assert [r.count() for r in results] == [0] * len(results)
