@@ -19,15 +19,16 @@ from reedbank.llm.shared import read_table, written
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold stay."""
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=True).where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.keep_good(docs, model)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by similar shingles the one with the smallest doc_id stays; a document without words is a group of its own."""
-    # the text's hash tells rows apart that share a doc_id
-    marked = docs.withColumn("__key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("mark")))
-    first = jaccard_components(marked, "__key").where(F.col("__key") == F.col("component_id")).select("__key").distinct()
-    return marked.join(first, marked["__key"] == first["__key"], "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    # the text's hash tells rows apart that share a doc_id; rows that share both are settled by a hash of all their columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"), F.struct(F.col("doc_id"), F.xxhash64("text").alias("mark")).alias("key"))
+    first = jaccard_components(rows.select("key", "text"), "key").where(F.col("key") == F.col("component_id")).select("key").distinct()
+    kept = rows.drop("text").join(first, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
