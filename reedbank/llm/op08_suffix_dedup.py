@@ -33,7 +33,7 @@ from reedbank.llm.suffix_sort import permuted_lcp, suffix_array
 LENGTH, GRAM = 100, 32
 UNIT_BYTES = 12 << 20
 SHARD_BYTES = 1 << 20
-MOST_CONTEXTS = 50_000
+MOST_CONTEXTS = 10_000
 #: A document's mark is a hash of 62 bits, and this bit where its key isn't null, so that null keys come first among equal ones.
 HAS_KEY = 1 << 62
 
@@ -284,7 +284,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     number, content = F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))
     mark = F.xxhash64(content).bitwiseAND(F.lit(HAS_KEY - 1)) + F.when(number.isNull(), F.lit(0)).otherwise(F.lit(HAS_KEY))
     source = documents.select(F.coalesce(number, F.lit(-(1 << 63))).alias("doc"), mark.alias("mark"), content.alias("text"))
-    buckets = parts_for(documents, text, 8 << 20, 12)
+    buckets = parts_for(documents, text, 4 << 20, 12)
     marks = written(_sources(_contexts(source, buckets), buckets), "op8_marks")
     wanted = marks.where("anchor is not null")
     ask = F.struct("start", "left", "right", "anchor")

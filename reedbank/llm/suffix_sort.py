@@ -4,7 +4,7 @@ Suffixes are S-type if smaller than the suffix after them, else L-type.  The lef
 through one induction, named, and, if names repeat, ordered by recursion on the text of names.  A second induction gives the whole array: going up
 through the characters' buckets, each placed suffix places the L-type suffix before it; going down, the S-type one.  All suffixes of a bucket that are
 placed are taken in one step, so the work is linear and the number of steps depends on the alphabet and the longest run of one
-character.  To keep the alphabet small in the recursion, more than SMALL_ALPHABET names are written as two digits each, to the base of about
+character.  The recursion ends at texts of SHORT characters, which are sorted directly.  To keep the alphabet small in the recursion, more than SMALL_ALPHABET names are written as two digits each, to the base of about
 the root of their number; names sort as their digits do, and as LMS places are no more than half of all, the text does not grow.
 
 Common prefixes of neighbours in the array are computed in text order.  Where the characters before a suffix and before its neighbour are equal, the length is one less
@@ -18,7 +18,9 @@ import math
 import numpy as np
 
 #: Names up to this many are characters themselves.
-SMALL_ALPHABET = 512
+SMALL_ALPHABET = 1024
+#: A text of at most so many characters ends the recursion.
+SHORT = 1 << 14
 
 
 def classify(text: np.ndarray) -> np.ndarray:
@@ -39,33 +41,38 @@ def classify(text: np.ndarray) -> np.ndarray:
 class _Buckets:
     def __init__(self, text: np.ndarray, small: np.ndarray, symbols: int):
         counts = np.bincount(text, minlength=symbols)
-        self.text, self.small, self.symbols = text, small, symbols
+        self.text, self.symbols = text, symbols
         self.ends = np.cumsum(counts)
         self.starts = self.ends - counts
+        # the type of the suffix before each; none before the first
+        self.before = np.full(len(text), 2, np.int8)
+        self.before[1:] = small[:-1]
 
     def _deal(self, out: np.ndarray, suffixes: np.ndarray, place: np.ndarray, step: int) -> None:
         """Append suffixes to their characters' buckets in order; place: each bucket's next free place."""
         chars = self.text[suffixes]
-        order = np.argsort(chars, kind="stable")
-        chars, suffixes = chars[order], suffixes[order]
-        first = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]])
-        sizes = np.diff(np.r_[first, len(chars)])
-        rank = np.arange(len(chars)) - np.repeat(first, sizes)
-        out[place[chars] + step * rank] = suffixes
-        place[chars[first]] += step * sizes
+        if len(chars) == 1:
+            c = chars[0]
+            out[place[c]] = suffixes[0]
+            place[c] += step
+            return
+        order = chars.argsort(kind="stable")
+        chars = chars[order]
+        counts = np.bincount(chars, minlength=self.symbols)
+        # the n-th of all is so many behind the first of its character
+        base = place - step * (counts.cumsum() - counts)
+        out[base[chars] + step * np.arange(len(chars))] = suffixes[order]
+        place += step * counts
 
     def induce(self, seeds: np.ndarray) -> np.ndarray:
         """The suffix array, from the LMS suffixes in the order wanted."""
         text, n = self.text, len(self.text)
-        out = np.full(n, -1, np.int64)
+        out = np.full(n, -1, np.int32)
         tail = self.ends.copy()
         if len(seeds):
-            chars = text[seeds]
-            order = np.argsort(chars, kind="stable")
-            sizes = np.bincount(chars, minlength=self.symbols)
-            tail -= sizes
-            out[np.repeat(tail, sizes) + np.arange(len(seeds)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = seeds[order]
-        seeds_at = tail.copy()
+            tail -= np.bincount(text[seeds], minlength=self.symbols)
+            self._deal(out, seeds, tail.copy(), 1)
+        seeds_at = tail
         head = self.starts.copy()
         self._deal(out, np.array([n - 1]), head, 1)  # the last suffix is L-type, before all others of its character
         for c in np.flatnonzero(self.ends > self.starts):
@@ -73,9 +80,9 @@ class _Buckets:
             while done < head[c]:
                 block = out[done : head[c]]
                 done = head[c]
-                self._place(out, block, head, 1, False)
+                self._place(out, block, head, 1, 0)
             if seeds_at[c] < self.ends[c]:
-                self._place(out, out[seeds_at[c] : self.ends[c]].copy(), head, 1, False)
+                self._place(out, out[seeds_at[c] : self.ends[c]].copy(), head, 1, 0)
         # S-type suffixes are placed anew, from the ends
         tail = self.ends - 1
         for c in np.flatnonzero(self.ends > self.starts)[::-1]:
@@ -83,16 +90,27 @@ class _Buckets:
             while done > tail[c]:
                 block = out[tail[c] + 1 : done + 1][::-1]
                 done = tail[c]
-                self._place(out, block, tail, -1, True)
+                self._place(out, block, tail, -1, 1)
             if head[c] > self.starts[c]:
-                self._place(out, out[self.starts[c] : head[c]][::-1], tail, -1, True)
+                self._place(out, out[self.starts[c] : head[c]][::-1], tail, -1, 1)
         return out
 
-    def _place(self, out: np.ndarray, block: np.ndarray, place: np.ndarray, step: int, kind: bool) -> None:
-        before = block[block > 0] - 1
-        before = before[self.small[before] == kind]
+    def _place(self, out: np.ndarray, block: np.ndarray, place: np.ndarray, step: int, kind: int) -> None:
+        before = block[self.before[block] == kind]
         if len(before):
-            self._deal(out, before, place, step)
+            self._deal(out, before - 1, place, step)
+
+
+def _direct(text: np.ndarray) -> np.ndarray:
+    """The suffix array of a short text, by doubling of ranks."""
+    rank, n, reach = text.astype(np.int64), len(text), 1
+    while True:
+        after = np.zeros(n, np.int64)
+        after[: n - reach] = rank[reach:] + 1
+        _, rank = np.unique(rank * (n + 1 + int(rank.max(initial=0))) + after, return_inverse=True)
+        reach *= 2
+        if int(rank.max()) == n - 1 or reach >= n:
+            return np.argsort(rank, kind="stable").astype(np.int32)
 
 
 def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -130,6 +148,8 @@ def suffix_array(text: np.ndarray, symbols: int | None = None) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
+    if n <= SHORT:
+        return _direct(text)
     symbols = int(text.max()) + 1 if symbols is None else symbols
     text = text.astype(np.uint8 if symbols <= 256 else np.uint16 if symbols <= 1 << 16 else np.int64)
     small = classify(text)
@@ -142,14 +162,14 @@ def suffix_array(text: np.ndarray, symbols: int | None = None) -> np.ndarray:
     is_lms[lms] = True
     sorted_lms = rough[is_lms[rough]]
     # a name for each distinct substring from one LMS place to the next
-    upto = np.zeros(n, np.int64)
+    upto = np.zeros(n, np.int32)
     upto[lms] = np.r_[lms[1:] + 1, n]
     a, b = sorted_lms[:-1], sorted_lms[1:]
     size = upto[a] - a
     same = (size == upto[b] - b) & (upto[a] < n) & (upto[b] < n)
     at = np.flatnonzero(same)
     same[at] = common_prefixes(text, a[at], b[at], size[at]) == size[at]
-    name_of = np.zeros(n, np.int64)
+    name_of = np.zeros(n, np.int32)
     name_of[sorted_lms] = np.r_[0, np.cumsum(~same)]
     names = name_of[lms]
     n_names = int(names.max()) + 1
@@ -166,9 +186,9 @@ def permuted_lcp(text: np.ndarray, order: np.ndarray, cap: int, fresh: np.ndarra
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     # a place follows from the one before it where both have the same character in front, and the one before is not the first in order
     follows = (at > 0) & (before > 0)
     follows[1:] &= before[:-1] >= 0
@@ -178,7 +198,7 @@ def permuted_lcp(text: np.ndarray, order: np.ndarray, cap: int, fresh: np.ndarra
         follows[fresh] = False
     start = np.flatnonzero(~follows)
     own = start[before[start] >= 0]
-    value = np.zeros(n, np.int64)
+    value = np.zeros(n, np.int32)
     value[own] = common_prefixes(text, own, before[own], np.minimum(n - np.maximum(own, before[own]), cap))
     head = np.maximum.accumulate(np.where(follows, 0, at))
     return np.maximum(value[head] - (at - head), 0)
