@@ -18,6 +18,8 @@ texts are scanned, however long.  Two scans may add to one ledger at a time; wha
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,9 +174,10 @@ def span_list(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger lies in the shared folder, so what one run has scanned the next one takes from there."""
-    out = scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{shared_dir(spark)}/op9_ledger")
+def op9_secrets(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """ledger: a folder that keeps what runs have scanned.  Without one a run starts a new ledger in the shared folder, so that neither its results nor its
+    time lean on an earlier run."""
+    out = scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ledger or f"{shared_dir(spark)}/op9_ledger_{uuid.uuid4().hex}")
     n = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
     return out.select("doc_id", *map(n, BASE_KINDS), F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"), span_list(F.col("found")).alias("spans"))

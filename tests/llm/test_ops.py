@@ -428,10 +428,11 @@ def test_op8_repeated_rows(spark, unit, monkeypatch):
         assert sorted((tuple(r) for r in out.collect()), key=str) == repeats(rows)
 
 
-def test_suffix_arrays():
+def test_suffix_arrays(monkeypatch):
     from reedbank.llm import suffix_sort as s
 
     rng = random.Random(1)
+    monkeypatch.setattr(s, "SHORT", 1)
     for small in (2, 8, 512):
         s.SMALL_ALPHABET = small
         for _ in range(120):
@@ -448,6 +449,7 @@ def test_suffix_arrays():
                 x, y = b[want[r] :], b[want[r - 1] :]
                 same = next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
                 assert common[want[r]] == same and min(10, some[want[r]]) == min(10, same)
+    monkeypatch.undo()
     s.SMALL_ALPHABET = 512
     # a text whose names need two digits several times over
     t = np.frombuffer(bytes(rng.choices(range(97, 123), k=6000)) * 2, np.uint8)
@@ -517,6 +519,15 @@ def test_op9_ledger(spark, tmp_path, most, monkeypatch):
     assert not any(s["kind"] == "assign" for r in op.scan(frame(spark, SECRETS), folder, rules=changed).collect() for s in r.found)
 
 
+def test_op9_query_with_a_lasting_ledger(spark, tmp_path, monkeypatch):
+    from reedbank.llm import op09_secrets as op
+
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    fresh, first = rows(op.op9_secrets(spark, SF)), rows(op.op9_secrets(spark, SF, str(tmp_path / "ledger")))
+    monkeypatch.setattr(op, "hits_of", lambda *a: pytest.fail("scanned again"))
+    assert fresh == first == rows(op.op9_secrets(spark, SF, str(tmp_path / "ledger")))
+
+
 def test_op9_redaction(spark):
     from reedbank.llm import op09_secrets as op
 
