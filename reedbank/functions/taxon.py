@@ -27,6 +27,17 @@ def is_partly_canonical(name: Column) -> Column:
     return F.exists(parts(name), is_canonical)
 
 
+def is_canonical_list(name: Column) -> Column:
+    """Whether all parts are canonical, of whatever ranks."""
+    return (F.size(parts(name)) > 0) & F.forall(parts(name), is_canonical)
+
+
+def is_full_path(name: Column) -> Column:
+    """Whether the parts are canonical and go down the ranks from the first one (domain or kingdom) without a gap."""
+    at = lambda x, i: is_canonical(x) & F.when(i == 0, F.substring(x, 1, 1).isin("d", "k")).otherwise(F.substring(x, 1, 1) == F.substring(F.lit("kpcofgs"), i + 1, F.lit(1)))
+    return (F.size(parts(name)) > 0) & F.forall(F.transform(parts(name), at), lambda x: x)
+
+
 def canonical(name: Column) -> Column:
     """The canonical parts, joined by semicolons."""
     return F.array_join(F.filter(parts(name), is_canonical), ";")

@@ -35,7 +35,7 @@ def join_taxa(assignments: DataFrame, nodes: DataFrame, taxon_id: str = "taxon_i
 
 def rename_samples(assignments: DataFrame, sample_list: DataFrame, file: str = "file") -> DataFrame:
     """Only files on the list stay, under the list's names."""
-    return assignments.join(F.broadcast(sample_list), file).drop(file)
+    return assignments.join(sample_list, file).drop(file)
 
 
 def join_edges(assignments: DataFrame, edges: DataFrame, branch: str = "branch_id") -> DataFrame:

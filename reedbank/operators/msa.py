@@ -65,6 +65,13 @@ def column_fractions(sites: DataFrame) -> DataFrame:
     return sites.groupBy(SITE).agg((F.greatest(*[of(b) for b in BASES]) / n).alias("identity"), (of("-") / n).alias("gap_fraction"), (1 - of("-") / n).alias("symbol_fraction"))
 
 
+def weighted_fractions(weighted: DataFrame) -> DataFrame:
+    """(site, identity, gap_fraction, symbol_fraction) of weighted_counts: the heaviest base over all, gaps and bases over all, by weight."""
+    of = lambda b: F.coalesce(F.sum(F.when(F.col(BASE) == b, F.col("w"))), F.lit(0.0))
+    n = F.sum("w")
+    return weighted.groupBy(SITE).agg((F.greatest(*[of(b) for b in BASES]) / n).alias("identity"), (of("-") / n).alias("gap_fraction"), (1 - of("-") / n).alias("symbol_fraction"))
+
+
 def base_frequencies(sites: DataFrame) -> DataFrame:
     sums = sites.where(F.col(BASE) != "-").groupBy(BASE).agg(F.count("*").alias("n"))
     return sums.withColumn("frequency", F.col("n") / F.sum("n").over(Window.partitionBy()))

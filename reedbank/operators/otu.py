@@ -104,9 +104,15 @@ def _draw(*parts) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+READS_AT_ONCE = 1 << 20
+
+
 def reads(counts: DataFrame) -> DataFrame:
     """One row for each read, numbered from 1 in its cell."""
-    return counts.select(OTU, SAMPLE, F.explode(F.sequence(F.lit(1), F.col(N).cast("int"))).alias("i"))
+    n, piece = F.col(N).cast("long"), F.lit(READS_AT_ONCE)
+    # a cell may have more reads than an array has room for
+    starts = counts.where(F.col(N) >= 1).select(OTU, SAMPLE, n.alias("upto"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1, piece.cast("long"))).alias("start"))
+    return starts.select(OTU, SAMPLE, F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + piece, F.col("upto")))).alias("i"))
 
 
 def subset_uniform(counts: DataFrame, depth: int, seed: int = 0) -> DataFrame:
@@ -126,17 +132,20 @@ def subset_uniform(counts: DataFrame, depth: int, seed: int = 0) -> DataFrame:
 def subset_multinomial(counts: DataFrame, depth: int, seed: int = 0) -> DataFrame:
     """depth draws of each sample with replacement; samples with no more reads stay as they are.
 
-    Draw k of a sample takes the read whose number is a hash of (seed, sample, k) modulo the total; cells are found by their running totals."""
+    Draw k of a sample takes the read whose number is a hash of (seed, sample, k), 60 bits of it, modulo the total.  Draws and cells stand in one order of read
+    numbers, a cell by its first, and a draw belongs to the last cell before it; so a sample's work is a sort of its cells and draws."""
     plain_unions(counts.sparkSession)
     upto = Window.partitionBy(SAMPLE).orderBy(OTU).rowsBetween(Window.unboundedPreceding, 0)
-    cells = counts.withColumn("upto", F.sum(N).over(upto)).withColumn("total", F.sum(N).over(Window.partitionBy(SAMPLE)))
+    whole = F.col(N).cast("long")
+    cells = counts.where(F.col(N) > 0).select(OTU, SAMPLE, whole.alias(N), F.sum(whole).over(upto).alias("upto"), F.sum(whole).over(Window.partitionBy(SAMPLE)).alias("total"))
     large, small = cells.where(F.col("total") > depth), cells.where(F.col("total") <= depth)
-    number = F.conv(F.substring(_draw(F.lit(seed), SAMPLE, "k"), 1, 8), 16, 10).cast("long")
+    number = F.conv(F.substring(_draw(F.lit(seed), SAMPLE, "k"), 1, 15), 16, 10).cast("long")
     draws = large.select(SAMPLE, "total").distinct().select(SAMPLE, "total", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("k"))
-    draws = draws.select(SAMPLE, F.pmod(number, F.col("total")).alias("r"))
-    hit = large.select(OTU, F.col(SAMPLE).alias("s"), F.col("upto"), (F.col("upto") - F.col(N)).alias("from"))
-    found = draws.join(hit, (draws[SAMPLE] == hit["s"]) & (draws["r"] >= hit["from"]) & (draws["r"] < hit["upto"]))
-    return found.groupBy(OTU, SAMPLE).agg(F.count("*").alias(N)).unionByName(small.select(OTU, SAMPLE, F.col(N).cast("long").alias(N)))
+    both = large.select(SAMPLE, (F.col("upto") - F.col(N)).alias("at"), F.lit(0).alias("is_draw"), OTU)
+    both = both.unionByName(draws.select(SAMPLE, F.pmod(number, F.col("total")).alias("at"), F.lit(1).alias("is_draw"), F.lit(None).cast(counts.schema[OTU].dataType).alias(OTU)))
+    cell = F.last(OTU, ignorenulls=True).over(Window.partitionBy(SAMPLE).orderBy("at", "is_draw").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn(OTU, cell).where("is_draw = 1").groupBy(OTU, SAMPLE).agg(F.count("*").alias(N))
+    return found.unionByName(small.select(OTU, SAMPLE, N))
 
 
 def rarefy(counts: DataFrame, depth: int, method: str = "uniform", seed: int = 0) -> DataFrame:
@@ -147,6 +156,15 @@ def rarefy(counts: DataFrame, depth: int, method: str = "uniform", seed: int = 0
     return prune_otus(prune_samples(out, depth))
 
 
+def site_summary(sites: DataFrame, width: int | None = None) -> DataFrame:
+    """(otu, observed_sites, symbol_sites, observed_fraction, symbol_fraction) of site_counts: sites with any read, sites with a base, and their shares of width (the
+    number of sites that stand in the table, where it is not given)."""
+    bases = F.col("a") + F.col("c") + F.col("g") + F.col("t")
+    sums = sites.groupBy(OTU).agg(F.count_if(bases + F.col("gap") > 0).alias("observed_sites"), F.count_if(bases > 0).alias("symbol_sites"), F.count("*").alias("all"))
+    n = F.col("all") if width is None else F.lit(width)
+    return sums.select(OTU, "observed_sites", "symbol_sites", (F.col("observed_sites") / n).alias("observed_fraction"), (F.col("symbol_sites") / n).alias("symbol_fraction"))
+
+
 def summary(counts: DataFrame) -> DataFrame:
     """(otu, n_reads, n_samples) of every OTU."""
     return counts.groupBy(OTU).agg(F.sum(N).alias("n_reads"), F.count_if(F.col(N) > 0).alias("n_samples"))

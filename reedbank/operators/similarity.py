@@ -80,14 +80,29 @@ def nearest_nodes(reads: DataFrame, nodes: DataFrame, n: int, width: int, read:
     return out if passes == 1 else top_candidates(out, n).drop("rank")
 
 
+#: Primers that one pass over the nodes takes.
+MOST_PRIMERS = 1000
+
+
 def primer_hits(primers: DataFrame, nodes: DataFrame, identity: float = 0.9) -> DataFrame:
     """(primer, total_nodes, total_leaves, hit_nodes, hit_leaves, efficiency_nodes, efficiency_leaves).
 
-    primers: (primer, seq, start): seq stands on columns start.. of the nodes' alignment (1-based), with degenerate letters; the list of primers is short and
-    is broadcast.  nodes: (id, aln, is_leaf).  A node is hit if at most 1 - identity of the columns can't match."""
+    primers: (primer, seq, start): seq stands on columns start.. of the nodes' alignment (1-based), with degenerate letters.  Primers go to the nodes as an array in
+    each row, MOST_PRIMERS at a time.  nodes: (id, aln, is_leaf).  A node is hit if at most 1 - identity of the columns can't match."""
+    blocks = -(-primers.count() // MOST_PRIMERS) or 1
+    out = None
+    for block in range(blocks):
+        part = primers.where(F.pmod(F.xxhash64("primer"), F.lit(blocks)) == block) if blocks > 1 else primers
+        got = _primer_hits(part, nodes, identity)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _primer_hits(primers: DataFrame, nodes: DataFrame, identity: float) -> DataFrame:
     from reedbank.functions.sequence import degenerate_match
 
-    pairs = nodes.crossJoin(F.broadcast(primers))
+    listed = primers.agg(F.collect_list(F.struct("primer", "seq", "start")).alias("listed"))
+    pairs = nodes.crossJoin(F.broadcast(listed)).select(*nodes.columns, F.inline("listed"))
     window = F.substring("aln", F.col("start"), F.length("seq"))
     differ = F.size(F.filter(F.arrays_zip(F.split(window, "").alias("a"), F.split(F.col("seq"), "").alias("b")), lambda x: ~degenerate_match(x["a"], x["b"])))
     hit = differ <= (1 - identity) * F.length("seq") + 1e-9

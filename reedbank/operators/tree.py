@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reedbank.functions.taxon import is_canonical_list, is_full_path
+from reedbank.session import cut
+
 
 def children(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent is not null").select("parent", F.col("id").alias("child"))
@@ -85,16 +88,70 @@ def pruned(nodes: DataFrame, kept: DataFrame) -> DataFrame:
     return below.unionByName(root)
 
 
+def _below(nodes: DataFrame, start: DataFrame, raised: dict, merged: dict) -> DataFrame:
+    """start (id, values) gathered over everything below each node, in as many rounds as the depth has binary digits.
+
+    After round k a node has what lies less than 2^k levels below it, and jumps go 2^k levels up: each round sends every node's values along its jump, and doubles the
+    jumps.  So the work is nodes times rounds, however deep the tree.  raised: a value as it arrives over distance; merged: how values of one node unite."""
+    values = [c for c in start.columns if c != "id"]
+    unite = lambda df: df.groupBy("id").agg(*[merged[c](c).alias(c) for c in values])
+    have = cut(unite(start))
+    jumps = cut(nodes.where("parent is not null").select("id", F.col("parent").alias("up"), F.col("length").cast("double").alias("distance")))
+    while jumps.take(1):
+        moved = have.join(jumps, "id").select(F.col("up").alias("id"), *[raised.get(c, F.col)(c).alias(c) for c in values])
+        have = cut(unite(have.unionByName(moved)))
+        next_ = jumps.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("distance").alias("more"))
+        jumps = cut(jumps.join(next_, "up").select("id", F.col("top").alias("up"), (F.col("distance") + F.col("more")).alias("distance")))
+    return have
+
+
 def heights(nodes: DataFrame) -> DataFrame:
     """(id, height): shortest way down to a leaf."""
-    return paths_up(nodes, leaves(nodes)).groupBy(F.col("node").alias("id")).agg(F.min("distance").alias("height"))
+    return _below(nodes, leaves(nodes).select("id", F.lit(0.0).alias("height")), {"height": lambda c: F.col(c) + F.col("distance")}, {"height": F.min})
+
+
+def _nearest_up(nodes: DataFrame, stop: Column, own: Column | None = None) -> DataFrame:
+    """(id, to, distance, names) for nodes with a stop on their way to the root, itself included: the nearest one, how far it is, and the values of own (null: none)
+    of the nodes before it, uppermost first.  Pointers double in each round."""
+    none = F.expr("cast(array() as array<string>)")
+    mine = none if own is None else F.when(own.isNull(), none).otherwise(F.array(own))
+    first = nodes.select(
+        "id", F.when(stop, F.col("id")).otherwise(F.col("parent")).alias("to"), F.when(stop, 0.0).otherwise(F.coalesce(F.col("length").cast("double"), F.lit(0.0))).alias("distance"), F.when(stop, none).otherwise(mine).alias("names"), F.coalesce(stop, F.lit(False)).alias("done")
+    )
+    here = cut(first.where("to is not null"))
+    before = -1
+    while True:
+        ahead = here.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("distance").alias("more"), F.col("names").alias("above"), F.col("done").alias("there"))
+        # pointers at roots that are no stops lead nowhere
+        step = here.join(ahead, "to").select(
+            "id",
+            F.when(F.col("done"), F.col("to")).otherwise(F.col("next")).alias("to"),
+            F.when(F.col("done"), F.col("distance")).otherwise(F.col("distance") + F.col("more")).alias("distance"),
+            F.when(F.col("done"), F.col("names")).otherwise(F.concat("above", "names")).alias("names"),
+            # a stop is its own pointer, so who points at one has arrived
+            (F.col("done") | F.col("there")).alias("done"),
+        )
+        here = cut(step)
+        n = here.where("not done").count()
+        if n == 0 or n == before:
+            return here.where("done").drop("done")
+        before = n
 
 
 def annotation_paths(nodes: DataFrame, named: str = "^[dkpcofgs]__.+") -> DataFrame:
     """(id, anno_id, anno_dist): the nearest node on the way up whose anno is canonical, and how far it is; nodes without one are left out."""
-    labels = nodes.where(F.col("anno").rlike(named)).select(F.col("id").alias("node"))
-    hits = paths_up(nodes, nodes).join(labels, "node")
-    return hits.groupBy(F.col("start").alias("id")).agg(F.min(F.struct("depth", "node", "distance")).alias("x")).select("id", F.col("x.node").alias("anno_id"), F.col("x.distance").alias("anno_dist"))
+    return _nearest_up(nodes, F.col("anno").rlike(named)).select("id", F.col("to").alias("anno_id"), F.col("distance").alias("anno_dist"))
+
+
+def annotate_by_path(nodes: DataFrame, root_name: str = "") -> DataFrame:
+    """(id, anno, anno_dist): the name of the nearest node on the way up whose name is a full path of ranks, with the names of canonical parts that stand
+    before it behind; where there is none, those names up to the root, or root_name.  The distance goes to that node, or to the root."""
+    full, part = is_full_path(F.col("name")), is_canonical_list(F.col("name"))
+    root = F.col("parent").isNull()
+    ways = _nearest_up(nodes, F.coalesce(full, F.lit(False)) | root, F.when(part, F.col("name")))
+    top = nodes.select(F.col("id").alias("to"), F.when(full, F.array("name")).otherwise(F.expr("cast(array() as array<string>)")).alias("last"))
+    path = F.concat("last", "names")
+    return ways.join(top, "to").select("id", F.when(F.size(path) > 0, F.array_join(path, ";")).otherwise(F.lit(root_name)).alias("anno"), F.col("distance").alias("anno_dist"))
 
 
 def reroot(nodes: DataFrame, new_root: int) -> DataFrame:
@@ -117,11 +174,11 @@ def summary(nodes: DataFrame) -> DataFrame:
 
 def leaves_below(nodes: DataFrame) -> DataFrame:
     """(id, first_leaf, last_leaf, n_leaves) of the leaves under each node, itself included."""
-    ways = paths_up(nodes, leaves(nodes))
-    return ways.groupBy(F.col("node").alias("id")).agg(F.min("start").alias("first_leaf"), F.max("start").alias("last_leaf"), F.count("*").alias("n_leaves"))
+    own = leaves(nodes).select("id", F.col("id").alias("first_leaf"), F.col("id").alias("last_leaf"), F.lit(1).cast("long").alias("n_leaves"))
+    return _below(nodes, own, {}, {"first_leaf": F.min, "last_leaf": F.max, "n_leaves": F.sum})
 
 
 def random_leaf(nodes: DataFrame, seed: int = 0) -> DataFrame:
-    """(id, leaf): a leaf under each node, the one with the smallest hash of (seed, node, leaf), so it doesn't depend on partitions."""
-    ways = paths_up(nodes, leaves(nodes))
-    return ways.groupBy(F.col("node").alias("id")).agg(F.min_by("start", F.struct(F.xxhash64(F.lit(seed), "node", "start"), "start")).alias("leaf"))
+    """(id, leaf): a leaf under each node, the one with the smallest hash of (seed, leaf), so it doesn't depend on partitions."""
+    own = leaves(nodes).select("id", F.struct(F.xxhash64(F.lit(seed), "id").alias("h"), F.col("id").alias("leaf")).alias("leaf"))
+    return _below(nodes, own, {}, {"leaf": F.min}).select("id", F.col("leaf.leaf").alias("leaf"))

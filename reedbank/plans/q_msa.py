@@ -59,6 +59,13 @@ def column_fractions(spark, d):
     return out.select("site", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
 
 
+@query(f"{T}, {_W}, x AS (SELECT site, base, sum(weight) AS w FROM sites JOIN w USING (id) GROUP BY ALL) SELECT site, round(max(w) FILTER (base <> '-') / sum(w), 6) AS identity, round(coalesce(sum(w) FILTER (base = '-'), 0) / sum(w), 6) AS gap_fraction, round(1 - coalesce(sum(w) FILTER (base = '-'), 0) / sum(w), 6) AS symbol_fraction FROM x GROUP BY site")
+def weighted_fractions(spark, d):
+    sites = _sites(spark, d)
+    out = msa.weighted_fractions(msa.weighted_counts(sites, msa.sequence_weights(sites)))
+    return out.select("site", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
 @query(f"{T} SELECT base, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 9) AS frequency FROM sites WHERE base <> '-' GROUP BY base")
 def base_freq(spark, d):
     return msa.base_frequencies(_sites(spark, d)).withColumn("frequency", F.round("frequency", 9))

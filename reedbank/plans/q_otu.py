@@ -26,24 +26,29 @@ def otu_support_having(spark, d):
     return otu.supported(fx_otu(spark, d), 25, 20)
 
 
-@query(f"{W} SELECT otu, " + ", ".join(f"coalesce(sum(n) FILTER (sample = {s}), 0)::DOUBLE AS s{s}" for s in range(1, 9)) + " FROM fx_otu GROUP BY otu")
-def otu_pivot(spark, d):
-    return otu.pivot(fx_otu(spark, d), range(1, 9))
+#: Samples are the suppliers' nations, whose numbers are known: so a wide table has all of them.
+_NATIONS = range(25)
+_BY_NATION = "c AS (SELECT l_partkey AS otu, s_nationkey AS sample, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
 
 
-@query(f"{W} SELECT otu, 's' || sample AS sample, sum(n)::DOUBLE AS n FROM fx_otu WHERE sample BETWEEN 1 AND 8 GROUP BY ALL")
-def otu_unpivot(spark, d):
-    return otu.unpivot(otu.pivot(fx_otu(spark, d), range(1, 9)))
+def _by_nation(spark, d):
+    joined = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.groupBy(F.col("l_partkey").alias("otu"), F.col("s_nationkey").alias("sample")).agg(F.count("*").alias("n"))
 
 
-_BY_NATION = "c AS (SELECT l_partkey AS otu, s_nationkey AS sample, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
+@query(f"WITH {_BY_NATION} SELECT otu, " + ", ".join(f"coalesce(sum(n) FILTER (sample = {s}), 0)::DOUBLE AS s{s}" for s in _NATIONS) + " FROM c GROUP BY otu")
+def otu_pivot(spark, d):
+    return otu.pivot(_by_nation(spark, d), _NATIONS)
+
+
+@query(f"WITH {_BY_NATION} SELECT otu, 's' || sample AS sample, n::DOUBLE AS n FROM c")
+def otu_unpivot(spark, d):
+    return otu.unpivot(otu.pivot(_by_nation(spark, d), _NATIONS))
 
 
 @query(f"WITH {_BY_NATION} SELECT otu, sample, coalesce(n, 0)::BIGINT AS n FROM (SELECT p_partkey AS otu FROM part) CROSS JOIN (SELECT n_nationkey AS sample FROM nation) LEFT JOIN c USING (otu, sample)")
 def otu_densify(spark, d):
-    joined = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    counts = joined.groupBy(F.col("l_partkey").alias("otu"), F.col("s_nationkey").alias("sample")).agg(F.count("*").alias("n"))
-    return otu.densify(counts, table(spark, d, "part").select(F.col("p_partkey").alias("otu")), table(spark, d, "nation").select(F.col("n_nationkey").alias("sample")))
+    return otu.densify(_by_nation(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("otu")), table(spark, d, "nation").select(F.col("n_nationkey").alias("sample")))
 
 
 @query(f"{W}, t AS (SELECT sample, sum(n) AS total FROM fx_otu GROUP BY sample) SELECT otu, sample, round(n * 1000.0::DOUBLE / total, 6) AS n FROM fx_otu JOIN t USING (sample)")
@@ -147,9 +152,14 @@ def otu_subset_pipeline(spark, d):
     return otu.rarefy(fx_otu(spark, d), DEPTH)
 
 
-@query(f"""{W}, c AS (SELECT *, sum(n) OVER (PARTITION BY sample ORDER BY otu ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY sample) AS total FROM fx_otu),
-draws AS (SELECT DISTINCT sample, total, k FROM c, LATERAL (SELECT unnest(range(1, {DEPTH} + 1)) AS k) WHERE total > {DEPTH}),
-r AS (SELECT sample, ('0x' || substr(md5('0|' || sample || '|' || k), 1, 8))::BIGINT % total AS r FROM draws)
-SELECT otu, sample, count(*) AS n FROM r JOIN c USING (sample) WHERE r >= upto - n AND r < upto GROUP BY ALL UNION ALL SELECT otu, sample, n FROM c WHERE total <= {DEPTH}""")
+@query(f"""{W}, c AS (SELECT *, sum(n) OVER (PARTITION BY sample ORDER BY otu ROWS UNBOUNDED PRECEDING) - n AS first, sum(n) OVER (PARTITION BY sample) AS total FROM fx_otu),
+draws AS (SELECT sample, total, unnest(range(1, {DEPTH} + 1)) AS k FROM (SELECT DISTINCT sample, total FROM c WHERE total > {DEPTH})),
+r AS (SELECT sample, ('0x' || substr(md5('0|' || sample || '|' || k), 1, 15))::BIGINT % total::BIGINT AS r FROM draws)
+SELECT otu, c.sample, count(*) AS n FROM r ASOF JOIN c ON r.sample = c.sample AND r.r >= c.first GROUP BY ALL UNION ALL SELECT otu, sample, n FROM c WHERE total <= {DEPTH}""")
 def otu_subset_multinomial(spark, d):
     return otu.subset_multinomial(fx_otu(spark, d), DEPTH)
+
+
+@query(f"""{with_('fx_aln')}, {_READS}, {_SITE} SELECT otu, count(*) FILTER (a + c + g + t + gap > 0) AS observed_sites, count(*) FILTER (a + c + g + t > 0) AS symbol_sites, count(*) FILTER (a + c + g + t + gap > 0) / 40.0::DOUBLE AS observed_fraction, count(*) FILTER (a + c + g + t > 0) / 40.0::DOUBLE AS symbol_fraction FROM c GROUP BY otu""")
+def otu_site_summary(spark, d):
+    return otu.site_summary(otu.site_counts(_aligned_reads(spark, d), "otu", "aln"), 40)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -30,3 +34,24 @@ def session(name: str = "reedbank", master: str | None = None, **more: str) -> S
     for key, value in (SETTINGS | {PLAIN_UNION: "false"} | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Makes sure that checkpoints go to the folder that spark.checkpoint.dir names; a temporary one where that is unset and all runs in one process."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="reedbank_")
+        atexit.register(shutil.rmtree, own, True)
+        folder = "file://" + own
+    context.setCheckpointDir(folder)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint, for rounds that build on each other."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
