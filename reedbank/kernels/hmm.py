@@ -216,7 +216,8 @@ class Aligner:
 
     def align(self, codes: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> list[tuple[float, list]]:
         """(cost, path) of each row of codes (B, N); path: (state, read position from 1, profile position).  low, high: by read position, the
-        first and last profile position that is looked at (a band); costs beyond FAR mean that there is no alignment."""
+        first and last profile position that is looked at (a band); costs beyond FAR mean that there is no alignment.  Of equal costs the path that
+        begins here goes before one from M, I and D, in this order."""
         b, n = codes.shape
         k, t = self.p.size, self.t
         codes = np.maximum(codes, 0)
@@ -231,7 +232,7 @@ class Aligner:
             new_m, new_i, new_d = (np.full((b, k + 1), FAR) for _ in range(3))
             if lo <= hi:
                 here, back = slice(lo, hi + 1), slice(lo - 1, hi)
-                options = np.stack([m[:, back] + t[MM, back], ins[:, back] + t[IM, back], dele[:, back] + t[DM, back], np.broadcast_to(start + self.enter[here], (b, hi - lo + 1))])
+                options = np.stack([np.broadcast_to(start + self.enter[here], (b, hi - lo + 1)), m[:, back] + t[MM, back], ins[:, back] + t[IM, back], dele[:, back] + t[DM, back]])
                 choice = options.argmin(0)
                 new_m[:, here] = np.take_along_axis(options, choice[None], 0)[0] + self.em[here, :][:, x].T
                 from_m[i, :, here] = choice
@@ -266,9 +267,9 @@ class Aligner:
             path.append((state, i, j))
             if state == "M":
                 c = from_m[i, r, j]
-                if c == 3:
+                if c == 0:
                     return path[::-1]
-                i, j, state = i - 1, j - 1, "MID"[c]
+                i, j, state = i - 1, j - 1, "BMID"[c]
             elif state == "I":
                 c = from_i[i, r, j]
                 i, state = i - 1, "MI"[c]

@@ -133,6 +133,20 @@ def optimise_length(u: np.ndarray, v: np.ndarray, model: Model, start: float, mo
     return max(0.0, float(w))
 
 
+#: Nodes that a block of reads is compared with at a time.
+NODES_AT_ONCE = 8192
+
+
+def distances(reads: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """p-distances of all reads and nodes (codes, below 0 for anything that isn't a base): sites that differ over sites where both have a base, NaN
+    without any.  Counts are matrix products of indicator matrices, one for each base."""
+    has = lambda x: (x >= 0).astype(np.float32)
+    both = has(reads) @ has(nodes).T
+    same = sum((reads == b).astype(np.float32) @ (nodes == b).astype(np.float32).T for b in range(4))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(both > 0, (both - same).astype(np.float64) / both, np.nan)
+
+
 @dataclass
 class Placement:
     child: int
@@ -149,7 +163,7 @@ class Placer:
     """Seed, estimate, filter and place, for one tree whose messages are known."""
 
     def __init__(self, tree: Tree, model: Model, rates=None, heights: np.ndarray | None = None, sequences: np.ndarray | None = None):
-        self.tree, self.model = tree, model
+        self.tree, self.model, self.rates = tree, model, rates
         self.up, self.down = messages(tree, model, rates)
         self.sequences = ancestral_sequences(tree, model, rates) if sequences is None else sequences
         self.heights = node_heights(tree) if heights is None else heights
@@ -169,6 +183,27 @@ class Placer:
             at = at[d[at] - d[at[0]] <= max_diff]
         return [(int(u), float(d[u])) for u in at[:n]]
 
+    def seeds_of(self, reads: list[tuple[np.ndarray, int, int]], n: int, max_diff: float = np.inf, max_height: float = np.inf) -> list[list[tuple[int, float]]]:
+        """seeds() of several reads (codes, start, end) at once: distances to blocks of nodes are matrix products over the columns that the reads cover."""
+        if not reads:
+            return []
+        lo, hi = min(r[1] for r in reads), max(r[2] for r in reads)
+        codes = np.full((len(reads), hi - lo), NONE, np.int8)
+        for i, (x, a, z) in enumerate(reads):
+            codes[i, a - lo : z - lo] = x[a:z]
+        usable = np.flatnonzero(self.heights <= max_height)
+        usable = usable[usable != self.tree.root]
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0)) for _ in reads]
+        for at in range(0, len(usable), NODES_AT_ONCE):
+            nodes = usable[at : at + NODES_AT_ONCE]
+            d = distances(codes, self.sequences[nodes, lo:hi])
+            for i, row in enumerate(d):
+                ok = np.flatnonzero(~np.isnan(row))
+                ids, far = np.r_[found[i][0], nodes[ok]], np.r_[found[i][1], row[ok]]
+                best = np.lexsort((ids, far))[:n]
+                found[i] = ids[best], far[best]
+        return [[(int(u), float(d)) for u, d in zip(ids, far, strict=True) if d - far[0] <= max_diff or not np.isfinite(max_diff)] for ids, far in found]
+
     def _distance(self, codes, u, start, end) -> float:
         x, y = codes[start:end], self.sequences[u][start:end]
         both = (x >= 0) & (y >= 0)
@@ -199,14 +234,15 @@ class Placer:
             wn, wu = new_n, new_u
             if moved < EPS:
                 break
-        loglik = tree_loglik(convolve([a, b, leaf], [wu, w0 - wu, wn], self.model), self.model)
+        loglik = tree_loglik(convolve([a, b, leaf], [wu, w0 - wu, wn], self.model, self.rates), self.model)
         ratio = wu / w0 if w0 > 0 else 0.5
         near_child = ratio <= 0.5 or self.heights[p.parent] > max_height
         return Placement(p.child, p.parent, ratio, wn, loglik, w0, p.child if near_child else p.parent, (w0 * ratio if near_child else w0 * (1 - ratio)) + wn)
 
-    def place(self, codes: np.ndarray, start: int, end: int, n: int = 50, max_error: float = 20.0, max_diff: float = np.inf, max_height: float = np.inf, method: str = "unweighted") -> list[Placement]:
-        """Refined placements, best first."""
-        found = [self.estimate(codes, u, start, end, method) for u, _ in self.seeds(codes, start, end, n, max_diff, max_height)]
+    def place(self, codes: np.ndarray, start: int, end: int, n: int = 50, max_error: float = 20.0, max_diff: float = np.inf, max_height: float = np.inf, method: str = "unweighted", seeds: list | None = None) -> list[Placement]:
+        """Refined placements, best first; seeds: those of seeds_of, where they are known."""
+        seeds = self.seeds(codes, start, end, n, max_diff, max_height) if seeds is None else seeds
+        found = [self.estimate(codes, u, start, end, method) for u, _ in seeds]
         if not found:
             return []
         best = max(p.loglik for p in found)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reedbank.functions.alphabet import DNA
+from reedbank.kernels.likelihood import distances
 from reedbank.operators.placement import top_candidates
 
 #: Bytes of node sequences that are broadcast at a time; more nodes are as many passes.
@@ -20,17 +21,6 @@ def _codes(texts: list[str], width: int) -> np.ndarray:
     return np.maximum(table[np.minimum(raw, 127)], -1).reshape(len(texts), width)
 
 
-def distances(reads: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """p-distances of all reads and nodes: sites that differ over sites where both have a base, NaN without any.
-
-    Counts are matrix products of indicator matrices, one for each base."""
-    has = lambda x: (x >= 0).astype(np.float32)
-    both = has(reads) @ has(nodes).T
-    same = sum((reads == b).astype(np.float32) @ (nodes == b).astype(np.float32).T for b in range(4))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(both > 0, (both - same).astype(np.float64) / both, np.nan)
-
-
 def node_blocks(nodes: DataFrame, node: str, seq: str, width: int):
     """(ids, codes) of blocks of nodes whose size has a bound, whatever the size of the tree."""
     rows = max(1, BLOCK_BYTES // max(1, width))

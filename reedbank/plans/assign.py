@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from reedbank.functions.sequence import reverse_complement
 from reedbank.kernels import hmm
-from reedbank.kernels.likelihood import Placer, posteriors
+from reedbank.kernels.likelihood import Placer, Tree, posteriors
+from reedbank.session import cut
 from reedbank.sources.database import Database
 
 ALIGNED = "seq_start int, seq_end int, hmm_start int, hmm_end int, CS_start int, CS_end int, cost double, alignment string"
@@ -50,40 +51,74 @@ def _codes(text: str) -> np.ndarray:
     return np.maximum(NUCLEOTIDE.table()[np.frombuffer(text.encode("ascii", "replace"), np.uint8).clip(0, 127)], 0)
 
 
-#: k-mers of an index that are broadcast at most; a larger index is left aside, and alignments are made without bands.
+#: k-mers of an index that are broadcast at most; reads meet a larger one by a join, with the same seeds.
 MOST_KMERS = 2_000_000
 
 
+class KmerTable:
+    """First places of k-mers, as sorted arrays."""
+
+    def __init__(self, rows: list[tuple[str, int, int]]):
+        self.k = len(rows[0][0]) if rows else 0
+        word = np.array([r[0] for r in rows], f"S{max(1, self.k)}")
+        order = np.argsort(word)
+        self.word, self.place = word[order], np.array([r[1:] for r in rows], np.int32).reshape(-1, 2)[order]
+
+    def find(self, words: list[str]) -> list[tuple[int, int] | None]:
+        if not len(self.word) or not words:
+            return [None] * len(words)
+        asked = np.array([w.encode("ascii", "replace") for w in words], self.word.dtype)
+        at = np.minimum(np.searchsorted(self.word, asked), len(self.word) - 1)
+        return [tuple(map(int, self.place[i])) if hit else None for i, hit in zip(at, self.word[at] == asked, strict=True)]
+
+
 class Seeds:
-    """First and last k-mers of reads that the index has, as places on the profile."""
+    """First and last k-mers of reads that an index has, as places on the profile.  A hit is (offset from 0, first column, last column)."""
 
-    def __init__(self, kmers: dict[str, tuple[int, int]], profile: hmm.Profile, length: int, region: int):
-        self.kmers, self.k, self.region = kmers, length, region
+    def __init__(self, profile: hmm.Profile, k: int, region: int, table: KmerTable | None = None):
+        self.table, self.k, self.region = table, k, region
         # the profile position at, or just before, each column
         self.position = np.searchsorted(profile.columns, np.arange(profile.width + 2), side="right") - 1
 
-    def _hit(self, text: str, places) -> tuple[int, int, int, int] | None:
-        for i in places:
-            if found := self.kmers.get(text[i : i + self.k]):
-                return i + 1, i + self.k, max(1, int(self.position[found[0]])), max(1, int(self.position[found[1]]))
-        return None
-
-    def of(self, text: str, both_ends: bool) -> list[tuple[int, int, int, int]]:
+    def hits(self, text: str) -> tuple[tuple | None, tuple | None]:
+        """The first hit that starts in the first region bases, and the last one that starts in the last."""
         last = len(text) - self.k
-        first = self._hit(text, range(0, min(self.region, last + 1)))
-        out = [first] if first else []
-        if both_ends and (not first or len(text) >= 2 * self.region):
-            end = self._hit(text, range(last, max(-1, last - self.region), -1))
-            if end and (not first or (end[0] > first[1] and end[2] > first[3])):
+        if last < 0:
+            return None, None
+        front, back = range(0, min(self.region, last + 1)), range(last, max(-1, last - self.region), -1)
+        found = self.table.find([text[i : i + self.k] for i in (*front, *back)])
+        one = lambda places, got: next(((i, *x) for i, x in zip(places, got, strict=True) if x), None)
+        return one(front, found[: len(front)]), one(back, found[len(front) :])
+
+    def of(self, text: str, both_ends: bool, hits: tuple | None = None) -> list[tuple[int, int, int, int]]:
+        on_profile = lambda h: (h[0] + 1, h[0] + self.k, max(1, int(self.position[h[1]])), max(1, int(self.position[h[2]])))
+        first, last = self.hits(text) if hits is None else hits
+        out = [on_profile(first)] if first else []
+        if both_ends and last and (not first or len(text) >= 2 * self.region):
+            end = on_profile(last)
+            if not out or (end[0] > out[0][1] and end[2] > out[0][3]):
                 out.append(end)
         return out
 
 
-def align_texts(aligner: hmm.Aligner, texts: list[str], batch: int, seeds: Seeds | None = None) -> list[hmm.Alignment | None]:
-    """Alignments of reads, in batches of equal length; with seeds, in bands around them, and without bands where that finds nothing."""
+def joined_hits(texts: DataFrame, kmers: DataFrame, k: int, region: int) -> DataFrame:
+    """(text, first, last): the hits of Seeds for each of the distinct texts (a column text), by a join of their outer k-mers with the index."""
+    from reedbank.operators.kmer import first
+
+    last = F.length("text") - k
+    places = F.array_distinct(F.concat(F.sequence(F.lit(0), F.least(F.lit(region - 1), last)), F.sequence(F.greatest(F.lit(0), last - (region - 1)), last)))
+    windows = texts.where(F.length("text") >= k).select("text", F.explode(places).alias("at")).withColumn("kmer", F.substring("text", F.col("at") + 1, F.lit(k)))
+    hits = windows.join(first(kmers).select("kmer", "start", "end"), "kmer").select("text", F.struct("at", "start", "end").alias("h"))
+    front, back = F.col("h.at") < region, F.col("h.at") > F.length("text") - k - region
+    return hits.groupBy("text").agg(F.min(F.when(front, F.col("h"))).alias("first"), F.max(F.when(back, F.col("h"))).alias("last"))
+
+
+def align_texts(aligner: hmm.Aligner, texts: list[str], batch: int, seeds: Seeds | None = None, hits: list | None = None) -> list[hmm.Alignment | None]:
+    """Alignments of reads, in batches of equal length; with seeds, in bands around them, and without bands where that finds nothing.  hits: the
+    texts' hits, where they are known already."""
     out: list[hmm.Alignment | None] = [None] * len(texts)
     n_profile = aligner.p.size
-    found = {i: seeds.of(t, aligner.p.mode == "GLOBAL") for i, t in enumerate(texts) if t} if seeds else {}
+    found = {i: seeds.of(t, aligner.p.mode == "GLOBAL", hits[i] if hits else None) for i, t in enumerate(texts) if t} if seeds else {}
 
     def run(members: list[int], banded: bool) -> None:
         low = high = None
@@ -109,21 +144,40 @@ def align_texts(aligner: hmm.Aligner, texts: list[str], batch: int, seeds: Seeds
 
 
 class Assigner:
-    def __init__(self, profile: hmm.Profile, tree, model, rates, annos, anno_dists, heights, sequences, kmers, options: Options):
+    """columns: the stretch [from, to) of the alignment that reads are placed on, where it is known; messages are made for it alone."""
+
+    def __init__(self, profile: hmm.Profile, tree, model, rates, annos, anno_dists, heights, sequences, kmers, options: Options, columns: tuple[int, int] | None = None):
         self.o = options
         profile.mode = "NGCL" if options.single else "GLOBAL"
         self.aligner = hmm.Aligner(profile)
-        k = len(next(iter(kmers))) if kmers else options.seed_length
-        self.seeds = Seeds(kmers, profile, k, options.seed_region) if kmers else None
+        table, k = kmers
+        self.seeds = Seeds(profile, k, options.seed_region, table) if k else None
         self.annos, self.dists = annos, anno_dists
-        self.placer = None if options.align_only else Placer(tree, model, rates, heights, sequences)
-
-    def align(self, texts: list[str]) -> list[hmm.Alignment | None]:
-        return align_texts(self.aligner, texts, self.o.batch, self.seeds)
-
-    def place(self, a: hmm.Alignment) -> dict:
-        o, codes = self.o, np.array(["ACGT".find(c) for c in a.alignment.upper()], np.int8)
-        start, end = a.cs_start - 1, a.cs_end
+        self.offset, placed = 0, not options.align_only and tree is not None
+        if placed and columns:
+            self.offset = columns[0]
+            tree, sequences = Tree(tree.parent, tree.length, tree.codes[:, slice(*columns)]), sequences[:, slice(*columns)]
+        self.placer = Placer(tree, model, rates, heights, sequences) if placed else None
+
+    def align(self, texts: list[str], hits: list | None = None) -> list[hmm.Alignment | None]:
+        return align_texts(self.aligner, texts, self.o.batch, self.seeds, hits)
+
+    def place_all(self, found: list[hmm.Alignment | None]) -> list[dict]:
+        """Placements of alignments, whose seeds are looked for together."""
+        reads = [(self._codes(a), *self._stretch(a)) for a in found if a is not None]
+        seeds = iter(self.placer.seeds_of(reads, self.o.seeds, self.o.max_diff, self.o.max_height))
+        return [self.place(a, next(seeds)) if a is not None else {} for a in found]
+
+    def _codes(self, a: hmm.Alignment) -> np.ndarray:
+        width = self.placer.sequences.shape[1]
+        return np.array(["ACGT".find(c) for c in a.alignment[self.offset : self.offset + width].upper()], np.int8)
+
+    def _stretch(self, a: hmm.Alignment) -> tuple[int, int]:
+        return a.cs_start - 1 - self.offset, a.cs_end - self.offset
+
+    def place(self, a: hmm.Alignment, seeds: list | None = None) -> dict:
+        o, codes = self.o, self._codes(a)
+        start, end = self._stretch(a)
         out = {}
         if o.chimera:
             error = o.chimera_error if o.chimera_error is not None else o.max_error / o.segments
@@ -131,7 +185,7 @@ class Assigner:
             if found:
                 lod, five, three = found
                 out |= {"seg5_taxon_id": five, "seg3_taxon_id": three, "chimera_lod": float(lod), "is_chimera": bool(five != three and lod > o.chimera_lod)}
-        placed = self.placer.place(codes, start, end, o.seeds, o.max_error, o.max_diff, o.max_height, o.method)
+        placed = self.placer.place(codes, start, end, o.seeds, o.max_error, o.max_diff, o.max_height, o.method, seeds)
         if not placed:
             return out
         prior = [-(p.anno_dist + self.dists[p.node]) if o.prior == "height" else 0.0 for p in placed]
@@ -156,52 +210,107 @@ def assigner_of(token: str, model: tuple) -> Assigner:
     return _kept[token]
 
 
-def model_of(db: Database, options: Options) -> tuple:
-    """What an Assigner is made from, to be broadcast: tree, models, and the k-mers' first places if there are not too many."""
+def index_of(db: Database, options: Options, always: bool = False) -> tuple[KmerTable | None, int]:
+    """(table, k): the k-mers' first places to be broadcast, or no table if there are too many; k is 0 without an index."""
     from reedbank.operators.kmer import first
 
+    some = db.kmer.select("kmer").first()
+    if some is None:
+        return None, 0
+    places = first(db.kmer).select("kmer", "start", "end")
+    if not always and places.count() > MOST_KMERS:
+        return None, len(some.kmer)
+    return KmerTable([tuple(r) for r in places.toLocalIterator()]), len(some.kmer)
+
+
+def model_of(db: Database, options: Options, always: bool = True) -> tuple:
+    """What an Assigner is made from, to be broadcast: tree, models, and the k-mers' first places (without always, only if there are not too many)."""
     tree, rows = db.tree()
-    places = first(db.kmer)
-    kmers = {r.kmer: (r.start, r.end) for r in places.select("kmer", "start", "end").collect()} if places.count() <= MOST_KMERS else {}
-    return (db.profile, tree, db.model, db.rates, [r.anno for r in rows], [r.anno_dist for r in rows], np.array([r.height for r in rows]), tree.codes, kmers, options)
+    return (db.profile, tree, db.model, db.rates, [r.anno for r in rows], [r.anno_dist for r in rows], np.array([r.height for r in rows]), tree.codes, index_of(db, options, always), options)
 
 
 def _fields(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def assign_sequences(sequences: DataFrame, db: Database, options: Options = Options()) -> DataFrame:
-    """One row for each row of sequences (seq, and mate, which may be null): alignment, chimera test and best placement; null where there is none."""
-    spark = sequences.sparkSession
-    shared, token = spark.sparkContext.broadcast(model_of(db, options)), uuid.uuid4().hex
-    schema = ", ".join(["seq string, mate string", ALIGNED, *([CHIMERA] if options.chimera else []), *([] if options.align_only else [PLACED])])
+_ARROW = {"string": "string", "int": "int32", "bigint": "int64", "double": "float64", "boolean": "bool_"}
+
+
+def _batch(rows: list[dict], schema: str):
+    import pyarrow as pa
+
     kinds = {x.split()[0]: x.split()[1] for x in schema.split(", ")}
+    return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], getattr(pa, _ARROW[t])()) for k, t in kinds.items()], names=list(kinds))
 
-    def run(batches):
-        import pyarrow as pa
 
-        arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+def align_sequences(sequences: DataFrame, db: Database, options: Options = Options()) -> DataFrame:
+    """(seq, mate, alignment columns, in_order) for each row of sequences (seq, and mate, which may be null)."""
+    spark = sequences.sparkSession
+    table, k = index_of(db, options)
+    shared, token = spark.sparkContext.broadcast((db.profile, None, None, None, None, None, None, None, (table, k), options)), uuid.uuid4().hex
+    schema = ", ".join(["seq string, mate string", ALIGNED, "in_order boolean"])
+    by_join = k and table is None
+    source = sequences.select("seq", "mate")
+    if by_join:
+        texts = source.select(F.col("seq").alias("text")).union(source.select("mate")).where("text is not null").distinct()
+        hits = joined_hits(texts, db.kmer, k, options.seed_region)
+        for c in ("seq", "mate"):
+            source = source.join(hits.select(F.col("text").alias(c), F.col("first").alias(f"{c}_first"), F.col("last").alias(f"{c}_last")), c, "left")
+        source = source.select("seq", "mate", "seq_first", "seq_last", "mate_first", "mate_last")
+
+    def run(batches):
         assigner = assigner_of(token, shared.value)
         names = _fields(ALIGNED)
         for batch in batches:
             seqs, mates = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found, other = assigner.align(seqs), assigner.align(mates)
+            of = lambda i: [tuple(tuple(h.values()) if h else None for h in pair) for pair in zip(batch.column(i).to_pylist(), batch.column(i + 1).to_pylist(), strict=True)]  # noqa: E731, B023
+            found, other = (assigner.align(t, of(i) if by_join else None) for t, i in ((seqs, 2), (mates, 4)))
             out = []
             for s, m, a, b in zip(seqs, mates, found, other, strict=True):
-                row = {"seq": s, "mate": m}
+                row = {"seq": s, "mate": m, "in_order": True}
                 if a is not None and b is not None:
-                    # mates that don't stand in order can't come from one fragment
-                    if not (a.cs_start <= b.cs_start and a.cs_end <= b.cs_end):
-                        row |= {"is_chimera": True}
+                    row["in_order"] = a.cs_start <= b.cs_start and a.cs_end <= b.cs_end
                     a = hmm.merge_mates(a, b)
                 if a is not None:
                     row |= dict(zip(names, (a.seq_start, a.seq_end, a.hmm_start, a.hmm_end, a.cs_start, a.cs_end, a.cost, a.alignment), strict=True))
-                    if assigner.placer is not None:
-                        row |= assigner.place(a) | ({"is_chimera": True} if row.get("is_chimera") else {})
                 out.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in out], arrow[t]) for k, t in kinds.items()], names=list(kinds))
+            yield _batch(out, schema)
+
+    return source.mapInArrow(run, schema)
+
+
+def place_alignments(aligned: DataFrame, db: Database, options: Options = Options()) -> DataFrame:
+    """Adds the chimera test and the best placement to rows of align_sequences; null where there is none.
+
+    Messages are made for the columns that the alignments cover and no others, so that a worker's memory follows the region that was sequenced."""
+    spark = aligned.sparkSession
+    covered = aligned.agg(F.min("CS_start").alias("a"), F.max("CS_end").alias("z")).first()
+    columns = (covered.a - 1, covered.z) if covered.a is not None else (0, 1)
+    tree, rows = db.tree()
+    model = (db.profile, tree, db.model, db.rates, [r.anno for r in rows], [r.anno_dist for r in rows], np.array([r.height for r in rows]), tree.codes, (None, 0), options, columns)
+    shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    schema = ", ".join(["seq string, mate string", ALIGNED, *([CHIMERA] if options.chimera else []), PLACED])
+    names = _fields(ALIGNED)
+
+    def run(batches):
+        assigner = assigner_of(token, shared.value)
+        for batch in batches:
+            told = batch.to_pylist()
+            found = [hmm.Alignment(*[r[n] for n in names]) if r["alignment"] is not None else None for r in told]
+            # mates that don't stand in order can't come from one fragment
+            yield _batch([{k: r[k] for k in ("seq", "mate", *names)} | p | ({} if r["in_order"] else {"is_chimera": True}) for r, p in zip(told, assigner.place_all(found), strict=True)], schema)
 
-    return sequences.select("seq", "mate").mapInArrow(run, schema)
+    return aligned.mapInArrow(run, schema)
+
+
+def assign_sequences(sequences: DataFrame, db: Database, options: Options = Options()) -> DataFrame:
+    """One row for each row of sequences (seq, and mate, which may be null): alignment, chimera test and best placement; null where there is none."""
+    aligned = align_sequences(sequences, db, options)
+    if options.align_only:
+        schema = _fields(", ".join(["seq string, mate string", ALIGNED, *([CHIMERA] if options.chimera else [])]))
+        more = {c: F.lit(None).cast(t) for c, t in (x.split() for x in CHIMERA.split(", "))} if options.chimera else {}
+        return aligned.withColumns(more).withColumn("is_chimera", F.when(~F.col("in_order"), F.lit(True))).select(*schema) if options.chimera else aligned.select(*schema)
+    return place_alignments(cut(aligned), db, options)
 
 
 def detect_strand(reads: DataFrame, db: Database, test: int = 100, share: float = 0.9) -> int:

@@ -23,11 +23,13 @@ def otu_counts(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("taxon_id", "sample").agg(F.count("*").alias("n"))
 
 
-def start(reads: DataFrame, db: Database, query_name: str, checkpoint: str, options: Options = Options(), min_q: float = 0):
-    """A query that keeps the table query_name of counts in memory, in complete mode."""
+def start(reads: DataFrame, db: Database, query_name: str, checkpoint: str, options: Options = Options(), min_q: float = 0, to=None):
+    """A query that hands the counts that changed to to(batch, number), in update mode; without to it keeps the table query_name of all counts in the driver's
+    memory, which suits small tables only."""
     source = reads.withColumn("mate", F.lit(None).cast("string"))
     assigned = assign_stream(source, db, options).where(F.col("taxon_id").isNotNull() & (F.col("Q_taxon") >= min_q))
-    return otu_counts(assigned).writeStream.outputMode("complete").format("memory").queryName(query_name).option("checkpointLocation", checkpoint).start()
+    out = otu_counts(assigned).writeStream.queryName(query_name).option("checkpointLocation", checkpoint)
+    return (out.outputMode("update").foreachBatch(to) if to else out.outputMode("complete").format("memory")).start()
 
 
 def assign_stream(reads: DataFrame, db: Database, options: Options) -> DataFrame:
@@ -45,7 +47,7 @@ def _with_tag(packed: DataFrame, db: Database, options: Options) -> DataFrame:
         assigner = assigner_of(token, shared.value)
         for batch in batches:
             found = assigner.align(batch.column(1).to_pylist())
-            placed = [assigner.place(a) if a is not None else {} for a in found]
+            placed = assigner.place_all(found)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([p.get("taxon_id") for p in placed], pa.int64()), pa.array([p.get("Q_taxon") for p in placed], pa.float64())], names=["tag", "taxon_id", "Q_taxon"]
             )

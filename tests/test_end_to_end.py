@@ -85,7 +85,7 @@ def test_seeds_give_the_same_alignments(spark, world):
     for mode in ("NGCL", "GLOBAL"):
         db.profile.mode = mode
         aligner = Aligner(db.profile)
-        seeds = assign.Seeds(model[-2], db.profile, 15, 50)
+        seeds = assign.Seeds(db.profile, 15, 50, model[-2][0])
         assert sum(bool(seeds.of(r, mode == "GLOBAL")) for r in reads) > 8
         one, two = assign.align_texts(aligner, reads, 4), assign.align_texts(aligner, reads, 4, seeds)
         assert sum(a.alignment == b.alignment for a, b in zip(one, two, strict=True)) >= 15
