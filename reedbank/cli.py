@@ -55,6 +55,7 @@ def parser() -> argparse.ArgumentParser:
     _flag(p, "--chimera-err", type=float)
     _flag(p, "--chimera-lod", type=float, default=0.0)
     _flag(p, "--chimera-out")
+    _flag(p, "-a", "--align-out", help="alignments as FASTA")
     _flag(p, "--align-only", action="store_true")
 
     p = add("sum", "assignments to an OTU table")
@@ -65,6 +66,8 @@ def parser() -> argparse.ArgumentParser:
     _flag(p, "-l", "--list", help="sample names of files")
     _flag(p, "-c", "--consensus")
     _flag(p, "-t", "--tree")
+    _flag(p, "-p", "--pseudo-tree", help="tree in which inner OTUs have leaves")
+    _flag(p, "--no-gap", action="store_true", help="consensus without gaps")
     _flag(p, "-q", type=float, default=0)
     _flag(p, "--aln-iden", type=float, default=0)
     _flag(p, "--hmm-iden", type=float, default=0)
@@ -115,6 +118,8 @@ def parser() -> argparse.ArgumentParser:
     p = add("merge", "merge OTU tables")
     p.add_argument("tables", nargs="+")
     _flag(p, "-o", "--output", required=True)
+    _flag(p, "--db", help="database whose tree is cut to the merged OTUs")
+    _flag(p, "-t", "--tree")
 
     p = add("jplace", "assignments to jplace JSON")
     p.add_argument("db")
@@ -123,6 +128,9 @@ def parser() -> argparse.ArgumentParser:
     _flag(p, "-q", type=float, default=0)
     _flag(p, "--aln-iden", type=float, default=0)
     _flag(p, "--hmm-iden", type=float, default=0)
+    _flag(p, "-m", "--show-model", action="store_true")
+    _flag(p, "-V", "--show-var", action="store_true")
+    _flag(p, "-a", "--show-anno", action="store_true")
 
     p = add("train-dm", "train Dirichlet priors")
     p.add_argument("msa")
@@ -130,6 +138,7 @@ def parser() -> argparse.ArgumentParser:
     _flag(p, "--qM", type=int, default=5)
     _flag(p, "-f", "--symfrac", type=float, default=0.5)
     _flag(p, "-n", type=int, default=1, help="starts")
+    _flag(p, "--pri-rate", type=float, default=0.05, help="weight of a prior of one row")
 
     p = add("train-hmm", "train a profile")
     p.add_argument("msa")
@@ -142,6 +151,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(x)
     _flag(p, "-o", "--output", required=True)
     _flag(p, "-s", "--sub-model", default="GTR", choices=("GTR", "TN93", "HKY85", "F81", "K80", "JC69"))
+    _flag(p, "-m", "--method", default="pairs", choices=("pairs", "triplets"))
     return top
 
 
@@ -184,11 +194,10 @@ def _build(spark, o):
 
 
 def _assign(spark, o):
-    from pyspark.sql import Window
-
+    from reedbank.functions.sequence import alignment_description, fasta
     from reedbank.plans import assign
     from reedbank.sources.database import load
-    from reedbank.sources.fasta import read_sequences
+    from reedbank.sources.fasta import numbered_sequences, read_sequences
     from reedbank.sources.tables import write_assignments
 
     db = load(spark, o.db)
@@ -198,8 +207,7 @@ def _assign(spark, o):
     )
     reads, mates = read_sequences(spark, o.reads, o.fmt), None
     if o.mates:
-        numbered = lambda df: df.withColumn("__at", F.monotonically_increasing_id()).withColumn("ordinal", F.row_number().over(Window.orderBy("__at"))).drop("__at")
-        reads, mates = numbered(reads), numbered(read_sequences(spark, o.mates, o.fmt))
+        reads, mates = numbered_sequences(spark, o.reads, o.fmt), numbered_sequences(spark, o.mates, o.fmt)
     strand = o.strand or assign.detect_strand(reads, db, o.test)
     if not strand:
         print("the reads' strand can't be told; give -s", file=sys.stderr)
@@ -209,6 +217,9 @@ def _assign(spark, o):
         out = out.persist()
         write_assignments(out.where(F.coalesce("is_chimera", F.lit(False))), o.chimera_out)
         out = out.where(~F.coalesce("is_chimera", F.lit(False)))
+    if o.align_out:
+        aligned = out.where("alignment is not null")
+        aligned.select(fasta(F.col("id"), alignment_description(F.col("description"), F.col("CS_start"), F.col("CS_end")), F.col("alignment"))).write.mode("overwrite").text(o.align_out)
     write_assignments(out, o.output)
     return 0
 
@@ -236,12 +247,17 @@ def _sum(spark, o):
     if o.consensus:
         from reedbank.functions.sequence import fasta
 
-        lines = summarise.consensus(own, db.node, o.effN)
-        lines.select(fasta(F.col("otu").cast("string"), F.lit(None).cast("string"), F.col("consensus"))).write.mode("overwrite").text(o.consensus)
-    if o.tree:
+        lines = summarise.consensus(own, db, o.effN).join(summarise.otu_descriptions(table, db.node, o.db.rstrip("/").rpartition("/")[2]), "otu")
+        text = F.regexp_replace("consensus", "-", "") if o.no_gap else F.col("consensus")
+        lines.select(fasta(F.col("otu").cast("string"), F.col("description"), text)).write.mode("overwrite").text(o.consensus)
+    if o.tree or o.pseudo_tree:
         names = db.node.select("id", "name")
         cut = [(r.id, r.parent, r.name, r.length) for r in summarise.otu_tree(table, db.node).join(names, "id").toLocalIterator()]
-        write_text(spark, write(build(cut)), o.tree)
+        if o.tree:
+            write_text(spark, write(build(cut)), o.tree)
+        if o.pseudo_tree:
+            otus = {r.otu for r in table.select("otu").distinct().toLocalIterator()}
+            write_text(spark, write(build(summarise.with_pseudo_leaves(cut, otus))), o.pseudo_tree)
 
 
 def _inspect(spark, o):
@@ -272,17 +288,19 @@ def _anneal(spark, o):
 
     db = load(spark, o.db)
     db.profile.mode = "LOCAL"
-    primers = [(r.id, r.seq) for r in read_fasta(spark, o.primers).toLocalIterator()]
+    primers = [(r.id, r.description, r.seq) for r in read_fasta(spark, o.primers).toLocalIterator()]
     back = str.maketrans("ACGTUMRWSYKVHDBN", "TGCAAKYWSRMBDHVN")
     rows = []
-    for name, seq in primers:
+    for name, description, seq in primers:
         ways = [seq, seq[::-1].translate(back)]
-        found = [(a.cost, way, a) for way, a in zip(ways, align_texts(Aligner(db.profile), ways, 1), strict=True) if a is not None]
+        found = [(a.cost, strand, way, a) for strand, (way, a) in enumerate(zip(ways, align_texts(Aligner(db.profile), ways, 1), strict=True), 1) if a is not None]
         if found:
-            _, way, a = min(found, key=lambda x: x[0])
-            rows.append((name, way, a.cs_start - (a.seq_start - 1)))
-    table = spark.createDataFrame(rows, "primer string, seq string, start int").where("start >= 1")
-    primer_hits(table, db.node.select("id", F.col("seq").alias("aln"), "is_leaf"), o.identity).write.mode("overwrite").options(sep="\t", header=True).csv(o.output)
+            _, strand, way, a = min(found, key=lambda x: x[:2])
+            rows.append((name, description, seq, strand, a.cs_start, a.cs_end, a.alignment[a.cs_start - 1 : a.cs_end], way, a.cs_start - (a.seq_start - 1)))
+    table = spark.createDataFrame(rows, "primer string, description string, sequence string, strand int, CS_start int, CS_end int, alignment string, seq string, start int").where("start >= 1")
+    hits = primer_hits(table.select("primer", "seq", "start"), db.node.select("id", F.col("seq").alias("aln"), "is_leaf"), o.identity)
+    report = table.drop("seq", "start").join(hits, "primer").withColumnRenamed("primer", "id")
+    report.write.mode("overwrite").options(sep="\t", header=True).csv(o.output)
 
 
 def _sim(spark, o):
@@ -323,7 +341,19 @@ def _merge(spark, o):
     from reedbank.operators import otu
     from reedbank.sources.tables import read_otu_table, write_otu_table
 
-    write_otu_table(otu.merge(*[read_otu_table(spark, t) for t in o.tables], taxonomy="taxonomy"), o.output)
+    if o.tree and not o.db:
+        raise SystemExit("a tree needs --db")
+    merged = otu.merge(*[read_otu_table(spark, t) for t in o.tables], taxonomy="taxonomy")
+    write_otu_table(merged, o.output)
+    if o.tree:
+        from reedbank.plans import summarise
+        from reedbank.sources.database import load
+        from reedbank.sources.newick import build, write
+        from reedbank.sources.text_models import write_text
+
+        db = load(spark, o.db)
+        cut = summarise.otu_tree(merged, db.node).join(db.node.select("id", "name"), "id")
+        write_text(spark, write(build([(r.id, r.parent, r.name, r.length) for r in cut.toLocalIterator()])), o.tree)
 
 
 def _jplace(spark, o):
@@ -336,24 +366,24 @@ def _jplace(spark, o):
     edges = db.node.where("parent is not null").select(F.col("id").alias("u"), F.col("parent").alias("v"), "length")
     rows = placements(filtered(read_assignments(spark, o.files), o.q, o.aln_iden, o.hmm_iden, db.profile.columns[1:]), edges)
     text = tree_text([(r.id, r.parent, r.name, r.length) for r in db.node.toLocalIterator()])
+    more = {"invocation": " ".join(["jplace", o.db, *o.files])}
+    if o.show_model:
+        more["substitution_model"] = db.model.kind
+    if o.show_var:
+        more["among_site_rate_variation"] = "Discrete Gamma model" if db.rates is not None else "none"
+    if o.show_anno:
+        more["node_taxonomy_annotations"] = {str(r.id): r.anno for r in db.node.select("id", "anno").toLocalIterator()}
     with open(o.output, "w", encoding="utf-8") as f:
-        for line in document(text, rows):
+        for line in document(text, rows, more):
             f.write(line + "\n")
 
 
 def _train_dm(spark, o):
-    from reedbank.kernels.dirichlet import Prior, train, train_best
-    from reedbank.plans.build import profile_counts
+    from reedbank.plans.build import profile_counts, train_prior
     from reedbank.sources.text_models import save_prior
 
-    c = profile_counts(read_alignment(spark, o.msa).select("id", "aln"), o.symfrac)
-    some = lambda x, fallback: train(x) if (x.sum(1) > 0).any() else fallback
-    flat = Prior.flat()
-    save_prior(
-        spark,
-        Prior(train_best(c.em[1:], o.qM, o.n), some(c.ei, flat.insert), some(c.t[:, :3], flat.from_match), some(c.t[:, 3:5], flat.from_insert), some(c.t[:, 5:], flat.from_delete)),
-        o.output,
-    )
+    counts = profile_counts(read_alignment(spark, o.msa).select("id", "aln"), o.symfrac)
+    save_prior(spark, train_prior(spark, counts, o.qM, o.n, o.pri_rate), o.output)
 
 
 def _train_hmm(spark, o):
@@ -373,7 +403,7 @@ def _train_sm(spark, o):
     aligned = {r.name: r.aln for r in read_alignment(spark, o.msa).toLocalIterator()}
     nodes = spark.createDataFrame([(r[0], r[1]) for r in rows], "id LONG, parent LONG")
     sequences = spark.createDataFrame([(r[0], aligned[r[2]]) for r in rows if r[4]], "id LONG, aln STRING")
-    save_model(spark, train_substitution(o.sub_model, nodes, sequences), o.output)
+    save_model(spark, train_substitution(o.sub_model, nodes, sequences, method=o.method), o.output)
 
 
 if __name__ == "__main__":

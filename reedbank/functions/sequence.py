@@ -68,6 +68,11 @@ def wrap(seq: Column, width: int = 60) -> Column:
     return seq if width <= 0 else F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
 
 
+def alignment_description(description: Column, start: Column, end: Column) -> Column:
+    """A read's description with the columns that its alignment covers behind it."""
+    return F.concat(F.coalesce(description, F.lit("")), F.lit(";csStart="), start.cast("string"), F.lit(";csEnd="), end.cast("string"), F.lit(";"))
+
+
 def fasta(id_: Column, description: Column, seq: Column, width: int = 60) -> Column:
     head = F.concat(F.lit(">"), id_, F.when(description.isNull() | (description == ""), F.lit("")).otherwise(F.concat(F.lit(" "), description)))
     return F.concat(head, F.lit("\n"), wrap(seq, width))

@@ -92,13 +92,18 @@ def state_weights(message: np.ndarray) -> np.ndarray:
     return np.exp(message - log_sum_exp(message, axis=0)[None, :])
 
 
+def node_message(tree: Tree, up: dict, down: dict, u: int, model: Model, rates=None) -> np.ndarray:
+    """What the whole tree says about node u."""
+    return up[u] if u == tree.root else up[u] + convolve([down[u]], [tree.length[u]], model, rates)
+
+
 def ancestral_sequences(tree: Tree, model: Model, rates=None) -> np.ndarray:
     """Codes of all nodes: leaves as they are, inner nodes' most likely bases given the whole tree."""
     up, down = messages(tree, model, rates)
     out = np.array(tree.codes, dtype=np.int8, copy=True)
     for u in tree.preorder:
         if tree.children[u]:
-            out[u] = infer_states(up[u] if u == tree.root else up[u] + convolve([down[u]], [tree.length[u]], model, rates))
+            out[u] = infer_states(node_message(tree, up, down, u, model, rates))
     return out
 
 

@@ -38,6 +38,9 @@ class Model:
         self.rates = np.asarray(self.rates, float)
         if not (self.pi > 0).all() or abs(self.pi.sum() - 1) > 1e-6:
             raise ValueError("base frequencies must be positive and sum to 1")
+        off = self.rates[~np.eye(4, dtype=bool)]
+        if not (np.isfinite(off).all() and (off >= 0).all() and (off > 0).any()):
+            raise ValueError("rates must be finite and not negative")
         q = self.rates * self.pi[None, :]
         np.fill_diagonal(q, 0)
         np.fill_diagonal(q, -q.sum(1))

@@ -29,11 +29,12 @@ def transitions_of_pairs(sites: DataFrame) -> DataFrame:
     return sites.groupBy(F.col("b0").alias("from_base"), F.col("b1").alias("to_base")).agg(F.count("*").alias("n"))
 
 
-def transitions_of_triplets(sites: DataFrame) -> DataFrame:
-    """From an ancestor that two of three (outer, first, second) agree on, to both inner ones; sites where all differ don't count."""
+def transitions_of_triplets(sites: DataFrame, outer: bool = False) -> DataFrame:
+    """From an ancestor that two of three (outer, first, second) agree on, to both inner ones, and with outer to the outer one as well; sites where all
+    differ don't count."""
     ancestor = F.when((F.col("b0") == F.col("b1")) | (F.col("b0") == F.col("b2")), F.col("b0")).when(F.col("b1") == F.col("b2"), F.col("b1"))
     both = sites.withColumn("from_base", ancestor).where(F.col("from_base").isNotNull())
-    return both.select("from_base", F.explode(F.array("b1", "b2")).alias("to_base")).groupBy("from_base", "to_base").agg(F.count("*").alias("n"))
+    return both.select("from_base", F.explode(F.array(*["b0"] * outer, "b1", "b2")).alias("to_base")).groupBy("from_base", "to_base").agg(F.count("*").alias("n"))
 
 
 def titv(counts: DataFrame) -> DataFrame:

@@ -96,7 +96,9 @@ def _below(nodes: DataFrame, start: DataFrame, raised: dict, merged: dict) -> Da
     values = [c for c in start.columns if c != "id"]
     unite = lambda df: df.groupBy("id").agg(*[merged[c](c).alias(c) for c in values])
     have = cut(unite(start))
-    jumps = cut(nodes.where("parent is not null").select("id", F.col("parent").alias("up"), F.col("length").cast("double").alias("distance")))
+    # trees without lengths are fine where no value needs them
+    length = F.col("length").cast("double") if "length" in nodes.columns else F.lit(None).cast("double")
+    jumps = cut(nodes.where("parent is not null").select("id", F.col("parent").alias("up"), length.alias("distance")))
     while jumps.take(1):
         moved = have.join(jumps, "id").select(F.col("up").alias("id"), *[raised.get(c, F.col)(c).alias(c) for c in values])
         have = cut(unite(have.unionByName(moved)))

@@ -47,21 +47,78 @@ def profile_counts(alignment: DataFrame, match_fraction: float = 0.5) -> hmm.Cou
     return hmm.Counts(em, ei, t, columns, width, float(n))
 
 
-def train_substitution(kind: str, nodes: DataFrame, sequences: DataFrame, most_distance: float = 0.15) -> models.Model:
-    """From paired bases of sibling leaves that are close enough."""
+def training_pairs(nodes: DataFrame, sequences: DataFrame, most_distance: float = 0.15) -> DataFrame:
+    """(seq_a, seq_b): first and last leaf of each tip (a node with leaves only) that are no further apart than most_distance."""
     from reedbank.functions.distance import p_distance
-    from reedbank.operators.tree import sibling_pairs
+    from reedbank.operators.tree import sibling_pairs, tips
 
-    pairs = substitution.sibling_sequences(sibling_pairs(nodes), sequences, seq="aln")
-    close = pairs.where(p_distance(F.col("seq_a"), F.col("seq_b")) <= most_distance)
+    pairs = sibling_pairs(nodes).join(tips(nodes).withColumnRenamed("id", "parent"), "parent")
+    return substitution.sibling_sequences(pairs, sequences, seq="aln").where(p_distance(F.col("seq_a"), F.col("seq_b")) <= most_distance)
+
+
+def training_triplets(nodes: DataFrame, sequences: DataFrame, most_distance: float = 0.15, seed: int = 0) -> DataFrame:
+    """(seq_o, seq_a, seq_b): for each node with two children of which one is a tip, the tip's first and last leaf and a leaf below the other child, where both
+    are no further from it than most_distance."""
+    from reedbank.functions.distance import p_distance
+    from reedbank.operators.tree import children, first_last_child, random_leaf, tips
+
+    tip = tips(nodes).select(F.col("id").alias("child"), F.lit(True).alias("is_tip"))
+    kids = children(nodes).join(tip, "child", "left").withColumn("is_tip", F.coalesce("is_tip", F.lit(False)))
+    # of two tips the first is the inner one
+    both = kids.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct((~F.col("is_tip")).alias("outer"), "child"))).alias("c")).where((F.size("c") == 2) & ~F.col("c")[0]["outer"])
+    pairs = both.select(F.col("c")[0]["child"].alias("tip"), F.col("c")[1]["child"].alias("id")).join(random_leaf(nodes, seed), "id")
+    inner = first_last_child(nodes).select(F.col("parent").alias("tip"), F.col("first_child").alias("a"), F.col("last_child").alias("b"))
+    found = substitution.sibling_sequences(pairs.join(inner, "tip"), sequences, seq="aln")
+    found = found.join(sequences.select(F.col("id").alias("leaf"), F.col("aln").alias("seq_o")), "leaf")
+    near = lambda x: p_distance(F.col("seq_o"), F.col(x)) <= most_distance
+    return found.where(near("seq_a") & near("seq_b"))
+
+
+def train_substitution(kind: str, nodes: DataFrame, sequences: DataFrame, most_distance: float = 0.15, method: str = "pairs") -> models.Model:
+    """From paired bases of leaves of tips (method pairs), or from bases of a tip's leaves and an outer one and what their ancestor had (triplets)."""
+    if method == "pairs":
+        found = substitution.transitions_of_pairs(substitution.pair_sites(training_pairs(nodes, sequences, most_distance), "seq_a", "seq_b"))
+    elif method == "triplets":
+        found = substitution.transitions_of_triplets(substitution.pair_sites(training_triplets(nodes, sequences, most_distance), "seq_o", "seq_a", "seq_b"), outer=True)
+    else:
+        raise ValueError(f"unknown method {method!r}")
     counts = np.zeros((4, 4))
-    for r in substitution.transitions_of_pairs(substitution.pair_sites(close, "seq_a", "seq_b")).collect():
+    for r in found.collect():
         counts["ACGT".index(r.from_base), "ACGT".index(r.to_base)] = r.n
     pi = np.array([{r.base: r.n for r in msa.base_frequencies(msa.long(sequences)).collect()}.get(b, 0) for b in "ACGT"], float)
     # a pair that never changed would make a rate of zero
     return models.train(kind, counts + 0.5 + np.eye(4), (pi + 1) / (pi + 1).sum())
 
 
+def train_prior(spark: SparkSession, counts: hmm.Counts, components: int = 5, seeds: int = 1, prior_rate: float = 0.05) -> Prior:
+    """Priors from a profile's counts, whose total weight is scaled to 1 / prior_rate rows, so that a prior of one row weighs about prior_rate.  The starts of
+    the mixture run in parallel; the best one stays."""
+    from reedbank.kernels.dirichlet import train
+
+    scale = 1 / (prior_rate * max(counts.n, 1e-300))
+    em, ei, t = counts.em[1:] * scale, counts.ei * scale, counts.t * scale
+    shared = spark.sparkContext.broadcast(em)
+
+    def run(batches):
+        import pickle
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for seed in batch.column(0).to_pylist():
+                made = train(shared.value, components, seed)
+                yield pa.RecordBatch.from_arrays([pa.array([float(made.cost)]), pa.array([seed]), pa.array([pickle.dumps((made.q, made.alpha, made.cost))], pa.binary())], names=["cost", "seed", "model"])
+
+    best = spark.range(0, seeds, 1, seeds).mapInArrow(run, "cost double, seed bigint, model binary").orderBy("cost", "seed").first()
+    import pickle
+
+    from reedbank.kernels.dirichlet import Mixture
+
+    some = lambda x, fallback: train(x) if (x.sum(1) > 0).any() else fallback
+    flat = Prior.flat()
+    return Prior(Mixture(*pickle.loads(best.model)), some(ei, flat.insert), some(t[:, :3], flat.from_match), some(t[:, 3:5], flat.from_insert), some(t[:, 5:], flat.from_delete))
+
+
 #: Columns whose messages a task holds at a time.
 SITES = 64
 
@@ -88,22 +145,13 @@ def ancestral_by_sites(spark: SparkSession, tree: Tree, model: models.Model, rat
     return out
 
 
-def annotate(tree_rows: list[tuple], taxonomy: dict[str, str]) -> tuple[list[str], list[float]]:
-    """(annotation, distance to the node that has it) of every node: its own canonical name or the nearest one's on the way up."""
-    import re
+def annotate(spark: SparkSession, tree_rows: list[tuple], taxonomy: dict[str, str], root_name: str = "") -> tuple[list[str], list[float]]:
+    """(annotation, distance to the node that has it) of every node, by tree.annotate_by_path; names are the taxonomy's where it has them."""
+    from reedbank.operators.tree import annotate_by_path
 
-    is_named = re.compile(r"^\s*[dkpcofgs]__.+").match
-    tidy = lambda x: ";".join(p for p in re.split("[;: ]+", x) if re.match(r"^[dkpcofgs]__.+", p))
-    own = [taxonomy.get(r[2] or "", r[2] or "") for r in tree_rows]
-    annos, dists = [], []
-    for r in tree_rows:
-        at, far = r, 0.0
-        while at is not None and not is_named(own[at[0]]):
-            far += at[3] or 0.0
-            at = tree_rows[at[1]] if at[1] is not None else None
-        annos.append(tidy(own[at[0]]) if at is not None else "")
-        dists.append(far if at is not None else math.inf)
-    return annos, dists
+    named = [(r[0], r[1], taxonomy.get(r[2] or "", r[2] or ""), float(r[3] or 0.0)) for r in tree_rows]
+    found = {r.id: r for r in annotate_by_path(spark.createDataFrame(named, "id LONG, parent LONG, name STRING, length DOUBLE"), root_name).toLocalIterator()}
+    return [found[r[0]].anno for r in tree_rows], [found[r[0]].anno_dist for r in tree_rows]
 
 
 def build(spark: SparkSession, alignment: DataFrame, newick: Newick, taxonomy: dict[str, str] | None = None, prior: Prior | None = None, model: models.Model | str = "GTR", gamma: int = 0, match_fraction: float = 0.5, seed_length: int = SEED_LENGTH) -> Database:
@@ -135,6 +183,6 @@ def build(spark: SparkSession, alignment: DataFrame, newick: Newick, taxonomy: d
         changed = np.array([sequences[u] != sequences[tree.parent[u]] for u in inner]) & np.array([(sequences[u] >= 0) & (sequences[tree.parent[u]] >= 0) for u in inner])
         rates = models.gamma_rates(gamma, models.gamma_shape(changed.sum(0)))
         sequences = ancestral_by_sites(spark, tree, model, rates)
-    annos, dists = annotate(rows, taxonomy or {})
+    annos, dists = annotate(spark, rows, taxonomy or {})
     node = node_table(spark, tree, [r[2] for r in rows], annos, dists, sequences)
     return Database(alignment, node, kmer.index(alignment.select("id", "aln"), seed_length), profile, model, rates)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +28,61 @@ def otu_table(assignments: DataFrame, nodes: DataFrame, min_reads: int = 0, min_
     return kept.join(nodes.select(F.col("id").alias("otu"), F.col("anno").alias("taxonomy")), "otu").select("otu", "taxonomy", "sample", "n")
 
 
-def consensus(assignments: DataFrame, nodes: DataFrame, weight: float = 2.0) -> DataFrame:
-    """(otu, consensus): counts of the reads' columns, with the node's own base as weight prior reads; a gap where gaps outnumber bases."""
-    sites = otu.site_counts(assignments, "taxon_id", "alignment")
-    own = nodes.select(F.col("id").alias("otu"), F.posexplode(F.split("seq", "")).alias("p", "b")).select("otu", (F.col("p") + 1).alias("site"), "b")
-    joined = sites.join(own, ["otu", "site"], "left")
+def node_weights(db, otus: DataFrame, sites: int = 64) -> DataFrame:
+    """(otu, site, wa, wc, wg, wt): by column how likely each base is at the tree's nodes otus, given all leaves.  Tasks make the messages of a stretch of columns."""
+    spark = db.node.sparkSession
+    tree, rows = db.tree()
+    leaf = np.array([r.is_leaf for r in rows])
+    codes = np.where(leaf[:, None], tree.codes, -1).astype(np.int8)
+    # OTUs are nodes of the tree, which the driver holds
+    wanted = [r[0] for r in otus.select("otu").distinct().toLocalIterator()]
+    width = codes.shape[1]
+    shared = spark.sparkContext.broadcast((tree.parent, tree.length, codes, db.model, db.rates, wanted))
+
+    def run(batches):
+        import pyarrow as pa
+
+        from reedbank.kernels.likelihood import Tree, node_message, messages, state_weights
+
+        parent, length, codes, model, rates, wanted = shared.value
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                part = Tree(parent, length, codes[:, i * sites : (i + 1) * sites])
+                both = messages(part, model, rates)
+                n = part.codes.shape[1]
+                for u in wanted:
+                    w = state_weights(node_message(part, *both, u, model, rates))
+                    yield pa.RecordBatch.from_arrays([pa.array([u] * n), pa.array(np.arange(i * sites + 1, i * sites + n + 1)), *[pa.array(x) for x in w]], names=["otu", "site", "wa", "wc", "wg", "wt"])
+
+    n = -(-width // sites)
+    return spark.range(0, n, 1, n).mapInArrow(run, "otu bigint, site bigint, wa double, wc double, wg double, wt double")
+
+
+def consensus(assignments: DataFrame, db, weight: float = 2.0) -> DataFrame:
+    """(otu, consensus): by column the base with most counts plus weight times its posterior at the OTU's node; a gap where gaps outnumber bases."""
+    return posterior_consensus(otu.site_counts(assignments, "taxon_id", "alignment"), node_weights(db, assignments.select(F.col("taxon_id").alias("otu"))), weight)
+
+
+def posterior_consensus(sites: DataFrame, weights: DataFrame, weight: float = 2.0) -> DataFrame:
+    """(otu, consensus) of site_counts with (otu, site, wa, wc, wg, wt) as prior reads."""
+    joined = sites.join(weights, ["otu", "site"], "left")
+    total = F.col("a") + F.col("c") + F.col("g") + F.col("t")
+    for base in "acgt":
+        joined = joined.withColumn(f"p{base}", F.col(base) + F.when(total >= F.col("gap"), weight * F.coalesce(f"w{base}", F.lit(0.0))).otherwise(0.0))
+    best = F.greatest("pa", "pc", "pg", "pt")
+    letter = F.when(F.col("gap") > total, F.lit("-"))
     for base in "acgt":
-        joined = joined.withColumn(base, F.col(base) + F.when((F.col("b") == base.upper()) & (F.col("a") + F.col("c") + F.col("g") + F.col("t") >= F.col("gap")), F.lit(weight)).otherwise(0.0))
-    return otu.consensus(joined.drop("b"))
+        letter = letter.when(F.col(f"p{base}") == best, F.lit(base.upper()))
+    rows = joined.select("otu", F.struct("site", letter.alias("b")).alias("x"))
+    return rows.groupBy("otu").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "").alias("consensus"))
+
+
+def otu_descriptions(table: DataFrame, nodes: DataFrame, database: str) -> DataFrame:
+    """(otu, description) of an OTU table: database, taxonomy, distance to the annotated node, reads and samples."""
+    sums = table.groupBy("otu", "taxonomy").agg(F.sum("n").alias("reads"), F.count_if(F.col("n") > 0).alias("samples"))
+    far = nodes.select(F.col("id").alias("otu"), "anno_dist")
+    text = F.format_string('DBName=%s;Taxonomy="%s";AnnoDist=%s;ReadCount=%d;SampleHits=%d', F.lit(database), F.coalesce("taxonomy", F.lit("")), F.col("anno_dist").cast("string"), F.col("reads").cast("long"), F.col("samples"))
+    return sums.join(far, "otu").select("otu", text.alias("description"))
 
 
 def otu_tree(table: DataFrame, nodes: DataFrame) -> DataFrame:

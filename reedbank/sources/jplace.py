@@ -11,6 +11,7 @@ from reedbank import __version__
 from reedbank.operators.assignment import jplace_columns, join_edges
 from reedbank.sources.newick import build, write
 
+#: The format's field names.
 FIELDS = ("edge_num", "likelihood", "like_weight_ratio", "distal_length", "proximal_length", "pendant_length")
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -150,3 +151,26 @@ def test_deep_trees(spark):
 
     nodes = spark.createDataFrame([(i, i - 1 if i else None, 0.5, "x") for i in range(104)], "id long, parent long, length double, name string")
     assert {r.id: r.height for r in tree.heights(nodes).collect()}[0] == 51.5
+
+
+def test_draws_of_very_large_cells(spark):
+    """Reads beyond the numbers of 32 bits are drawn like all others; cells may hold more reads than an int or an array."""
+    counts = spark.createDataFrame([(1, "s", 3_000_000_000), (2, "s", 6_000_000_000)], "otu long, sample string, n long")
+    got = {r.otu: r.n for r in otu.subset_multinomial(counts, 3000).collect()}
+    assert sum(got.values()) == 3000 and abs(got[1] - 1000) < 130
+    monkey, otu.READS_AT_ONCE = otu.READS_AT_ONCE, 7
+    try:
+        rows = otu.reads(spark.createDataFrame([(1, "s", 23), (2, "s", 7), (3, "t", 0)], "otu long, sample string, n long")).collect()
+    finally:
+        otu.READS_AT_ONCE = monkey
+    assert sorted((r.otu, r.i) for r in rows) == [(1, i) for i in range(1, 24)] + [(2, i) for i in range(1, 8)]
+
+
+def test_models_refuse_bad_rates():
+    from reedbank.kernels.models import gtr
+
+    for bad in (-1.0, float("nan"), float("inf")):
+        rates = np.ones((4, 4))
+        rates[0, 1] = rates[1, 0] = bad
+        with pytest.raises(ValueError):
+            gtr(np.full(4, 0.25), rates)
