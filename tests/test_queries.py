@@ -17,9 +17,14 @@ def test_all_have_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 
 
+#: Queries whose result is empty on the smallest tables.
+LARGER = {"kmer_locate", "otu_support_having"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert same(QUERIES[name](spark, SF), con, ORACLE_SQL[name]) > 0
+    sf, own = (SF, con) if name not in LARGER else (SF.replace("0.001", "0.01"), connection(SF.replace("0.001", "0.01")))
+    assert same(QUERIES[name](spark, sf), own, ORACLE_SQL[name]) > 0
 
 
 def test_entry(spark):
