@@ -110,19 +110,26 @@ def test_op1_tells_long_words_apart(spark):
     assert {r.doc_id: r.component_id for r in op.jaccard_components(frame(spark, rows)).collect()} == {k: k for k in range(1, 6)}
 
 
-def test_op1_parts():
+def test_op1_lists():
+    """Linked sets have a key in common, whatever is frequent, counted and light; the counts are those over all sets."""
     from reedbank.llm import op01_ngram_join as op
 
     rng = np.random.default_rng(0)
+    none = np.zeros(0, np.uint64)
     for n, change in ((1, 0), (4, 0), (9, 1), (30, 3), (200, 20)):
         for _ in range(40):
             common = rng.integers(1, 1 << 63, n - change, dtype=np.uint64)
             two = [np.unique(np.r_[common, rng.integers(1, 1 << 63, change, dtype=np.uint64)]) for _ in range(2)]
             if not op.linked(len(np.intersect1d(*two)), len(two[0]), len(two[1])):
                 continue
+            others = rng.choice(np.r_[two[0], two[1]], 5 * n)
             for light in (0, 8, 16):
-                for frequent in (np.zeros(0, np.uint64), np.sort(common), np.sort(np.r_[two[0], two[1]])):
-                    keys = [set(op.keys_of(s, np.array([0, len(s)]), light, np.unique(frequent))[0].tolist()) for s in two]
+                for frequent in (none, np.sort(common), np.unique(np.r_[two[0], two[1]])):
+                    keys = []
+                    for s in two:
+                        shingles, row, counted = op.carried_of(s, np.array([0, len(s)]), light, frequent)
+                        times = np.array([min(255, int(np.isin(h, two[0])) + int(np.isin(h, two[1])) + int((others == h).sum())) for h in shingles], np.int64)
+                        keys.append(set(op.keys_of(np.array([len(s)]), shingles, row, counted, np.where(counted, times, 0), light, frequent)[0].tolist()))
                     assert keys[0] & keys[1]
             bytes_of = [op.parity_sketches(s, np.array([0, len(s)]))[0] for s in two]
             assert op.sketch_difference(*bytes_of) <= len(np.setxor1d(*two))
