@@ -29,12 +29,29 @@ def plain_unions(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
+#: Folders of tables that this process has written.
+_tables: list[str] = []
+
+
+def drop_written() -> int:
+    """Deletes the intermediate tables that this process has written so far, once results that read them are stored; the number of them."""
+    from pyarrow import fs
+
+    n = len(_tables)
+    while _tables:
+        store, path = fs.FileSystem.from_uri(_tables.pop())
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            store.delete_dir(path)
+    return n
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, and survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts the lineage, and survives lost executors.  drop_written deletes it."""
     spark = df.sparkSession
     plain_unions(spark)
     path = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path if "://" in path else "file://" + path.removeprefix("file:"))
     return spark.read.schema(df.schema).parquet(path)
 
 

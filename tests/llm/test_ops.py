@@ -132,7 +132,9 @@ def test_op1_lists():
                         keys.append(set(op.keys_of(np.array([len(s)]), shingles, row, counted, np.where(counted, times, 0), light, frequent)[0].tolist()))
                     assert keys[0] & keys[1]
             bytes_of = [op.parity_sketches(s, np.array([0, len(s)]))[0] for s in two]
-            assert op.sketch_difference(*bytes_of) <= len(np.setxor1d(*two))
+            other = op.parity_sketches(two[0][: n // 3 + 1], np.array([0, n // 3 + 1]))[0]
+            got = op.sketch_differences([bytes_of[0], bytes_of[0], other], [bytes_of[1], other, bytes_of[0]])
+            assert (got <= [len(np.setxor1d(*two)), *[len(two[0]) - n // 3 - 1] * 2]).all() and got[1] == got[2]
 
 
 # ---- 2
@@ -591,3 +593,54 @@ def test_empty_tables(spark, tmp_path):
         op09_secrets.scan(none, str(tmp_path / "ledger")), op10_bpe.bpe_round_trip(none),
     )
     assert [r.count() for r in results] == [0] * len(results)
+
+
+def test_written_tables_can_be_dropped(spark):
+    import os
+
+    from reedbank.llm import shared
+
+    shared.drop_written()
+    df = shared.written(spark.range(5), "dropped")
+    folder = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert df.count() == 5 and os.path.isdir(folder)
+    assert shared.drop_written() == 1 and not os.path.exists(folder)
+
+
+def test_sizes_of_unknown_inputs_are_counted(spark):
+    from reedbank.llm import shared
+
+    made = spark.createDataFrame(spark.sparkContext.parallelize([("x" * 1000,)] * 500), "text string")
+    assert shared.input_bytes(made, "text") == 500_000 and shared.parts_for(made, "text", 1000) == 500
+    joined = made.join(made.withColumnRenamed("text", "b"), F.col("text") == F.col("b")).limit(10)
+    assert shared.input_bytes(joined, "text") == 10_000
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    assert 1000 < shared.input_bytes(table.where("doc_id > 3"), "text") < 50_000_000
+
+
+def test_hot_keys(spark):
+    from reedbank.llm.shared import join_hot
+
+    rows = spark.createDataFrame([(k,) for k in [1] * 3000 + [2] * 5 + [3, 4]], "k long")
+    table = spark.createDataFrame([(1, "a", 3000), (2, "b", 5), (3, "c", 1)], "k long, v string, times long")
+    out = join_hot(rows, table, "k", 3007)
+    assert out.columns == ["k", "v"] and {(r.k, r.v): r["count"] for r in out.groupBy("k", "v").count().collect()} == {(1, "a"): 3000, (2, "b"): 5, (3, "c"): 1}
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    from reedbank.llm import shared
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
