@@ -7,7 +7,8 @@ alone, so equal strings have equal anchors at equal places.  An anchor's context
    occurs earlier is a repeat as a whole.  In a unit of the input only the first of equal contexts is sent on, so what meets in one task grows with
    the number of units, not with the copies.  Each bucket then asks how many contexts its anchors have in all: its own counts go to buckets of anchors, are
    added up there, and come back.
-2. Where one anchor has several contexts, the first occurrence of each goes to the anchor's shard.  The shard's suffix array is built by induced sorting, and
+2. Where one anchor has several contexts, the first occurrence of each goes to the anchor's shard, where the sides that no other context shares are cut off
+   (shared_sides).  The shard's suffix array is built by induced sorting, and
    permuted common prefixes of LENGTH bytes and more join neighbours to runs of equal strings; all but the earliest of a run are repeats.  An
    anchor with more than MOST_CONTEXTS contexts (the edge of a passage that very many texts share) would make one shard too large: its strings are
    dealt one by one, by their hashes, after equal ones of a batch have been settled there.
@@ -33,7 +34,7 @@ from reedbank.llm.suffix_sort import permuted_lcp, suffix_array
 LENGTH, GRAM = 100, 32
 UNIT_BYTES = 12 << 20
 SHARD_BYTES = 1 << 20
-MOST_CONTEXTS = 10_000
+MOST_CONTEXTS = 50_000
 #: A document's mark is a hash of 62 bits, and this bit where its key isn't null, so that null keys come first among equal ones.
 HAS_KEY = 1 << 62
 
@@ -203,8 +204,29 @@ def _sources(contexts: DataFrame, buckets: int) -> DataFrame:
     return contexts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, KINDS)
 
 
+def shared_sides(data: np.ndarray, offsets: np.ndarray, left: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """The stretch of each piece in which strings of length may be found in another one.
+
+    Such a string holds the anchor's gram and reaches half of the rest at least to its left or to its right.  Where no other piece has the gram with the same half to
+    the left, only strings that reach further to the right come into question, and the other way round; a piece that shares neither half holds none."""
+    half, at, sizes = (length - gram) // 2, offsets[:-1] + left, np.diff(offsets)
+
+    def is_shared(valid, start, end):
+        found = np.zeros(len(left), bool)
+        some = np.flatnonzero(valid)
+        _, back, times = np.unique(X.mixed_ranges(data, start[some], end[some]), return_inverse=True, return_counts=True)
+        found[some] = times[back] > 1
+        return found
+
+    to_left = is_shared(left >= half, at - half, at + gram)
+    to_right = is_shared(sizes - left >= gram + half, at, at + gram + half)
+    begin = np.where(to_left, 0, np.maximum(0, left - half))
+    end = np.where(to_right, sizes, np.minimum(sizes, left + gram + half))
+    return begin, np.where(to_left | to_right, end, begin)
+
+
 def _shard_repeats(pieces: DataFrame, length: int) -> DataFrame:
-    """(doc, mark, start, end) of strings that start earlier in the shard; pieces: (shard, doc, mark, start, bytes)."""
+    """(doc, mark, start, end) of strings that start earlier in the shard; pieces: (shard, doc, mark, start, left, bytes), left: where the anchor's gram stands."""
 
     def run(table):
         import pyarrow as pa
@@ -212,7 +234,11 @@ def _shard_repeats(pieces: DataFrame, length: int) -> DataFrame:
         doc, mark, start = (table.column(c).to_numpy() for c in ("doc", "mark", "start"))
         raw = table.column("bytes").combine_chunks()
         data, offsets = X.column_bytes(raw)
-        sizes = np.diff(offsets)
+        begin, end = shared_sides(data, offsets, table.column("left").to_numpy().astype(np.int64), length)
+        some = np.flatnonzero(end - begin >= length)
+        doc, mark, start, sizes = doc[some], mark[some], start[some] + begin[some], (end - begin)[some]
+        take = np.repeat(offsets[some] + begin[some], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        data, offsets = data[take], np.r_[0, np.cumsum(sizes)]
         # a separator behind each piece; bytes move up by one, texts use none above 0xF4
         text = np.zeros(len(data) + len(sizes), np.uint8)
         text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data + 1
@@ -309,14 +335,15 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
                     pa.array(doc[row]),
                     pa.array(mark[row]),
                     pa.array(start - left),
+                    pa.array(left),
                     pa.array([raw[a:b] for a, b in zip((base - left).tolist(), (base + right).tolist(), strict=True)], pa.binary()),
                 ],
-                names=["shard", "doc", "mark", "start", "bytes"],
+                names=["shard", "doc", "mark", "start", "left", "bytes"],
             )
 
     # rows with the same key and text are one document
     once = source.join(asked, ["doc", "mark"]).select("doc", "mark", "text", "asked", "hot").dropDuplicates(["doc", "mark"])
-    parts = once.select("doc", "mark", "text", "asked").mapInArrow(pieces, "shard int, doc bigint, mark bigint, start bigint, bytes binary")
+    parts = once.select("doc", "mark", "text", "asked").mapInArrow(pieces, "shard int, doc bigint, mark bigint, start bigint, left bigint, bytes binary")
     found = written(_shard_repeats(parts, length), "op8_found")
     if wanted.where("is_hot").take(1):
         hot = once.where(F.size("hot") > 0).select("doc", "mark", "text", F.col("hot").alias("asked"))

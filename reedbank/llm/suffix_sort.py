@@ -20,7 +20,7 @@ import numpy as np
 #: Names up to this many are characters themselves.
 SMALL_ALPHABET = 1024
 #: A text of at most so many characters ends the recursion.
-SHORT = 1 << 14
+SHORT = 1 << 18
 
 
 def classify(text: np.ndarray) -> np.ndarray:
