@@ -28,6 +28,11 @@ def locate(kmers: DataFrame, patterns: DataFrame) -> DataFrame:
     return kmers.join(patterns.select("kmer").distinct(), "kmer")
 
 
+def rows_with(kmers: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(kmer, ids): the rows that have each pattern, in order."""
+    return locate(kmers, patterns).groupBy("kmer").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
 def first(kmers: DataFrame) -> DataFrame:
     """One place for each k-mer: smallest id, then smallest start."""
     return kmers.groupBy("kmer").agg(F.min(F.struct("id", "start", "end")).alias("x")).select("kmer", "x.id", "x.start", "x.end")

@@ -101,6 +101,11 @@ def map_gaps(matches: DataFrame) -> DataFrame:
     return matches.select(SITE, (F.col(SITE) - F.lag(SITE, 1, 0).over(Window.orderBy(SITE)) - 1).alias("skipped"))
 
 
+def in_frequency_order(counts: DataFrame, columns=BASES) -> DataFrame:
+    """Adds place: the rank of a row's counts, compared one after the other; there is a row for each column of the alignment."""
+    return counts.withColumn("place", F.rank().over(Window.orderBy(*columns)))
+
+
 def cumulative_counts(sites: DataFrame) -> DataFrame:
     """(base, n, before): how many symbols sort before a base."""
     sums = sites.groupBy(BASE).agg(F.count("*").alias("n"))

@@ -93,6 +93,12 @@ def map_gap_lag(spark, d):
     return msa.map_gaps(msa.match_columns(_sites(spark, d), 0.875))
 
 
+@query(f"{T}, x AS (SELECT site, count(*) FILTER (base = 'A') AS a, count(*) FILTER (base = 'C') AS c, count(*) FILTER (base = 'G') AS g, count(*) FILTER (base = 'T') AS t FROM sites GROUP BY site) SELECT site, rank() OVER (ORDER BY a, c, g, t) AS place FROM x")
+def frequency_order(spark, d):
+    counts = _sites(spark, d).where("base <> '-'").groupBy("site").pivot("base", list(msa.BASES)).count().na.fill(0)
+    return msa.in_frequency_order(counts).select("site", F.col("place").cast("long").alias("place"))
+
+
 @query(f"{T}, c AS (SELECT base, count(*) AS n FROM sites GROUP BY base) SELECT base, n, coalesce(sum(n) OVER (ORDER BY base ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c")
 def cumulative_counts(spark, d):
     return msa.cumulative_counts(_sites(spark, d))
@@ -145,6 +151,12 @@ def kmer_locate(spark, d):
     return kmer.locate(_index(spark, d), fx_read(spark, d).select(F.substring("seq", 3, K).alias("kmer")))
 
 
+@query(f"{_RD}, {_KM}, {_PATTERNS} SELECT kmer, array_to_string(list_sort(list_distinct(list(id))), ',') AS ids FROM k JOIN q USING (kmer) GROUP BY kmer")
+def kmer_rows(spark, d):
+    found = kmer.rows_with(_index(spark, d), fx_read(spark, d).select(F.substring("seq", 3, K).alias("kmer")))
+    return found.select("kmer", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
 @query(f'{L}, {_KM} SELECT kmer, id, "start", "end" FROM k QUALIFY row_number() OVER (PARTITION BY kmer ORDER BY id, "start") = 1')
 def kmer_first(spark, d):
     return kmer.first(_index(spark, d))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from reedbank.functions import distance, numeric, sequence, taxon
+from reedbank.functions import distance, numeric, sequence, taxon, text
 from reedbank.plans.fixtures import fx_aln, fx_node, fx_seq, fx_taxon, table, with_
 from reedbank.plans.registry import query
 
@@ -53,6 +53,13 @@ def phred_score(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), sequence.quality_at(F.col("p_name"), 2).alias("q"), sequence.quality_at(F.lit(None).cast("string"), 2).alias("q_default"))
 
 
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN p_name ELSE '"' || p_name END AS bare, length(translate(p_brand, '#13', '')) < length(p_brand) AS has_any, regexp_replace(p_type, 'L$', '') AS cut FROM part""")
+def quoted_text(spark, d):
+    name, key = F.col("p_name"), F.col("p_partkey")
+    quoted = F.when(key % 3 == 0, F.concat(F.lit('"'), name, F.lit('"'))).when(key % 3 == 1, F.concat(F.lit("'"), name, F.lit("'"))).otherwise(F.concat(F.lit('"'), name))
+    return table(spark, d, "part").select(key.alias("id"), text.strip_quotes(quoted).alias("bare"), text.has_any(F.col("p_brand"), "#13").alias("has_any"), text.remove_end(F.col("p_type"), "L").alias("cut"))
+
+
 @query("SELECT p_partkey AS id, regexp_full_match(upper(p_brand), '[ACGTUMRWSYKVHDBN._-]*') AS name_ok, true AS seq_ok FROM part")
 def validate_seq(spark, d):
     from reedbank.plans.fixtures import dna
@@ -63,16 +70,15 @@ def validate_seq(spark, d):
 @query("""SELECT p_partkey AS id, starts_with(p_name, 'part') AS starts, suffix(p_type, 'L') AS ends, replace(p_brand, '#', '') AS removed, contains(p_type, ' ') AS has_space,
 string_split(p_name, ' ')[-1] AS base, array_to_string(list_sort(list_distinct(string_split(p_brand, ''))), '') AS chars, array_to_string(list_sort(list_distinct(list_intersect(string_split(p_brand, ''), string_split(p_type, '')))), '') AS common FROM part""")
 def string_utils(spark, d):
-    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     return table(spark, d, "part").select(
         F.col("p_partkey").alias("id"),
         F.startswith("p_name", F.lit("part")).alias("starts"),
         F.endswith("p_type", F.lit("L")).alias("ends"),
-        F.replace("p_brand", F.lit("#"), F.lit("")).alias("removed"),
-        F.contains("p_type", F.lit(" ")).alias("has_space"),
-        F.substring_index("p_name", " ", -1).alias("base"),
-        F.array_join(F.array_sort(F.array_distinct(chars(F.col("p_brand")))), "").alias("chars"),
-        F.array_join(F.array_sort(F.array_intersect(chars(F.col("p_brand")), chars(F.col("p_type")))), "").alias("common"),
+        text.remove_all(F.col("p_brand"), "#").alias("removed"),
+        text.has_space(F.col("p_type")).alias("has_space"),
+        text.base_name(F.col("p_name"), " ").alias("base"),
+        text.distinct_characters(F.col("p_brand")).alias("chars"),
+        text.common_characters(F.col("p_brand"), F.col("p_type")).alias("common"),
     )
 
 

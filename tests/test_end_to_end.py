@@ -297,3 +297,14 @@ def test_alignment_file(spark, tmp_path):
     rows = [("a", "AC-T"), ("b", "--GT")]
     write_alignment(spark.createDataFrame(rows, "name string, aln string"), str(tmp_path / "a"))
     assert sorted((r.id, r.seq) for r in read_fasta(spark, str(tmp_path / "a")).collect()) == rows
+
+
+def test_models_of_other_programs_are_refused(spark, tmp_path):
+    from reedbank.sources import text_models
+
+    text_models.save_model(spark, hky85(np.full(4, 0.25), 2.0), str(tmp_path / "m"))
+    assert text_models.load_model(spark, str(tmp_path / "m")).kind == "HKY85"
+    text = text_models.read_text(spark, str(tmp_path / "m"))
+    text_models.write_text(spark, text.replace("# reedbank v", "# reedbank v9"), str(tmp_path / "later"))
+    with pytest.raises(ValueError):
+        text_models.load_model(spark, str(tmp_path / "later"))
