@@ -49,34 +49,32 @@ def annotate(nodes: DataFrame, annotations: DataFrame) -> DataFrame:
     return nodes.join(last, "name", "left").withColumn("anno", F.coalesce("anno", "name"))
 
 
-#: Deep trees need as many rounds as they have levels.
-LIMITS = {"spark.sql.cteRecursionLevelLimit": "100000", "spark.sql.cteRecursionRowLimit": "-1"}
-
-
-def _recursive(nodes: DataFrame, sql: str) -> DataFrame:
-    spark = nodes.sparkSession
-    for name, value in LIMITS.items():
-        spark.conf.set(name, value)
-    nodes.createOrReplaceTempView("__nodes")
-    return spark.sql(sql)
-
-
-def paths_up(nodes: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node, depth, distance): each start with all nodes on its way to the root, itself included; one join a level."""
-    starts.select("id").createOrReplaceTempView("__starts")
-    return _recursive(
-        nodes,
-        """WITH RECURSIVE up(start, node, depth, distance) AS (
-             SELECT n.id, n.id, 0, CAST(0 AS DOUBLE) FROM __nodes n JOIN __starts s ON n.id = s.id
-             UNION ALL
-             SELECT u.start, n.parent, u.depth + 1, u.distance + n.length FROM up u JOIN __nodes n ON n.id = u.node WHERE n.parent IS NOT NULL
-           ) SELECT * FROM up""",
-    )
+def _jumps(nodes: DataFrame) -> DataFrame:
+    """(id, up, distance): one level up."""
+    # trees without lengths are fine where no value needs them
+    length = F.col("length").cast("double") if "length" in nodes.columns else F.lit(None).cast("double")
+    return cut(nodes.where("parent is not null").select("id", F.col("parent").alias("up"), length.alias("distance")))
+
+
+def _doubled(jumps: DataFrame) -> DataFrame:
+    """Jumps over twice as many levels; empty once they are as many as the tree has."""
+    next_ = jumps.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("distance").alias("more"))
+    return cut(jumps.join(next_, "up").select("id", F.col("top").alias("up"), (F.col("distance") + F.col("more")).alias("distance")))
+
+
+def levels_up(nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, depth) of the starts and all their ancestors: how many levels the nearest start is below.  Rounds are as many as the depth has binary digits."""
+    have, jumps, step = cut(starts.select("id").distinct().withColumn("depth", F.lit(0))), _jumps(nodes), 1
+    while jumps.take(1):
+        moved = have.join(jumps, "id").select(F.col("up").alias("id"), (F.col("depth") + step).alias("depth"))
+        have = cut(have.unionByName(moved).groupBy("id").agg(F.min("depth").alias("depth")))
+        jumps, step = _doubled(jumps), 2 * step
+    return have
 
 
 def ancestor_closure(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """Ids of the starts and all their ancestors."""
-    return paths_up(nodes, starts).select(F.col("node").alias("id")).distinct()
+    return levels_up(nodes, starts).select("id")
 
 
 def pruned(nodes: DataFrame, kept: DataFrame) -> DataFrame:
@@ -96,14 +94,11 @@ def _below(nodes: DataFrame, start: DataFrame, raised: dict, merged: dict) -> Da
     values = [c for c in start.columns if c != "id"]
     unite = lambda df: df.groupBy("id").agg(*[merged[c](c).alias(c) for c in values])
     have = cut(unite(start))
-    # trees without lengths are fine where no value needs them
-    length = F.col("length").cast("double") if "length" in nodes.columns else F.lit(None).cast("double")
-    jumps = cut(nodes.where("parent is not null").select("id", F.col("parent").alias("up"), length.alias("distance")))
+    jumps = _jumps(nodes)
     while jumps.take(1):
         moved = have.join(jumps, "id").select(F.col("up").alias("id"), *[raised.get(c, F.col)(c).alias(c) for c in values])
         have = cut(unite(have.unionByName(moved)))
-        next_ = jumps.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("distance").alias("more"))
-        jumps = cut(jumps.join(next_, "up").select("id", F.col("top").alias("up"), (F.col("distance") + F.col("more")).alias("distance")))
+        jumps = _doubled(jumps)
     return have
 
 
@@ -158,7 +153,7 @@ def annotate_by_path(nodes: DataFrame, root_name: str = "") -> DataFrame:
 
 def reroot(nodes: DataFrame, new_root: int) -> DataFrame:
     """The tree with new_root as root: pointers on its way to the old root turn round, with their lengths."""
-    way = paths_up(nodes, nodes.where(F.col("id") == new_root)).select(F.col("node").alias("id"), "depth")
+    way = levels_up(nodes, nodes.where(F.col("id") == new_root))
     turned = way.join(nodes.select("id", F.col("parent").alias("old_parent"), F.col("length").alias("old_length")), "id")
     # a node on the way gets as parent the one before it, over that one's old branch
     before = turned.select(F.col("old_parent").alias("id"), F.col("id").alias("new_parent"), F.col("old_length").alias("new_length")).where("id is not null")
