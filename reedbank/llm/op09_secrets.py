@@ -3,7 +3,8 @@
 Every version of a text is addressed by the SHA-256 of its content.  The ledger is a folder of tables; a row says which rules, each with its version, a blob
 was scanned by, and what they found.  A scan asks the ledger for the blobs of its versions, on thin rows without texts; only blobs with a rule that the
 ledger doesn't have are read again and scanned, by the rules that are missing, and are added to the ledger.  Findings are joined back to all
-paths (here: keys) that hold a blob; only blobs with findings take part in that join, and those of very many paths do without a shuffle.
+paths (here: keys, or whole rows that are redacted) that hold a blob; only blobs with findings take part in that join, and those of very many paths do
+without a shuffle.
 
 Texts are scanned where they lie: the blobs that are new reach the rows by broadcast (BROADCAST_BLOBS of them at most, beyond that by a shuffle), and without a
 ledger all rows are scanned as they are read, so no text is moved.  Copies of a new blob may be scanned more than once in the same scan, which costs less than
@@ -127,47 +128,66 @@ def add_to_ledger(rows: DataFrame, folder: str) -> None:
     rows.select("blob", "done", F.col("hits").cast(HITS).alias("hits")).write.mode("append").parquet(folder)
 
 
-def scan(versions: DataFrame, folder: str, key: str = "doc_id", text: str = "text", rules: tuple = RULES) -> DataFrame:
-    """(key, found) for every row of versions, by the ledger in folder, which is brought up to date: found has (start, place of the kind, kind, end)."""
-    spark = versions.sparkSession
-    source = versions.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("content")).withColumn("blob", blob_id(F.col("content")))
+def _scan(source: DataFrame, folder: str, rules: tuple, is_thin: bool) -> DataFrame:
+    """(row, found) for each row of source (row, content, blob), by the ledger in folder, which is brought up to date.  is_thin: row holds no text, so the
+    rows are written with their blobs, and texts are read no more often than they are scanned."""
+    spark, nothing = source.sparkSession, F.expr(f"cast(array() as {HITS})")
     ledger, names = read_ledger(spark, folder), F.array(*[F.lit(n) for n in rule_names(rules)])
     if ledger is None:
-        scanned = written(source.select("key", "blob", hits_of(F.col("content"), rules).alias("hits")), "op9_scanned")
+        scanned = written(source.select("row", "blob", hits_of(F.col("content"), rules).alias("hits")), "op9_scanned")
         add_to_ledger(scanned.groupBy("blob").agg(F.first("hits").alias("hits")).withColumn("done", names), folder)
-        return scanned.select(F.col("key").alias(key), found_of(F.col("hits"), rules).alias("found"))
-    thin = written(source.select("key", "blob"), "op9_versions")
-    blobs = thin.groupBy("blob").agg(F.count("*").alias("times"))
+        return scanned.select("row", found_of(F.col("hits"), rules).alias("found"))
+    rows = written(source.select("row", "blob"), "op9_versions") if is_thin else source.select("row", "blob")
+    blobs = rows.groupBy("blob").agg(F.count("*").alias("times"))
     known = written(blobs.join(ledger, "blob", "left").withColumn("missing", F.array_except(names, F.coalesce("done", F.expr("cast(array() as array<string>)")))), "op9_known")
     unseen = known.where(F.size("missing") > 0).select("blob", "missing")
     n_unseen = unseen.count()
-    hits = known.select("blob", "times", F.coalesce("hits", F.expr(f"cast(array() as {HITS})")).alias("hits"))
+    hits = known.select("blob", "times", F.coalesce("hits", nothing).alias("hits"))
     if n_unseen:
         asked = F.broadcast(unseen) if n_unseen <= BROADCAST_BLOBS else unseen
         new = source.join(asked, "blob").select("blob", "missing", hits_of(F.col("content"), rules, F.col("missing")).alias("new"))
         new = written(new.groupBy("blob").agg(F.first("missing").alias("missing"), F.first("new").alias("new")), "op9_new")
         add_to_ledger(new.select("blob", F.col("missing").alias("done"), F.col("new").alias("hits")), folder)
-        hits = hits.join(new.select("blob", "new"), "blob", "left").select("blob", "times", F.concat("hits", F.coalesce("new", F.expr(f"cast(array() as {HITS})"))).alias("hits"))
+        hits = hits.join(new.select("blob", "new"), "blob", "left").select("blob", "times", F.concat("hits", F.coalesce("new", nothing)).alias("hits"))
     found = written(hits.select("blob", "times", found_of(F.col("hits"), rules).alias("found")).where(F.size("found") > 0), "op9_found")
-    n_rows = thin.count()
-    clean = thin.join(found.select("blob"), "blob", "left_anti").select("key", F.expr(f"cast(array() as {FOUND})").alias("found"))
-    return join_hot(thin, found, "blob", n_rows).select("key", "found").unionByName(clean).withColumnRenamed("key", key)
+    n_rows = known.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    ids = found.select("blob")
+    ids = F.broadcast(ids) if found.count() <= BROADCAST_BLOBS else ids
+    clean = rows.join(ids, "blob", "left_anti").select("row", F.expr(f"cast(array() as {FOUND})").alias("found"))
+    return join_hot(rows.join(ids, "blob", "left_semi"), found, "blob", n_rows).select("row", "found").unionByName(clean)
+
+
+def scan(versions: DataFrame, folder: str, key: str = "doc_id", text: str = "text", rules: tuple = RULES) -> DataFrame:
+    """(key, found) for every row of versions, by the ledger in folder, which is brought up to date: found has (start, place of the kind, kind, end)."""
+    content = F.coalesce(F.col(text), F.lit(""))
+    source = versions.select(F.col(key).alias("row"), content.alias("content"), blob_id(content).alias("blob"))
+    return _scan(source, folder, rules, True).withColumnRenamed("row", key)
 
 
-def redact(df: DataFrame, text: str = "text", rules: tuple = RULES) -> DataFrame:
+def redact(df: DataFrame, text: str = "text", rules: tuple = RULES, ledger: str | None = None) -> DataFrame:
     """df with each found span of text replaced by [kind]; spans that touch or overlap are replaced as one, named after the first.  Rows
-    without a finding stay as they are.  Rows are scanned where they lie."""
+    without a finding stay as they are.  ledger: a folder that keeps what runs have scanned; without one a new ledger is started."""
+    columns, content = df.columns, F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    source = df.select(row.alias("row"), content.alias("content"), blob_id(content).alias("blob"))
+    old = F.col(f"row.c{columns.index(text)}")
 
     def rebuild(spans: Column) -> Column:
         step = lambda acc, x: F.struct(
-            F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"),
+            F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(old, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], x["end"]).alias("at"),
         )
-        done = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
-        return F.when(F.size(spans) == 0, F.col(text)).otherwise(done)
+        done = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substring(old, acc["at"] + 1, F.length(old))))
+        return F.when(F.size(spans) == 0, old).otherwise(done)
+
+    out = _scan(source, ledger or new_ledger(df.sparkSession), rules, False)
+    new = F.when(old.isNotNull(), let(F.col("found"), rebuild))
+    return out.select(*[(new if c == text else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(columns)])
+
 
-    new = F.when(F.col(text).isNotNull(), let(found_of(hits_of(F.col(text), rules), rules), rebuild))
-    return df.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+def new_ledger(spark: SparkSession) -> str:
+    """A folder for a ledger that no run has written yet."""
+    return f"{shared_dir(spark)}/op9_ledger_{uuid.uuid4().hex}"
 
 
 def span_list(found: Column) -> Column:
@@ -177,7 +197,7 @@ def span_list(found: Column) -> Column:
 def op9_secrets(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
     """ledger: a folder that keeps what runs have scanned.  Without one a run starts a new ledger in the shared folder, so that neither its results nor its
     time lean on an earlier run."""
-    out = scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ledger or f"{shared_dir(spark)}/op9_ledger_{uuid.uuid4().hex}")
+    out = scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ledger or new_ledger(spark))
     n = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
     return out.select("doc_id", *map(n, BASE_KINDS), F.sha2(span_list(base).cast("binary"), 256).alias("base_sha256"), span_list(F.col("found")).alias("spans"))

@@ -546,6 +546,22 @@ def test_op9_redaction(spark):
     assert rows[30].startswith("[assign]' é𝄞 [assign]") and rows[1] is None and rows[2] == "clean" and not any(secrets(t) for t in rows.values())
 
 
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_op9_redaction_by_a_lasting_ledger(spark, tmp_path, most, monkeypatch):
+    from reedbank.llm import op09_secrets as op
+
+    monkeypatch.setattr(op, "BROADCAST_BLOBS", most)
+    folder = str(tmp_path / "ledger")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    df = frame(spark, [*SECRETS, *SECRETS[:3], (1, None), (None, None), (2, "clean"), (3, "")]).withColumns({c: F.lit(c) for c in ("row", "found", "blob", "hits", "a.b")})
+    want = rows(op.redact(df))
+    # some blobs and rules are known, then all are
+    op.scan(df.where("doc_id < 33"), folder, rules=op.RULES[:3])
+    assert rows(op.redact(df, ledger=folder)) == want and len(want) == df.count()
+    monkeypatch.setattr(op, "hits_of", lambda *a: pytest.fail("scanned again"))
+    assert rows(op.redact(df, ledger=folder)) == want
+
+
 # ---- 10
 
 
