@@ -237,11 +237,12 @@ def _shard_repeats(pieces: DataFrame, length: int) -> DataFrame:
         begin, end = shared_sides(data, offsets, table.column("left").to_numpy().astype(np.int64), length)
         some = np.flatnonzero(end - begin >= length)
         doc, mark, start, sizes = doc[some], mark[some], start[some] + begin[some], (end - begin)[some]
-        take = np.repeat(offsets[some] + begin[some], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        data, offsets = data[take], np.r_[0, np.cumsum(sizes)]
         # a separator behind each piece; bytes move up by one, texts use none above 0xF4
-        text = np.zeros(len(data) + len(sizes), np.uint8)
-        text[np.arange(len(data)) + np.repeat(np.arange(len(sizes)), sizes)] = data + 1
+        moved = (data + np.uint8(1)).tobytes()
+        first = offsets[some] + begin[some]
+        text = np.frombuffer(b"".join([moved[p:z] + b"\0" for p, z in zip(first.tolist(), (first + sizes).tolist(), strict=True)]), np.uint8)
+        del raw, data, moved
+        offsets = np.r_[0, np.cumsum(sizes)]
         begin = offsets[:-1] + np.arange(len(sizes))
         order = suffix_array(text, 256)
         # lengths matter inside a piece only, so they are counted anew where one begins

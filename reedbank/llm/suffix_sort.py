@@ -21,6 +21,8 @@ import numpy as np
 SMALL_ALPHABET = 1024
 #: A text of at most so many characters ends the recursion.
 SHORT = 1 << 18
+#: Pairs of suffixes that are compared at a time.
+PAIRS = 1 << 18
 
 
 def classify(text: np.ndarray) -> np.ndarray:
@@ -31,7 +33,7 @@ def classify(text: np.ndarray) -> np.ndarray:
         return small
     rises, falls = text[:-1] < text[1:], text[:-1] > text[1:]
     # equal neighbours take the type of the next change
-    change = np.where(rises | falls, np.arange(n - 1), n)
+    change = np.where(rises | falls, np.arange(n - 1, dtype=np.int32), np.int32(n))
     nearest = np.minimum.accumulate(change[::-1])[::-1]
     inside = nearest < n
     small[:-1][inside] = rises[nearest[inside]]
@@ -118,18 +120,21 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.nda
     wide = text.itemsize
     raw = np.concatenate([np.ascontiguousarray(text).view(np.uint8), np.zeros(8, np.uint8)])
     eights = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
-    out = np.zeros(len(a), np.int64)
-    most = most * wide
-    active = np.flatnonzero(most > 0)
-    p, q, left = a[active] * wide, b[active] * wide, most[active]
-    while len(active):
-        differ = eights[p] ^ eights[q]
-        # equal low bytes: the zeros below the lowest set bit
-        same = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3)
-        same = np.minimum(same, left)
-        out[active] += same
-        more = (same == 8) & (left > 8)
-        active, p, q, left = active[more], p[more] + 8, q[more] + 8, left[more] - 8
+    out = np.zeros(len(a), np.int32)
+    for first in range(0, len(a), PAIRS):
+        part = slice(first, first + PAIRS)
+        left = most[part].astype(np.int64) * wide
+        active = np.flatnonzero(left > 0)
+        p, q, left = a[part][active].astype(np.int64) * wide, b[part][active].astype(np.int64) * wide, left[active]
+        active += first
+        while len(active):
+            differ = eights[p] ^ eights[q]
+            # equal low bytes: the zeros below the lowest set bit
+            same = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3)
+            same = np.minimum(same, left)
+            out[active] += same.astype(np.int32)
+            more = (same == 8) & (left > 8)
+            active, p, q, left = active[more], p[more] + 8, q[more] + 8, left[more] - 8
     return out // wide
 
 
@@ -153,29 +158,36 @@ def suffix_array(text: np.ndarray, symbols: int | None = None) -> np.ndarray:
     symbols = int(text.max()) + 1 if symbols is None else symbols
     text = text.astype(np.uint8 if symbols <= 256 else np.uint16 if symbols <= 1 << 16 else np.int64)
     small = classify(text)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     buckets = _Buckets(text, small, symbols)
+    del small
     if len(lms) < 2:
         return buckets.induce(lms)
-    rough = buckets.induce(lms)
+    names, sorted_lms = _names_of(text, lms, buckets.induce(lms))
+    n_names = int(names.max()) + 1
+    if n_names < len(lms):
+        del sorted_lms  # not held while names are sorted
+        sorted_lms = lms[_order_of_names(names, n_names)]
+    return buckets.induce(sorted_lms)
+
+
+def _names_of(text: np.ndarray, lms: np.ndarray, rough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A name for each distinct substring from one LMS place to the next, and the LMS places in the order of their substrings, which rough is sorted by."""
+    n = len(text)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     sorted_lms = rough[is_lms[rough]]
-    # a name for each distinct substring from one LMS place to the next
     upto = np.zeros(n, np.int32)
     upto[lms] = np.r_[lms[1:] + 1, n]
     a, b = sorted_lms[:-1], sorted_lms[1:]
     size = upto[a] - a
     same = (size == upto[b] - b) & (upto[a] < n) & (upto[b] < n)
+    del is_lms, upto
     at = np.flatnonzero(same)
     same[at] = common_prefixes(text, a[at], b[at], size[at]) == size[at]
     name_of = np.zeros(n, np.int32)
     name_of[sorted_lms] = np.r_[0, np.cumsum(~same)]
-    names = name_of[lms]
-    n_names = int(names.max()) + 1
-    if n_names < len(lms):
-        sorted_lms = lms[_order_of_names(names, n_names)]
-    return buckets.induce(sorted_lms)
+    return name_of[lms], sorted_lms
 
 
 def permuted_lcp(text: np.ndarray, order: np.ndarray, cap: int, fresh: np.ndarray | None = None) -> np.ndarray:
@@ -190,10 +202,9 @@ def permuted_lcp(text: np.ndarray, order: np.ndarray, cap: int, fresh: np.ndarra
     before[order[1:]] = order[:-1]
     at = np.arange(n, dtype=np.int32)
     # a place follows from the one before it where both have the same character in front, and the one before is not the first in order
-    follows = (at > 0) & (before > 0)
-    follows[1:] &= before[:-1] >= 0
-    some = np.flatnonzero(follows)
-    follows[some] = text[some - 1] == text[before[some] - 1]
+    follows = before > 0
+    follows[0] = False
+    follows[1:] &= (before[:-1] >= 0) & (text[:-1] == text[before[1:] - 1])
     if fresh is not None:
         follows[fresh] = False
     start = np.flatnonzero(~follows)
