@@ -90,6 +90,39 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
 FROM p
 """
 
+#: The unsigned CRC-32 of an ASCII string.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda b, i: CASE WHEN b % 2 = 1 THEN xor(b // 2, 3988292384) ELSE b // 2 END)), 4294967295)"""
+
+OP12_SQL = f"""
+WITH o AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, coalesce(role, '') AS role, coalesce(text, '') AS x
+  FROM conversations WHERE conv_id IS NOT NULL
+), k AS (
+  SELECT c, count(*) AS n, c - c % 5 AS b, {_CRC32.format("c::VARCHAR")} % 9 AS h FROM o GROUP BY c
+), r AS (
+  SELECT k.c, p, role, x FROM k JOIN o ON o.c = k.b AND p <= h
+  UNION ALL SELECT k.c, p - k.h + least(k.h, coalesce(b.n, 0)), role, x FROM o JOIN k ON k.c = o.c AND p > k.h LEFT JOIN k b ON b.c = k.b
+), m AS (
+  SELECT c, p AS d, md5(string_agg(md5(length(role) || ':' || role || x), '') OVER (PARTITION BY c ORDER BY p)) AS k, octet_length(encode(x)) AS bytes FROM r
+  UNION ALL SELECT c, 0, '', 0 FROM k
+), n AS (
+  SELECT d, k, min(c) AS c, count(*) AS n, any_value(bytes) AS bytes FROM m GROUP BY d, k
+), u AS (
+  SELECT n.*, a.c AS up, a.k AS up_k FROM n LEFT JOIN m ON m.c = n.c AND m.d = n.d - 1 LEFT JOIN n a ON a.d = m.d AND a.k = m.k
+), v AS (
+  SELECT up_k AS k, d - 1 AS d, count(*) AS children FROM u WHERE d > 0 GROUP BY up_k, d
+), w AS (
+  SELECT u.*, coalesce(children, 0) AS children FROM u LEFT JOIN v ON v.k = u.k AND v.d = u.d
+), s AS (
+  SELECT m.d, m.k, sum((w.n - 1) * w.bytes) AS saved, count(*) FILTER (w.children = 0) AS leaves FROM w JOIN m ON m.c = w.c AND m.d <= w.d GROUP BY m.d, m.k
+), e AS (
+  SELECT d, k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT *, max(d) OVER (PARTITION BY c) AS last FROM m) WHERE d = last GROUP BY d, k
+)
+SELECT w.c AS conv_id, w.d AS depth, w.up AS parent_conv_id, w.n AS n_convs, w.children AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM w JOIN s ON s.d = w.d AND s.k = w.k LEFT JOIN e ON e.d = w.d AND e.k = w.k
+"""
+
 ORACLE_SQL = {
     "op1_ngram_join": OP1_SQL,
     "op4_decontaminate": OP4_SQL,
@@ -98,4 +131,5 @@ ORACLE_SQL = {
     "op8_suffix_dedup": OP8_SQL,
     "op9_secrets": OP9_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }

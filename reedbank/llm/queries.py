@@ -13,7 +13,8 @@ from reedbank.llm.op08_suffix_dedup import op8_suffix_dedup
 from reedbank.llm.op09_secrets import op9_secrets
 from reedbank.llm.op10_bpe import op10_bpe
 from reedbank.llm.op11_fill_in_middle import op11_fill_in_middle
+from reedbank.llm.op12_prefix_trie import op12_prefix_trie
 from reedbank.llm.op13_toxicity import op13_toxicity
 from reedbank.llm.oracle_sql import ORACLE_SQL  # noqa: F401
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_shard, op3_lm_trie, op4_decontaminate, op5_chat, op6_quality_rules, op7_quality_knn, op8_suffix_dedup, op9_secrets, op10_bpe, op11_fill_in_middle, op13_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_shard, op3_lm_trie, op4_decontaminate, op5_chat, op6_quality_rules, op7_quality_knn, op8_suffix_dedup, op9_secrets, op10_bpe, op11_fill_in_middle, op12_prefix_trie, op13_toxicity)}
