@@ -1,14 +1,13 @@
 """Operator 9: secret scans over an incremental ledger of blobs, with Spark expressions only.
 
 Every version of a text is addressed by the SHA-256 of its content.  The ledger is a folder of tables; a row says which rules, each with its version, a blob
-was scanned by, and what they found.  A scan asks the ledger for the blobs of its versions, on thin rows without texts; only blobs with a rule that the
-ledger doesn't have are read again and scanned, by the rules that are missing, and are added to the ledger.  Findings are joined back to all
-paths (here: keys, or whole rows that are redacted) that hold a blob; only blobs with findings take part in that join, and those of very many paths do
-without a shuffle.
+was scanned by, and what they found.  A scan, the first one too, goes one way: thin rows without texts are grouped by blob and held against the ledger; of
+each blob that lacks a rule one row is chosen; the chosen rows are scanned by the rules that are missing, what they find is added to the ledger, and findings are
+joined back to all paths (here: keys, or whole rows that are redacted) that hold a blob.
 
-Texts are scanned where they lie: the blobs that are new reach the rows by broadcast (BROADCAST_BLOBS of them at most, beyond that by a shuffle), and without a
-ledger all rows are scanned as they are read, so no text is moved.  Copies of a new blob may be scanned more than once in the same scan, which costs less than
-moving them to one place.
+No text is moved to be scanned: which rows are chosen reaches the texts as bit maps of hashes, of a bounded size (MOST_BUCKETS of 4 KB), so texts are read once more and scanned where they
+lie.  A row that the bit maps take for a chosen one is scanned in vain, which costs time only; the same holds for rows that are equal in all columns.  Joining back, bit maps of the
+blobs with findings leave the other rows where they are, and blobs of very many paths do without a shuffle.
 
 Positions: a rule's matches and the pieces between them are both cut out by the same regular expression, and running
 sums of their lengths in code points are the spans.
@@ -19,16 +18,15 @@ texts are scanned, however long.  Two scans may add to one ledger at a time; wha
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from reedbank.llm.shared import join_hot, let, read_table, shared_dir, written
+from reedbank.llm.shared import join_hot, let, new_folder, read_table, written
 
-#: New blobs that are told to all rows by broadcast, about 100 bytes each.
-BROADCAST_BLOBS = 1 << 18
+#: Bit maps of 32,768 bits each that are broadcast at most.
+MOST_BUCKETS = 4096
 SPANS = "array<struct<start:int,end:int>>"
 #: Kind, regular expression, group that is measured, its least number of characters; the first three are the base.
 RULES = (
@@ -91,13 +89,9 @@ def rule_names(rules: tuple) -> list[str]:
     return [f"{r[0]}:{rule_version(r)}" for r in rules]
 
 
-def hits_of(text: Column, rules: tuple, missing: Column | None = None) -> Column:
-    """Findings of the rules (those named in missing) in text."""
-    out = []
-    for name, (_, pattern, group, least) in zip(rule_names(rules), rules, strict=True):
-        hit = F.transform(rule_spans(text, pattern, group, least), _named(name))
-        out.append(hit if missing is None else F.when(F.array_contains(missing, name), hit).otherwise(F.expr(f"cast(array() as {HITS})")))
-    return F.concat(*out)
+def hits_of(text: Column, rules: tuple) -> Column:
+    """Findings of the rules in text."""
+    return F.concat(*[F.transform(rule_spans(text, pattern, group, least), _named(name)) for name, (_, pattern, group, least) in zip(rule_names(rules), rules, strict=True)])
 
 
 def _named(name: str):
@@ -128,39 +122,65 @@ def add_to_ledger(rows: DataFrame, folder: str) -> None:
     rows.select("blob", "done", F.col("hits").cast(HITS).alias("hits")).write.mode("append").parquet(folder)
 
 
+def _place(mark: Column, buckets: int) -> tuple[Column, Column]:
+    """The bit map and the bit that stand for a 64-bit hash."""
+    return F.pmod(mark, F.lit(buckets)), F.pmod(F.xxhash64(mark), F.lit(1 << 15))
+
+
+def bit_maps(marks: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """(bucket, bits) of the n hashes in marks (mark), to be broadcast: 64 bits for each while that is no more than MOST_BUCKETS bit maps, and their number."""
+    buckets = max(1, min(MOST_BUCKETS, max(64, n * 64 >> 15)))
+    bucket, bit = _place(F.col("mark"), buckets)
+    return F.broadcast(marks.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))), buckets
+
+
+def with_maybe(rows: DataFrame, mark: Column, maps: DataFrame, buckets: int) -> DataFrame:
+    """rows with maybe: whether mark is among the hashes of the bit maps; always for those that are, seldom for others."""
+    bucket, bit = _place(F.col("_mark"), buckets)
+    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    out = rows.withColumn("_mark", mark).withColumn("bucket", bucket).join(maps, "bucket", "left")
+    return out.withColumn("maybe", F.col("bits").isNotNull() & (F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1)).drop("_mark", "bucket", "bits")
+
+
 def _scan(source: DataFrame, folder: str, rules: tuple, is_thin: bool) -> DataFrame:
-    """(row, found) for each row of source (row, content, blob), by the ledger in folder, which is brought up to date.  is_thin: row holds no text, so the
-    rows are written with their blobs, and texts are read no more often than they are scanned."""
+    """(row, found) for each row of source (row, content, blob, mark), by the ledger in folder, which is brought up to date.  mark: a hash that tells rows with one blob apart.
+    is_thin: row holds no text, so the rows are written with their blobs, and content addresses are made once."""
     spark, nothing = source.sparkSession, F.expr(f"cast(array() as {HITS})")
     ledger, names = read_ledger(spark, folder), F.array(*[F.lit(n) for n in rule_names(rules)])
+    rows = written(source.select("row", "blob", "mark"), "op9_versions") if is_thin else source.select("row", "blob", "mark")
+    blobs = rows.groupBy("blob").agg(F.count("*").alias("times"), F.min("mark").alias("mark"))
     if ledger is None:
-        scanned = written(source.select("row", "blob", hits_of(F.col("content"), rules).alias("hits")), "op9_scanned")
-        add_to_ledger(scanned.groupBy("blob").agg(F.first("hits").alias("hits")).withColumn("done", names), folder)
-        return scanned.select("row", found_of(F.col("hits"), rules).alias("found"))
-    rows = written(source.select("row", "blob"), "op9_versions") if is_thin else source.select("row", "blob")
-    blobs = rows.groupBy("blob").agg(F.count("*").alias("times"))
-    known = written(blobs.join(ledger, "blob", "left").withColumn("missing", F.array_except(names, F.coalesce("done", F.expr("cast(array() as array<string>)")))), "op9_known")
-    unseen = known.where(F.size("missing") > 0).select("blob", "missing")
-    n_unseen = unseen.count()
-    hits = known.select("blob", "times", F.coalesce("hits", nothing).alias("hits"))
-    if n_unseen:
-        asked = F.broadcast(unseen) if n_unseen <= BROADCAST_BLOBS else unseen
-        new = source.join(asked, "blob").select("blob", "missing", hits_of(F.col("content"), rules, F.col("missing")).alias("new"))
-        new = written(new.groupBy("blob").agg(F.first("missing").alias("missing"), F.first("new").alias("new")), "op9_new")
-        add_to_ledger(new.select("blob", F.col("missing").alias("done"), F.col("new").alias("hits")), folder)
-        hits = hits.join(new.select("blob", "new"), "blob", "left").select("blob", "times", F.concat("hits", F.coalesce("new", nothing)).alias("hits"))
+        known = blobs.select("*", nothing.alias("hits"), names.alias("missing"))
+    else:
+        missing = F.array_except(names, F.coalesce("done", F.expr("cast(array() as array<string>)")))
+        known = blobs.join(ledger, "blob", "left").select("blob", "times", "mark", F.coalesce("hits", nothing).alias("hits"), missing.alias("missing"))
+    known = written(known, "op9_known")
+    # sets of missing rules: one on a first run, otherwise as many as the ledger's scans have left, of the few that the rules have
+    stats = known.groupBy("missing").agg(F.count("*").alias("n"), F.sum("times").alias("times")).collect()
+    n_rows, hits = sum(r.times for r in stats), known.select("blob", "times", "hits")
+    new = None
+    for asked in (r for r in stats if r.missing):
+        chosen = known.where(F.col("missing") == F.array(*[F.lit(m) for m in asked.missing])).select("blob", "mark")
+        due = tuple(r for r, name in zip(rules, rule_names(rules), strict=True) if name in asked.missing)
+        told = with_maybe(source.select("content", "blob", "mark"), F.col("mark"), *bit_maps(chosen.select("mark"), asked.n)).where("maybe")
+        scanned = told.select("blob", hits_of(F.col("content"), due).alias("new")).groupBy("blob").agg(F.first("new").alias("new"))
+        scanned = scanned.join(chosen.select("blob"), "blob", "left_semi").withColumn("done", F.array(*[F.lit(m) for m in asked.missing]))
+        new = scanned if new is None else new.unionByName(scanned)
+    if new is not None:
+        new = written(new, "op9_new")
+        add_to_ledger(new.select("blob", "done", F.col("new").alias("hits")), folder)
+        hits = hits.join(new.where(F.size("new") > 0).select("blob", "new"), "blob", "left").select("blob", "times", F.concat("hits", F.coalesce("new", nothing)).alias("hits"))
     found = written(hits.select("blob", "times", found_of(F.col("hits"), rules).alias("found")).where(F.size("found") > 0), "op9_found")
-    n_rows = known.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    ids = found.select("blob")
-    ids = F.broadcast(ids) if found.count() <= BROADCAST_BLOBS else ids
-    clean = rows.join(ids, "blob", "left_anti").select("row", F.expr(f"cast(array() as {FOUND})").alias("found"))
-    return join_hot(rows.join(ids, "blob", "left_semi"), found, "blob", n_rows).select("row", "found").unionByName(clean)
+    told = with_maybe(rows.drop("mark"), F.xxhash64("blob"), *bit_maps(found.select(F.xxhash64("blob").alias("mark")), found.count()))
+    none = F.expr(f"cast(array() as {FOUND})")
+    clean = told.where("not maybe").select("row", none.alias("found"))
+    return join_hot(told.where("maybe").drop("maybe"), found, "blob", n_rows, how="left").select("row", F.coalesce("found", none).alias("found")).unionByName(clean)
 
 
 def scan(versions: DataFrame, folder: str, key: str = "doc_id", text: str = "text", rules: tuple = RULES) -> DataFrame:
     """(key, found) for every row of versions, by the ledger in folder, which is brought up to date: found has (start, place of the kind, kind, end)."""
     content = F.coalesce(F.col(text), F.lit(""))
-    source = versions.select(F.col(key).alias("row"), content.alias("content"), blob_id(content).alias("blob"))
+    source = versions.select(F.col(key).alias("row"), content.alias("content"), blob_id(content).alias("blob"), F.xxhash64(key, content).alias("mark"))
     return _scan(source, folder, rules, True).withColumnRenamed("row", key)
 
 
@@ -169,7 +189,8 @@ def redact(df: DataFrame, text: str = "text", rules: tuple = RULES, ledger: str
     without a finding stay as they are.  ledger: a folder that keeps what runs have scanned; without one a new ledger is started."""
     columns, content = df.columns, F.coalesce(F.col(f"`{text}`"), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
-    source = df.select(row.alias("row"), content.alias("content"), blob_id(content).alias("blob"))
+    told = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, MapType | VariantType)]
+    source = df.select(row.alias("row"), content.alias("content"), blob_id(content).alias("blob"), F.xxhash64(*told).alias("mark"))
     old = F.col(f"row.c{columns.index(text)}")
 
     def rebuild(spans: Column) -> Column:
@@ -186,8 +207,8 @@ def redact(df: DataFrame, text: str = "text", rules: tuple = RULES, ledger: str
 
 
 def new_ledger(spark: SparkSession) -> str:
-    """A folder for a ledger that no run has written yet."""
-    return f"{shared_dir(spark)}/op9_ledger_{uuid.uuid4().hex}"
+    """A folder for a ledger that no run has written yet; drop_written deletes it."""
+    return new_folder(spark, "op9_ledger")
 
 
 def span_list(found: Column) -> Column:

@@ -49,12 +49,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, and survives lost executors.  drop_written deletes it."""
     spark = df.sparkSession
     plain_unions(spark)
-    path = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    _tables.append(path if "://" in path else "file://" + path.removeprefix("file:"))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to.  drop_written deletes what is."""
+    path = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
+    _tables.append(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return path
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what goes to Python at a time: texts can be long, and batches are held on both sides."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
