@@ -50,6 +50,10 @@ class Model:
         w, u = np.linalg.eigh(root[:, None] * self.q / root[None, :])
         self._w, self._left, self._right = w, u / root[:, None], u.T * root[None, :]
 
+    def spectrum(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(w, left, right): probabilities after v are left diag(exp(w v)) right."""
+        return self._w, self._left, self._right
+
     def probability(self, v) -> np.ndarray:
         """(..., 4, 4): [from, to] after branches of length v."""
         v = np.asarray(v, float)

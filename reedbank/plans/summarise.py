@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reedbank.functions.sequence import alignment_identity, profile_identity
-from reedbank.operators import otu, tree
+from reedbank.operators import contraction, otu, tree
 from reedbank.operators.assignment import filter_by_quality
 
 
@@ -28,34 +27,11 @@ def otu_table(assignments: DataFrame, nodes: DataFrame, min_reads: int = 0, min_
     return kept.join(nodes.select(F.col("id").alias("otu"), F.col("anno").alias("taxonomy")), "otu").select("otu", "taxonomy", "sample", "n")
 
 
-def node_weights(db, otus: DataFrame, sites: int = 64) -> DataFrame:
-    """(otu, site, wa, wc, wg, wt): by column how likely each base is at the tree's nodes otus, given all leaves.  Tasks make the messages of a stretch of columns."""
-    spark = db.node.sparkSession
-    tree, rows = db.tree()
-    leaf = np.array([r.is_leaf for r in rows])
-    codes = np.where(leaf[:, None], tree.codes, -1).astype(np.int8)
-    # OTUs are nodes of the tree, which the driver holds
-    wanted = [r[0] for r in otus.select("otu").distinct().toLocalIterator()]
-    width = codes.shape[1]
-    shared = spark.sparkContext.broadcast((tree.parent, tree.length, codes, db.model, db.rates, wanted))
-
-    def run(batches):
-        import pyarrow as pa
-
-        from reedbank.kernels.likelihood import Tree, node_message, messages, state_weights
-
-        parent, length, codes, model, rates, wanted = shared.value
-        for batch in batches:
-            for i in batch.column(0).to_pylist():
-                part = Tree(parent, length, codes[:, i * sites : (i + 1) * sites])
-                both = messages(part, model, rates)
-                n = part.codes.shape[1]
-                for u in wanted:
-                    w = state_weights(node_message(part, *both, u, model, rates))
-                    yield pa.RecordBatch.from_arrays([pa.array([u] * n), pa.array(np.arange(i * sites + 1, i * sites + n + 1)), *[pa.array(x) for x in w]], names=["otu", "site", "wa", "wc", "wg", "wt"])
-
-    n = -(-width // sites)
-    return spark.range(0, n, 1, n).mapInArrow(run, "otu bigint, site bigint, wa double, wc double, wg double, wt double")
+def node_weights(db, otus: DataFrame) -> DataFrame:
+    """(otu, site, wa, wc, wg, wt): by column how likely each base is at the tree's nodes otus, given all leaves."""
+    leaves = contraction.leaf_sites(db.node.where("is_leaf"), "id", "seq")
+    weights = contraction.weights_of(db.node.select("id", "parent", "length"), leaves, db.model, db.rates)
+    return weights.withColumnRenamed("id", "otu").join(otus.select("otu").distinct(), "otu", "left_semi")
 
 
 def consensus(assignments: DataFrame, db, weight: float = 2.0) -> DataFrame:

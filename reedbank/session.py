@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,16 @@ def checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table to the folder of checkpoints and read back: like cut, but computed once, and columns that aren't asked for aren't read."""
+    spark = df.sparkSession
+    plain_unions(spark)
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint, for rounds that build on each other."""
     checkpoint_dir(df.sparkSession)
