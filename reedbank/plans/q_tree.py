@@ -11,14 +11,33 @@ N = with_("fx_node")
 R = with_("fx_node", recursive=True)
 _UP = """up(start, node, depth, distance) AS (SELECT id, id, 0, 0.0::DOUBLE FROM fx_node WHERE {} UNION ALL SELECT u.start, n.parent, u.depth + 1, u.distance + n.length FROM up u JOIN fx_node n ON n.id = u.node WHERE n.parent IS NOT NULL)"""
 _LEAF = "id NOT IN (SELECT parent FROM fx_node WHERE parent IS NOT NULL)"
-_NEWICK = "((a:1,b:2)ab:0.5,(c:1.5,'d e':0.25)cd:1)root:0;"
 
 
-@query("""SELECT * FROM (VALUES (0, NULL, 'root', 0.0::DOUBLE, false), (1, 0, 'cd', 1.0, false), (2, 1, 'd e', 0.25, true), (3, 1, 'c', 1.5, true), (4, 0, 'ab', 0.5, false), (5, 4, 'b', 2.0, true), (6, 4, 'a', 1.0, true)) AS t(id, parent, name, length, is_leaf)""")
+#: Each inner node with two levels below it.
+_LOCAL = """b AS (SELECT p.id AS tree, p.id AS node, []::BIGINT[] AS way FROM fx_node p UNION ALL SELECT c.parent, c.id, [-c.id] FROM fx_node c WHERE c.parent IS NOT NULL
+  UNION ALL SELECT c.parent, g.id, [-c.id, -g.id] FROM fx_node c JOIN fx_node g ON g.parent = c.id WHERE c.parent IS NOT NULL),
+i AS (SELECT tree, node, way, row_number() OVER (PARTITION BY tree ORDER BY way) - 1 AS id FROM b)"""
+
+
+@query(f"""{N}, {_LOCAL} SELECT i.tree, i.id, u.id AS parent, CASE WHEN n.id % 3 = 0 THEN n.name || ' it''s' ELSE 'n' || n.id END AS name, CASE WHEN n.id % 5 > 0 THEN n.length END AS length,
+NOT EXISTS (SELECT 1 FROM i c WHERE c.tree = i.tree AND len(c.way) = len(i.way) + 1 AND c.way[1:len(i.way)] = i.way) AS is_leaf
+FROM i JOIN fx_node n ON n.id = i.node LEFT JOIN i u ON u.tree = i.tree AND len(i.way) > 0 AND u.way = i.way[1:len(i.way) - 1]""")
 def newick_flatten(spark, d):
-    from reedbank.sources.newick import nodes_of, parse
+    """Newick texts of each node with two levels below it, back to nodes; names in quotes, blanks, comments and branches without a length."""
+    from reedbank.sources.newick import parse_table
+
+    nodes = fx_node(spark, d)
+    odd = F.concat(F.lit("'"), F.replace("name", F.lit("'"), F.lit("''")), F.lit(" it''s' [note, (a)]"))
+    own = F.concat(F.when(F.col("id") % 3 == 0, odd).otherwise(F.concat(F.lit(" n"), F.col("id").cast("string"))), F.when(F.col("id") % 5 > 0, F.concat(F.lit(" : "), F.col("length").cast("string"))).otherwise(""))
+    own = nodes.select("id", "parent", own.alias("text"))
+
+    def around(below):
+        """Each node's text with those below it (parent, text) in parentheses."""
+        kids = below.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("kids"))
+        inner = F.concat(F.lit("("), F.array_join(F.transform("kids", lambda k: k["text"]), ", "), F.lit(")"))
+        return own.join(kids, "id", "left").select("id", "parent", F.concat(F.coalesce(inner, F.lit("")), "text").alias("text"))
 
-    return nodes_of(spark, parse(_NEWICK)).select("id", "parent", "name", "length", "is_leaf")
+    return parse_table(around(around(own)).select(F.col("id").alias("tree"), F.concat("text", F.lit(";")).alias("text")))
 
 
 @query("WITH " + with_("fx_node", "fx_aln")[5:] + f" SELECT n.id, aln, aln IS NOT NULL AS found FROM fx_node n LEFT JOIN (SELECT * FROM fx_aln WHERE id % 5 <> 0) a ON a.id = n.id WHERE n.{_LEAF}")

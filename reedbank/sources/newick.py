@@ -7,6 +7,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 NODE = "id LONG, parent LONG, name STRING, length DOUBLE, is_leaf BOOLEAN"
 _SPECIAL = set(" \t\n()[]':;,")
@@ -106,6 +108,42 @@ def flatten(tree: Tree) -> list[tuple]:
     return out
 
 
+#: A structural character and the label behind it: names in quotes (a doubled one is a quote), comments in brackets, anything else.
+_SEGMENT = r"[(),;](?:'(?:[^']|'')*'|\[[^\]]*\]|[^'\[(),;])*"
+_LABEL = r"^\s*('(?:[^']|'')*'|[^:']*?)\s*(?::\s*(\S*)\s*)?$"
+
+
+def parse_table(trees: DataFrame, tree: str = "tree", text: str = "text") -> DataFrame:
+    """(tree, id, parent, name, length, is_leaf) of all nodes of all trees, one text a row, without a parser's loop: a text is cut at its structural characters, a
+    running sum of parentheses is the depth, a segment is a node unless an open parenthesis follows it, and its parent is the next segment that closes its depth.
+    Ids are as flatten gives them: read from the end, the root comes first and a node's last child next.  Empty and null texts have no nodes; parentheses
+    that don't match are an error."""
+    cut = F.regexp_extract_all(F.concat(F.lit(","), F.trim(F.col(text))), F.lit(_SEGMENT), F.lit(0))
+    rows = trees.where(F.trim(F.col(text)) != "").select(F.col(tree).alias("tree"), F.posexplode(cut).alias("at", "segment"))
+    rows = rows.select("tree", "at", F.substring("segment", 1, 1).alias("mark"), F.regexp_replace(F.expr("substring(segment, 2)"), r"\[[^\]]*\]", "").alias("label"))
+    whole = W.partitionBy("tree").orderBy("at")
+    step = F.when(F.col("mark") == "(", 1).when(F.col("mark") == ")", -1).otherwise(0)
+    rows = rows.withColumns({"depth": F.sum(step).over(whole), "next": F.lead("mark").over(whole)})
+    # what follows the end mark isn't read
+    ended = F.max(F.when(F.col("mark") == ";", 1).otherwise(0)).over(whole)
+    rows = rows.withColumn("ended", ended).where("ended = 0")
+    is_last = F.col("next").isNull() | (F.col("next") == ";")
+    wrong = (F.col("depth") < 0) | (is_last & (F.col("depth") != 0)) | ((F.col("depth") == 0) & (F.col("next") == ","))
+    rows = rows.withColumn("depth", F.when(wrong, F.raise_error(F.concat(F.lit("parentheses don't match in tree "), F.col("tree").cast("string"))).cast("long")).otherwise(F.col("depth")))
+    nodes = rows.where((F.col("next") != "(") | F.col("next").isNull()).withColumn("id", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("at"))).cast("long") - 1)
+    # a node at a depth belongs to the next closing parenthesis around it: both stand in one window of that depth
+    level = F.col("depth") + F.when(F.col("mark") == ")", F.lit(1)).otherwise(0)
+    inside = nodes.select("tree", "id", "at", "depth", F.lit(None).cast("long").alias("closes"))
+    around = nodes.where("mark = ')'").select("tree", F.lit(None).cast("long").alias("id"), "at", level.alias("depth"), F.col("id").alias("closes"))
+    ahead = W.partitionBy("tree", "depth").orderBy("at", F.col("id").isNotNull()).rowsBetween(W.currentRow, W.unboundedFollowing)
+    parents = inside.unionByName(around).withColumn("parent", F.first("closes", ignorenulls=True).over(ahead)).where("id is not null").select("tree", "id", "parent")
+    name = F.regexp_extract("label", _LABEL, 1)
+    length = F.regexp_extract("label", _LABEL, 2)
+    named = nodes.select("tree", "id", name.alias("name"), F.when(length != "", length.cast("double")).alias("length"), (F.col("mark") != ")").alias("is_leaf"))
+    named = named.withColumn("name", F.when(F.startswith("name", F.lit("'")), F.replace(F.expr("substring(name, 2, length(name) - 2)"), F.lit("''"), F.lit("'"))).otherwise(F.col("name")))
+    return named.join(parents, ["tree", "id"]).select("tree", "id", "parent", "name", "length", "is_leaf")
+
+
 def nodes_of(spark: SparkSession, tree: Tree) -> DataFrame:
     return spark.createDataFrame(flatten(tree), NODE)
 

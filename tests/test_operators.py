@@ -30,6 +30,25 @@ def test_newick_errors(bad):
         newick.parse(bad)
 
 
+def test_parse_table(spark):
+    from reedbank.sources.newick import flatten, parse, parse_table
+
+    texts = ["((a:1,b:2)ab:0.5,(c:1.5,'d e':0.25)cd:1)root:0;", "one;", "one:3", "(a,b,(c,(d,e)x,f),'it''s (g);')[note]r", "(,(,));", " ( a b : 1e-3 , [x] b ) ;", "", None, "((((deep))))z;", "(a,b);(c,d);"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "tree long, text string")
+    got = {}
+    for r in parse_table(rows).collect():
+        got.setdefault(r.tree, []).append((r.id, r.parent, r.name, r.length, r.is_leaf))
+    assert {k: sorted(v) for k, v in got.items()} == {k: flatten(parse(t)) for k, t in enumerate(texts) if t}
+
+
+@pytest.mark.parametrize("bad", ["(a,b;", "a,b;", "(a,b));", "((a)"])
+def test_parse_table_errors(spark, bad):
+    from reedbank.sources.newick import parse_table
+
+    with pytest.raises(Exception, match="parentheses"):
+        parse_table(spark.createDataFrame([(1, bad)], "tree long, text string")).collect()
+
+
 def test_fasta_and_fastq_files(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">r1 first > one\nACg\nTT\n>r2\nGG\n")
     got = [tuple(r) for r in fasta.read_fasta(spark, str(tmp_path / "a.fa")).orderBy("id").collect()]
