@@ -161,12 +161,17 @@ def messages_up(nodes: DataFrame, sites: DataFrame, model: Model, rates=None) ->
         raise ValueError("no leaf has a site")
     now = stored(_start(nodes, sites, n_sites, model, by.n), "tree_up")
     known, step = [now.where("done = 0")], 0
-    while now.where("done is null").take(1):
-        step += 1
+    while True:
         waiting = now.where("done is null")
-        # pointers may reach a node long after it has become known
-        seen = _union([waiting, *known])
-        now = stored(_rake(now, waiting.where("k > 1"), step, by).unionByName(_compress(seen, waiting.where("k = 1"), step, by)), "tree_up")
+        kinds = {r.one for r in waiting.select((F.col("k") == 1).alias("one")).distinct().collect()}
+        if not kinds:
+            break
+        step += 1
+        made = [_rake(now, waiting.where("k > 1"), step, by)] if False in kinds else []
+        if True in kinds:
+            # pointers may reach a node long after it has become known
+            made.append(_compress(_union([waiting, *known]), waiting.where("k = 1"), step, by))
+        now = stored(_union(made), "tree_up")
         known.append(now.where(F.col("done") == step))
     return _union(known).select("id", "site", "parent", "length", "l", "ls")
 
