@@ -53,3 +53,34 @@ def log_gamma(spark, d):
     rows = rows.withColumn("z", F.col("x") + F.col("y"))
     lx, ly, lz = (gamma.log_gamma(c) for c in "xyz")
     return rows.select("id", (F.round(lx, 8) + 0.0).alias("lx"), F.round(ly, 6).alias("ly"), (F.round(lx + ly - lz, 6) + 0.0).alias("beta"))
+
+
+_CATEGORIES = range(2, 9)
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT DISTINCT (p_size / 10.0)::DOUBLE AS a FROM part), k AS (SELECT unnest(range(2, 9)) AS k),
+cut(a, k, i, low, high, step) AS (SELECT a, k, i, 0.0::DOUBLE, least(a + 10 * sqrt(a) + 20, 60), 0 FROM s, k, LATERAL (SELECT unnest(range(1, k)) AS i)
+  UNION ALL SELECT a, k, i, CASE WHEN under THEN mid ELSE low END, CASE WHEN under THEN high ELSE mid END, step + 1
+  FROM (SELECT *, (low + high) / 2 AS mid, list_sum(list_transform(range(0, 220), lambda n: exp((a + n) * ln((low + high) / 2) - (low + high) / 2 - lgamma(a + n + 1)))) < i / k AS under FROM cut WHERE step < 60)),
+p AS (SELECT a, k, i, list_sum(list_transform(range(0, 220), lambda n: exp((a + 1 + n) * ln((low + high) / 2) - (low + high) / 2 - lgamma(a + n + 2)))) AS p FROM cut WHERE step = 60
+  UNION ALL SELECT a, k, 0, 0.0 FROM s, k UNION ALL SELECT a, k, k, 1.0 FROM s, k),
+r AS (SELECT a, k, i, (p - lag(p) OVER (PARTITION BY a, k ORDER BY i)) * k AS rate FROM p)
+SELECT p_partkey AS id, k::INT AS categories, i::INT AS category, round(rate, 8) + 0.0 AS rate FROM part JOIN r ON r.a = (p_size / 10.0)::DOUBLE WHERE i > 0""")
+def gamma_rates(spark, d):
+    """Mean rates of 2 to 8 categories of a gamma distribution, for a shape from each part's size."""
+    shapes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / F.lit(10.0)).alias("shape"))
+    out = None
+    for k in _CATEGORIES:
+        one = gamma.discrete_rates(shapes, k).select("id", F.lit(k).alias("categories"), F.posexplode("rates").alias("category", "rate"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("id", "categories", (F.col("category") + 1).alias("category"), (F.round("rate", 8) + 0.0).alias("rate"))
+
+
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity / 10 AS a, l_tax * 100 + 0.5 AS b, l_linenumber::DOUBLE AS c, l_extendedprice AS x, l_quantity * 500 AS y, 10000.0 AS z FROM lineitem),
+w AS (SELECT *, x / (x + y + z) AS p, y / (x + y + z) AS q, z / (x + y + z) AS r FROM v)
+SELECT l_orderkey, l_linenumber, round(lgamma(a + b + c) - lgamma(a) - lgamma(b) - lgamma(c) + (a - 1) * ln(p) + (b - 1) * ln(q) + (c - 1) * ln(r), 6) AS log_density FROM w""")
+def dirichlet_pdf(spark, d):
+    """Log densities of shares under the parameters of their rows."""
+    v = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "double(l_quantity) / 10 AS a", "double(l_tax) * 100 + 0.5D AS b", "double(l_linenumber) AS c", "double(l_extendedprice) AS x", "double(l_quantity) * 500 AS y", "10000.0D AS z")
+    w = v.selectExpr("*", "x / (x + y + z) AS p", "y / (x + y + z) AS q", "z / (x + y + z) AS r")
+    return w.select("l_orderkey", "l_linenumber", F.round(F.expr(gamma.dirichlet_log_density(["a", "b", "c"], ["p", "q", "r"])), 6).alias("log_density"))
