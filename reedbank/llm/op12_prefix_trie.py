@@ -277,15 +277,17 @@ def trie_nodes(turns: DataFrame, sequences: DataFrame, local_rows: int | None =
         return spark.createDataFrame([], NODE)
     now = sequences.select(F.col("rep").alias("conv"), "m", "len", F.lit(root).cast("long").alias("cls"))
     classes, alone, local, depth = [], None, None, 0
-    # what is known of the classes of a level: their parents, and their last turn's bytes
-    known = spark.createDataFrame([(root, None, 0)], "cls long, parent long, size long")
+    # what is known of the classes of a level: their parents, and their last turn's bytes; the root has neither
+    known = None
     join = lambda a, b: b if a is None else a.unionByName(b)
     while True:
         sums = now.groupBy("cls").agg(
             F.count("*").alias("n"), F.sum("m").alias("n_convs"), F.sum(F.col("len") - depth).alias("rows"), F.max(F.when(F.col("len") == depth, F.col("conv"))).alias("ends")
         )
         kind = F.when(F.col("n") == 1, "alone").when(F.col("rows") <= local_rows, "local").otherwise("large")
-        level = written(sums.withColumn("kind", kind).join(known, "cls"), "op12_level")
+        level = sums.withColumn("kind", kind)
+        level = level.withColumns({"parent": F.lit(None).cast("long"), "size": F.lit(0).cast("long")}) if known is None else level.join(known, "cls")
+        level = written(level, "op12_level")
         classes.append(level)
         kinds = level.groupBy("kind").agg(F.sum("n").alias("n")).collect()
         n_rows, has = sum(r.n for r in kinds), {r.kind for r in kinds}
