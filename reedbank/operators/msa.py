@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reedbank.session import meet, spread
+
 ID, SEQ, SITE, BASE = "id", "aln", "site", "base"
 BASES = ("A", "C", "G", "T")
 
 
 def long(msa: DataFrame, seq_id: str = ID, aligned: str = SEQ) -> DataFrame:
     """(id, site from 1, base): upper case, '-' for anything that isn't a base."""
-    sites = msa.select(F.col(seq_id).alias(ID), F.posexplode(F.split(F.upper(F.col(aligned)), "")).alias("p", "b"))
+    sites = spread(msa.select(seq_id, aligned)).select(F.col(seq_id).alias(ID), F.posexplode(F.split(F.upper(F.col(aligned)), "")).alias("p", "b"))
     return sites.select(ID, (F.col("p") + 1).alias(SITE), F.when(F.col("b").isin(*BASES), F.col("b")).otherwise("-").alias(BASE))
 
 
@@ -38,13 +40,19 @@ def sequence_weights(sites: DataFrame) -> DataFrame:
     bases = sites.where(F.col(BASE) != "-")
     counts = bases.groupBy(SITE, BASE).agg(F.count("*").alias("n"))
     counts = counts.withColumn("kinds", F.count("*").over(Window.partitionBy(SITE)))
-    raw = bases.join(counts, [SITE, BASE]).groupBy(ID).agg((F.sum(1 / (F.col("kinds") * F.col("n"))) / F.count("*")).alias("w"))
+    # four rows for each column of the alignment, whatever its number of sequences
+    raw = bases.join(F.broadcast(counts), [SITE, BASE]).groupBy(ID).agg((F.sum(1 / (F.col("kinds") * F.col("n"))) / F.count("*")).alias("w"))
     sums = raw.agg(F.sum("w").alias("all_w"), F.count("*").alias("all_n"))
     return raw.crossJoin(F.broadcast(sums)).select(ID, (F.col("w") / F.col("all_w") * F.col("all_n")).alias("weight"))
 
 
+def with_weights(sites: DataFrame, weights: DataFrame) -> DataFrame:
+    """sites with the weights of their sequences, which are as many as the input and never broadcast."""
+    return meet(sites, weights, ID)
+
+
 def weighted_counts(sites: DataFrame, weights: DataFrame) -> DataFrame:
-    return sites.join(weights, ID).groupBy(SITE, BASE).agg(F.sum("weight").alias("w"))
+    return with_weights(sites, weights).groupBy(SITE, BASE).agg(F.sum("weight").alias("w"))
 
 
 def consensus(counts: DataFrame, value: str = "n", gaps_win: bool = True) -> DataFrame:

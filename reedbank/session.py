@@ -62,6 +62,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task widens (to sites, k-mers or pieces of text).
+ROWS_A_TASK = 1 << 15
+
+
+def spread(df: DataFrame, rows_each: int = ROWS_A_TASK) -> DataFrame:
+    """df over so many tasks that each has about rows_each rows, for rows that are going to be widened: files that compress well are read by few tasks, however many
+    rows they have.  df is counted, and stays as it is where one task is enough."""
+    parts = -(-df.count() // rows_each)
+    return df.repartition(parts) if parts > 1 else df
+
+
+def meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join whose sides both grow with the input: sorted and merged.  Left to its own estimates Spark may collect and broadcast one, as sizes of small files say
+    nothing of the rows that they are widened to."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint, for rounds that build on each other."""
     checkpoint_dir(df.sparkSession)
