@@ -12,6 +12,7 @@ from reedbank.kernels import hmm, models
 from reedbank.kernels.dirichlet import Prior
 from reedbank.kernels.likelihood import Tree, ancestral_sequences
 from reedbank.operators import kmer, msa, substitution
+from reedbank.session import stored
 from reedbank.sources.database import Database, node_table
 from reedbank.sources.newick import flatten
 from reedbank.sources.newick import Tree as Newick
@@ -23,13 +24,13 @@ def profile_counts(alignment: DataFrame, match_fraction: float = 0.5) -> hmm.Cou
     """Weighted counts of a profile from (id, aln): group-bys over sites; what comes to the driver has a row for each column and state."""
     width = alignment.select(F.max(F.length("aln"))).first()[0]
     sites = msa.long(alignment)
-    weights = msa.sequence_weights(sites)
-    weighted = sites.join(weights, "id")
+    weights = stored(msa.sequence_weights(sites), "sequence_weights")
+    weighted = msa.with_weights(sites, weights)
     share = weighted.groupBy("site").agg((F.sum(F.when(F.col("base") != "-", F.col("weight"))) / F.sum("weight")).alias("symbol_fraction"))
     matches = share.where(F.col("symbol_fraction") >= match_fraction)
     columns = np.array([0, *sorted(r.site for r in matches.collect())])
     k = len(columns) - 1
-    states = msa.states(sites, matches).join(weights, "id")
+    states = msa.with_weights(msa.states(sites, matches), weights)
     em, ei, t = np.zeros((k + 1, 4)), np.zeros((k + 1, 4)), np.zeros((k + 1, 7))
     for r in states.where("state <> 'D'").groupBy("profile", "state", "base").agg(F.sum("weight").alias("w")).collect():
         (em if r.state == "M" else ei)[r.profile, "ACGT".index(r.base)] = r.w
