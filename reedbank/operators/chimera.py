@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reedbank.kernels.models import Model
 from reedbank.operators.contraction import BASES, FOUR
+from reedbank.session import meet
 
 #: Digits that decide between nodes, and fewer between breakpoints, whose scores are sums of two; what agrees in them is equal, and the smaller one stands.
 DIGITS, DIGITS_OF_BOTH = 9, 6
@@ -25,7 +26,7 @@ def site_scores(reads: DataFrame, weights: DataFrame, model: Model, length: floa
     for y in reversed(FOUR):
         seen = sum((F.col(f"w{b}") * float(p[x, y]) for x, b in enumerate("acgt")), F.lit(0.0))
         value = F.when(F.col("base") == BASES[y], F.log(seen)).otherwise(value)
-    return reads.join(weights.withColumnRenamed("id", "node"), ["node", "site"]).select("read", "node", "site", value.alias("loglik"))
+    return meet(reads, weights.withColumnRenamed("id", "node"), ["node", "site"]).select("read", "node", "site", value.alias("loglik"))
 
 
 def scan(scores: DataFrame, least: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ from reedbank.kernels.models import jc69
 from reedbank.operators import chimera, contraction
 from reedbank.plans.fixtures import fx_aln, with_
 from reedbank.plans.registry import query
+from reedbank.session import meet, spread
 
 LENGTH = 0.05
 #: Candidates of read k among the nodes: some near it in the tree, the two that it is made of among them for most reads.
@@ -30,9 +31,9 @@ def chimera_scan(spark, d):
     k = F.col("read")
     of = rows.select((F.col("id") / 2).cast("long").alias("read"), F.col("aln").alias("other"), "id").where("id % 2 = 0")
     at = (8 + k % 17).cast("int")
-    made = rows.select(F.col("id").alias("read"), "aln").join(of.drop("id"), "read").select("read", F.concat(F.substring("aln", F.lit(1), at), F.substring("other", at + 1, F.length("other"))).alias("seq"))
+    made = meet(rows.select(F.col("id").alias("read"), "aln"), of.drop("id"), "read").select("read", F.concat(F.substring("aln", F.lit(1), at), F.substring("other", at + 1, F.length("other"))).alias("seq"))
     near = F.array_distinct(F.array(k, 2 * k, 2 * k + 1, F.floor(k / 2), k + 1))
-    sites = made.select("read", F.explode(near).alias("node"), F.posexplode(F.split("seq", "")).alias("site", "base")).where("base <> ''").withColumn("site", F.col("site") + 1)
+    sites = spread(made).select("read", F.explode(near).alias("node"), F.posexplode(F.split("seq", "")).alias("site", "base")).where("base <> ''").withColumn("site", F.col("site") + 1)
     leaf = contraction.leaf_sites(rows)
     weights = leaf.select("id", "site", *[F.when(F.col("base").isin(*"ACGT"), (F.col("base") == b.upper()).cast("double")).otherwise(0.25).alias(f"w{b}") for b in "acgt"])
     out = chimera.scan(chimera.site_scores(sites, weights, jc69(), LENGTH), 4)
