@@ -7,11 +7,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reedbank.session import meet, spread
+
 
 def index(msa: DataFrame, k: int, seq_id: str = "id", aligned: str = "aln") -> DataFrame:
     """(kmer, id, start, end, cs): every k-mer of every row with its 1-based closed columns and its stretch of the aligned row."""
     sites = F.transform(F.split(F.upper(F.col(aligned)), ""), lambda b, i: F.struct((i + 1).alias("c"), b.alias("b")))
-    rows = msa.select(F.col(seq_id).alias("id"), F.upper(F.col(aligned)).alias("aln"), F.filter(sites, lambda s: s["b"].isin("A", "C", "G", "T")).alias("s"))
+    rows = spread(msa.select(seq_id, aligned)).select(F.col(seq_id).alias("id"), F.upper(F.col(aligned)).alias("aln"), F.filter(sites, lambda s: s["b"].isin("A", "C", "G", "T")).alias("s"))
     at = F.when(F.size("s") >= k, F.sequence(F.lit(1), F.size("s") - (k - 1)))
     kmers = rows.select("id", "aln", "s", F.explode(at).alias("i"))
     word = F.array_join(F.transform(F.slice("s", F.col("i"), F.lit(k)), lambda s: s["b"]), "")
@@ -25,7 +27,7 @@ def counts(kmers: DataFrame) -> DataFrame:
 
 def locate(kmers: DataFrame, patterns: DataFrame) -> DataFrame:
     """All places of each pattern (a column kmer)."""
-    return kmers.join(patterns.select("kmer").distinct(), "kmer")
+    return meet(kmers, patterns.select("kmer").distinct(), "kmer")
 
 
 def rows_with(kmers: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -43,5 +45,5 @@ def seeds(reads: DataFrame, kmers: DataFrame, k: int, region: int, read: str = "
     at = F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.least(F.length(seq), F.lit(region)) - (k - 1)))
     own = reads.select(F.col(read).alias("read"), F.col(seq).alias("seq"), F.explode(at).alias("offset"))
     own = own.select("read", "offset", F.substring("seq", F.col("offset"), F.lit(k)).alias("kmer"))
-    hits = own.join(first(kmers), "kmer")
+    hits = meet(own, first(kmers), "kmer")
     return hits.groupBy("read").agg(F.min(F.struct("offset", "id", "start", "end")).alias("x")).select("read", "x.*")

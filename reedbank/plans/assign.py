@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from reedbank.functions.sequence import reverse_complement
 from reedbank.kernels import hmm
 from reedbank.kernels.likelihood import Placer, Tree, posteriors
-from reedbank.session import cut
+from reedbank.session import cut, meet
 from reedbank.sources.database import Database
 
 ALIGNED = "seq_start int, seq_end int, hmm_start int, hmm_end int, CS_start int, CS_end int, cost double, alignment string"
@@ -108,7 +108,7 @@ def joined_hits(texts: DataFrame, kmers: DataFrame, k: int, region: int) -> Data
     last = F.length("text") - k
     places = F.array_distinct(F.concat(F.sequence(F.lit(0), F.least(F.lit(region - 1), last)), F.sequence(F.greatest(F.lit(0), last - (region - 1)), last)))
     windows = texts.where(F.length("text") >= k).select("text", F.explode(places).alias("at")).withColumn("kmer", F.substring("text", F.col("at") + 1, F.lit(k)))
-    hits = windows.join(first(kmers).select("kmer", "start", "end"), "kmer").select("text", F.struct("at", "start", "end").alias("h"))
+    hits = meet(windows, first(kmers).select("kmer", "start", "end"), "kmer").select("text", F.struct("at", "start", "end").alias("h"))
     front, back = F.col("h.at") < region, F.col("h.at") > F.length("text") - k - region
     return hits.groupBy("text").agg(F.min(F.when(front, F.col("h"))).alias("first"), F.max(F.when(back, F.col("h"))).alias("last"))
 
