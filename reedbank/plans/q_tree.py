@@ -6,6 +6,7 @@ from reedbank.functions import numeric
 from reedbank.operators import substitution, tree
 from reedbank.plans.fixtures import fx_aln, fx_node, fx_seq, table, with_
 from reedbank.plans.registry import query
+from reedbank.session import meet
 
 N = with_("fx_node")
 R = with_("fx_node", recursive=True)
@@ -35,7 +36,7 @@ def newick_flatten(spark, d):
         """Each node's text with those below it (parent, text) in parentheses."""
         kids = below.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("kids"))
         inner = F.concat(F.lit("("), F.array_join(F.transform("kids", lambda k: k["text"]), ", "), F.lit(")"))
-        return own.join(kids, "id", "left").select("id", "parent", F.concat(F.coalesce(inner, F.lit("")), "text").alias("text"))
+        return meet(own, kids, "id", "left").select("id", "parent", F.concat(F.coalesce(inner, F.lit("")), "text").alias("text"))
 
     return parse_table(around(around(own)).select(F.col("id").alias("tree"), F.concat("text", F.lit(";")).alias("text")))
 

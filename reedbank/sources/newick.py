@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reedbank.session import meet, spread
+
 NODE = "id LONG, parent LONG, name STRING, length DOUBLE, is_leaf BOOLEAN"
 _SPECIAL = set(" \t\n()[]':;,")
 
@@ -119,7 +121,7 @@ def parse_table(trees: DataFrame, tree: str = "tree", text: str = "text") -> Dat
     Ids are as flatten gives them: read from the end, the root comes first and a node's last child next.  Empty and null texts have no nodes; parentheses
     that don't match are an error."""
     cut = F.regexp_extract_all(F.concat(F.lit(","), F.trim(F.col(text))), F.lit(_SEGMENT), F.lit(0))
-    rows = trees.where(F.trim(F.col(text)) != "").select(F.col(tree).alias("tree"), F.posexplode(cut).alias("at", "segment"))
+    rows = spread(trees.where(F.trim(F.col(text)) != "")).select(F.col(tree).alias("tree"), F.posexplode(cut).alias("at", "segment"))
     rows = rows.select("tree", "at", F.substring("segment", 1, 1).alias("mark"), F.regexp_replace(F.expr("substring(segment, 2)"), r"\[[^\]]*\]", "").alias("label"))
     whole = W.partitionBy("tree").orderBy("at")
     step = F.when(F.col("mark") == "(", 1).when(F.col("mark") == ")", -1).otherwise(0)
@@ -141,7 +143,7 @@ def parse_table(trees: DataFrame, tree: str = "tree", text: str = "text") -> Dat
     length = F.regexp_extract("label", _LABEL, 2)
     named = nodes.select("tree", "id", name.alias("name"), F.when(length != "", length.cast("double")).alias("length"), (F.col("mark") != ")").alias("is_leaf"))
     named = named.withColumn("name", F.when(F.startswith("name", F.lit("'")), F.replace(F.expr("substring(name, 2, length(name) - 2)"), F.lit("''"), F.lit("'"))).otherwise(F.col("name")))
-    return named.join(parents, ["tree", "id"]).select("tree", "id", "parent", "name", "length", "is_leaf")
+    return meet(named, parents, ["tree", "id"]).select("tree", "id", "parent", "name", "length", "is_leaf")
 
 
 def nodes_of(spark: SparkSession, tree: Tree) -> DataFrame:
