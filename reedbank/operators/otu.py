@@ -9,9 +9,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reedbank.session import plain_unions
+from reedbank.session import plain_unions, stored
 
 OTU, SAMPLE, N = "otu", "sample", "n"
+#: Rows that one task groups into cells.
+CELLS_A_TASK = 1 << 19
 
 
 def count_otus(assignments: DataFrame, otu: str = "taxon_id", keys: Sequence[str] = (SAMPLE,)) -> DataFrame:
@@ -56,8 +58,16 @@ def sample_totals(counts: DataFrame) -> DataFrame:
 
 def totals(counts: DataFrame) -> DataFrame:
     """Totals by (otu, sample), by sample, by otu and over all: null marks what is summed over."""
-    sets = counts.cube(SAMPLE, OTU).agg(F.sum(N).alias("total"))
-    return sets
+    plain_unions(counts.sparkSession)
+    total = F.sum(N).alias("total")
+    # cells are made once, and no row is multiplied before it is grouped
+    cells = stored(counts.groupBy(SAMPLE, OTU).agg(total), "otu_cells")
+    none = lambda c: F.lit(None).cast(counts.schema[c].dataType).alias(c)
+    again = F.sum("total").alias("total")
+    by_sample = cells.groupBy(SAMPLE).agg(again).select(SAMPLE, none(OTU), "total")
+    by_otu = cells.groupBy(OTU).agg(again).select(none(SAMPLE), OTU, "total")
+    over_all = cells.agg(again, F.count("*").alias("rows")).where("rows > 0").select(none(SAMPLE), none(OTU), "total")
+    return cells.select(SAMPLE, OTU, "total").unionByName(by_sample).unionByName(by_otu).unionByName(over_all)
 
 
 def normalise(counts: DataFrame, z: float = 0, method: str = "constant") -> DataFrame:
@@ -107,25 +117,32 @@ def _draw(*parts) -> Column:
 READS_AT_ONCE = 1 << 20
 
 
-def reads(counts: DataFrame) -> DataFrame:
-    """One row for each read, numbered from 1 in its cell."""
+def reads(counts: DataFrame, *more: str) -> DataFrame:
+    """One row for each read, numbered from 1 in its cell, with more columns of the cell."""
     n, piece = F.col(N).cast("long"), F.lit(READS_AT_ONCE)
     # a cell may have more reads than an array has room for
-    starts = counts.where(F.col(N) >= 1).select(OTU, SAMPLE, n.alias("upto"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1, piece.cast("long"))).alias("start"))
-    return starts.select(OTU, SAMPLE, F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + piece, F.col("upto")))).alias("i"))
+    starts = counts.where(F.col(N) >= 1).select(OTU, SAMPLE, *more, n.alias("upto"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1, piece.cast("long"))).alias("start"))
+    return starts.select(OTU, SAMPLE, *more, F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + piece, F.col("upto")))).alias("i"))
 
 
 def subset_uniform(counts: DataFrame, depth: int, seed: int = 0) -> DataFrame:
     """depth reads of each sample without replacement: the ones with the smallest hashes.  Samples with no more reads stay as they are.
 
-    The rank is cut at depth before the shuffle (a window group limit), so a large sample sends depth rows a task."""
+    A sample's hashes are counted in pieces of their range that hold about 4 * depth reads each, which tells in which piece the last read that stays lies; so only reads
+    up to it are ranked, and those beyond are never sorted."""
     plain_unions(counts.sparkSession)
-    sums = sample_totals(counts)
-    large = counts.join(sums.where(F.col("total") > depth).select(SAMPLE), SAMPLE, "left_semi")
-    small = counts.join(sums.where(F.col("total") <= depth).select(SAMPLE), SAMPLE, "left_semi")
-    ranked = reads(large).withColumn("h", _draw(F.lit(seed), SAMPLE, OTU, "i"))
+    cells = stored(counts.select(OTU, SAMPLE, N), "otu_cells")
+    # samples are fewer than cells, and no side is sorted
+    cells = cells.join(sample_totals(cells).hint("shuffle_hash"), SAMPLE)
+    large = cells.where(F.col("total") > depth).withColumn("pieces", F.greatest(F.lit(1), F.floor(F.col("total") / (4 * max(depth, 1)))).cast("long"))
+    small = cells.where(F.col("total") <= depth)
+    drawn = lambda df, *more: reads(df, "pieces", *more).withColumn("h", _draw(F.lit(seed), SAMPLE, OTU, "i")).withColumn("piece", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.col("pieces"), 32))
+    upto = F.sum("times").over(Window.partitionBy(SAMPLE).orderBy("piece").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = drawn(large).groupBy(SAMPLE, "piece").agg(F.count("*").alias("times")).withColumn("before", upto - F.col("times"))
+    last = sizes.where(F.col("before") < depth).groupBy(SAMPLE).agg(F.max("piece").alias("last"))
+    near = drawn(large.join(last.hint("shuffle_hash"), SAMPLE), "last").where(F.col("piece") <= F.col("last"))
     order = Window.partitionBy(SAMPLE).orderBy("h", OTU, "i")
-    kept = ranked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= depth).groupBy(OTU, SAMPLE).agg(F.count("*").alias(N))
+    kept = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= depth).groupBy(OTU, SAMPLE).agg(F.count("*").alias(N))
     return kept.unionByName(small.select(OTU, SAMPLE, F.col(N).cast("long").alias(N)))
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reedbank.operators import otu
+from reedbank.session import spread
+
 HEX = "0123456789abcdef"
 DNA_OF, ALIGNED_OF = "ACGTACGTACGTACGT", "ACGTACGTACGTA--T"
 
@@ -35,7 +38,8 @@ def fx_assign(spark, d):
 
 
 def fx_otu(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("otu"), F.col("l_suppkey").alias("sample")).agg(F.count("*").alias("n"))
+    items = spread(table(spark, d, "lineitem").select("l_partkey", "l_suppkey"), otu.CELLS_A_TASK, "l_partkey", "l_suppkey")
+    return items.groupBy(F.col("l_partkey").alias("otu"), F.col("l_suppkey").alias("sample")).agg(F.count("*").alias("n"))
 
 
 def fx_place(spark, d):

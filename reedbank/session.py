@@ -66,11 +66,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 ROWS_A_TASK = 1 << 15
 
 
-def spread(df: DataFrame, rows_each: int = ROWS_A_TASK) -> DataFrame:
+def spread(df: DataFrame, rows_each: int = ROWS_A_TASK, *keys: str) -> DataFrame:
     """df over so many tasks that each has about rows_each rows, for rows that are going to be widened: files that compress well are read by few tasks, however many
-    rows they have.  df is counted, and stays as it is where one task is enough."""
+    rows they have.  With keys, rows of equal ones stay together.  df is counted, and stays as it is where one task is enough."""
     parts = -(-df.count() // rows_each)
-    return df.repartition(parts) if parts > 1 else df
+    return df.repartition(parts, *keys) if parts > 1 else df
 
 
 def meet(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
