@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reedbank.functions.alphabet import DNA
-from reedbank.kernels.likelihood import distances
 from reedbank.operators.placement import top_candidates
+from reedbank.session import spread, stored
 
-#: Bytes of node sequences that are broadcast at a time; more nodes are as many passes.
-BLOCK_BYTES = 64 << 20
+#: Reads and nodes of a block, and bytes of the node blocks that one task goes through.
+READS_A_BLOCK, NODES_A_BLOCK, BLOCK_BYTES = 512, 1 << 14, 64 << 20
+#: By how much shares of equal bases may be off in single precision; what is nearer than that to the last of the best is counted exactly.
+SLACK = 1e-5
 
 
 def _codes(texts: list[str], width: int) -> np.ndarray:
@@ -21,53 +23,96 @@ def _codes(texts: list[str], width: int) -> np.ndarray:
     return np.maximum(table[np.minimum(raw, 127)], -1).reshape(len(texts), width)
 
 
-def node_blocks(nodes: DataFrame, node: str, seq: str, width: int):
-    """(ids, codes) of blocks of nodes whose size has a bound, whatever the size of the tree."""
-    rows = max(1, BLOCK_BYTES // max(1, width))
-    ids, texts = [], []
-    for r in nodes.select(F.col(node), F.col(seq)).toLocalIterator():
-        ids.append(r[0])
-        texts.append(r[1])
-        if len(ids) == rows:
-            yield np.array(ids), _codes(texts, width)
-            ids, texts = [], []
-    if ids:
-        yield np.array(ids), _codes(texts, width)
+def blocks(rows: DataFrame, width: int, rows_each: int, name: str) -> DataFrame:
+    """(<name>_ids, <name>_codes) of blocks of rows (id, seq): 64-bit ids and codes of width bytes, rows_each to a block."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, texts = [], []
+        made = lambda i, t: pa.RecordBatch.from_arrays([pa.array([np.array(i, np.int64).tobytes()], pa.binary()), pa.array([_codes(t, width).tobytes()], pa.binary())], names=[f"{name}_ids", f"{name}_codes"])
+        for batch in batches:
+            ids, texts = ids + batch.column(0).to_pylist(), texts + batch.column(1).to_pylist()
+            while len(ids) >= rows_each:
+                yield made(ids[:rows_each], texts[:rows_each])
+                ids, texts = ids[rows_each:], texts[rows_each:]
+        if ids:
+            yield made(ids, texts)
+
+    return stored(spread(rows, rows_each).mapInArrow(run, f"{name}_ids binary, {name}_codes binary"), f"blocks_of_{name}s")
+
+
+class Nearest:
+    """The n nearest nodes of a block of reads among blocks of nodes that come one after the other, equal ones by node."""
+
+    def __init__(self, codes: np.ndarray, n: int):
+        self.codes, self.n = codes, n
+        self.row, self.dist, self.node = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        self.least = np.full(len(codes), -np.inf, np.float32)
+        self.hot = self._hot(codes)
+        self.full = bool((codes >= 0).all())
+
+    @staticmethod
+    def _hot(codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([codes == b for b in range(4)], axis=1).astype(np.float32)
+
+    def add(self, ids: np.ndarray, codes: np.ndarray) -> None:
+        some = (codes >= 0).any(axis=1)
+        ids, codes = ids[some], codes[some]
+        if not len(ids) or not self.n:
+            return
+        hot, has = self._hot(codes), (codes >= 0).astype(np.float32)
+        if self.full:
+            share = self.hot @ (hot / has.sum(axis=1, keepdims=True)).T
+        else:
+            both = (self.codes >= 0).astype(np.float32) @ has.T
+            share = np.where(both > 0, (self.hot @ hot.T) / np.maximum(both, 1), -np.inf).astype(np.float32)
+        if len(ids) > self.n and np.isinf(self.least).any():
+            self.least = np.maximum(self.least, np.partition(share, -self.n, axis=1)[:, -self.n] - np.float32(SLACK))
+        row, at = np.nonzero((share >= self.least[:, None]) & (share > -np.inf))
+        if not len(row):
+            return
+        reads, nodes = self.codes[row], codes[at]
+        both = ((reads >= 0) & (nodes >= 0)).sum(axis=1)
+        dist = (both - ((reads == nodes) & (reads >= 0)).sum(axis=1)) / both
+        row, dist, node = np.r_[self.row, row], np.r_[self.dist, dist], np.r_[self.node, ids[at]]
+        order = np.lexsort((node, dist, row))
+        row, dist, node = row[order], dist[order], node[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.n
+        self.row, self.dist, self.node = row[keep], dist[keep], node[keep]
+        last = place[keep] == self.n - 1
+        self.least[self.row[last]] = (1 - self.dist[last] - SLACK).astype(np.float32)
 
 
 def nearest_nodes(reads: DataFrame, nodes: DataFrame, n: int, width: int, read: str = "read", read_seq: str = "seq", node: str = "id", node_seq: str = "seq", max_height: float | None = None) -> DataFrame:
     """(read, node, dist): the n nearest nodes of each read, equal ones by node, unknown distances left out.
 
-    Nodes go to the reads in blocks of bounded size; a read's pairs never leave the task, only its n best of each block do."""
+    Reads and nodes are packed into blocks in tasks, and every block of reads meets every block of nodes in a product of the two tables; a read's pairs never leave the
+    task, only its n best among the nodes of a part do.  Shares of equal bases come from a matrix product; what may be among the best is counted exactly."""
     if max_height is not None:
         nodes = nodes.where(F.col("height") <= max_height)
-    source = reads.select(F.col(read).cast("long").alias("read"), F.col(read_seq).alias("seq"))
-    spark, out, passes = reads.sparkSession, None, 0
-    for ids, codes in node_blocks(nodes, node, node_seq, width):
-        shared = spark.sparkContext.broadcast((ids, codes))
-
-        def run(batches, shared=shared):
-            import pyarrow as pa
-
-            ids, codes = shared.value
-            order = np.argsort(ids)
-            ids, codes = ids[order], codes[order]
-            k = min(n, len(ids))
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for at in range(0, len(texts), 128):
-                    d = distances(_codes(texts[at : at + 128], width), codes)
-                    near = np.argsort(np.where(np.isnan(d), np.inf, d), axis=1, kind="stable")[:, :k]
-                    found = np.take_along_axis(d, near, 1)
-                    ok = ~np.isnan(found)
-                    names = np.repeat(np.array(batch.column(0).slice(at, 128)), ok.sum(1))
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids[near][ok], pa.int64()), pa.array(found[ok])], names=["read", "node", "dist"])
-
-        part = source.mapInArrow(run, "read bigint, node bigint, dist double")
-        out, passes = (part if out is None else out.unionByName(part)), passes + 1
-    if out is None:
-        return spark.createDataFrame([], "read bigint, node bigint, dist double")
-    return out if passes == 1 else top_candidates(out, n).drop("rank")
+    left = blocks(reads.select(F.col(read).cast("long"), F.col(read_seq)), width, READS_A_BLOCK, "read")
+    right = blocks(nodes.select(F.col(node).cast("long"), F.col(node_seq)), width, max(1, min(NODES_A_BLOCK, BLOCK_BYTES // (8 + width))), "node")
+    parts = max(1, right.count() * min(NODES_A_BLOCK * (8 + width), BLOCK_BYTES) // BLOCK_BYTES)
+    pairs = left.repartition(max(1, left.count())).crossJoin(right.repartition(parts).hint("shuffle_replicate_nl"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        best = {}
+        of = lambda x, kind: np.frombuffer(x.as_py(), kind)
+        for batch in batches:
+            for rid, rcode, nid, ncode in zip(*batch.columns, strict=True):
+                key = rid.as_py()
+                if key not in best:
+                    best[key] = Nearest(of(rcode, np.int8).reshape(-1, width), n)
+                best[key].add(of(nid, np.int64), of(ncode, np.int8).reshape(-1, width))
+        for key, x in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key, np.int64)[x.row]), pa.array(x.node), pa.array(x.dist)], names=["read", "node", "dist"])
+
+    out = pairs.mapInArrow(run, "read bigint, node bigint, dist double")
+    return out if parts == 1 else top_candidates(out, n).drop("rank")
 
 
 #: Primers that one pass over the nodes takes.

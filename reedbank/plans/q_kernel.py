@@ -9,6 +9,7 @@ from reedbank.plans import q_msa
 from reedbank.plans.fixtures import fx_aln, fx_node, fx_read, table, with_
 from reedbank.plans.q_otu import _READS, _SITE, _aligned_reads
 from reedbank.plans.registry import query
+from reedbank.session import meet
 
 N, R, A = with_("fx_node"), with_("fx_node", recursive=True), with_("fx_node", "fx_aln")
 _I = "LATERAL (SELECT unnest(range(1, 33))::INT AS i)"
@@ -88,7 +89,7 @@ p AS (SELECT r.read, n.id AS node, len({q_msa._DIST})::DOUBLE / nullif(length(re
 SELECT read, node, round(dist, 9) AS dist FROM p WHERE dist IS NOT NULL QUALIFY row_number() OVER (PARTITION BY read ORDER BY dist, node) <= 5""")
 def seed_height(spark, d):
     """Nearest nodes among those that are no further from a leaf than a limit."""
-    nodes = fx_aln(spark, d).join(tree.heights(fx_node(spark, d)), "id")
+    nodes = meet(fx_aln(spark, d), tree.heights(fx_node(spark, d)), "id")
     return similarity.nearest_nodes(fx_read(spark, d), nodes, 5, 32, node_seq="aln", max_height=0.255).withColumn("dist", F.round("dist", 9))
 
 

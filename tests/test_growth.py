@@ -133,3 +133,30 @@ def test_reads_far_beyond_the_depth_are_not_ranked(spark):
         for _, o, _ in reads:
             want[o, s] = want.get((o, s), 0) + 1
     assert {(r.otu, r.sample): r.n for r in found.collect()} == want
+
+
+def test_nearest_nodes_take_no_node_to_the_driver(spark, monkeypatch):
+    """Ties, gaps in reads and nodes, nodes without a base; blocks of any size give what comparing all pairs gives."""
+    import random
+
+    from pyspark.sql import DataFrame
+
+    from reedbank.operators import similarity
+
+    made = random.Random(5)
+    text = lambda: "".join(made.choice("ACGT-") for _ in range(6))
+    reads, nodes = [(i, text()) for i in range(20)], [(i, text()) for i in range(300)] + [(300, "------"), (301, None)]
+    want = []
+    for r, a in reads:
+        found = []
+        for i, b in nodes:
+            both = [(x, y) for x, y in zip(a, b or "------") if x != "-" and y != "-"]
+            if both:
+                found.append((sum(x != y for x, y in both) / len(both), i))
+        want += [(r, i, x) for x, i in sorted(found)[:4]]
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *_, **__: pytest.fail("rows go to the driver"))
+    tables = spark.createDataFrame(reads, "read long, seq string"), spark.createDataFrame(nodes, "id long, seq string")
+    for size in (1 << 14, 7):
+        monkeypatch.setattr(similarity, "NODES_A_BLOCK", size)
+        monkeypatch.setattr(similarity, "READS_A_BLOCK", size)
+        assert sorted(map(tuple, similarity.nearest_nodes(*tables, 4, 6).collect())) == sorted(want)
