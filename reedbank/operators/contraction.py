@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reedbank.kernels.models import Model
-from reedbank.session import stored
+from reedbank.session import meet, spread, stored
 
 BASES = "ACGT"
 FOUR = range(4)
@@ -94,7 +94,7 @@ def _exps(df: DataFrame) -> DataFrame:
 
 def leaf_sites(aligned: DataFrame, seq_id: str = "id", seq: str = "aln") -> DataFrame:
     """(id, site, base): the letters of aligned rows, one a row."""
-    return aligned.select(F.col(seq_id).alias("id"), F.posexplode(F.split(F.upper(F.col(seq)), "")).alias("site", "base")).where("base <> ''").withColumn("site", F.col("site") + 1)
+    return spread(aligned.select(seq_id, seq)).select(F.col(seq_id).alias("id"), F.posexplode(F.split(F.upper(F.col(seq)), "")).alias("site", "base")).where("base <> ''").withColumn("site", F.col("site") + 1)
 
 
 ROW = ("id", "site", "parent", "length", "k", "rest", "g", "gs", "a", "sa", "to", "l", "ls", "done")
@@ -103,14 +103,14 @@ ROW = ("id", "site", "parent", "length", "k", "rest", "g", "gs", "a", "sa", "to"
 def _start(nodes: DataFrame, sites: DataFrame, n_sites: int, model: Model, n_rates: int) -> DataFrame:
     """Leaves with their states; inner nodes that wait for k children, whose ids sum up to rest."""
     waits = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").cast("int").alias("k"), F.sum("id").alias("rest"))
-    cells = nodes.select("id", "parent", F.coalesce(F.col("length").cast("double"), F.lit(0.0)).alias("length")).join(waits, "id", "left")
+    cells = spread(meet(nodes.select("id", "parent", F.coalesce(F.col("length").cast("double"), F.lit(0.0)).alias("length")), waits, "id", "left"))
     cells = cells.withColumn("site", F.explode(F.sequence(F.lit(1), F.lit(n_sites))))
     none, zeros = F.lit(None).cast("array<double>"), F.array(*[F.lit(0.0)] * (4 * n_rates))
     inner = cells.where("k is not null").select(
         "id", "site", "parent", "length", "k", "rest", zeros.alias("g"), F.lit(0.0).alias("gs"), none.alias("a"), F.lit(0.0).alias("sa"), F.when(F.col("k") == 1, F.col("rest")).alias("to"), none.alias("l"), F.lit(0.0).alias("ls"), F.lit(None).cast("int").alias("done")
     )
     state = F.array(*[F.when(F.col("base").isin(*BASES), (F.col("base") == b).cast("double")).otherwise(F.lit(float(p))) for b, p in zip(BASES, model.pi, strict=True)])
-    at = cells.where("k is null").join(sites.select("id", "site", "base"), ["id", "site"], "left").withColumn("base", F.coalesce("base", F.lit("-")))
+    at = meet(cells.where("k is null"), sites.select("id", "site", "base"), ["id", "site"], "left").withColumn("base", F.coalesce("base", F.lit("-")))
     leaves = at.select(
         "id", "site", "parent", "length", F.lit(0).alias("k"), F.lit(None).cast("long").alias("rest"), zeros.alias("g"), F.lit(0.0).alias("gs"), none.alias("a"), F.lit(0.0).alias("sa"), F.lit(None).cast("long").alias("to"), state.alias("l"), F.lit(0.0).alias("ls"), F.lit(0).alias("done")
     )
@@ -124,7 +124,7 @@ def _rake(now: DataFrame, rows: DataFrame, step: int, by: Branches) -> DataFrame
     logs = [f"coalesce(ln({v}), double('-Infinity')) AS m{i}" for i, v in enumerate(by.through("e", "t"))]
     sent = fresh.selectExpr("parent AS id", "site", "id AS child", "ls", *logs)
     sent = sent.groupBy("id", "site").agg(F.count("*").cast("int").alias("came"), F.sum("child").alias("gone"), F.sum("ls").alias("more"), *[F.sum(f"m{i}").alias(f"m{i}") for i in range(size)])
-    out = rows.join(sent, ["id", "site"], "left")
+    out = meet(rows, sent, ["id", "site"], "left")
     some = F.col("came").isNotNull()
     left = F.col("k") - F.coalesce("came", F.lit(0))
     out = out.withColumns({
@@ -139,7 +139,7 @@ def _rake(now: DataFrame, rows: DataFrame, step: int, by: Branches) -> DataFrame
 def _compress(seen: DataFrame, rows: DataFrame, step: int, by: Branches) -> DataFrame:
     """rows (waiting for one child) by the function of the node in seen that they point at: known, if that is; pointing farther, if that waits for one child as well."""
     of = seen.select(F.col("id").alias("to"), "site", F.col("length").alias("len2"), F.col("a").alias("a2"), F.col("sa").alias("sa2"), F.col("to").alias("to2"), F.col("l").alias("l2"), F.col("ls").alias("ls2"))
-    out = _exps(rows.join(of, ["to", "site"]).withColumn("e", by.decays("len2")))
+    out = _exps(meet(rows, of, ["to", "site"]).withColumn("e", by.decays("len2")))
     own = F.col("a").isNotNull()
     out = out.withColumn("f", F.when(own, F.col("a")).otherwise(_array(by.function("e", "d")))).withColumn("sf", F.when(own, F.col("sa")).otherwise(F.col("gs") + F.col("top")))
     out = _scaled(out, "made", _apply("f", "l2"), "made_s", F.col("sf") + F.col("ls2"))
@@ -197,12 +197,12 @@ def messages_down(up: DataFrame, model: Model, rates=None) -> DataFrame:
     own = own.select("id", "site", "parent", "ls", _array(by.through("e", "t")).alias("m"))
     finite, zero = (lambda i: f"coalesce(ln(m[{i}]), 0.0D)"), (lambda i: f"int(m[{i}] <= 0)")
     sums = own.groupBy("parent", "site").agg(F.sum("ls").alias("all_s"), *[F.expr(f"sum({of(i)}) AS {name}{i}") for i in range(size) for name, of in (("f", finite), ("z", zero))])
-    rest = own.join(sums, ["parent", "site"])
+    rest = meet(own, sums, ["parent", "site"])
     # without a node's own message; zeros are counted, as they can't be divided out
     rest = rest.withColumn("g", _array([f"if(z{i} > {zero(i)}, double('-Infinity'), f{i} - {finite(i)})" for i in range(size)]))
     rest = _exps(rest)
     above = up.select(F.col("id").alias("parent"), "site", F.col("parent").alias("next"), F.col("length").alias("up_length"))
-    rest = rest.join(above, ["parent", "site"]).withColumn("e", by.decays("up_length")).withColumn("s", F.col("all_s") - F.col("ls") + F.col("top"))
+    rest = meet(rest, above, ["parent", "site"]).withColumn("e", by.decays("up_length")).withColumn("s", F.col("all_s") - F.col("ls") + F.col("top"))
     top = _scaled(rest.where("next is null"), "made", by.mean([f"d[{i}]" for i in range(size)]), "made_s", F.col("s"))
     inner = _scaled(rest.where("next is not null"), "b", by.function("e", "d"), "bs", F.col("s"))
     none, zero_, nowhere = F.lit(None).cast("array<double>"), F.lit(0.0), F.lit(None).cast("long")
@@ -214,7 +214,7 @@ def messages_down(up: DataFrame, model: Model, rates=None) -> DataFrame:
     while now.where("done is null").take(1):
         step += 1
         of = _union([now.where("done is null"), *known]).select(F.col("id").alias("to"), "site", F.col("b").alias("b2"), F.col("bs").alias("bs2"), F.col("d").alias("d2"), F.col("ds").alias("ds2"), F.col("to").alias("to2"))
-        out = now.where("done is null").join(of, ["to", "site"])
+        out = meet(now.where("done is null"), of, ["to", "site"])
         out = _scaled(out, "made", _apply("b", "d2"), "made_s", F.col("bs") + F.col("ds2"))
         out = _scaled(out, "joined", _product("b", "b2"), "joined_s", F.col("bs") + F.col("bs2"))
         there = F.col("d2").isNotNull()
@@ -230,7 +230,7 @@ def messages_down(up: DataFrame, model: Model, rates=None) -> DataFrame:
 def state_weights(up: DataFrame, down: DataFrame, model: Model, rates=None) -> DataFrame:
     """(id, site, wa, wc, wg, wt): how likely each base is at each node and site, given all leaves of its tree."""
     by = Branches(model, rates)
-    both = up.where("parent is not null").join(down, ["id", "site"]).withColumn("e", by.decays("length")).withColumn("t", by.turned("d")).withColumn("o", _array(by.mean(by.through("e", "t"))))
+    both = meet(up.where("parent is not null"), down, ["id", "site"]).withColumn("e", by.decays("length")).withColumn("t", by.turned("d")).withColumn("o", _array(by.mean(by.through("e", "t"))))
     inner = both.selectExpr("id", "site", *[f"l[{x}] * o[{x}] AS p{x}" for x in FOUR])
     rows = inner.unionByName(up.where("parent is null").selectExpr("id", "site", *[f"l[{x}] AS p{x}" for x in FOUR]))
     total = F.expr("p0 + p1 + p2 + p3")

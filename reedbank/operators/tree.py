@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reedbank.functions.taxon import is_canonical_list, is_full_path
-from reedbank.session import cut
+from reedbank.session import cut, meet
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -14,11 +14,11 @@ def children(nodes: DataFrame) -> DataFrame:
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
-    return nodes.join(children(nodes).select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
+    return meet(nodes, children(nodes).select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
 
 
 def internal(nodes: DataFrame) -> DataFrame:
-    return nodes.join(children(nodes).select(F.col("parent").alias("id")).distinct(), "id", "left_semi")
+    return meet(nodes, children(nodes).select(F.col("parent").alias("id")).distinct(), "id", "left_semi")
 
 
 def tips(nodes: DataFrame) -> DataFrame:
@@ -59,14 +59,14 @@ def _jumps(nodes: DataFrame) -> DataFrame:
 def _doubled(jumps: DataFrame) -> DataFrame:
     """Jumps over twice as many levels; empty once they are as many as the tree has."""
     next_ = jumps.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("distance").alias("more"))
-    return cut(jumps.join(next_, "up").select("id", F.col("top").alias("up"), (F.col("distance") + F.col("more")).alias("distance")))
+    return cut(meet(jumps, next_, "up").select("id", F.col("top").alias("up"), (F.col("distance") + F.col("more")).alias("distance")))
 
 
 def levels_up(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     """(id, depth) of the starts and all their ancestors: how many levels the nearest start is below.  Rounds are as many as the depth has binary digits."""
     have, jumps, step = cut(starts.select("id").distinct().withColumn("depth", F.lit(0))), _jumps(nodes), 1
     while jumps.take(1):
-        moved = have.join(jumps, "id").select(F.col("up").alias("id"), (F.col("depth") + step).alias("depth"))
+        moved = meet(have, jumps, "id").select(F.col("up").alias("id"), (F.col("depth") + step).alias("depth"))
         have = cut(have.unionByName(moved).groupBy("id").agg(F.min("depth").alias("depth")))
         jumps, step = _doubled(jumps), 2 * step
     return have
@@ -96,7 +96,7 @@ def _below(nodes: DataFrame, start: DataFrame, raised: dict, merged: dict) -> Da
     have = cut(unite(start))
     jumps = _jumps(nodes)
     while jumps.take(1):
-        moved = have.join(jumps, "id").select(F.col("up").alias("id"), *[raised.get(c, F.col)(c).alias(c) for c in values])
+        moved = meet(have, jumps, "id").select(F.col("up").alias("id"), *[raised.get(c, F.col)(c).alias(c) for c in values])
         have = cut(unite(have.unionByName(moved)))
         jumps = _doubled(jumps)
     return have
@@ -120,7 +120,7 @@ def _nearest_up(nodes: DataFrame, stop: Column, own: Column | None = None) -> Da
     while True:
         ahead = here.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("distance").alias("more"), F.col("names").alias("above"), F.col("done").alias("there"))
         # pointers at roots that are no stops lead nowhere
-        step = here.join(ahead, "to").select(
+        step = meet(here, ahead, "to").select(
             "id",
             F.when(F.col("done"), F.col("to")).otherwise(F.col("next")).alias("to"),
             F.when(F.col("done"), F.col("distance")).otherwise(F.col("distance") + F.col("more")).alias("distance"),
@@ -148,7 +148,7 @@ def annotate_by_path(nodes: DataFrame, root_name: str = "") -> DataFrame:
     ways = _nearest_up(nodes, F.coalesce(full, F.lit(False)) | root, F.when(part, F.col("name")))
     top = nodes.select(F.col("id").alias("to"), F.when(full, F.array("name")).otherwise(F.expr("cast(array() as array<string>)")).alias("last"))
     path = F.concat("last", "names")
-    return ways.join(top, "to").select("id", F.when(F.size(path) > 0, F.array_join(path, ";")).otherwise(F.lit(root_name)).alias("anno"), F.col("distance").alias("anno_dist"))
+    return meet(ways, top, "to").select("id", F.when(F.size(path) > 0, F.array_join(path, ";")).otherwise(F.lit(root_name)).alias("anno"), F.col("distance").alias("anno_dist"))
 
 
 def reroot(nodes: DataFrame, new_root: int) -> DataFrame:

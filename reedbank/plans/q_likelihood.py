@@ -6,6 +6,7 @@ from reedbank.kernels.models import jc69
 from reedbank.operators import contraction, tree
 from reedbank.plans.fixtures import fx_aln, fx_node, with_
 from reedbank.plans.registry import query
+from reedbank.session import meet
 
 #: Levels of the tree that the SQL is unrolled to; at scale factor 0.1 it has 15.
 LEVELS = 18
@@ -49,7 +50,7 @@ _BEST = f"greatest({', '.join(_W)})"
 def _tables(spark, d):
     nodes = fx_node(spark, d).select("id", "parent", "length")
     leaves = tree.leaves(nodes).select("id")
-    return nodes, contraction.leaf_sites(fx_aln(spark, d).join(leaves, "id", "left_semi"))
+    return nodes, contraction.leaf_sites(meet(fx_aln(spark, d), leaves, "id", "left_semi"))
 
 
 @query(f"{_UP}\nSELECT site, round(ln((l0 + l1 + l2 + l3) / 4) + ls, 6) AS loglik FROM u0")
