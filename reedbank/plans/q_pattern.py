@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from reedbank.operators import suffix
 from reedbank.plans.fixtures import fx_aln, with_
 from reedbank.plans.registry import query
+from reedbank.session import stored
 
 #: Narrower than the longest patterns, so that both ways of a search are taken.
 WIDTH = 12
@@ -22,6 +23,11 @@ k AS (SELECT DISTINCT length(pattern)::INT AS n FROM p),
 f AS (SELECT pattern, id, "offset", cs["offset"]::INT AS "start", cs["offset" + n - 1]::INT AS "end" FROM o, k JOIN p ON length(pattern) = n WHERE substr(seq, "offset", n) = pattern)"""
 
 
+def _rows(spark, d):
+    """Each row's bases, made once: a search reads them as places, as patterns and to check long patterns."""
+    return stored(suffix.ungapped(fx_aln(spark, d)), "bases")
+
+
 def _found(spark, d):
     rows = suffix.ungapped(fx_aln(spark, d))
     return rows, suffix.locate(suffix.order(rows, WIDTH), _patterns(rows), rows, WIDTH)
@@ -50,4 +56,5 @@ def pattern_first(spark, d):
 @query(f"{_BASE} SELECT pattern, count(DISTINCT id) AS n_rows FROM f GROUP BY pattern")
 def pattern_rows(spark, d):
     """How many rows have each pattern."""
-    return suffix.rows_with(_found(spark, d)[1])
+    rows = _rows(spark, d)
+    return suffix.count_rows(rows, _patterns(rows), WIDTH)
