@@ -50,7 +50,8 @@ def pattern_locate(spark, d):
 @query(f'{_BASE} SELECT pattern, id, "offset" FROM f QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY id, "offset") = 1')
 def pattern_first(spark, d):
     """The first place of each pattern."""
-    return suffix.first(_found(spark, d)[1])
+    rows = _rows(spark, d)
+    return suffix.locate_first(suffix.places(rows, WIDTH), _patterns(rows), rows, WIDTH)
 
 
 @query(f"{_BASE} SELECT pattern, count(DISTINCT id) AS n_rows FROM f GROUP BY pattern")
