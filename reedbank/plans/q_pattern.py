@@ -43,8 +43,8 @@ def pattern_count(spark, d):
 @query(f'{_BASE} SELECT pattern, id, "start", "end" FROM f')
 def pattern_locate(spark, d):
     """All places of each pattern, as columns of the alignment."""
-    rows, places = _found(spark, d)
-    return suffix.columns_of(places, rows)
+    rows = _rows(spark, d)
+    return suffix.locate_columns(suffix.places(rows, WIDTH), _patterns(rows), rows, WIDTH)
 
 
 @query(f'{_BASE} SELECT pattern, id, "offset" FROM f QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY id, "offset") = 1')
