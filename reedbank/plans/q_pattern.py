@@ -28,16 +28,11 @@ def _rows(spark, d):
     return stored(suffix.ungapped(fx_aln(spark, d)), "bases")
 
 
-def _found(spark, d):
-    rows = suffix.ungapped(fx_aln(spark, d))
-    return rows, suffix.locate(suffix.order(rows, WIDTH), _patterns(rows), rows, WIDTH)
-
-
 @query(f"{_BASE} SELECT pattern, count(*) AS n FROM f GROUP BY pattern")
 def pattern_count(spark, d):
     """How often each pattern stands in the bases of all rows."""
-    rows = suffix.ungapped(fx_aln(spark, d))
-    return suffix.count(suffix.order(rows, WIDTH), _patterns(rows), rows, WIDTH)
+    rows = _rows(spark, d)
+    return suffix.count(suffix.places(rows, WIDTH), _patterns(rows), rows, WIDTH)
 
 
 @query(f'{_BASE} SELECT pattern, id, "start", "end" FROM f')
