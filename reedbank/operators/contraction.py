@@ -7,16 +7,23 @@ the number of nodes has binary digits, however deep the tree is.  Every round is
 
 From the root downwards all functions are linear and known at once, so pointers double there alone.
 
+Most nodes lie in small subtrees, and need no rounds: subtrees whose cells fit a task are taken as a whole, up once and, when the rest of the tree is known, down
+once; only letters and messages at their tops are shuffled.  What is left above is a smaller tree, whose leaves have messages for letters, and is treated in the same way.
+Trees of which too little would go (long chains) are contracted.
+
 Messages are as in kernels.likelihood: a leaf's gap has the base frequencies, with several rates a node's message is the mean over rates.  Values are scaled to a
 largest entry of 1, with the logarithm of the scale beside them.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reedbank.kernels.forest import Forest, letter_messages
 from reedbank.kernels.models import Model
+from reedbank.operators import tree
 from reedbank.session import meet, spread, stored
 
 BASES = "ACGT"
@@ -109,10 +116,15 @@ def _start(nodes: DataFrame, sites: DataFrame, n_sites: int, model: Model, n_rat
     inner = cells.where("k is not null").select(
         "id", "site", "parent", "length", "k", "rest", zeros.alias("g"), F.lit(0.0).alias("gs"), none.alias("a"), F.lit(0.0).alias("sa"), F.when(F.col("k") == 1, F.col("rest")).alias("to"), none.alias("l"), F.lit(0.0).alias("ls"), F.lit(None).cast("int").alias("done")
     )
-    state = F.array(*[F.when(F.col("base").isin(*BASES), (F.col("base") == b).cast("double")).otherwise(F.lit(float(p))) for b, p in zip(BASES, model.pi, strict=True)])
-    at = meet(cells.where("k is null"), sites.select("id", "site", "base"), ["id", "site"], "left").withColumn("base", F.coalesce("base", F.lit("-")))
+    if "base" in sites.columns:
+        own = F.coalesce("base", F.lit("-"))
+        state, scale = F.array(*[F.when(own.isin(*BASES), (own == b).cast("double")).otherwise(F.lit(float(p))) for b, p in zip(BASES, model.pi, strict=True)]), F.lit(0.0)
+    else:
+        sites = sites.select("id", "site", F.col("l").alias("own"), F.col("ls").alias("own_s"))
+        state, scale = F.col("own"), F.col("own_s")
+    at = meet(cells.where("k is null"), sites, ["id", "site"], "left")
     leaves = at.select(
-        "id", "site", "parent", "length", F.lit(0).alias("k"), F.lit(None).cast("long").alias("rest"), zeros.alias("g"), F.lit(0.0).alias("gs"), none.alias("a"), F.lit(0.0).alias("sa"), F.lit(None).cast("long").alias("to"), state.alias("l"), F.lit(0.0).alias("ls"), F.lit(0).alias("done")
+        "id", "site", "parent", "length", F.lit(0).alias("k"), F.lit(None).cast("long").alias("rest"), zeros.alias("g"), F.lit(0.0).alias("gs"), none.alias("a"), F.lit(0.0).alias("sa"), F.lit(None).cast("long").alias("to"), state.alias("l"), scale.alias("ls"), F.lit(0).alias("done")
     )
     return leaves.unionByName(inner).select(*ROW)
 
@@ -154,7 +166,7 @@ def _compress(seen: DataFrame, rows: DataFrame, step: int, by: Branches) -> Data
 def messages_up(nodes: DataFrame, sites: DataFrame, model: Model, rates=None) -> DataFrame:
     """(id, site, parent, length, l, ls): the likelihood of all leaves below each node by its state, l times exp(ls).
 
-    nodes (id, parent, length), of any number of trees; sites (id, site from 1, base) of leaves, missing ones are gaps."""
+    nodes (id, parent, length), of any number of trees; sites (id, site from 1, base) of leaves, missing ones are gaps; or (id, site, l, ls) of all leaves."""
     by = Branches(model, rates)
     n_sites = sites.agg(F.coalesce(F.max("site"), F.lit(0))).first()[0]
     if not n_sites:
@@ -252,8 +264,201 @@ def letters(states: DataFrame) -> DataFrame:
     return states.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("site", "base"))), lambda x: x["base"]), "").alias("seq"))
 
 
-def weights_of(nodes: DataFrame, sites: DataFrame, model: Model, rates=None) -> DataFrame:
-    """State weights of all nodes, in one pass up and one down."""
-    up = stored(messages_up(nodes, sites, model, rates), "tree_messages")
-    return state_weights(up, messages_down(up, model, rates), model, rates)
+#: Sites that are taken together; cells (nodes at sites) of the largest subtree that is taken as a whole, of a forest in memory, and of a task.
+SITES_A_BLOCK, CELLS_A_SUBTREE, CELLS_A_FOREST, CELLS_A_TASK = 64, 1 << 17, 1 << 18, 1 << 19
+
+
+def side_by_side(sites: DataFrame) -> DataFrame:
+    """(id, seq): the letters (id, site, base) of leaves in a row, missing ones as gaps."""
+    listed = sites.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("site", F.coalesce("base", F.lit("-")).alias("base")))).alias("listed"))
+    before = lambda i: F.coalesce(F.get("listed", i - 1)["site"], F.lit(0))
+    return listed.select("id", F.array_join(F.transform("listed", lambda x, i: F.concat(F.repeat(F.lit("-"), x["site"] - before(i) - 1), x["base"])), "").alias("seq"))
+
+
+class Subtrees:
+    """A tree in levels: rows of subtrees that tasks take as a whole, with what leaves say at their tops; then of the tree above those; and so on.
+
+    leaves: (id, site from 1, base), or (id, seq) with all letters in a row."""
+
+    def __init__(self, nodes: DataFrame, leaves: DataFrame, model: Model, rates=None):
+        self.model, self.rates, self.kind = model, rates, nodes.schema["id"].dataType
+        self.letters = leaves if "seq" in leaves.columns else side_by_side(leaves)
+        self.sites = self.letters.agg(F.coalesce(F.max(F.length("seq")), F.lit(0))).first()[0]
+        if not self.sites:
+            raise ValueError("no leaf has a site")
+        self.width = min(SITES_A_BLOCK, self.sites)
+        self.blocks = -(-self.sites // self.width)
+        most = max(1, CELLS_A_SUBTREE // self.width)
+        nodes = nodes.select(F.col("id").cast("long").alias("id"), F.col("parent").cast("long").alias("parent"), F.coalesce(F.col("length").cast("double"), F.lit(0.0)).alias("length"))
+        start = F.col("block") * self.width + 1
+        own = self.letters.select(F.col("id").cast("long").alias("id"), "seq", self._each_block()).select("id", "block", F.substring("seq", start, F.lit(self.width)).alias("seq"), *[F.lit(None).cast("array<double>").alias(c) for c in ("l", "ls")])
+        #: Rows and number of tasks of each level, the tops' messages of each, and what is left to be contracted: a tree, with messages of its leaves on all levels but the first.
+        self.levels, self.tops, self.rest = [], [], None
+        while True:
+            n = nodes.count()
+            tasks = max(1, -(-n * self.sites // CELLS_A_TASK))
+            if n <= most:
+                self._add(nodes.withColumn("top", F.lit(0).cast("long")), own, tasks)
+                return
+            of = stored(tree.subtrees(nodes, most), "subtrees")
+            above = of.where("top is null or top = id").select("id", "parent", "length")
+            if 2 * above.count() > n:
+                self.rest = nodes, own
+                return
+            self._add(of.where("top is not null"), own, tasks)
+            nodes, own = above, self.tops[-1].select("id", "block", F.lit(None).cast("string").alias("seq"), "l", "ls")
+
+    def _each_block(self) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("block")
+
+    def _add(self, nodes: DataFrame, own: DataFrame, tasks: int) -> None:
+        rows = stored(meet(nodes.select("*", self._each_block()), own, ["id", "block"], "left"), "tree_rows")
+        self.levels.append((rows, tasks))
+        self.tops.append(stored(self._run(rows, tasks, "up"), "tree_tops"))
+
+    def _run(self, rows: DataFrame, tasks: int, what: str) -> DataFrame:
+        """Forests of whole subtrees, one after the other.  up: (id, block, parent, l, ls) of the tops; down: (id, block, inner, d, w) of the nodes, w having all weights of a block; long: their weights by
+        site.  Nodes whose tops have neither d nor a place at a root are left out."""
+        model, rates, width, sites = self.model, self.rates, self.width, self.sites
+
+        def run(batches):
+            import pyarrow as pa
+
+            for table in _whole(batches, max(1, CELLS_A_FOREST // width)):
+                column = {name: table.column(name).combine_chunks() for name in table.column_names}
+                ids, block, length = (column[c].to_numpy(zero_copy_only=False) for c in ("id", "block", "length"))
+                root = column["parent"].is_null().to_numpy(zero_copy_only=False)
+                forest = Forest(_places(ids, block, column["parent"].fill_null(0).to_numpy(zero_copy_only=False), ~root), length, model, rates)
+                l, ls = letter_messages(column["seq"].to_pylist(), width, model), np.zeros((len(ids), width))  # noqa: E741
+                given = column["l"].is_valid().to_numpy(zero_copy_only=False)
+                l[given], ls[given] = column["l"].flatten().to_numpy().reshape(-1, width, 4), column["ls"].flatten().to_numpy().reshape(-1, width)
+                l, ls = forest.up(l, ls)  # noqa: E741
+                n, order = forest.bounds[1], forest.order
+                if what == "up":
+                    at = order[:n]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(block[at]), column["parent"].take(pa.array(at)), _lists(l[:n]), _lists(ls[:n])], names=["id", "block", "parent", "l", "ls"])
+                    continue
+                d, known = np.ones((len(ids), width, 4)), column["d"].is_valid().to_numpy(zero_copy_only=False)
+                d[known] = column["d"].flatten().to_numpy().reshape(-1, width, 4)
+                d, weights, known = forest.down(l, d, root, known | root)
+                ids, block, root = ids[order], block[order], root[order]
+                if what == "down":
+                    inner = np.isin(np.arange(len(ids)), forest.parent)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[known]), pa.array(block[known]), pa.array(inner[known]), _lists(d[known], root[known]), _lists(weights[known])], names=["id", "block", "inner", "d", "w"])
+                    continue
+                site = block[:, None] * width + np.arange(width) + 1
+                some = known[:, None] & (site <= sites)
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], site.shape)[some]), pa.array(site[some].astype(np.int32)), *[pa.array(weights[..., x][some]) for x in FOUR]], names=["id", "site", "wa", "wc", "wg", "wt"])
+
+        of = {
+            "up": "id long, block int, parent long, l array<double>, ls array<double>",
+            "down": "id long, block int, inner boolean, d array<double>, w array<double>",
+            "long": "id long, site int, wa double, wc double, wg double, wt double",
+        }
+        return rows.repartition(tasks, "top", "block").sortWithinPartitions("top", "block").mapInArrow(run, of[what])
+
+    def _by_site(self, rows: DataFrame) -> DataFrame:
+        """rows of blocks with at, the place of each site that there is, and site."""
+        site = F.col("block") * self.width + F.col("at") + 1
+        return rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(self.width - 1)))).withColumn("site", site).where(F.col("site") <= self.sites)
+
+    def _contracted(self) -> DataFrame:
+        """Messages of the tree that is left."""
+        nodes, own = self.rest
+        if self.levels:
+            sites = self._by_site(own).selectExpr("id", "site", "slice(l, 4 * at + 1, 4) AS l", "ls[at] AS ls")
+        else:
+            sites = leaf_sites(self.letters, seq="seq")
+        return messages_up(nodes, sites, self.model, self.rates)
+
+    def at_roots(self) -> DataFrame:
+        """(id, site, parent, l, ls) of the roots."""
+        if self.rest:
+            return self._contracted().where("parent is null").select("id", "site", "parent", "l", "ls")
+        return self._by_site(self.tops[-1].where("parent is null")).selectExpr("id", "site", "parent", "slice(l, 4 * at + 1, 4) AS l", "ls[at] AS ls")
+
+    def weights(self) -> DataFrame:
+        """(id, site, wa, wc, wg, wt) of all nodes."""
+        out, beyond, levels = [], None, list(self.levels)
+        if self.rest:
+            up = stored(self._contracted(), "tree_messages")
+            down = messages_down(up, self.model, self.rates)
+            weights = state_weights(up, down, self.model, self.rates)
+            if levels:
+                tops = self.tops[-1].select("id").distinct()
+                out.append(meet(weights, tops, "id", "left_anti"))
+                beyond = self._in_blocks(meet(down, tops, "id", "left_semi"))
+            else:
+                out.append(weights)
+        while levels:
+            rows, tasks = levels.pop()
+            rows = rows.withColumn("d", F.lit(None).cast("array<double>")) if beyond is None else meet(rows, beyond, ["id", "block"], "left")
+            if not levels:
+                out.append(self._run(rows, tasks, "long"))
+                break
+            made = stored(self._run(rows, tasks, "down"), "tree_beyond")
+            out.append(self._by_site(made.where("inner")).selectExpr("id", "site", *[f"w[4 * at + {x}] AS w{b}" for x, b in enumerate("acgt")]))
+            beyond = made.where("not inner").select("id", "block", "d")
+        return _union(out).withColumn("id", F.col("id").cast(self.kind))
+
+    def _in_blocks(self, down: DataFrame) -> DataFrame:
+        """(id, block, d) of (id, site, d)."""
+        block = F.floor((F.col("site") - 1) / self.width).cast("int")
+        rows = down.groupBy("id", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("site", "d"))).alias("x"))
+        d = F.flatten(F.transform("x", lambda x: x["d"]))
+        return rows.select("id", "block", F.concat(d, F.array_repeat(F.lit(1.0), F.lit(4 * self.width) - F.size(d))).alias("d"))
+
+
+def _whole(batches, most: int):
+    """Tables of about so many rows or more, that end where a block of sites of a subtree does."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < most:
+            continue
+        table = pa.Table.from_batches(held)
+        top, block = (table.column(c).to_numpy() for c in ("top", "block"))
+        begin = np.flatnonzero((top[1:] != top[:-1]) | (block[1:] != block[:-1])) + 1
+        if not len(begin):
+            continue
+        # pieces of about that size, each ending before the first row of a subtree
+        ends = np.unique(begin[np.minimum(np.searchsorted(begin, np.arange(most, n + most, most)), len(begin) - 1)])
+        for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True):
+            yield table.slice(a, b - a)
+        held, n = table.slice(ends[-1]).to_batches(), n - int(ends[-1])
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _places(ids: np.ndarray, block: np.ndarray, parent: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """Where the row of each row's parent for the same block is, -1 where there is none."""
+    order = np.lexsort((ids, block))
+    begin = np.searchsorted(block[order], block, "left")
+    end = np.searchsorted(block[order], block, "right")
+    out = np.full(len(ids), -1)
+    for b in np.unique(block):
+        of = np.flatnonzero(block == b)
+        mine = order[begin[of[0]] : end[of[0]]]
+        at = np.minimum(np.searchsorted(ids[mine], parent[of]), len(mine) - 1)
+        out[of] = np.where(has[of] & (ids[mine][at] == parent[of]), mine[at], -1)
+    return out
+
+
+def _lists(values: np.ndarray, none: np.ndarray | None = None):
+    import pyarrow as pa
+
+    each = int(np.prod(values.shape[1:]))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * each, pa.int32()), pa.array(values.reshape(-1)), mask=None if none is None else pa.array(none))
+
+
+def root_messages(nodes: DataFrame, leaves: DataFrame, model: Model, rates=None) -> DataFrame:
+    """(id, site, parent, l, ls) of the roots, as messages_up has them; leaves as for weights_of."""
+    return Subtrees(nodes, leaves, model, rates).at_roots()
+
 
+def weights_of(nodes: DataFrame, leaves: DataFrame, model: Model, rates=None) -> DataFrame:
+    """State weights of all nodes, in one pass up and one down; leaves: (id, site from 1, base), or (id, seq) with all letters in a row."""
+    return Subtrees(nodes, leaves, model, rates).weights()

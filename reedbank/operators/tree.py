@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reedbank.functions.taxon import is_canonical_list, is_full_path
-from reedbank.session import cut, meet
+from reedbank.session import cut, meet, stored
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -179,3 +179,27 @@ def random_leaf(nodes: DataFrame, seed: int = 0) -> DataFrame:
     """(id, leaf): a leaf under each node, the one with the smallest hash of (seed, leaf), so it doesn't depend on partitions."""
     own = leaves(nodes).select("id", F.struct(F.xxhash64(F.lit(seed), "id").alias("h"), F.col("id").alias("leaf")).alias("leaf"))
     return _below(nodes, own, {}, {"leaf": F.min}).select("id", F.col("leaf.leaf").alias("leaf"))
+
+
+def subtrees(nodes: DataFrame, most: int) -> DataFrame:
+    """(id, parent, length, top): the uppermost node on the way to the root, itself included, below which are at most so many nodes, with itself; null where there are more.
+
+    Sizes are counted and tops found by doubling pointers, in as many rounds as most or the depth has binary digits."""
+    here, span = stored(nodes.select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("n")), "subtree_sizes"), 1
+    # below a node of a larger span are more than most, and so many have been counted
+    while span <= most and here.where("up is not null").take(1):
+        below = here.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("n").alias("more"))
+        ahead = here.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        here = stored(meet(meet(here, below, "id", "left"), ahead, "up", "left").select("id", F.col("next").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "subtree_sizes")
+        span *= 2
+    large = here.where(F.col("n") > most).select("id", F.lit(True).alias("large"))
+    known = meet(meet(nodes.select("id", "parent", "length"), large, "id", "left"), nodes.select(F.col("id").alias("parent"), F.lit(True).alias("there")), "parent", "left")
+    known = meet(known, large.select(F.col("id").alias("parent"), F.col("large").alias("above")), "parent", "left")
+    first = F.col("above").isNotNull() | F.col("there").isNull()
+    known = stored(known.select("id", "parent", "length", F.when(F.col("large").isNull(), F.when(first, F.col("id")).otherwise(F.col("parent"))).alias("to"), first.alias("done")), "subtrees")
+    ways = known.where("to is not null").select("id", "to", "done")
+    while ways.where("not done").take(1):
+        ahead = ways.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("done").alias("there"))
+        # a top is its own pointer, so who points at one has arrived
+        ways = stored(meet(ways, ahead, "to").select("id", F.col("next").alias("to"), (F.col("done") | F.col("there")).alias("done")), "subtree_tops")
+    return meet(known.select("id", "parent", "length"), ways.select("id", F.col("to").alias("top")), "id", "left")

@@ -50,14 +50,14 @@ _BEST = f"greatest({', '.join(_W)})"
 def _tables(spark, d):
     nodes = fx_node(spark, d).select("id", "parent", "length")
     leaves = tree.leaves(nodes).select("id")
-    return nodes, contraction.leaf_sites(meet(fx_aln(spark, d), leaves, "id", "left_semi"))
+    return nodes, meet(fx_aln(spark, d), leaves, "id", "left_semi").select("id", F.col("aln").alias("seq"))
 
 
 @query(f"{_UP}\nSELECT site, round(ln((l0 + l1 + l2 + l3) / 4) + ls, 6) AS loglik FROM u0")
 def tree_loglik(spark, d):
     """Log-likelihood of the whole tree at each site."""
     model = jc69()
-    rows = contraction.site_loglik(contraction.messages_up(*_tables(spark, d), model), model)
+    rows = contraction.site_loglik(contraction.root_messages(*_tables(spark, d), model), model)
     return rows.select("site", F.round("loglik", 6).alias("loglik"))
 
 

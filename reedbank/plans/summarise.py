@@ -29,8 +29,7 @@ def otu_table(assignments: DataFrame, nodes: DataFrame, min_reads: int = 0, min_
 
 def node_weights(db, otus: DataFrame) -> DataFrame:
     """(otu, site, wa, wc, wg, wt): by column how likely each base is at the tree's nodes otus, given all leaves."""
-    leaves = contraction.leaf_sites(db.node.where("is_leaf"), "id", "seq")
-    weights = contraction.weights_of(db.node.select("id", "parent", "length"), leaves, db.model, db.rates)
+    weights = contraction.weights_of(db.node.select("id", "parent", "length"), db.node.where("is_leaf").select("id", "seq"), db.model, db.rates)
     return weights.withColumnRenamed("id", "otu").join(otus.select("otu").distinct(), "otu", "left_semi")
 
 
