@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reedbank.functions.alphabet import DNA
+from reedbank.kernels.segments import Index
 from reedbank.operators.placement import top_candidates
 from reedbank.session import spread, stored
 
 #: Reads and nodes of a block, and bytes of the node blocks that one task goes through.
 READS_A_BLOCK, NODES_A_BLOCK, BLOCK_BYTES = 512, 1 << 14, 64 << 20
+#: From so many nodes a part on, and up to so many columns, nodes are searched by their segments' letters; reads of a block that are then searched in one task.
+LEAST_INDEXED, MOST_INDEXED_COLUMNS, READS_A_SEARCH = 1 << 19, 64, 1 << 12
 #: By how much shares of equal bases may be off in single precision; what is nearer than that to the last of the best is counted exactly.
 SLACK = 1e-5
 
@@ -89,19 +92,47 @@ def nearest_nodes(reads: DataFrame, nodes: DataFrame, n: int, width: int, read:
     """(read, node, dist): the n nearest nodes of each read, equal ones by node, unknown distances left out.
 
     Reads and nodes are packed into blocks in tasks, and every block of reads meets every block of nodes in a product of the two tables; a read's pairs never leave the
-    task, only its n best among the nodes of a part do.  Shares of equal bases come from a matrix product; what may be among the best is counted exactly."""
+    task, only its n best among the nodes of a part do.  Where parts are large and rows short, an index of the part leaves out most nodes that can't be among the
+    best.  Otherwise shares of equal bases come from a matrix product; what may be among the best is counted exactly."""
     if max_height is not None:
         nodes = nodes.where(F.col("height") <= max_height)
-    left = blocks(reads.select(F.col(read).cast("long"), F.col(read_seq)), width, READS_A_BLOCK, "read")
-    right = blocks(nodes.select(F.col(node).cast("long"), F.col(node_seq)), width, max(1, min(NODES_A_BLOCK, BLOCK_BYTES // (8 + width))), "node")
-    parts = max(1, right.count() * min(NODES_A_BLOCK * (8 + width), BLOCK_BYTES) // BLOCK_BYTES)
-    pairs = left.repartition(max(1, left.count())).crossJoin(right.repartition(parts).hint("shuffle_replicate_nl"))
-
-    def run(batches):
+    each = max(1, min(NODES_A_BLOCK, BLOCK_BYTES // (8 + width)))
+    right = blocks(nodes.select(F.col(node).cast("long"), F.col(node_seq)), width, each, "node")
+    n_blocks = right.count()
+    parts = max(1, n_blocks * min(NODES_A_BLOCK * (8 + width), BLOCK_BYTES) // BLOCK_BYTES)
+    indexed = n_blocks * each // parts >= LEAST_INDEXED and width <= MOST_INDEXED_COLUMNS
+    left = blocks(reads.select(F.col(read).cast("long"), F.col(read_seq)), width, READS_A_SEARCH if indexed else READS_A_BLOCK, "read")
+    # by ranges, which deal out few rows evenly
+    pairs = left.repartitionByRange(max(1, left.count()), F.xxhash64("read_ids")).crossJoin(right.repartition(parts).hint("shuffle_replicate_nl"))
+    of = lambda x, kind: np.frombuffer(x.as_py(), kind)
+
+    def made(rid, row, node, dist):
         import pyarrow as pa
 
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rid, np.int64)[row]), pa.array(node), pa.array(dist)], names=["read", "node", "dist"])
+
+    def search(batches):
+        found, first, ids, codes = {}, None, [], []
+        for batch in batches:
+            for rid, rcode, nid, ncode in zip(*batch.columns, strict=True):
+                key = rid.as_py()
+                first = key if first is None else first
+                if key not in found:
+                    found[key] = of(rcode, np.int8).reshape(-1, width)
+                # every block of reads comes with the same blocks of nodes
+                if key == first:
+                    ids.append(of(nid, np.int64))
+                    codes.append(of(ncode, np.int8).reshape(-1, width))
+        if not found:
+            return
+        index = Index(np.concatenate(ids), np.concatenate(codes))
+        del ids, codes
+        for key, own in found.items():
+            best = list(index.nearest(own, n))
+            yield made(key, np.repeat([i for i, _, _ in best], [len(x) for _, x, _ in best]), np.concatenate([x for _, x, _ in best]), np.concatenate([x for _, _, x in best]))
+
+    def run(batches):
         best = {}
-        of = lambda x, kind: np.frombuffer(x.as_py(), kind)
         for batch in batches:
             for rid, rcode, nid, ncode in zip(*batch.columns, strict=True):
                 key = rid.as_py()
@@ -109,9 +140,9 @@ def nearest_nodes(reads: DataFrame, nodes: DataFrame, n: int, width: int, read:
                     best[key] = Nearest(of(rcode, np.int8).reshape(-1, width), n)
                 best[key].add(of(nid, np.int64), of(ncode, np.int8).reshape(-1, width))
         for key, x in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(key, np.int64)[x.row]), pa.array(x.node), pa.array(x.dist)], names=["read", "node", "dist"])
+            yield made(key, x.row, x.node, x.dist)
 
-    out = pairs.mapInArrow(run, "read bigint, node bigint, dist double")
+    out = pairs.mapInArrow(search if indexed else run, "read bigint, node bigint, dist double")
     return out if parts == 1 else top_candidates(out, n).drop("rank")
 
 
